@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import exact, langid, mixing, packing, simhash
+from kinweave.llm import exact, langid, media, mixing, packing, simhash, substring, tokencount, toxicity, urlfilter
 from kinweave.llm.common import residue, table
 
 PACK_TOKENIZER = "word_bpe_49k.json"
+COUNT_TOKENIZER = "piece_bpe_32k.model"
+URL_RULES = [urlfilter.Rule("com", "/en/", False), urlfilter.Rule("example.com", "/en/7", True), urlfilter.Rule("net", "/de/", True), urlfilter.Rule("example.net", "/de/8", False), urlfilter.Rule("org", "/es/", False)]
 SHARES, SHARE, BLOCK_CHARS = {"src0": 5, "src1": 3, "src2": 2}, 1, 1 << 16
 
 
@@ -24,11 +26,30 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), SHARES, default=SHARE, block_chars=BLOCK_CHARS).withColumnRenamed("id", "doc_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), residue(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(residue(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.spans(table(spark, sf_dir, "documents")).withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_TOKENIZER), keep=["doc_id"])
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), size=3, limit=3)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["doc_id", "n_bytes"])
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
     return packed.drop("ord").withColumnRenamed("id", "doc_id")
@@ -39,7 +60,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op6_simhash_near_dedup, op8_pack_sequences, op9_exact_dedup)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = urlfilter.ruled(table(spark, sf_dir, "pages"), URL_RULES)
+    found = urlfilter.judge(rows, urlfilter.train(rows))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_mix_sources, op3_toxicity, op4_substring_dedup, op5_token_counts, op6_simhash_near_dedup, op7_media_columns, op8_pack_sequences, op9_exact_dedup, op10_url_filter)
+}
 
 ORACLES = {
     "op2_mix_sources": mixing.schedule_sql(SHARES, SHARE, BLOCK_CHARS),
