@@ -114,12 +114,32 @@ def _neighbourhoods(texts: list[bytes]) -> Counter:
     return Counter(w for _, w, _ in seen)
 
 
+def _starts(counts: Counter, shortest: int = 5, longest: int = 12) -> Counter:
+    """Counts of the words' beginnings of shortest to longest bytes."""
+    out: Counter = Counter()
+    for w, c in counts.items():
+        if len(w) >= shortest:
+            text = w.decode("utf-8", "ignore")
+            for k in range(2, len(text) + 1):
+                b = text[:k].encode()
+                if shortest <= len(b) <= longest:
+                    out[b] += c
+    return out
+
+
 def dictionaries(ordinary: list[bytes], toxic: list[bytes], *, ordinary_size: int = 16384, toxic_size: int = 4096, ratio: float = 50.0, least: int = 5) -> tuple[bytes, bytes]:
-    """Contents of the two dictionaries: toxic words occur between at least `least` pairs of neighbours and are `ratio` times likelier in toxic texts."""
+    """Contents of the two dictionaries: toxic words, and beginnings that several of them share, occur between at least `least` pairs of neighbours and are `ratio` times likelier in toxic texts."""
     o, t = _neighbourhoods(ordinary), _neighbourhoods(toxic)
     n_o, n_t = max(1, o.total()), max(1, t.total())
-    odds = {w: (c / n_t) / ((o[w] + 0.5) / n_o) for w, c in t.items() if c >= least}
-    chosen = sorted((w for w, x in odds.items() if x >= ratio), key=lambda w: (-t[w], w))
+    starts_o, starts_t = _starts(o), _starts(t)
+    extended: dict[bytes, int] = {}  # of each beginning, the most that one character more has
+    for w, c in starts_t.items():
+        shorter = w[:-1].decode("utf-8", "ignore").encode()
+        extended[shorter] = max(extended.get(shorter, 0), c)
+    stems = {w: c for w, c in starts_t.items() if c > 1.3 * extended.get(w, 0)}
+    seen = {w: (c, o[w]) for w, c in t.items()} | {w: (c, starts_o[w]) for w, c in stems.items()}
+    chosen = [w for w, (c, d) in seen.items() if c >= least and (c / n_t) / ((d + 0.5) / n_o) >= ratio]
+    chosen.sort(key=lambda w: (-seen[w][0], w))
     common = Counter(w for x in ordinary for w in words(x))
     return _fill(sorted(common, key=lambda w: (-common[w], w)), ordinary_size), _fill(chosen, toxic_size)
 
