@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from kinweave.plans.queries import ORACLES, QUERIES
 
 
 def queries() -> dict:
