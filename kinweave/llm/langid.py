@@ -96,9 +96,9 @@ def _bundle(texts: list[str], dim: int, gram: int, seed: int) -> tuple[np.ndarra
     if not len(grams):
         return out, has
     letters = np.stack([letter_vector(int(p), dim, seed) for p in alphabet])
-    step = max(1, (1 << 23) // max(len(texts), dim // 4))
+    step = max(1, (1 << 22) // dim)
     flat = mine.astype(np.int64) * len(grams) + which
-    if len(texts) * len(grams) <= 1 << 25:
+    if len(texts) * len(grams) <= 1 << 22:
         counts = np.bincount(flat, minlength=len(texts) * len(grams)).reshape(len(texts), len(grams)).astype(np.float32)
         parts = ((counts[:, a : a + step], grams[a : a + step]) for a in range(0, len(grams), step))
     else:  # very many different n-grams: one text after another
@@ -117,7 +117,7 @@ def _bundle(texts: list[str], dim: int, gram: int, seed: int) -> tuple[np.ndarra
     return out, has
 
 
-def bundle(texts: list[str | None], dim: int = 1024, gram: int = 3, seed: int = 7, chars: int = 1 << 20, docs: int = 384) -> tuple[np.ndarray, np.ndarray]:
+def bundle(texts: list[str | None], dim: int = 1024, gram: int = 3, seed: int = 7, chars: int = 1 << 19, docs: int = 192) -> tuple[np.ndarray, np.ndarray]:
     """Profiles of all texts, worked off in groups of bounded size, and whether each has a letter."""
     profiles, letters, group, size = [np.zeros((0, dim), np.float32)], [np.zeros(0, bool)], [], 0
     for t in texts:
