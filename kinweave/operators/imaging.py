@@ -152,8 +152,19 @@ def image_of(pixels: bytes, height: int, width: int, channels: int) -> np.ndarra
     return np.frombuffer(pixels, np.uint8).reshape(height, width, channels)
 
 
-def detect(images: DataFrame, detector: Callable[[], Detector]) -> DataFrame:
-    """(image_path, image_hash, bbox, landmarks, det_score, ordinal, lap_var, crops) per face found, with the aligned crop as bytes; an image on which the detector fails has no face. images: (path, image_hash, height, width, channels, pixels)."""
+def views(image: np.ndarray, landmarks: np.ndarray, seed: int, *, perturbations: int = 2, rotation: float = 5.0, jitter: float = 0.05) -> list[bytes] | None:
+    """The aligned crop and perturbed ones, turned and scaled by repeatable random amounts; None without five landmarks."""
+    first = align(image, landmarks)
+    if first is None:
+        return None
+    rng = np.random.default_rng(seed)
+    turns = [(rng.uniform(-rotation, rotation), 1 + rng.uniform(-jitter, jitter)) for _ in range(perturbations)]
+    return [first.tobytes()] + [align(image, landmarks, degrees=d, scale=s).tobytes() for d, s in turns]
+
+
+def detect(images: DataFrame, detector: Callable[[], Detector], **options) -> DataFrame:
+    """(image_path, image_hash, bbox, landmarks, det_score, ordinal, lap_var, crops) per face found, with the crops of views(); an image on which the detector fails has no face.
+    images: (path, image_hash, height, width, channels, pixels)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = detector()
@@ -168,35 +179,42 @@ def detect(images: DataFrame, detector: Callable[[], Detector]) -> DataFrame:
                 for k, (box, landmarks, score) in enumerate(found):
                     x1, y1, x2, y2 = max(0, int(box[0])), max(0, int(box[1])), min(r["width"], int(box[2])), min(r["height"], int(box[3]))
                     part = image[y1:y2, x1:x2]
-                    crop = align(image, np.array(landmarks))
-                    out.append((r["path"], r["image_hash"], [float(b) for b in box], [[float(a) for a in p] for p in landmarks], float(score), k, laplacian_variance(part) if part.size else None, None if crop is None else crop.tobytes()))
-            names = ["image_path", "image_hash", "bbox", "landmarks", "det_score", "ordinal", "lap_var", "crop"]
-            kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.float64(), pa.int32(), pa.float64(), pa.binary()]
+                    crops = views(image, np.array(landmarks), int(r["image_hash"][:12], 16) + k, **options)
+                    out.append((r["path"], r["image_hash"], [float(b) for b in box], [[float(a) for a in p] for p in landmarks], float(score), k, laplacian_variance(part) if part.size else None, crops))
+            names = ["image_path", "image_hash", "bbox", "landmarks", "det_score", "ordinal", "lap_var", "crops"]
+            kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.binary())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    schema = "image_path string, image_hash string, bbox array<double>, landmarks array<array<double>>, det_score double, ordinal int, lap_var double, crop binary"
+    schema = "image_path string, image_hash string, bbox array<double>, landmarks array<array<double>>, det_score double, ordinal int, lap_var double, crops array<binary>"
     return images.select("path", "image_hash", "height", "width", "channels", "pixels").mapInArrow(run, schema)
 
 
-def embed(crops: DataFrame, embedder: Callable[[], Embedder], *, id_col: str = "face_id", flip: bool = True) -> DataFrame:
-    """(id, embedding): the unit mean of the vectors of each crop and its mirror image; rows without a crop or with a zero vector are left out. All crops of a batch go through the model at once."""
-    kind = crops.schema[id_col].dataType.simpleString()
+def embed(faces: DataFrame, embedder: Callable[[], Embedder], *, id_col: str = "face_id", flip: bool = True) -> DataFrame:
+    """(id, embedding): the unit mean of the unit vectors of each face's crops and the first one's mirror image. A face without crops, or whose first crop or mean has a zero vector, is left out;
+    other zero vectors are skipped. All crops of a batch go through the model at once."""
+    kind = faces.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = embedder()
         for batch in batches:
-            ids, raw = batch.column(0), batch.column(1).to_pylist()
-            pixels = np.stack([np.frombuffer(b, np.uint8).reshape(CROP, CROP, 3) for b in raw])
-            views = [model.embed(pixels)] + ([model.embed(pixels[:, :, ::-1])] if flip else [])
-            unit = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30) for v in views]
-            mean = np.mean(unit, axis=0)
-            norm = np.linalg.norm(mean, axis=1)
-            ok = norm > 1e-12
-            out = (mean[ok] / norm[ok][:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array(out.tolist(), pa.list_(pa.float32()))], [id_col, "embedding"])
-
-    return crops.select(id_col, "crop").filter("crop IS NOT NULL").mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")
+            lists = batch.column(1).to_pylist()
+            owner = np.repeat(np.arange(len(lists)), [len(c) for c in lists])
+            pixels = np.stack([np.frombuffer(b, np.uint8).reshape(CROP, CROP, 3) for c in lists for b in c])
+            first = np.concatenate(([True], owner[1:] != owner[:-1]))
+            if flip:
+                pixels, owner = np.concatenate([pixels, pixels[first][:, :, ::-1]]), np.concatenate([owner, owner[first]])
+            v = np.asarray(model.embed(pixels), float)
+            norm = np.linalg.norm(v, axis=1)
+            total = np.zeros((len(lists), v.shape[1]))
+            ok = norm > 0
+            np.add.at(total, owner[ok], v[ok] / norm[ok][:, None])
+            length = np.linalg.norm(total, axis=1)
+            keep = (length > 1e-12) & (norm[: len(first)][first] > 0)
+            out = (total[keep] / length[keep][:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(out.tolist(), pa.list_(pa.float32()))], [id_col, "embedding"])
+
+    return faces.select(id_col, "crops").filter("size(crops) > 0").mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")
 
 
 def ensemble_mean(views: DataFrame, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:

@@ -44,7 +44,7 @@ def distance_stats(rows: DataFrame, *, id_col: str = "id", vec_col: str = "emb")
         d = own(va, vb, same)
         n = np.bincount(lay(d), minlength=_BINS)
         b = np.flatnonzero(n)
-        s, q = np.bincount(lay(d), d, _BINS)[b], np.bincount(lay(d), d * d, _BINS)[b]
+        s, q = (np.bincount(lay(d), w, _BINS)[b].astype(float) for w in (d, d * d))
         return pa.table({"bin": pa.array(b), "n": pa.array(n[b]), "s": pa.array(s), "q": pa.array(q)})
 
     spark = rows.sparkSession

@@ -61,21 +61,22 @@ class Engine:
         c, w = self.config, self.workspace
         files = images.hashed(images.scan(self.spark, c.input_dir, recursive=c.recursive))
         fresh = images.unprocessed(files, w.read("processed_images")) if incremental else files
-        seen = Observation("images")
-        fresh = fresh.observe(seen, F.count("*").alias("images"))
         decoded = images.decode(self.spark, c.input_dir, recursive=c.recursive)
         pictures = decoded.join(fresh.select("path", "image_hash"), "path")
-        found = imaging.detect(pictures, self.detector)
+        found = imaging.detect(pictures, self.detector, perturbations=c.embedding.num_perturbations, rotation=c.embedding.rotation_range, jitter=c.embedding.scale_jitter)
         found = found.withColumns({"img": F.col("image_path"), "vec_id": F.col("ordinal")})
         ranked = quality.rank_faces(found, most=c.detection.max_faces, threshold=c.detection.det_thresh)
         at = lambda i: F.col("landmarks")[i[0]][i[1]]
         flat = ranked.withColumns({"x1": F.col("bbox")[0], "y1": F.col("bbox")[1], "x2": F.col("bbox")[2], "y2": F.col("bbox")[3], "lex": at((0, 0)), "ley": at((0, 1)), "rex": at((1, 0)), "rey": at((1, 1)), "nx": at((2, 0)), "ny": at((2, 1))})
         good = quality.gate(quality.scored(flat), c.quality.gate).withColumn("face_id", S.face_id(F.col("image_hash"), F.col("face_index")))
-        crops = w.write("crops", good.select("face_id", "crop").unionByName(w.read("crops")) if incremental else good.select("face_id", "crop"))
-        vectors = imaging.embed(crops, self.embedder, flip=c.embedding.use_flip).dropDuplicates(["face_id"])
+        scratch = Workspace(self.spark, f"{c.output_dir}/_tables/_batch")
+        good = scratch.write("good", good)  # models run once, whatever is done with their results
+        w.append("crops", good.select("face_id", "crops")) if incremental else w.write("crops", good.select("face_id", "crops"))
+        vectors = imaging.embed(good.dropDuplicates(["face_id"]), self.embedder, flip=c.embedding.use_flip)
         rows = good.join(vectors, "face_id").select("face_id", "image_path", "image_hash", "face_index", "bbox", "landmarks", "det_score", F.col("composite").alias("quality_score"), F.col("passed").alias("quality_passed"), F.col("reasons").alias("quality_reasons"), "embedding")
         faces = w.append("faces", rows) if incremental else w.write("faces", rows)
-        done = fresh.select(F.col("path").alias("image_path"), "image_hash")
+        seen = Observation()
+        done = fresh.select(F.col("path").alias("image_path"), "image_hash").observe(seen, F.count("*").alias("images"))
         w.append("processed_images", done) if incremental else w.write("processed_images", done)
         self.counts["images"] = seen.get["images"]
         return faces
@@ -108,7 +109,7 @@ class Engine:
         report.report_json(rows).write.mode("overwrite").text(f"{out}/_metadata/cluster_report")
 
     def copy_files(self) -> int:
-        """Copy each manifest row's image into its person folder, in the tasks; a missing source is skipped. The number of files copied."""
+        """Copy each manifest row's image into its person folder, in the tasks; a missing source is skipped. output_dir must be mounted on every executor. The number of files copied."""
         out = self.config.output_dir
         rows = self.workspace.read("manifest").select("cluster_name", "image_path", "file_name")
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.config.input_dir).select(F.col("path").alias("image_path"), "content")

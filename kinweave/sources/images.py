@@ -35,7 +35,7 @@ def hashed(files: DataFrame) -> DataFrame:
 def decode(spark: SparkSession, folder: str, *, recursive: bool = True) -> DataFrame:
     """(path, height, width, channels, pixels): decoded images (BGR, 8 bits); files that cannot be read are left out."""
     rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return rows.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
+    return rows.select(F.regexp_replace("image.origin", "^file:///", "file:/").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
 
 
 def undecoded(files: DataFrame, images: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ SCHEMAS = {
     "assignments": "face_id string, label int, probability double, confidence double, in_review boolean",
     "identities": "pos int, identity_id string, centroid array<double>",
     "corrections": "face_id string, label int, seq bigint",
-    "crops": "face_id string, crop binary",
+    "crops": "face_id string, crops array<binary>",
 }
 
 
