@@ -11,7 +11,9 @@ empty table gives no rows. Texts of any length are tokenized whole. Only the nam
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -28,33 +30,85 @@ UNIT = 16
 _CACHE = 400_000
 
 
+#: Characters below U+0250 that are letters and have a lower-case form of one character (all but U+0130).
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
+_PARTS = re.compile(f"([{_LETTERS}]+)")
+#: Runs made of such letters, digits and signs only; without apostrophes (contractions) and `<` (special tokens).
+_SIMPLE = re.compile("[!-&(-;=-~¡-įı-ɏ]+")
+
+
 class ChunkTokenizer:
-    """Ids of whole texts from a tokenizers file. White space always ends a pre-token there, so the ids of a text are those of its runs between ASCII white space, one after another;
-    each run is tokenized by the library once and its ids are kept (up to a bound, then all are forgotten)."""
+    """Ids of whole texts from a tokenizers file whose pre-tokenizer breaks at white space and between letters and anything else, and whose words end in a token with a suffix.
+
+    White space always ends a pre-token, so the ids of a text are those of its runs between ASCII white space, one after another. A simple run is cut further, into words (lower-cased, as
+    the normaliser does it) and what is between. Every different piece is tokenized by the library, words many at a time: their ids part at the tokens with the suffix. Ids of runs and
+    words are kept up to a bound; then all are forgotten. Any other run is given to the library as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode_batch(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out, cache = [], self.cache
-        for text in texts:
-            runs = (text or b"").split()
-            try:
-                out.append(b"".join([cache[r] for r in runs]))
-            except KeyError:
-                if len(cache) > _CACHE:
-                    cache.clear()
-                new = list(dict.fromkeys(r for r in runs if r not in cache))
-                for a in range(0, len(new), 1 << 16):
-                    some = new[a : a + (1 << 16)]
-                    for r, e in zip(some, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in some], add_special_tokens=False), strict=True):
-                        cache[r] = np.array(e.ids, "<u4").tobytes()
-                out.append(b"".join([cache[r] for r in runs]))
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("ÀB") == "àb"
+        self.runs: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> None:
+        """Keep the ids of words, a few hundred at a time as one text."""
+        groups = [words[a : a + 256] for a in range(0, len(words), 256)]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                raw, ends = ids.tobytes(), (ends * 4).tolist()
+                self.parts.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            else:
+                self.parts.update(zip(group, self._whole(group), strict=True))
+
+    def _learn(self, runs: list[bytes]) -> None:
+        plain, other = {}, []
+        for r in runs:
+            text = r.decode("utf-8", "replace")
+            if self.lowers and _SIMPLE.fullmatch(text):
+                plain[r] = _PARTS.split(text.lower())
+            else:
+                other.append((r, text))
+        words = {p for parts in plain.values() for p in parts[1::2] if p not in self.parts}
+        between = {p for parts in plain.values() for p in parts[::2] if p and p not in self.parts}
+        self._words(sorted(words))
+        between = sorted(between)
+        self.parts.update(zip(between, self._whole(between), strict=True))
+        self.parts[""] = b""
+        for r, parts in plain.items():
+            self.runs[r] = b"".join([self.parts[p] for p in parts])
+        self.runs.update(zip([r for r, _ in other], self._whole([t for _, t in other]), strict=True))
+
+    def encode_batch(self, texts: list[bytes | None], group: int = 1 << 24) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; texts are worked off in groups of about `group` bytes."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            if len(self.runs) > _CACHE or len(self.parts) > _CACHE:
+                self.runs.clear()
+                self.parts.clear()
+            stop, size, split = at, 0, []
+            while stop < len(texts) and size < group:
+                size += len(texts[stop] or b"")
+                split.append((texts[stop] or b"").split())
+                stop += 1
+            runs = self.runs
+            new = {r for rs in split for r in rs if r not in runs}
+            if new:
+                self._learn(list(new))
+            out += [b"".join([runs[r] for r in rs]) for rs in split]
+            at = stop
         return out
 
 
