@@ -90,7 +90,7 @@ class ChunkTokenizer:
             self.runs[r] = b"".join([self.parts[p] for p in parts])
         self.runs.update(zip([r for r, _ in other], self._whole([t for _, t in other]), strict=True))
 
-    def encode_batch(self, texts: list[bytes | None], group: int = 1 << 24) -> list[bytes]:
+    def encode_batch(self, texts: list[bytes | None], group: int = 1 << 22) -> list[bytes]:
         """Little-endian 32-bit ids of each text; texts are worked off in groups of about `group` bytes."""
         out: list[bytes] = []
         at = 0
