@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys of the order are dealt in ranges of 2**STEP, and these in ranges of 2**STEP ranges.
-STEP = 13
+STEP = 10
 
 
 def running_total(df: DataFrame, by: list[str], order: str, value: str, out: str, ties: list[str] | None = None) -> DataFrame:
