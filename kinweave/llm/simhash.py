@@ -18,6 +18,8 @@ get a fingerprint and no component unless another row has the same fingerprint.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -72,7 +74,12 @@ def _ones(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def fingerprints(texts: list[bytes | None], size: int = 3, words: int = 1) -> np.ndarray:
     """(texts, words) array of unsigned 64-bit words; memory is bounded by the longest text's hashes."""
-    out, held, rows, n = np.zeros((len(texts), words), np.uint64), [], [], 0
+    return _summed((shingle_hashes(text, size) for text in texts), len(texts), words)
+
+
+def _summed(hashes: Iterable[np.ndarray], n_texts: int, words: int) -> np.ndarray:
+    """The fingerprints of texts whose shingles have these hashes."""
+    out, held, rows, n = np.zeros((n_texts, words), np.uint64), [], [], 0
 
     def settle() -> None:
         nonlocal held, rows, n
@@ -84,8 +91,7 @@ def fingerprints(texts: list[bytes | None], size: int = 3, words: int = 1) -> np
                 out[rows, k] = np.packbits(_ones(_mixed(h, k), starts) * 2 > lens[:, None], axis=1).view(">u8").ravel()
             held, rows, n = [], [], 0
 
-    for i, text in enumerate(texts):
-        h = shingle_hashes(text, size)
+    for i, h in enumerate(hashes):
         if len(h) > _SLICE:  # a very long text: sum over slices
             for k in range(words):
                 total = sum(_ones(_mixed(h[a : a + _SLICE], k), np.array([0])).astype(np.int64) for a in range(0, len(h), _SLICE))
@@ -232,8 +238,42 @@ def _key(table: int, mask: list[int]) -> Column:
     return F.xxhash64(F.lit(table), *[F.col(f"f{w}").bitwiseAND(F.lit(m)) for w, m in enumerate(signed) if m])
 
 
-def _linker(limit: int, words: int, chunk: int = 1 << 17):
-    """Rows (key, id, f0, ...) that come sorted by key, to links (a, b) between ids. Holds chunk rows and one key's."""
+def apart(key: np.ndarray, f: np.ndarray, part: np.ndarray, limit: int, nearest: bool, room: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows in the index, and the pairs (positions there) within limit bits of one key whose parts differ: all of them, or of each row the one with the fewest bits."""
+    order = np.lexsort([*gray_rank(f).T[::-1], key])
+    key, f, part = key[order], f[order], part[order]
+    index = GrayIndex(f, key)
+    cost = np.cumsum(np.bincount(index.group_of)[index.group_of])
+    at, left, right = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    best = np.full(len(key), np.iinfo(np.int64).max)  # bits, then the other's position
+    while at < len(key):
+        stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + room, "right")))
+        a, b = index.links(np.arange(at, stop), limit)
+        keep = part[a] != part[b]
+        a, b = a[keep], b[keep]
+        if nearest:
+            bits = _pop(f[a] ^ f[b]).astype(np.int64) << 32
+            np.minimum.at(best, a, bits | b)
+            np.minimum.at(best, b, bits | a)
+        else:
+            left.append(a), right.append(b)
+        at = stop
+    if nearest:
+        a = np.flatnonzero(best != np.iinfo(np.int64).max)
+        return order, a, best[a] & 0xFFFFFFFF
+    return order, np.concatenate(left), np.concatenate(right)
+
+
+def _new(x: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether pairs that differ in the bits x and agree under the mask of their table agree under no earlier one: each pair is met once."""
+    new = np.ones(len(x), bool)
+    for t in range(int(table.max(initial=0))):
+        new &= (table <= t) | ((x & masks[t]) != 0).any(axis=1)
+    return new
+
+
+def _linker(limit: int, words: int, chunk: int = 1 << 17, masks: list[list[int]] | None = None, nearest: bool = False):
+    """Rows (key, id, f0, ...) that come sorted by key, to links (a, b) between ids: a spanning set, or with masks (and columns part and table) those of `apart`, each met once. Holds chunk rows and one key's."""
 
     def settle(table: pa.Table) -> pa.RecordBatch | None:
         key = table.column("key").to_numpy()
@@ -243,7 +283,13 @@ def _linker(limit: int, words: int, chunk: int = 1 << 17):
             return None
         ids = table.column("id").to_numpy()[rows]
         f = np.stack([table.column(f"f{w}").to_numpy()[rows] for w in range(words)], 1).view(np.uint64)
-        order, a, b = spanning(key[rows], f, limit)
+        if masks is None:
+            order, a, b = spanning(key[rows], f, limit)
+        else:
+            order, a, b = apart(key[rows], f, table.column("part").to_numpy()[rows], limit, nearest)
+            if not nearest:
+                new = _new(f[order[a]] ^ f[order[b]], table.column("table").to_numpy()[rows][order[a]], np.array(masks, np.uint64))
+                a, b = a[new], b[new]
         ids = ids[order]
         return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"]) if len(a) else None
 
@@ -267,26 +313,29 @@ def _linker(limit: int, words: int, chunk: int = 1 << 17):
     return run
 
 
-def links(nodes: DataFrame, limit: int, masks: list[list[int]], *, most: int = 1 << 16, share: int = 64) -> DataFrame:
+def links(nodes: DataFrame, limit: int, masks: list[list[int]], *, most: int = 1 << 16, share: int = 64, nearest: bool = False) -> DataFrame:
     """Links (a, b) between the ids of nodes (id, f0, ...), which have different fingerprints: together they connect all that is connected by pairs that differ in at most limit bits and agree
-    under a mask. Keys that a sample of 1 / share of the nodes shows to have more than most nodes are split by Gray order into blocks; the sample only decides how work is dealt out."""
+    under a mask. Where nodes have a column part, all such pairs of different parts are returned instead, or of each row and key the nearest. Keys that a sample of 1 / share of the nodes shows to have more than most nodes are split by Gray order into blocks; the sample only decides how work is dealt out."""
     words = len(masks[0])
-    cols = ["id", *[f"f{w}" for w in range(words)]]
+    names = [f"f{w}" for w in range(words)]
+    parts = "part" in nodes.columns
+    cols = ["id", *names, *["part", "table"] * parts]
 
     def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select(F.explode(F.array(*[_key(i, m) for i, m in enumerate(masks)])).alias("key"), *cols)
+        keys = F.array(*[_key(i, m) for i, m in enumerate(masks)])
+        return rows.select(F.posexplode(keys).alias("table", "key"), *nodes.columns).select("key", *cols) if parts else rows.select(F.explode(keys).alias("key"), *cols)
 
     def run(rows: DataFrame) -> DataFrame:
-        return rows.sortWithinPartitions("key").mapInArrow(_linker(limit, words), "a bigint, b bigint")
+        return rows.sortWithinPartitions("key").mapInArrow(_linker(limit, words, masks=masks if parts else None, nearest=nearest), "a bigint, b bigint")
 
-    hot = keyed(nodes.filter(F.pmod(F.xxhash64(*cols[1:]), F.lit(share)) == 0)).groupBy("key").agg((F.count("*") * share).alias("n")).filter(F.col("n") > most)
+    hot = keyed(nodes.filter(F.pmod(F.xxhash64(*names), F.lit(share)) == 0)).groupBy("key").agg((F.count("*") * share).alias("n")).filter(F.col("n") > most)
     hot = cut(hot.select("key", F.ceil(F.col("n") / (most / 2)).cast("int").alias("parts")))
     rows, found = keyed(nodes), hot.count()
     if not found:
         return run(rows.repartition("key"))
     few = F.broadcast(hot) if found <= 100_000 else hot
     cold = run(rows.join(few, "key", "left_anti").repartition("key"))
-    part = F.pmod(F.xxhash64(F.lit(1), *cols[1:]), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64(F.lit(1), *names), F.col("parts")).cast("int")
     split = rows.join(few, "key").select("key", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"), *cols)
     pairs = split.select(F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")).alias("key"), *cols)
     return cold.unionByName(run(pairs.repartition("key")))
@@ -302,3 +351,78 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     parts = components(links(nodes, limit, masks))
     found = nodes.join(parts, nodes["id"] == parts["node"], "left").select(*names, F.coalesce("component", "id").alias("component"))
     return table.join(found, names, "left").select("id", *names, "component")
+
+
+def _set_table(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
+    """(id, f0, ..., digest) of each row with an identifier; fingerprint and digest are of the set of shingles, repeats left out."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests = np.zeros(batch.num_rows, np.uint64)
+
+        def sets():
+            for i, text in enumerate(batch.column(1)):
+                h = np.unique(shingle_hashes(text.as_py(), size))
+                digests[i] = _HASH(h.tobytes())
+                yield h
+
+        f = _summed(sets(), batch.num_rows, words).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f[:, k]) for k in range(words)], pa.array(digests.view(np.int64))], ["id", *[f"f{k}" for k in range(words)], "digest"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")).filter("id IS NOT NULL")
+    return map_batches(rows, "id bigint, " + ", ".join(f"f{k} bigint" for k in range(words)) + ", digest bigint", run)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether the Jaccard similarity of two sets of hashes (sorted, without repeats) is at least least[0] / least[1]; that of two empty sets is 1."""
+    if min(len(a), len(b)) * least[1] < max(len(a), len(b)) * least[0]:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * least[1] >= (len(a) + len(b) - both) * least[0]
+
+
+def verified(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, room: int = 1 << 24) -> DataFrame:
+    """Of the pairs (a, b) of identifiers those whose texts' sets of shingles have a Jaccard similarity of least[0] / least[1] or more, counted exactly. Up to room bytes of the pairs' texts are broadcast, more are joined by a shuffle."""
+
+    def run(batches):
+        sets = lru_cache(4096)(lambda text: np.unique(shingle_hashes(text, size)))
+        for batch in batches:
+            a, b, left, right = batch.columns
+            keep = pa.array([alike(sets(left[i].as_py()), sets(right[i].as_py()), least) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut(texts.join(needed, "id", "left_semi"))
+    if (texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0) <= room:
+        texts = F.broadcast(texts)
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified_groups(docs: DataFrame, *, masks: list[list[int]], limit: int, least: tuple[int, int], close: int, few: int, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """(id, component) of each identifier: the smallest one that a chain of pairs reaches, each pair of a Jaccard similarity of least[0] / least[1] or more. Fingerprints within limit bits that agree
+    under a mask are the candidates, and every link is verified exactly. So that large groups of copies don't send all their pairs, rounds come first in which each document is held against the
+    nearest one of another part (within close bits, under few masks a round), what is verified becoming one part; in the end all candidates between different parts are verified."""
+    words = len(masks[0])
+    names = [f"f{w}" for w in range(words)]
+    table = cut(_set_table(docs, id_col, text_col, size, words))
+    nodes = cut(table.groupBy(*names, "digest").agg(F.min("id").alias("id")))
+
+    def parted() -> DataFrame:
+        parts = components(sure)
+        return cut(nodes.join(parts, nodes["id"] == parts["node"], "left").select("id", *names, F.coalesce("component", "id").alias("part")))
+
+    def checked(bits: int, chosen: list[list[int]], nearest: bool) -> DataFrame:
+        pairs = links(parted(), bits, chosen, nearest=nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return cut(verified(cut(pairs), docs, least, id_col=id_col, text_col=text_col, size=size))
+
+    # equal sets are one node, and rows of one identifier are one document
+    sure = cut(nodes.withColumnRenamed("id", "b").join(table, [*names, "digest"]).filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    for k in range(rounds):
+        found = checked(close, masks[k * few : (k + 1) * few], True)
+        sure = sure.unionByName(found)
+        if found.isEmpty():
+            break
+    parts = components(sure.unionByName(checked(limit, masks, False)))
+    ids = table.select("id").distinct()
+    return ids.join(parts, ids["id"] == parts["node"], "left").select("id", F.coalesce("component", "id").alias("component"))

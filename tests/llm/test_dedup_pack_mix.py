@@ -324,3 +324,31 @@ def test_pipeline_awkward(spark, tmp_path):
 def test_pipeline_empty(spark, tmp_path):
     for _, out in _stages(spark, empty(spark), tmp_path):
         assert out.count() == 0
+
+
+def test_pipeline_near_dedup_decides_by_exact_similarity(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, want = [], set()
+    for k in range(60):  # the last words replaced: n shingles, m of them shared, 4 / 5 at m = n * 8 / 9
+        n, above = 90 + 9 * (k % 7), k % 2 == 0
+        m = n * 8 // 9 if above else n * 8 // 9 - 2
+        base = word(n + 4)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: m + 4] + word(n - m)))]
+        want |= {2 * k + 1} if above else set()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()}
+    assert {i for i, _ in rows} - left == want
+
+
+def test_pipeline_near_dedup_links_chains_and_sets(spark):
+    import corpus_pipeline
+
+    words = [f"v{i}" for i in range(200)]
+    line = "one line of seven words that repeats "
+    rows = [(5, " ".join(words)), (3, " ".join(words[12:] + [f"x{i}" for i in range(12)])), (9, " ".join(words[24:] + [f"x{i}" for i in range(24)])), (4, line * 400 + " ".join(words[:40])), (2, line * 2 + " ".join(words[:40])), (None, " ".join(words)), (7, line * 400 + " ".join(f"y{i}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = sorted((r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()), key=str)
+    assert left == [2, 3, 7, None]
