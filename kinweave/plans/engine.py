@@ -24,13 +24,21 @@ def indexed(faces: DataFrame) -> DataFrame:
     return faces.withColumn("id", F.xxhash64("face_id", "image_path"))
 
 
+def reducer_of(config: EngineConfig) -> imaging.Reducer:
+    """The configured reducer; one that isn't built (umap among them) is refused."""
+    if config.reducer.kind == "pca":
+        return imaging.PcaReducer(config.reducer.n_components)
+    if config.reducer.kind == "none":
+        return imaging.NoReducer()
+    raise ValueError(f"reducer.kind {config.reducer.kind!r} is not built in: none or pca")
+
+
 def group(faces: DataFrame, known: DataFrame, config: EngineConfig) -> DataFrame:
     """(id, label, probability, confidence, in_review) of faces (id, emb): known identities first, the rest by density, all refined with thresholds from the distances."""
-    spark = faces.sparkSession
+    spark, reducer = faces.sparkSession, reducer_of(config)
     have = config.identities.enabled and not known.isEmpty()
     hits = identities.classify_known(faces, known, config.identities.classification_threshold) if have else spark.createDataFrame([], "id bigint, pos int, distance double")
     rest = faces.join(hits.filter("pos IS NOT NULL"), "id", "left_anti")
-    reducer = imaging.PcaReducer(config.reducer.n_components) if config.reducer.kind == "pca" else imaging.NoReducer()
     n = len(rest.limit(2).collect())
     clustered = clustering.cluster(reducer.reduce(rest, "emb"), config.clustering)
     if n == 1 and have:

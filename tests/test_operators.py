@@ -395,3 +395,12 @@ def test_progress(tmp_path):
     assert len(b.queues) == 1 and q.get()["status"] == "done" and slow.qsize() == 2
     setup_logging(str(tmp_path), console=False).info("x")
     assert "| INFO     | x" in (tmp_path / "pipeline.log").read_text()
+
+
+@pytest.mark.parametrize("kind", ["umap", "PCA", ""])
+def test_unknown_reducers_are_refused(spark, kind):
+    from kinweave.plans import engine
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, emb array<double>")
+    with pytest.raises(ValueError, match="reducer.kind"):
+        engine.group(rows, rows.limit(0), config.EngineConfig(reducer=config.ReducerConfig(kind=kind)))
