@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,15 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that goes to Python, unless the session has a limit of its own; a longer row is a batch by itself.
+BATCH_BYTES, SPARK_DEFAULT = "4m", ("64m", "67108864", "67108864b")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests, one machine) a folder is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a folder is made and set if all run on one machine (local mode), else this raises: executors don't see each
+    other's folders. The caller's deployment clears it (spark.cleaner.referenceTracking.cleanCheckpoints for checkpoints); a folder that is made here is removed when Python ends."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else ""
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kinweave-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="kinweave-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        folder = "file://" + made
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -57,8 +69,20 @@ def unit_hash(key: Column) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("-1")), F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on Arrow batches have BATCH_BYTES at most, if the session still has Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") in SPARK_DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def decoded(column: pa.Array) -> list[str | None]:
+    """Strings of a column of UTF-8 bytes; malformed bytes become U+FFFD."""
+    return [None if t is None else t.decode("utf-8", "replace") for t in column.to_pylist()]
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], setup: Callable[[], None] | None = None) -> DataFrame:
-    """Apply fn to every Arrow batch; empty results are skipped."""
+    """Apply fn to every Arrow batch, which are bounded in bytes; empty results are skipped."""
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if setup:
@@ -68,5 +92,6 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Re
                 out = fn(batch)
                 if out.num_rows:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        pa.default_memory_pool().release_unused()  # workers are used again, for other stages
 
     return df.mapInArrow(run, schema)

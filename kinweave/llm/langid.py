@@ -7,12 +7,15 @@ cosine with its profile.
 
 Texts are lower-cased; any run of characters that are not letters is one boundary symbol with a vector of its own, and each text begins and ends with one.
 
+A text of more than 2**18 characters is bundled in pieces that end at spaces; the few n-grams across their ends aren't counted, which bounds memory whatever a text's length.
+
 Defined results: null, empty or letterless texts give `und` with score 0; equal cosines go to the alphabetically first language; without any labelled text
-every text is `und`. Repeated rows are treated alike. Only the named id, text and language columns are read, so other columns cannot clash.
+every text is `und`. Malformed UTF-8 is read with U+FFFD in its place, which is no letter. Repeated rows are treated alike. Only the named id, text and language columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import map_batches, unit_hash
+from kinweave.llm.common import bounded, decoded, map_batches, unit_hash
 
 UNKNOWN = "und"
 _POINTS = 0x110000
@@ -117,20 +120,38 @@ def _bundle(texts: list[str], dim: int, gram: int, seed: int) -> tuple[np.ndarra
     return out, has
 
 
-def bundle(texts: list[str | None], dim: int = 1024, gram: int = 3, seed: int = 7, chars: int = 1 << 19, docs: int = 192) -> tuple[np.ndarray, np.ndarray]:
-    """Profiles of all texts, worked off in groups of bounded size, and whether each has a letter."""
-    profiles, letters, group, size = [np.zeros((0, dim), np.float32)], [np.zeros(0, bool)], [], 0
-    for t in texts:
-        group.append(t or "")
-        size += len(t or "")
-        if size >= chars or len(group) >= docs:
-            a, b = _bundle(group, dim, gram, seed)
-            profiles.append(a), letters.append(b)
-            group, size = [], 0
-    if group:
-        a, b = _bundle(group, dim, gram, seed)
-        profiles.append(a), letters.append(b)
-    return np.concatenate(profiles), np.concatenate(letters)
+def _pieces(text: str, chars: int) -> Iterator[str]:
+    """text in pieces of at most chars characters, ending at spaces where there are any."""
+    at = 0
+    while len(text) - at > chars:
+        space = text.rfind(" ", at + chars // 2, at + chars)
+        stop = space + 1 if space > 0 else at + chars
+        yield text[at:stop]
+        at = stop
+    yield text[at:] if at else text
+
+
+def bundle(texts: list[str | None], dim: int = 1024, gram: int = 3, seed: int = 7, chars: int = 1 << 18, docs: int = 192) -> tuple[np.ndarray, np.ndarray]:
+    """Profiles of all texts, worked off in groups of bounded size, and whether each has a letter. Of a text of more than chars characters the profiles of its pieces are added up."""
+    out, letters = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), bool)
+    group, owner, size = [], [], 0
+
+    def settle() -> None:
+        nonlocal group, owner, size
+        if group:
+            profiles, has = _bundle(group, dim, gram, seed)
+            np.add.at(out, owner, profiles)
+            np.logical_or.at(letters, owner, has)
+            group, owner, size = [], [], 0
+
+    for i, t in enumerate(texts):
+        for piece in _pieces(t or "", chars):
+            if size + len(piece) > chars or len(group) >= docs:
+                settle()
+            group.append(piece), owner.append(i)
+            size += len(piece)
+    settle()
+    return out, letters
 
 
 def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, dim: int = 1024, gram: int = 3, seed: int = 7) -> Profiles:
@@ -141,10 +162,10 @@ def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     if not counts:
         return Profiles([], np.zeros((0, dim), np.float32), dim, gram, seed)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    chosen = rows.filter(unit_hash(F.col("id")) < share[F.col("lang")]).select("lang", "text")
+    chosen = rows.filter(unit_hash(F.col("id")) < share[F.col("lang")]).select("lang", F.col("text").cast("binary"))
 
     def add(batch: pa.RecordBatch) -> pa.Table:
-        profiles, has = bundle(batch.column(1).to_pylist(), dim, gram, seed)
+        profiles, has = bundle(decoded(batch.column(1)), dim, gram, seed)
         norms = np.linalg.norm(profiles, axis=1)
         units = profiles / np.where(norms > 0, norms, 1)[:, None]
         langs = np.array(batch.column(0).to_pylist(), object)
@@ -177,14 +198,16 @@ def decide(texts: list[str | None], model: Profiles) -> tuple[list[str], np.ndar
 
 
 def predict(docs: DataFrame, model: Profiles, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all by default) of each row with lang_pred, score and lead after them; columns of those names are replaced. One narrow pass without a shuffle."""
+    """The columns keep (all by default) of each row with lang_pred, score and lead after them; columns of those names are replaced. One narrow pass without a shuffle: only the text goes to Python,
+    once, and all other columns stay in the JVM."""
+    bounded(docs.sparkSession)
     added = ("lang_pred", "score", "lead")
-    kept = docs.select([F.col(f"`{c}`") for c in (keep or docs.columns) if c not in added] + [F.col(text_col).alias("__kw_text")])
-    names = kept.columns[:-1]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score, lead = decide(batch.column(batch.num_columns - 1).to_pylist(), model)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())], [*names, *added])
+    @F.arrow_udf("struct<lang_pred string, score double, lead double>")
+    def judge(texts: pa.Array) -> pa.Array:
+        lang, score, lead = decide(decoded(texts), model)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())], list(added))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["lang_pred string", "score double", "lead double"])
-    return map_batches(kept, schema, run)
+    judge = judge.asNondeterministic()  # so it is not run again for a filter
+    kept = [F.col(f"`{c}`") for c in (keep or docs.columns) if c not in added]
+    return docs.select(*kept, judge(F.col(text_col).cast("binary")).alias("__kw_judged")).select(*kept, *[F.col("__kw_judged")[c].alias(c) for c in added])

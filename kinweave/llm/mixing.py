@@ -3,29 +3,66 @@
 A source's documents, in the order of their identifiers, make blocks of block_chars characters; a document belongs to the block in which it begins. Source s with share a of the sum H of
 all shares gets, for its block j (from 0), the release time floor(j * H / a) and the deadline ceil((j + 1) * H / a). Slots are given by earliest deadline first among the released blocks (ties:
 the alphabetically first source). Every deadline is met, so after any number of slots a source has had less than one block more or less than its weight asks for. The schedule repeats after H
-slots; one such cycle is computed and every block's slot follows from it.
+slots (shares are first divided by their greatest common divisor); one such cycle is computed and every block's slot follows from it.
 
 When a source has run out its slots stay empty and the others go on in the same proportion; no document is dropped or repeated.
 
 Defined results: a null source is a source of its own (alphabetically first, as ''); null and empty texts have 0 characters and stand in the block that is current; null identifiers
-come first; ties and repeated rows are ordered by length. An empty table gives no rows. Only the named columns are read.
+come first; ties and repeated rows are ordered by length. An empty table gives no rows. Only the named columns are read. Shares may have any sum: a cycle that is too long to be computed
+by array functions and broadcast (MOST_SLOTS, MOST_STEPS) comes from a heap of the sources in one Arrow task, which holds a row per source, and is joined by a shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm.common import cut
 from kinweave.llm.running import running_total
 
-#: Slots of a cycle, so the table that is broadcast has at most so many rows.
-MOST_SLOTS = 1 << 16
+#: Slots of a cycle that is broadcast, and slots times sources of one that is computed by array functions.
+MOST_SLOTS, MOST_STEPS = 1 << 14, 1 << 20
+
+
+def _simulated(batches):
+    """Rows (source, share) to (source, share, total, nth, slot) of one cycle: earliest deadline first, with a heap of the sources whose next block is released and one of those to come."""
+    sources = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    total = sum(a for _, a in sources)
+    ready, later, done = [(-(-total // a), k) for k, (_, a) in enumerate(sources) if a], [], [0] * len(sources)
+    heapq.heapify(ready)
+    for first in range(0, total, 1 << 16):
+        picks = []
+        for t in range(first, min(total, first + (1 << 16))):
+            while later and later[0][0] <= t:
+                k = heapq.heappop(later)[1]
+                heapq.heappush(ready, (-(-(done[k] + 1) * total // sources[k][1]), k))
+            _, k = heapq.heappop(ready)
+            picks.append((sources[k][0], sources[k][1], total, done[k], t))
+            done[k] += 1
+            if done[k] < sources[k][1]:
+                heapq.heappush(later, (done[k] * total // sources[k][1], k))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(zip(*picks, strict=True))], ["source", "share", "total", "nth", "slot"])
+
+
+def cycle(shares: DataFrame, most_slots: int = MOST_SLOTS, most_steps: int = MOST_STEPS) -> tuple[DataFrame, bool]:
+    """(source, share, total, nth, slot) for one cycle, from (source, share), and whether it may be broadcast: share rows for each source."""
+    shares = cut(shares.select("source", F.col("share").cast("bigint").alias("share")))
+    gcd = "aggregate(collect_set(share), 0L, (a, b) -> aggregate(sequence(1, 100), named_struct('a', a, 'b', b), (s, _) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> s.a))"
+    one = shares.agg(F.count("*").alias("n"), F.coalesce(F.sum("share"), F.lit(0)).alias("h"), F.expr(gcd).alias("g")).first()
+    n, g = one["n"], max(1, one["g"] or 1)
+    h = one["h"] // g
+    shares = shares.withColumn("share", F.expr(f"share div {g}L"))
+    if h > most_slots or h * n > most_steps:
+        return cut(shares.coalesce(1).mapInArrow(_simulated, "source string, share bigint, total bigint, nth bigint, slot bigint")), False
+    return _arrays(shares), True
 
 
-def cycle(shares: DataFrame) -> DataFrame:
-    """(source, share, total, nth, slot) for one cycle, from (source, share): share rows for each source."""
-    one = shares.agg(F.array_sort(F.collect_list(F.struct("source", F.col("share").cast("bigint").alias("share")))).alias("s"), F.sum("share").cast("bigint").alias("h"))
-    one = one.filter("h > 0").withColumn("h", F.when(F.col("h") <= MOST_SLOTS, F.col("h")).otherwise(F.raise_error(F.lit("the shares' sum exceeds MOST_SLOTS")).cast("bigint")))
+def _arrays(shares: DataFrame) -> DataFrame:
+    """The same by array functions."""
+    one = shares.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("s"), F.sum("share").alias("h")).filter("h > 0")
     pick = """
         aggregate(sequence(0L, h - 1),
             named_struct('done', transform(s, x -> 0L), 'picks', cast(array() as array<int>)),
@@ -38,20 +75,23 @@ def cycle(shares: DataFrame) -> DataFrame:
     """
     slots = one.select("s", "h", F.posexplode(F.expr(pick)).alias("slot", "k"))
     slots = slots.select(F.expr("s[k].source").alias("source"), F.expr("s[k].share").alias("share"), F.col("h").alias("total"), F.col("slot").cast("bigint").alias("slot"))
-    return slots.selectExpr("source", "share", "total", "slot", "row_number() over (partition by source order by slot) - 1L as nth")
+    return slots.selectExpr("source", "share", "total", "row_number() over (partition by source order by slot) - 1L as nth", "slot")
 
 
 def mix(docs: DataFrame, shares: dict[str, int] | None = None, *, default: int = 1, block_chars: int = 1 << 16, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per document: id, source, chars, block, release, deadline, slot. Sources that shares doesn't name get the default share."""
+    """One row per document: id, source, chars, block, release, deadline, slot. Sources that shares doesn't name get the default share. Shares must be positive: a source without one would have no slot."""
+    if min([default, *(shares or {}).values()]) < 1:
+        raise ValueError("every share must be 1 or more")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("key"), F.col(source_col).alias("source"), F.coalesce(F.length(text_col), F.lit(0)).cast("bigint").alias("chars"))
     share = F.lit(default)
     for name, a in (shares or {}).items():
         share = F.when(F.col("source") == name, F.lit(a)).otherwise(share)
-    plan = cycle(rows.select(F.col("key").alias("source")).distinct().withColumn("share", share)).withColumnRenamed("source", "key")
+    plan, small = cycle(rows.select(F.col("key").alias("source")).distinct().withColumn("share", share))
+    plan, sent = plan.withColumnRenamed("source", "key"), F.broadcast if small else lambda t: t
     placed = running_total(rows, ["key"], "id", "chars", "before", ["chars"]).withColumn("block", F.expr(f"before div {block_chars}L"))
     first = plan.select("key", "share", "total").distinct()
-    placed = placed.join(F.broadcast(first), "key").withColumn("nth", F.expr("block % share"))
-    placed = placed.join(F.broadcast(plan.select("key", "nth", "slot")), ["key", "nth"])
+    placed = placed.join(sent(first), "key").withColumn("nth", F.expr("block % share"))
+    placed = placed.join(sent(plan.select("key", "nth", "slot")), ["key", "nth"])
     return placed.selectExpr("id", "source", "chars", "block", "block * total div share as release", "((block + 1) * total + share - 1) div share as deadline", "block div share * total + slot as slot")
 
 

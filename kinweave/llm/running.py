@@ -1,27 +1,23 @@
-"""Running totals over an integer order that no task has to see whole."""
+"""Running totals over an order that no task has to see whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys of the order are dealt in ranges of 2**STEP, and these in ranges of 2**STEP ranges.
-STEP = 10
+from kinweave.llm.common import cut
 
 
 def running_total(df: DataFrame, by: list[str], order: str, value: str, out: str, ties: list[str] | None = None) -> DataFrame:
     """df with out: the sum of value over the rows before this one, among those of equal by, in the order of order (nulls first) and then ties. by must have no nulls.
 
-    Rows are summed within ranges of the order; a range's offset comes from the sums of the ranges before it, in two levels. So a key with most of the rows is dealt over as many
-    tasks as it has ranges, and only one row of each range takes part in what is gathered by key."""
-    at, far = F.coalesce(F.shiftright(order, STEP), F.lit(-1)), F.coalesce(F.shiftright(order, 2 * STEP), F.lit(-1))
-    rows = df.withColumn("__kw_near", at).withColumn("__kw_far", far)
-    near = rows.groupBy(*by, "__kw_far", "__kw_near").agg(F.sum(value).alias("__kw_sum"))
-    before = F.sum("__kw_sum").over(Window.partitionBy(*by, "__kw_far").orderBy("__kw_near")) - F.col("__kw_sum")
-    distant = near.groupBy(*by, "__kw_far").agg(F.sum("__kw_sum").alias("__kw_sum"))
-    earlier = F.sum("__kw_sum").over(Window.partitionBy(*by).orderBy("__kw_far")) - F.col("__kw_sum")
-    start = near.select(*by, "__kw_far", "__kw_near", before.alias("__kw_before")).join(distant.select(*by, "__kw_far", earlier.alias("__kw_earlier")), [*by, "__kw_far"])
-    start = start.select(*by, "__kw_near", (F.col("__kw_before") + F.col("__kw_earlier")).alias("__kw_start"))
-    within = Window.partitionBy(*by, "__kw_near").orderBy(F.col(order).asc_nulls_first(), *(ties or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn(out, F.sum(value).over(within) - F.col(value))
-    return rows.join(start, [*by, "__kw_near"]).withColumn(out, F.col(out) + F.col("__kw_start")).drop("__kw_near", "__kw_far", "__kw_start")
+    Rows are dealt by range of (by, order, ties, place in the input): ranges are even whatever the values are, since no two rows have one place. Each range is summed on its own, and what
+    lies before it comes from the ranges' sums, one row per range and key. Both tables are held in the shared folder, so ranges stay the same if an executor is lost."""
+    keys = [F.col(order).asc_nulls_first(), *(ties or []), "__kw_at"]
+    rows = cut(df.withColumn("__kw_at", F.monotonically_increasing_id()))
+    dealt = cut(rows.repartitionByRange(*by, *keys).withColumn("__kw_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "__kw_range").agg(F.sum(value).alias("__kw_sum"))
+    start = sums.select(*by, "__kw_range", (F.sum("__kw_sum").over(Window.partitionBy(*by).orderBy("__kw_range")) - F.col("__kw_sum")).alias("__kw_start"))
+    within = Window.partitionBy(*by, "__kw_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dealt.withColumn(out, F.sum(value).over(within) - F.col(value)).join(start, [*by, "__kw_range"])
+    return found.withColumn(out, F.col(out) + F.col("__kw_start")).drop("__kw_at", "__kw_range", "__kw_start")

@@ -12,14 +12,14 @@ Fingerprints that differ in few bits are linked. Distinct fingerprints are dealt
 Only a spanning set of the links found (each fingerprint to the smallest one of its connected set) leaves a task, so output is linear in its input. A key with very many different
 fingerprints is split by Gray order into blocks, every pair of blocks being a task of its own.
 
-Defined results: null and empty texts have fingerprint zero, linked like any other; equal fingerprints are one node; rows of one identifier are one document; rows without an identifier
-get a fingerprint and no component unless another row has the same fingerprint. Only the named id and text columns are read.
+Defined results: null and empty texts have fingerprint zero, linked like any other; equal fingerprints are one node; rows without an identifier are linked like any other and
+have the smallest identifier that a chain from them reaches (null if it reaches none). Only the named id and text columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -35,6 +35,8 @@ SEED = 42
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _HASH = xxhash.xxh64_intdigest
 _SLICE = 1 << 17
+#: Documents of near groups that are broadcast (identifier, group, block: some 40 bytes each); more are joined by a shuffle.
+MOST_MEMBERS = 300_000
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -125,6 +127,25 @@ def block_masks(limit: int, blocks: int = 0) -> list[list[int]]:
     return [[sum(c)] for c in combinations(parts, blocks - limit)]
 
 
+def blocks_for(nodes: int, limit: int, each: int = 64) -> int:
+    """The fewest blocks whose masks have so many bits that about `each` of the nodes share a key."""
+    blocks = limit + 1
+    while blocks < 16 and 64 * (blocks - limit) // blocks < math.log2(max(1, nodes / each)):
+        blocks += 1
+    return blocks
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which fingerprints of two equally large sets of this Jaccard similarity differ on the average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def masks_for(nodes: int, words: int, similarity: float, recall: float = 0.998, each: int = 64) -> list[list[int]]:
+    """Sampled masks with so many bits that about `each` of the nodes share a key by chance, and as many of them as are needed to meet pairs of that similarity with that chance."""
+    bits = max(8, math.ceil(math.log2(max(1, nodes / each))))
+    return sampled_masks(words, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** bits)), bits)
+
+
 def sampled_masks(words: int, tables: int, bits: int, seed: int = 11) -> list[list[int]]:
     """Masks of bits random bits each: fingerprints at a share p of differing bits agree under one of them with chance 1 - (1 - (1 - p)**bits)**tables."""
     rng, masks = np.random.Generator(np.random.PCG64(seed)), []
@@ -238,42 +259,8 @@ def _key(table: int, mask: list[int]) -> Column:
     return F.xxhash64(F.lit(table), *[F.col(f"f{w}").bitwiseAND(F.lit(m)) for w, m in enumerate(signed) if m])
 
 
-def apart(key: np.ndarray, f: np.ndarray, part: np.ndarray, limit: int, nearest: bool, room: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the rows in the index, and the pairs (positions there) within limit bits of one key whose parts differ: all of them, or of each row the one with the fewest bits."""
-    order = np.lexsort([*gray_rank(f).T[::-1], key])
-    key, f, part = key[order], f[order], part[order]
-    index = GrayIndex(f, key)
-    cost = np.cumsum(np.bincount(index.group_of)[index.group_of])
-    at, left, right = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    best = np.full(len(key), np.iinfo(np.int64).max)  # bits, then the other's position
-    while at < len(key):
-        stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + room, "right")))
-        a, b = index.links(np.arange(at, stop), limit)
-        keep = part[a] != part[b]
-        a, b = a[keep], b[keep]
-        if nearest:
-            bits = _pop(f[a] ^ f[b]).astype(np.int64) << 32
-            np.minimum.at(best, a, bits | b)
-            np.minimum.at(best, b, bits | a)
-        else:
-            left.append(a), right.append(b)
-        at = stop
-    if nearest:
-        a = np.flatnonzero(best != np.iinfo(np.int64).max)
-        return order, a, best[a] & 0xFFFFFFFF
-    return order, np.concatenate(left), np.concatenate(right)
-
-
-def _new(x: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Whether pairs that differ in the bits x and agree under the mask of their table agree under no earlier one: each pair is met once."""
-    new = np.ones(len(x), bool)
-    for t in range(int(table.max(initial=0))):
-        new &= (table <= t) | ((x & masks[t]) != 0).any(axis=1)
-    return new
-
-
-def _linker(limit: int, words: int, chunk: int = 1 << 17, masks: list[list[int]] | None = None, nearest: bool = False):
-    """Rows (key, id, f0, ...) that come sorted by key, to links (a, b) between ids: a spanning set, or with masks (and columns part and table) those of `apart`, each met once. Holds chunk rows and one key's."""
+def _linker(limit: int, words: int, chunk: int = 1 << 17):
+    """Rows (key, id, f0, ...) that come sorted by key, to links (a, b) between ids: a spanning set. Holds chunk rows and one key's."""
 
     def settle(table: pa.Table) -> pa.RecordBatch | None:
         key = table.column("key").to_numpy()
@@ -283,13 +270,7 @@ def _linker(limit: int, words: int, chunk: int = 1 << 17, masks: list[list[int]]
             return None
         ids = table.column("id").to_numpy()[rows]
         f = np.stack([table.column(f"f{w}").to_numpy()[rows] for w in range(words)], 1).view(np.uint64)
-        if masks is None:
-            order, a, b = spanning(key[rows], f, limit)
-        else:
-            order, a, b = apart(key[rows], f, table.column("part").to_numpy()[rows], limit, nearest)
-            if not nearest:
-                new = _new(f[order[a]] ^ f[order[b]], table.column("table").to_numpy()[rows][order[a]], np.array(masks, np.uint64))
-                a, b = a[new], b[new]
+        order, a, b = spanning(key[rows], f, limit)
         ids = ids[order]
         return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"]) if len(a) else None
 
@@ -313,20 +294,18 @@ def _linker(limit: int, words: int, chunk: int = 1 << 17, masks: list[list[int]]
     return run
 
 
-def links(nodes: DataFrame, limit: int, masks: list[list[int]], *, most: int = 1 << 16, share: int = 64, nearest: bool = False) -> DataFrame:
+def links(nodes: DataFrame, limit: int, masks: list[list[int]], *, most: int = 1 << 16, share: int = 64) -> DataFrame:
     """Links (a, b) between the ids of nodes (id, f0, ...), which have different fingerprints: together they connect all that is connected by pairs that differ in at most limit bits and agree
-    under a mask. Where nodes have a column part, all such pairs of different parts are returned instead, or of each row and key the nearest. Keys that a sample of 1 / share of the nodes shows to have more than most nodes are split by Gray order into blocks; the sample only decides how work is dealt out."""
+    under a mask. Keys that a sample of 1 / share of the nodes shows to have more than most nodes are split by Gray order into blocks; the sample only decides how work is dealt out."""
     words = len(masks[0])
     names = [f"f{w}" for w in range(words)]
-    parts = "part" in nodes.columns
-    cols = ["id", *names, *["part", "table"] * parts]
+    cols = ["id", *names]
 
     def keyed(rows: DataFrame) -> DataFrame:
-        keys = F.array(*[_key(i, m) for i, m in enumerate(masks)])
-        return rows.select(F.posexplode(keys).alias("table", "key"), *nodes.columns).select("key", *cols) if parts else rows.select(F.explode(keys).alias("key"), *cols)
+        return rows.select(F.explode(F.array(*[_key(i, m) for i, m in enumerate(masks)])).alias("key"), *cols)
 
     def run(rows: DataFrame) -> DataFrame:
-        return rows.sortWithinPartitions("key").mapInArrow(_linker(limit, words, masks=masks if parts else None, nearest=nearest), "a bigint, b bigint")
+        return rows.sortWithinPartitions("key").mapInArrow(_linker(limit, words), "a bigint, b bigint")
 
     hot = keyed(nodes.filter(F.pmod(F.xxhash64(*names), F.lit(share)) == 0)).groupBy("key").agg((F.count("*") * share).alias("n")).filter(F.col("n") > most)
     hot = cut(hot.select("key", F.ceil(F.col("n") / (most / 2)).cast("int").alias("parts")))
@@ -342,87 +321,126 @@ def links(nodes: DataFrame, limit: int, masks: list[list[int]], *, most: int = 1
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, limit: int = 3, masks: list[list[int]] | None = None) -> DataFrame:
-    """One row per row of docs: id, f0 (and f1, ...), component (smallest id that a chain of links reaches)."""
-    masks = masks or block_masks(limit)
-    words = len(masks[0])
+    """One row per row of docs: id, f0 (and f1, ...), component (smallest id that a chain of links reaches). Without masks the blocks follow the number of different fingerprints."""
+    words = len(masks[0]) if masks else 1
     names = [f"f{w}" for w in range(words)]
     table = cut(fingerprint_table(docs, id_col=id_col, text_col=text_col, size=size, words=words))
-    nodes = cut(table.filter("id IS NOT NULL").groupBy(*names).agg(F.min("id").alias("id")))
-    parts = components(links(nodes, limit, masks))
-    found = nodes.join(parts, nodes["id"] == parts["node"], "left").select(*names, F.coalesce("component", "id").alias("component"))
-    return table.join(found, names, "left").select("id", *names, "component")
+    nodes = cut(table.groupBy(*names).agg(F.min("id").alias("low")).withColumn("id", F.monotonically_increasing_id()))
+    parts = components(links(nodes, limit, masks or block_masks(limit, blocks_for(nodes.count(), limit))))
+    whole = nodes.join(parts, nodes["id"] == parts["node"], "left").select(*names, "low", F.coalesce("component", "id").alias("part"))
+    lowest = whole.groupBy("part").agg(F.min("low").alias("component"))
+    return table.join(whole.join(lowest, "part").select(*names, "component"), names, "left").select("id", *names, "component")
 
 
 def _set_table(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
-    """(id, f0, ..., digest) of each row with an identifier; fingerprint and digest are of the set of shingles, repeats left out."""
+    """(id, f0, ..., digest, n) of each row with an identifier: of the set of its shingles, repeats left out, fingerprint and digest, and how many there are."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests = np.zeros(batch.num_rows, np.uint64)
+        digests, n = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
 
         def sets():
             for i, text in enumerate(batch.column(1)):
                 h = np.unique(shingle_hashes(text.as_py(), size))
-                digests[i] = _HASH(h.tobytes())
+                digests[i], n[i] = _HASH(h.tobytes()), len(h)
                 yield h
 
         f = _summed(sets(), batch.num_rows, words).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f[:, k]) for k in range(words)], pa.array(digests.view(np.int64))], ["id", *[f"f{k}" for k in range(words)], "digest"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f[:, k]) for k in range(words)], pa.array(digests.view(np.int64)), pa.array(n)], ["id", *[f"f{k}" for k in range(words)], "digest", "n"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")).filter("id IS NOT NULL")
-    return map_batches(rows, "id bigint, " + ", ".join(f"f{k} bigint" for k in range(words)) + ", digest bigint", run)
+    return map_batches(rows, "id bigint, " + ", ".join(f"f{k} bigint" for k in range(words)) + ", digest bigint, n bigint", run)
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
-    """Whether the Jaccard similarity of two sets of hashes (sorted, without repeats) is at least least[0] / least[1]; that of two empty sets is 1."""
-    if min(len(a), len(b)) * least[1] < max(len(a), len(b)) * least[0]:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * least[1] >= (len(a) + len(b) - both) * least[0]
+def similar(sets: list[np.ndarray], key: np.ndarray, left: np.ndarray, right: np.ndarray, least: tuple[int, int], room: int = 1 << 21) -> np.ndarray:
+    """Labels of sets (sorted hashes without repeats): equal for those that a chain of pairs connects, each pair of one key, one of left and one of right (masks), and of a Jaccard similarity of
+    least[0] / least[1] or more, counted exactly. Sets come sorted by key. Common members are counted through lists of the sets that have a hash, about room entries at a time."""
+    label = np.arange(len(sets))
+    lens = np.fromiter(map(len, sets), np.int64, len(sets))
+    if not lens.sum():
+        return label
+    with np.errstate(over="ignore"):
+        salt = np.repeat(key.view(np.uint64) * _GOLDEN, lens)  # equal hashes of different keys are different
+    h, own = np.concatenate(sets) ^ salt, np.repeat(np.arange(len(sets)), lens)
+    listed = right[own]
+    order = np.argsort(h[listed], kind="stable")
+    holder = own[listed][order]
+    values, first, times = np.unique(h[listed][order], return_index=True, return_counts=True)
+    if not len(values):
+        return label
+    place = np.minimum(np.searchsorted(values, h), len(values) - 1)
+    n = np.where((values[place] == h) & left[own], times[place], 0)
+    cost = np.cumsum(np.bincount(own, n, len(sets)).astype(np.int64))
+    ends = np.cumsum(lens)
+    at = 0
+    while at < len(sets):
+        stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + room, "right")))
+        some = slice(int(ends[at] - lens[at]), int(ends[stop - 1]))
+        which, entry = _spread(first[place[some]], n[some])
+        a, b = own[some][which], holder[entry]
+        if len(a):
+            low, span = int(b.min()), int(b.max() - b.min()) + 1
+            code = (a - at) * span + (b - low)
+            if (stop - at) * span <= max(room, 4 * len(code)):
+                both = np.bincount(code, minlength=1)
+                pair = np.flatnonzero(both)
+                both = both[pair]
+            else:
+                pair, both = np.unique(code, return_counts=True)
+            a, b = at + pair // span, low + pair % span
+            near = (a != b) & (both * least[1] >= (lens[a] + lens[b] - both) * least[0])
+            label = _join(label, a[near], b[near])
+        at = stop
+    return label
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: tuple[int, int], *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, room: int = 1 << 24) -> DataFrame:
-    """Of the pairs (a, b) of identifiers those whose texts' sets of shingles have a Jaccard similarity of least[0] / least[1] or more, counted exactly. Up to room bytes of the pairs' texts are broadcast, more are joined by a shuffle."""
+def _verifier(size: int, least: tuple[int, int], chunk: int = 1 << 19):
+    """Rows (key, cross, side, id, text) that come sorted by key, to links (a, b) between ids: a spanning set of each key's verified pairs (of different sides, if cross). Holds about chunk shingles and one key's."""
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch | None:
+        key, cross, side, ids = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
+        label = similar([r[4] for r in rows], key.astype(np.int64), ~cross | ~side, ~cross | side, least)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[label[linked]], pa.int64()), pa.array(ids[linked], pa.int64())], ["a", "b"]) if len(linked) else None
 
     def run(batches):
-        sets = lru_cache(4096)(lambda text: np.unique(shingle_hashes(text, size)))
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
-            a, b, left, right = batch.columns
-            keep = pa.array([alike(sets(left[i].as_py()), sets(right[i].as_py()), least) for i in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+            for key, cross, side, i, text in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+                if n >= chunk and key != held[-1][0]:
+                    if (out := settle(held)) is not None:
+                        yield out
+                    held, n = [], 0
+                held.append((key, cross, side, i, np.unique(shingle_hashes(text.as_py(), size))))
+                n += len(held[-1][4])
+        if held and (out := settle(held)) is not None:
+            yield out
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(texts.join(needed, "id", "left_semi"))
-    if (texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0) <= room:
-        texts = F.broadcast(texts)
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
-
-
-def verified_groups(docs: DataFrame, *, masks: list[list[int]], limit: int, least: tuple[int, int], close: int, few: int, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, component) of each identifier: the smallest one that a chain of pairs reaches, each pair of a Jaccard similarity of least[0] / least[1] or more. Fingerprints within limit bits that agree
-    under a mask are the candidates, and every link is verified exactly. So that large groups of copies don't send all their pairs, rounds come first in which each document is held against the
-    nearest one of another part (within close bits, under few masks a round), what is verified becoming one part; in the end all candidates between different parts are verified."""
-    words = len(masks[0])
-    names = [f"f{w}" for w in range(words)]
-    table = cut(_set_table(docs, id_col, text_col, size, words))
-    nodes = cut(table.groupBy(*names, "digest").agg(F.min("id").alias("id")))
+    return run
 
-    def parted() -> DataFrame:
-        parts = components(sure)
-        return cut(nodes.join(parts, nodes["id"] == parts["node"], "left").select("id", *names, F.coalesce("component", "id").alias("part")))
 
-    def checked(bits: int, chosen: list[list[int]], nearest: bool) -> DataFrame:
-        pairs = links(parted(), bits, chosen, nearest=nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return cut(verified(cut(pairs), docs, least, id_col=id_col, text_col=text_col, size=size))
+def verified_groups(docs: DataFrame, *, least: tuple[int, int], words: int, limit: int, masks: list[list[int]] | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = 3, weight: int = 1 << 18) -> DataFrame:
+    """(id, component) of each identifier: the smallest one that a chain of pairs reaches, each pair of a Jaccard similarity of least[0] / least[1] or more, counted exactly.
 
+    Fingerprints (words of 64 bits) within limit bits that agree under a mask make wide groups, by a spanning set of their links: no pair leaves a task; without masks they follow the number of
+    different sets. Only documents of such groups are then read again and
+    sent to where they are compared. A group of more than weight shingles is dealt in blocks that meet two by two, so no task holds more than two blocks; a task returns a spanning set of its
+    verified links, so what a group returns grows with its documents and blocks. Rows without an identifier are not compared."""
+    names = [f"f{w}" for w in range(words)]
+    table = cut(_set_table(docs, id_col, text_col, size, words))
+    nodes = cut(table.groupBy(*names, "digest").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    wide = components(links(nodes.select("id", *names), limit, masks or masks_for(nodes.count(), words, least[0] / least[1])))
+    members = nodes.select("id", "n").join(wide, nodes["id"] == wide["node"]).groupBy("id", "component").agg(F.max("n").alias("n"))
+    blocks = members.groupBy("component").agg(F.ceil(F.sum(F.col("n") + 64) / weight).cast("int").alias("blocks"))
+    members = cut(members.join(blocks, "component").select(F.col("id").alias("__id"), "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("p")))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = texts.join(F.broadcast(members) if members.count() <= MOST_MEMBERS else members, texts["id"] == F.col("__id"))
+    low, high = F.least("p", "o"), F.greatest("p", "o")
+    dealt = texts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("component", low, high).alias("key"), (low != high).alias("cross"), (F.col("p") == high).alias("side"), "id", "text")
+    sure = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_verifier(size, least), "a bigint, b bigint")
     # equal sets are one node, and rows of one identifier are one document
-    sure = cut(nodes.withColumnRenamed("id", "b").join(table, [*names, "digest"]).filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
-    for k in range(rounds):
-        found = checked(close, masks[k * few : (k + 1) * few], True)
-        sure = sure.unionByName(found)
-        if found.isEmpty():
-            break
-    parts = components(sure.unionByName(checked(limit, masks, False)))
+    same = nodes.withColumnRenamed("id", "b").join(table, [*names, "digest"]).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    parts = components(same.unionByName(sure))
     ids = table.select("id").distinct()
     return ids.join(parts, ids["id"] == parts["node"], "left").select("id", F.coalesce("component", "id").alias("component"))

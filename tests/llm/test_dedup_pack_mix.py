@@ -43,13 +43,25 @@ def test_exact_against_brute_force(spark, keep, digest):
     assert stay == sorted(((b, "clash") for b in ({"min": min, "max": max}[keep]([i for i in ids if i is not None]) if any(i is not None for i in ids) else None for ids in _groups(ROWS).values())), key=key)
 
 
-def test_exact_empty_and_log(spark):
+def test_exact_empty_and_log(spark, monkeypatch):
     assert exact.judge(empty(spark)).count() == 0 and exact.survivors(empty(spark)).count() == 0
-    log = exact.DigestLog(spark, "min")
-    rows = lambda *x: spark.createDataFrame([(bytearray(d), i) for d, i in x], "digest binary, id bigint")
-    log.flush(rows((b"a", 5), (b"b", 3), (b"a", 5)))
-    log.flush(rows((b"a", 2), (b"c", 9)))
-    assert sorted((bytes(r["digest"]), r["id"], r["rows"]) for r in log.compact().collect()) == [(b"a", 2, 3), (b"b", 3, 1), (b"c", 9, 1)]
+    for bits in (exact.MOST_BITS, 0):  # with filters and, as with very many entries, without
+        monkeypatch.setattr(exact, "MOST_BITS", bits)
+        log = exact.DigestLog(spark, "min")
+        rows = lambda *x: spark.createDataFrame([(bytearray(d), i) for d, i in x], "digest binary, id bigint")
+        log.flush(rows((b"a", 5), (b"b", 3), (b"a", 5)))
+        log.flush(rows((b"a", 2), (b"c", 9), (b"d", None), (b"d", 7), (b"e", 1), (b"e", 1)))
+        assert sorted((bytes(r["digest"]), r["id"], r["rows"]) for r in log.compact().collect()) == [(b"a", 2, 3), (b"b", 3, 1), (b"c", 9, 1), (b"d", 7, 2), (b"e", 1, 2)]
+    few = log.suspects(1 << 16)
+    assert few.count() == 3  # a in two runs, d and e twice in one or in two
+
+
+def test_exact_keeps_one_row_of_each_group(spark, monkeypatch):
+    for bits in (exact.MOST_BITS, 0):
+        monkeypatch.setattr(exact, "MOST_BITS", bits)
+        for keep in ("min", "max"):
+            kept = exact.judge(awkward(spark), keep=keep).filter("kept").collect()
+            assert len(kept) == len(_groups(ROWS)) == exact.survivors(awkward(spark), keep=keep).count()
 
 
 # --- simhash
@@ -179,9 +191,13 @@ def test_running_total(spark):
         assert got[k, o] == sum(v for kk, oo, v in rows if kk == k and oo != o and (oo is None or (o is not None and oo < o)))
 
 
-@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 7, "b": 1, "c": 1, "d": 4}, {f"s{i}": 1 + i % 5 for i in range(23)}])
+@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 7, "b": 1, "c": 1, "d": 4}, {"a": 70000, "b": 30000}, {f"s{i}": 1 + i % 5 for i in range(23)}])
 def test_cycle_deviates_less_than_one_block(spark, shares):
-    rows = mixing.cycle(spark.createDataFrame(list(shares.items()), "source string, share int")).collect()
+    table = spark.createDataFrame(list(shares.items()), "source string, share int")
+    rows = mixing.cycle(table)[0].collect()
+    simulated, small = mixing.cycle(table, 0)
+    assert not small and sorted(map(tuple, simulated.collect())) == sorted(map(tuple, rows))
+    shares = {r["source"]: r["share"] for r in rows}
     h = sum(shares.values())
     assert sorted(r["slot"] for r in rows) == list(range(h))
     for s, a in shares.items():
