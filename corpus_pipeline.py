@@ -5,7 +5,7 @@ columns of documents.
 * exact_dedup: of equal texts (A-Z lower-cased) the row with the largest doc_id stays.
 * simhash_near_dedup: wide fingerprints of five-word shingles; of each group of documents that are linked by a Jaccard similarity of 0.8 or more the one with the smallest doc_id stays.
 * mix_sources: rows are written in the order of the mixing schedule.
-* pack: the rows' pieces in sequences of 4096 tokens; of equal lengths, documents earlier in the mix come in earlier sequences.
+* pack: the rows' pieces in sequences of 4096 tokens, which follow the order of the mix.
 """
 
 from __future__ import annotations
@@ -22,27 +22,23 @@ from kinweave.llm.common import cut, residue, scratch, table
 LEAST_COSINE = 0.03
 #: Documents are linked if the Jaccard similarity of their sets of five-word shingles is at least this (as a fraction, counted exactly).
 LEAST_JACCARD = (4, 5)
-#: Bits of 64 * WORDS in which the fingerprints of candidates may differ. Texts of Jaccard similarity 0.8 differ in 15 % of the bits on average (58, give or take 7): the limit is almost four times that spread above.
-NEAR_BITS, WORDS = 84, 6
-#: Two fingerprints that differ in 15 % of the bits agree under one of TABLES masks of SAMPLED bits with a chance of 99.99 %, in 19 % with 99.5 %.
-#: In a simulation of 4000 pairs each, 99.93 % of those at 0.80 were candidates, 99.98 % at 0.82, all at 0.85.
-TABLES, SAMPLED = 64, 12
-#: Large groups of copies are joined first, by nearest pairs within CLOSE_BITS under FEW_TABLES of the masks a round.
-CLOSE_BITS, FEW_TABLES = 64, 8
+#: Bits of 64 * WORDS in which the fingerprints of documents of a wide group may differ. Texts of Jaccard similarity 0.8 differ in 15 % of the bits on the average (39, give or take 6).
+NEAR_BITS, WORDS = 66, 4
+#: So many identifiers, with a number each, are broadcast (16 MB); more are joined by a shuffle.
+FEW_IDS = 1_000_000
 ORACLE_SQL = None
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids. Up to a million ids (8 MB) are broadcast, more are joined by a shuffle."""
+    """docs without the rows whose doc_id is in ids."""
     ids = cut(ids.select("doc_id"))
-    return docs.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, residue(F.col("doc_id"), 5) != 0)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    judged = langid.predict(whole, model, keep=["row"])
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("row.*")
+    judged = langid.predict(docs.select(F.struct(*docs.columns).alias("__kw_row"), "text"), model)
+    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("__kw_row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,16 +46,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masks = simhash.sampled_masks(WORDS, TABLES, SAMPLED)
-    found = simhash.verified_groups(docs, size=5, masks=masks, limit=NEAR_BITS, least=LEAST_JACCARD, close=CLOSE_BITS, few=FEW_TABLES)
+    found = simhash.verified_groups(docs, size=5, least=LEAST_JACCARD, words=WORDS, limit=NEAR_BITS)
     return without(docs, found.filter("id <> component").select(F.col("id").alias("doc_id")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = mixing.mix(docs, queries.SHARES, default=queries.SHARE, block_chars=queries.BLOCK_CHARS)
-    slots = placed.select(F.col("id").alias("doc_id"), F.col("slot").alias("__kw_slot")).dropDuplicates(["doc_id"])
-    slotted = docs.join(slots, docs["doc_id"].eqNullSafe(slots["doc_id"]), "left").drop(slots["doc_id"])
-    return slotted.repartitionByRange("__kw_slot", "doc_id").sortWithinPartitions("__kw_slot", "doc_id").select(*docs.columns)
+    slots = cut(placed.groupBy(F.col("id").alias("__kw_id")).agg(F.min("slot").alias("__kw_slot")))
+    slotted = docs.join(F.broadcast(slots) if slots.count() <= FEW_IDS else slots, F.col("doc_id").eqNullSafe(F.col("__kw_id")), "left").drop("__kw_id")
+    return slotted.repartitionByRange("__kw_slot", "doc_id", F.monotonically_increasing_id()).sortWithinPartitions("__kw_slot", "doc_id").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
