@@ -266,9 +266,10 @@ class Plan:
     def numbers(self, whole: int, strata: int = STRATA) -> list[tuple[int, int, int, int]]:
         """(pattern, first, end, sequence_id of the first) of the patterns' uses, stratum by stratum; pattern -1 are the sequences of one full window."""
         out, base = [], 0
+        upto = lambda q, m: -((strata - 2 * q * m) // (2 * strata))  # noqa: E731  uses whose middle lies before stratum q
         for q in range(strata):
             for i, m in [*enumerate(self.repeats), (-1, whole)]:
-                low, high = q * m // strata, (q + 1) * m // strata
+                low, high = upto(q, m), upto(q + 1, m)
                 if high > low:
                     out.append((i, low, high, base))
                     base += high - low

@@ -34,7 +34,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.spans(table(spark, sf_dir, "documents")).withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
+    return substring.spans(table(spark, sf_dir, "documents")).drop("row").withColumnsRenamed({"id": "doc_id", "first_id": "first_doc_id"})
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 A gear hash rolls over the UTF-8 bytes: each step doubles it and adds a random number of the byte, so in 16 bits it depends on the last 16 bytes. A chunk ends behind a byte where the hash is small (one in `every`)
 and was not in the 15 bytes before; stretches without such a place are cut at `longest`. Ends depend on the 16 bytes before them alone (but for the forced ones), so an insertion moves only
-the chunks around it. Chunks are deduplicated by digest: of each digest the document with the smallest identifier owns it. In every document, neighbouring chunks that other
-documents share are joined to spans, and spans of least bytes or more are repeats.
+the chunks around it. Chunks are deduplicated by digest: of each digest that two documents have, the first and the last holder are found (by identifier, those without one last).
 
-Digests have 64 bits: a chance hit concerns single chunks, a span has several. The smallest and largest identifier of each digest are found with partial sums before the shuffle, so
-a passage that is in a third of all documents sends one row from each task; the join back is split where it is uneven.
+A document's chunks that stand in the same place relative to one partner (the first holder; for that document itself the last one) and follow each other are a run. Whole chunks end short of a passage's ends, so each
+run is extended byte by byte against the partner's text, by up to REACHED bytes on either side, to ends of characters. What has least_words words (or, for writing without spaces, least_bytes bytes) is a span: its
+bytes stand in the partner's text as well. Digests have 64 bits, and a chance hit is one chunk, which is too short for a span.
 
-Defined results: null, empty and short texts have no span; rows without an identifier are left alone; rows of one identifier are one document (repeats within a document are no spans);
-texts of any length are read whole. Only the named columns are read.
+First and last holders are found with partial results before the shuffle, so a passage that is in a third of all documents sends one row from each task; the join back is split where it is uneven. Surroundings
+of a place are read once, however many runs need them.
+
+Defined results: null, empty and short texts have no span; rows that are equal in identifier and text are one document, other rows of one identifier, or without any, are documents of their own; repeats
+within a document are no spans; texts of any length are read whole. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,17 +20,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import map_batches, scratch
+from kinweave.llm.common import bounded, cut, map_batches, scratch
 
 REACH = 16
 EVERY = 24
 LONGEST = 256
-LEAST_BYTES = 160
+LEAST_WORDS, LEAST_BYTES = 50, 800
+#: Bytes by which a run is extended at most: some chunks.
+REACHED = 192
 _GEAR = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 16, 256, dtype=np.uint16)
 _DIGEST = xxhash.xxh3_64_intdigest
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -62,11 +69,20 @@ def chunk_ends(texts: list[bytes], every: int = EVERY, longest: int = LONGEST) -
     return ends, owner
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: equal for rows that are equal in identifier and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("binary"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
+
+
 def chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, longest: int = LONGEST, group: int = 1 << 22) -> DataFrame:
-    """(id, start, size, digest) of every chunk of rows that have an identifier."""
+    """(id, row, start, size, words, digest) of every chunk; words is the number of words that begin in it."""
 
     def run(batch: pa.RecordBatch):
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        ids, keys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         out, at = [], 0
         while at < len(texts):
             stop, size = at, 0
@@ -79,40 +95,124 @@ def chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", e
             begin = np.cumsum(lens) - lens
             start = np.maximum(np.concatenate(([0], ends[:-1])), begin[owner]) if len(ends) else ends
             data = b"".join(some)
+            space = _SPACE[np.frombuffer(data, np.uint8)]
+            first = ~space
+            first[1:] &= space[:-1]
+            begun = np.concatenate(([0], np.cumsum(first, dtype=np.int32)))
             digest = np.fromiter([_DIGEST(data[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], np.uint64, len(ends)).view(np.int64)
-            out.append(pa.RecordBatch.from_arrays([pa.array(ids[at:stop][owner]), pa.array(start - begin[owner]), pa.array((ends - start).astype(np.int32)), pa.array(digest)], ["id", "start", "size", "digest"]))
+            take = pa.array(owner + at)
+            out.append(pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(start - begin[owner]), pa.array((ends - start).astype(np.int32)), pa.array((begun[ends] - begun[start]).astype(np.int32)), pa.array(digest)], ["id", "row", "start", "size", "words", "digest"]))
             at = stop
         return pa.Table.from_batches(out)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text")).filter("id IS NOT NULL AND octet_length(text) > 0")
-    return map_batches(rows, "id bigint, start bigint, size int, digest bigint", run)
-
-
-def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_BYTES, every: int = EVERY, longest: int = LONGEST) -> DataFrame:
-    """One row per repeated span: id, start and size (bytes), chunks, first_id (smallest document that shares a chunk of it), repeated (false where this document is the first to have it)."""
-    at = scratch(docs.sparkSession, "chunks")
+    return map_batches(_rows(docs, id_col, text_col).filter("octet_length(text) > 0"), "id bigint, row bigint, start bigint, size int, words int, digest bigint", run)
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """Runs of chunks (run, id, row, start, end, words, chunks) that their partner has too: partner, moved (how much later it stands there), first_id and repeated."""
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
+    shared = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first.row <> last.row")
+    found = rows.join(shared, "digest").withColumn("own", F.col("row") == F.col("first.row"))
+    partner = F.when(F.col("own"), F.col("last")).otherwise(F.col("first"))
+    found = found.select("id", "row", "start", "size", "words", "own", F.col("first.id").alias("first_id"), partner["row"].alias("partner"), (partner["start"] - F.col("start")).alias("moved")).distinct()
+    order = Window.partitionBy("row", "id", "partner", "moved").orderBy("start")
+    new = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) < F.col("start"), F.lit(True))
+    runs = found.withColumn("nth", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("row", "id", "partner", "moved", "nth").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min("first_id").alias("first_id"), (~F.first("own")).alias("repeated"))
+    return runs.drop("nth").withColumn("run", F.monotonically_increasing_id())
+
+
+def _surroundings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, reached: int) -> DataFrame:
+    """(row, at, left, around) of each place (row, at, left): the bytes from reached before it to 3 after it, or the other way round."""
+    wanted = places.groupBy("row").agg(F.collect_set(F.struct("at", "left")).alias("wanted"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        take, at, left, around = [], [], [], []
+        for i, (text, wanted) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+            raw = text.as_py()
+            for w in wanted:
+                a = w["at"]
+                take.append(i), at.append(a), left.append(w["left"])
+                around.append(raw[max(0, a - reached) : a + 3] if w["left"] else raw[max(0, a - 3) : a + reached])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int64()), pa.array(left, pa.bool_()), pa.array(around, pa.binary())], ["row", "at", "left", "around"])
+
+    texts = _rows(docs, id_col, text_col).select("row", "text").join(wanted, "row")
+    return map_batches(texts, "row bigint, at bigint, left boolean, around binary", run)
+
+
+def extended(own: bytes, other: bytes, own_at: int, other_at: int, left: bool, reached: int) -> tuple[int, int]:
+    """By how many bytes (it may be a few less than none) a run grows at one end, and how many words begin in them. own and other are the surroundings of the end, which stands at own_at and other_at."""
+    if left:
+        x, y = min(own_at, reached), min(other_at, reached)  # where the end is in each
+        n = 0
+        while n < x and n < y and own[x - n - 1] == other[y - n - 1]:
+            n += 1
+        while n > -3 and x - n < len(own) and own[x - n] & 0xC0 == 0x80:
+            n -= 1
+        part = own[x - n : x] if n > 0 else b""
+        before = own[x - n - 1 : x - n]
+    else:
+        x, y = min(own_at, 3), min(other_at, 3)
+        n = 0
+        while x + n < len(own) and y + n < len(other) and own[x + n] == other[y + n]:
+            n += 1
+        while n > -3 and x + n < len(own) and own[x + n] & 0xC0 == 0x80:
+            n -= 1
+        part = own[x : x + n] if n > 0 else b""
+        before = own[x - 1 : x] if x else b""
+    space = [_SPACE[c] for c in before + part]
+    skip = len(before)
+    words = sum(not space[i] and (i == 0 or space[i - 1]) for i in range(skip, len(space))) if part else 0
+    return n, words
+
+
+def spans(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, least_bytes: int = LEAST_BYTES, every: int = EVERY, longest: int = LONGEST, reached: int = REACHED
+) -> DataFrame:
+    """One row per repeated span: id, row, start and size (bytes), words (that begin in it), chunks, first_id (the first document that has its chunks) and repeated (false in that document itself). Spans of one
+    document may overlap, if it shares one stretch with one partner and another stretch with another."""
+    spark = docs.sparkSession
+    bounded(spark)
+    at = scratch(spark, "chunks")
     chunks(docs, id_col=id_col, text_col=text_col, every=every, longest=longest).write.parquet(at)
-    rows = docs.sparkSession.read.parquet(at)
-    shared = rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id").drop("last_id")
-    found = rows.join(shared, "digest").select("id", "start", "size", "first_id", (F.col("id") > F.col("first_id")).alias("repeated"))
-    found = found.dropDuplicates(["id", "start", "size"])
-    order = Window.partitionBy("id").orderBy("start")
-    broken = F.coalesce((F.lag("start").over(order) + F.lag("size").over(order) != F.col("start")) | (F.lag("repeated").over(order) != F.col("repeated")), F.lit(True))
-    runs = found.withColumn("new", broken.cast("int")).withColumn("run", F.sum("new").over(order))
-    out = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.sum("size").alias("size"), F.count("*").alias("chunks"), F.min("first_id").alias("first_id"), F.first("repeated").alias("repeated"))
-    return out.filter(F.col("size") >= least).drop("run")
+    runs = cut(_runs(spark.read.parquet(at)))
+    ends = runs.select("run", "row", "partner", "moved", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("start").alias("at")), F.struct(F.lit(False).alias("left"), F.col("end").alias("at")))).alias("e")).select("run", "row", "partner", "moved", "e.left", "e.at")
+    ends = ends.withColumn("there", F.col("at") + F.col("moved"))
+    places = ends.select("row", "at", "left").unionByName(ends.select(F.col("partner").alias("row"), F.col("there").alias("at"), "left")).distinct()
+    around = cut(_surroundings(docs, places, id_col, text_col, reached).dropDuplicates(["row", "at", "left"]))
+    both = ends.join(around, ["row", "at", "left"]).withColumnRenamed("around", "own")
+    both = both.join(around.select(F.col("row").alias("partner"), F.col("at").alias("there"), "left", F.col("around").alias("other")), ["partner", "there", "left"])
+
+    @F.arrow_udf("struct<n int, words int>")
+    def grown(own: pa.Array, other: pa.Array, own_at: pa.Array, other_at: pa.Array, left: pa.Array) -> pa.Array:
+        found = [extended(*r, reached) for r in zip(*(c.to_pylist() for c in (own, other, own_at, other_at, left)), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int32()), pa.array([w for _, w in found], pa.int32())], ["n", "words"])
+
+    both = both.select("run", "left", grown("own", "other", "at", "there", "left").alias("g"))
+    grew = both.groupBy("run").agg(F.sum(F.when(F.col("left"), F.col("g.n"))).alias("before"), F.sum(F.when(~F.col("left"), F.col("g.n"))).alias("after"), F.sum("g.words").alias("more"))
+    whole = runs.join(grew, "run").select("id", "row", "partner", "moved", (F.col("start") - F.col("before")).alias("start"), (F.col("end") + F.col("after")).alias("end"), (F.col("words") + F.col("more")).alias("words"), "chunks", "first_id", "repeated")
+    # runs that one chunk of another partner had parted may now overlap: they are one stretch
+    order = Window.partitionBy("row", "id", "partner", "moved").orderBy("start")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = whole.withColumn("upto", upto).withColumn("nth", F.sum(F.coalesce((F.col("upto") < F.col("start")).cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # words of an overlap count in part: as many as its share of the later run's bytes
+    fresh = F.ceil(F.col("words") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("end") - F.greatest("start", F.coalesce("upto", "start"))) / F.greatest(F.col("end") - F.col("start"), F.lit(1)))))
+    joined = parted.withColumn("fresh", F.when(F.col("upto") >= F.col("start"), fresh).otherwise(F.col("words")))
+    joined = joined.groupBy("row", "id", "partner", "moved", "nth").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("size"), F.sum("fresh").cast("bigint").alias("words"), F.sum("chunks").alias("chunks"), F.min("first_id").alias("first_id"), F.first("repeated").alias("repeated"))
+    return joined.filter((F.col("words") >= least_words - 1) | (F.col("size") >= least_bytes)).select("id", "row", "start", "size", "words", "chunks", "first_id", "repeated")
 
 
 def remove(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated spans cut out of their texts (bytes that no longer make a character are left out). Only documents with such spans are joined."""
-    own = found.filter("repeated").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("__kw_spans"))
-    joined = docs.join(own.withColumnRenamed("id", "__kw_id"), F.col(id_col) == F.col("__kw_id"), "left").drop("__kw_id")
+    """docs with the repeated spans cut out of their texts; spans begin and end between characters. Only documents with such spans are joined."""
+    own = found.filter("repeated").groupBy(F.col("row").alias("__kw_row")).agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("__kw_spans"))
+    joined = docs.withColumn("__kw_key", row_key(id_col, text_col)).join(own, F.col("__kw_key") == F.col("__kw_row"), "left").drop("__kw_row", "__kw_key")
     raw = F.col(text_col).cast("binary")
+    part = lambda a, n: F.substring(raw, a.cast("int"), n.cast("int"))
     kept = F.aggregate(
         F.col("__kw_spans"),
         F.struct(F.lit(1).cast("bigint").alias("at"), F.unhex(F.lit("")).alias("out")),
-        lambda acc, s: F.struct((s["start"] + s["size"] + 1).alias("at"), F.concat(acc["out"], F.substring(raw, acc["at"].cast("int"), (s["start"] + 1 - acc["at"]).cast("int"))).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"].cast("int"), F.lit(2147483647))),
+        lambda acc, s: F.struct(F.greatest(acc["at"], s["start"] + s["size"] + 1).alias("at"), F.concat(acc["out"], part(acc["at"], F.greatest(F.lit(0), s["start"] + 1 - acc["at"]))).alias("out")),
+        lambda acc: F.concat(acc["out"], part(acc["at"], F.lit(2147483647))),
     )
-    text = F.when(F.col("__kw_spans").isNull(), F.col(text_col)).otherwise(F.regexp_replace(F.decode(kept, "UTF-8"), "�", ""))
+    text = F.when(F.col("__kw_spans").isNull(), F.col(text_col)).otherwise(kept.cast("string"))
     return joined.withColumn(text_col, text).select(*docs.columns)

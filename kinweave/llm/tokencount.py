@@ -4,7 +4,7 @@ The text's spaces become U+2581, one is put in front, and the text is split befo
 keeps for each end the best score and its number of pieces. Tie rules are those of the tokenizers library's Unigram model: of equal scores the earliest start wins, a character that is no piece itself costs
 the lowest score less 10 and becomes one token for each of its bytes (byte fallback).
 
-Parts recur, so their results are remembered by worker, up to a bound. Defined results: null and empty texts have no token and score 0; repeated rows have equal counts; texts are read whole,
+Parts recur, so their results are remembered by worker, up to a bound in bytes. Malformed UTF-8 is read with U+FFFD in its place. Defined results: null and empty texts have no token and score 0; repeated rows have equal counts; texts are read whole,
 however long. Only the named columns are read.
 """
 
@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import map_batches
+from kinweave.llm.common import decoded, map_batches
 
 SPACE = "▁"
 _PENALTY = 10.0
-_CACHE = 400_000
+_CACHE_BYTES = 64 << 20
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -40,6 +40,7 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), float(score)))
         self.automaton.make_automaton()
         self.unknown_score = min(s for _, s in pieces) - _PENALTY
+        self.held = 0
         self.counts: dict[str, int] = {}
         self.scores: dict[str, float] = {}
 
@@ -101,12 +102,14 @@ class Counter:
         try:
             return sum([counts[p] for p in parts]), sum([scores[p] for p in parts])
         except KeyError:
-            if len(counts) > _CACHE:
+            if self.held > _CACHE_BYTES:
                 counts.clear()
                 scores.clear()
+                self.held = 0
             for p in parts:
                 if p not in counts:
                     counts[p], scores[p] = self.part(SPACE + p)
+                    self.held += 2 * len(p) + 250
             return sum([counts[p] for p in parts]), sum([scores[p] for p in parts])
 
 
@@ -115,12 +118,12 @@ _counters: dict[str, Counter] = {}
 
 def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str]) -> DataFrame:
     """The columns keep, n_tokens and score of each row, by the vocabulary in the sentencepiece file at path; one narrow pass."""
-    kept = docs.select(*keep, F.col(text_col).cast("string").alias("__kw_text"))
+    kept = docs.select(*keep, F.col(text_col).cast("binary").alias("__kw_text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if path not in _counters:
             _counters[path] = Counter(vocabulary(path))
-        found = [_counters[path].text(t) for t in batch.column(len(keep)).to_pylist()]
+        found = [_counters[path].text(t) for t in decoded(batch.column(len(keep)))]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], [*keep, "n_tokens", "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_tokens bigint", "score double"])

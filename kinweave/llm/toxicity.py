@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import map_batches, unit_hash
+from kinweave.llm.common import cut, map_batches
 
 CARRIER = bytes([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21]) * 2
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -105,13 +105,21 @@ def _fill(ranked: list[bytes], size: int) -> bytes:
     return out
 
 
-def _neighbourhoods(texts: list[bytes]) -> Counter:
-    """Of each word the number of different pairs of neighbours."""
-    seen: set[tuple[bytes, bytes, bytes]] = set()
+def _triples(text: bytes) -> Counter:
+    """How often each word occurs between each pair of neighbours."""
+    w = words(text)
+    return Counter(zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True))
+
+
+def _counted(texts: list[bytes]) -> tuple[Counter, Counter]:
+    """Of each word the number of different pairs of neighbours, and of its occurrences."""
+    seen: Counter = Counter()
     for t in texts:
-        w = words(t)
-        seen.update(zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True))
-    return Counter(w for _, w, _ in seen)
+        seen.update(_triples(t))
+    near, often = Counter(w for _, w, _ in seen), Counter()
+    for (_, w, _), n in seen.items():
+        often[w] += n
+    return near, often
 
 
 def _starts(counts: Counter, shortest: int = 5, longest: int = 12) -> Counter:
@@ -127,9 +135,9 @@ def _starts(counts: Counter, shortest: int = 5, longest: int = 12) -> Counter:
     return out
 
 
-def dictionaries(ordinary: list[bytes], toxic: list[bytes], *, ordinary_size: int = 16384, toxic_size: int = 4096, ratio: float = 50.0, least: int = 5) -> tuple[bytes, bytes]:
-    """Contents of the two dictionaries: toxic words, and beginnings that several of them share, occur between at least `least` pairs of neighbours and are `ratio` times likelier in toxic texts."""
-    o, t = _neighbourhoods(ordinary), _neighbourhoods(toxic)
+def dictionaries(o: Counter, t: Counter, common: Counter, *, ordinary_size: int = 16384, toxic_size: int = 4096, ratio: float = 50.0, least: int = 5) -> tuple[bytes, bytes]:
+    """Contents of the two dictionaries, from the pairs of neighbours of each word in ordinary (o) and toxic texts (t) and the words' occurrences in ordinary ones: toxic words, and beginnings that
+    several of them share, occur between at least `least` pairs of neighbours and are `ratio` times likelier in toxic texts."""
     n_o, n_t = max(1, o.total()), max(1, t.total())
     starts_o, starts_t = _starts(o), _starts(t)
     extended: dict[bytes, int] = {}  # of each beginning, the most that one character more has
@@ -140,7 +148,6 @@ def dictionaries(ordinary: list[bytes], toxic: list[bytes], *, ordinary_size: in
     seen = {w: (c, o[w]) for w, c in t.items()} | {w: (c, starts_o[w]) for w, c in stems.items()}
     chosen = [w for w, (c, d) in seen.items() if c >= least and (c / n_t) / ((d + 0.5) / n_o) >= ratio]
     chosen.sort(key=lambda w: (-seen[w][0], w))
-    common = Counter(w for x in ordinary for w in words(x))
     return _fill(sorted(common, key=lambda w: (-common[w], w)), ordinary_size), _fill(chosen, toxic_size)
 
 
@@ -159,24 +166,26 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def fit(texts: list[bytes], toxic: list[int], calibrate: list[bool], **sizes) -> Model:
-    """Dictionaries from the rows that aren't for calibration, weights and threshold from those that are."""
-    y, held = np.array(toxic), np.array(calibrate, bool)
-    parts = [[t for t, l, h in zip(texts, y, held, strict=True) if l == k and not h] for k in (0, 1)]
-    ordinary, bad = dictionaries(*parts, **sizes)
-    model = Model(ordinary, bad)
-    if not bad or not (y[held] == 1).any() or not (y[held] == 0).any():
+def calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
+    """model with the weights and the threshold that serve best on texts of features x and labels y, which its dictionaries have not seen."""
+    if not model.toxic or not (y == 1).any() or not (y == 0).any():
         return model
-    x = features([t for t, h in zip(texts, held, strict=True) if h], model)
-    beta = _logistic(x, y[held])
-    p = np.sort(_probability(x, beta))
-    levels = np.unique(np.concatenate((p[:-1] + np.diff(p) / 2, [0.5])))
+    beta = _logistic(x, y)
     own = _probability(x, beta)
-    hits = [(own >= v) for v in levels]
-    truth = y[held] == 1
-    f1 = np.array([2 * (h & truth).sum() / max(1, h.sum() + truth.sum()) for h in hits])
+    p = np.sort(own)
+    levels = np.unique(np.concatenate((p[:-1] + np.diff(p) / 2, [0.5])))
+    truth = y == 1
+    f1 = np.array([2 * ((own >= v) & truth).sum() / max(1, (own >= v).sum() + truth.sum()) for v in levels])
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    return Model(ordinary, bad, tuple(beta.tolist()), float(levels[best[len(best) // 2]]))
+    return Model(model.ordinary, model.toxic, tuple(beta.tolist()), float(levels[best[len(best) // 2]]))
+
+
+def fit(texts: list[bytes], toxic: list[int], calibrate: list[bool], **sizes) -> Model:
+    """Dictionaries from the rows that aren't for calibration, weights and threshold from those that are."""
+    y, held = np.array(toxic), np.array(calibrate, bool)
+    (o, common), (t, _) = (_counted([x for x, l, h in zip(texts, y, held, strict=True) if l == k and not h]) for k in (0, 1))
+    model = Model(*dictionaries(o, t, common, **sizes))
+    return calibrated(model, features([x for x, h in zip(texts, held, strict=True) if h], model), y[held])
 
 
 def _probability(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -191,19 +200,38 @@ def scores(texts: list[bytes | None], model: Model) -> np.ndarray:
     return np.where(p < t, PREDICT_AT * p / t, PREDICT_AT + (1 - PREDICT_AT) * (p - t) / max(1e-12, 1 - t))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500, text_bytes: int = 1 << 15, **sizes) -> Model:
-    """Fit on about per_class labelled documents of each class (those of the smallest hashes of the id) for which learn, a condition on the labels' id, holds; of each the first text_bytes
-    characters. So at most about 2 * per_class * text_bytes characters come to the driver. A third of them are for calibration."""
-    marked = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts.get(0) or not counts.get(1):
-        return Model(b"", b"")
-    share = F.when(F.col("y") == 1, F.lit(per_class / counts[1])).otherwise(F.lit(per_class / counts[0]))
-    chosen = marked.filter(F.col("y").isin(0, 1) & (unit_hash(F.col("id")) < share))
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, text_bytes).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").filter("text IS NOT NULL").select("id", "text", "y", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(3)) == 0).alias("held")).collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"].encode() for r in rows], [r["y"] for r in rows], [r["held"] for r in rows], **sizes)
+def train(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500, **sizes) -> Model:
+    """Fit on at most per_class different labelled texts of each class (those of the smallest hashes) for which learn, a condition on the labels' id, holds; a third of them are for calibration. Texts are
+    read whole, in the tasks: what comes to the driver are counts of the sample's words and the features of its calibration texts."""
+    marked = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).filter("y IN (0, 1)")
+    text = F.col(text_col).cast("binary")
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col, text, F.lit(77)).alias("key"), text.alias("text"))
+    keys = rows.join(marked, "id").groupBy("key").agg(F.max("y").alias("y"))
+    chosen = cut(keys.filter("y = 0").orderBy("key").limit(per_class).unionByName(keys.filter("y = 1").orderBy("key").limit(per_class)))
+    held = (F.pmod(F.xxhash64("key", F.lit(5)), F.lit(3)) == 0).alias("held")
+    sample = cut(rows.join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.first("text").alias("text")).select("y", held, "text"))
+
+    def count(batch: pa.RecordBatch) -> pa.Table:
+        seen: list[Counter] = [Counter(), Counter()]
+        for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen[y].update(_triples(t))
+        flat = [(y, w, b" ".join(k), n) for y in (0, 1) for k, n in seen[y].items() for w in (k[1],)]
+        return pa.table({"y": pa.array([r[0] for r in flat], pa.int32()), "word": pa.array([r[1] for r in flat], pa.binary()), "triple": pa.array([r[2] for r in flat], pa.binary()), "n": pa.array([r[3] for r in flat], pa.int64())})
+
+    triples = map_batches(sample.filter("NOT held").select("y", "text"), "y int, word binary, triple binary, n bigint", count)
+    counts = triples.groupBy("y", "word", "triple").agg(F.sum("n").alias("n")).groupBy("y", "word").agg(F.count("*").alias("near"), F.sum("n").alias("n")).toArrow()
+    y, found, near, often = (counts.column(c).to_pylist() for c in ("y", "word", "near", "n"))
+    pick = lambda k, v: Counter({w: n for w, n, l in zip(found, v, y, strict=True) if l == k})
+    model = Model(*dictionaries(pick(0, near), pick(1, near), pick(0, often), **sizes))
+    if not model.toxic:
+        return model
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = features(batch.column(1).to_pylist(), model)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(3))], ["y", "a", "b", "c"])
+
+    seen = map_batches(sample.filter("held").select("y", "text"), "y int, a double, b double, c double", measure).orderBy("y", "a", "b", "c").toArrow()
+    return calibrated(model, np.stack([seen.column(c).to_numpy() for c in "abc"], 1), seen.column("y").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str]) -> DataFrame:

@@ -148,6 +148,81 @@ def test_simhash_awkward(spark, tmp_path):
     assert queries.op6_simhash_near_dedup(spark, table(tmp_path, spark, documents=empty(spark))).count() == 0
 
 
+def test_simhash_links_rows_without_identifier(spark):
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in rng.integers(0, 1 << 30, 400)]
+    rows = [(5, " ".join(words))] + [(None, " ".join(words[:-k] + [f"x{k}"] * k)) for k in (1, 2)] + [(None, "alone"), (None, "alone")]
+    rows += [(i, " ".join(f"w{k}" for k in rng.integers(0, 1 << 30, 30))) for i in range(20, 60)]
+    # chains through rows without identifier: the only bridge between two documents has none
+    a, b = words[:200], [*words[:197], "p", "q", "r"]
+    bits = lambda t: int(_fingerprint(" ".join(t)), 16) if isinstance(_fingerprint(" ".join(t)), str) else int(_fingerprint(" ".join(t)))
+    rows += [(9, " ".join(a)), (None, " ".join(b))]
+    prints = [bits((t or "").split()) for _, t in rows]
+    left, want = list(range(len(rows))), list(range(len(rows)))
+    for i in left:
+        for j in left:
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    lowest = {w: min((rows[i][0] for i in left if want[i] == w and rows[i][0] is not None), default=None) for w in set(want)}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r["id"], r["component"]) for r in simhash.groups(docs).collect()), key=str)
+    assert got == sorted(((rows[i][0], lowest[want[i]]) for i in left), key=str)
+    assert lowest[want[1]] == 5 and lowest[want[-3 - 40]] is None
+
+
+def test_masks_follow_the_number_of_nodes():
+    assert simhash.blocks_for(10**6, 3) == 4 and simhash.blocks_for(10**8, 3) == 5 and simhash.blocks_for(10**11, 3) == 6
+    for n in (10, 10**5, 10**7):
+        masks = simhash.masks_for(n, 4, 0.8)
+        bits = sum(m.bit_count() for m in masks[0])
+        assert n / 2**bits <= 64 and 1 - (1 - (1 - simhash.differing(0.8)) ** bits) ** len(masks) >= 0.998
+
+
+@pytest.mark.parametrize("room", [50, 1 << 21])
+def test_similar_against_brute_force(room):
+    rng = np.random.default_rng(22)
+    sets, key = [], np.sort(rng.integers(0, 6, 150))
+    pools = [rng.integers(0, 1 << 63, 40).astype(np.uint64) for _ in range(4)]
+    for _ in key:
+        pool = pools[int(rng.integers(4))]
+        sets.append(np.unique(np.concatenate((rng.choice(pool, int(rng.integers(0, 38)), replace=False), pool[:3] if rng.random() < 0.1 else pool[:0]))))
+    sets[5] = sets[6] = np.zeros(0, np.uint64)
+    for side in (np.ones(150, bool), rng.random(150) < 0.5):
+        other = np.ones(150, bool) if side.all() else ~side
+        label = list(range(150))
+        for i in range(150):
+            for j in range(150):
+                if i != j and key[i] == key[j] and side[i] and other[j] and len(sets[i]) + len(sets[j]):
+                    both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+                    if both * 5 >= (len(sets[i]) + len(sets[j]) - both) * 4 and label[i] != label[j]:
+                        old, new = max(label[i], label[j]), min(label[i], label[j])
+                        label = [new if x == old else x for x in label]
+        assert simhash.similar(sets, key, side, other, (4, 5), room).tolist() == label
+
+
+@pytest.mark.parametrize("weight", [1 << 18, 900])
+def test_verified_groups_in_blocks(spark, weight):
+    rng = np.random.default_rng(23)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 80)]
+    rows = []
+    for i in range(90):  # copies with one to nine words changed: some are near, some are only near in a chain or not at all
+        t = base.copy()
+        for k in rng.choice(80, 1 + i % 9, replace=False):
+            t[k] = f"x{rng.integers(1 << 40)}"
+        rows.append((1000 - i, " ".join(t)))
+    rows += [(2000 + i, t) for i, (_, t) in enumerate(rows[:5])] + [(7, ""), (8, None), (3000, " ".join(base[:40]))]
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
+    label = {i: i for i in sets}
+    for i, j in itertools.combinations(sets, 2):
+        if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and label[i] != label[j]:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = {k: new if v == old else v for k, v in label.items()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.verified_groups(docs, size=5, least=(4, 5), words=4, limit=66, weight=weight)
+    assert {r["id"]: r["component"] for r in found.collect()} == label
+
+
 def test_wide_fingerprints_estimate_similarity():
     rng = np.random.default_rng(4)
     words = [str(i) for i in range(5000)]
@@ -191,6 +266,19 @@ def test_running_total(spark):
         assert got[k, o] == sum(v for kk, oo, v in rows if kk == k and oo != o and (oo is None or (o is not None and oo < o)))
 
 
+@pytest.mark.parametrize("ids", ["hashed", "null", "equal"])
+def test_running_total_deals_evenly(spark, ids):
+    """No range holds much more than its share, whatever the identifiers are."""
+    i = {"hashed": F.xxhash64("id"), "null": F.lit(None).cast("bigint"), "equal": F.lit(7).cast("bigint")}[ids]
+    rows = spark.range(20000, numPartitions=4).select(F.lit("s").alias("k"), i.alias("o"), F.lit(1).cast("bigint").alias("v"))
+    got = running_total(rows, ["k"], "o", "v", "t")
+    assert [r["t"] for r in got.select("t").orderBy("t").collect()] == list(range(20000))
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" in plan
+    dealt = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(8, "k", "o", "at").groupBy(F.spark_partition_id()).count()
+    assert dealt.agg(F.max("count")).first()[0] <= 2 * 20000 / 8
+
+
 @pytest.mark.parametrize("shares", [{"a": 1}, {"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 7, "b": 1, "c": 1, "d": 4}, {"a": 70000, "b": 30000}, {f"s{i}": 1 + i % 5 for i in range(23)}])
 def test_cycle_deviates_less_than_one_block(spark, shares):
     table = spark.createDataFrame(list(shares.items()), "source string, share int")
@@ -258,6 +346,17 @@ def test_pack_awkward(spark, tmp_path):
     assert queries.op8_pack_sequences(spark, table(tmp_path, spark, documents=empty(spark))).count() == 0
 
 
+def test_sequences_follow_the_order(spark):
+    """Any prefix of the sequences holds about the first documents of the order, so it keeps a mix."""
+    rng = np.random.default_rng(31)
+    rows = [(i, " ".join(["word"] * int(16 * rng.integers(1, 9) ** 2 if i % 7 else rng.integers(4000, 9000)))) for i in range(4000)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), public_tokenizers.path(queries.PACK_TOKENIZER)).toPandas()
+    sequences = found.sequence_id.max() + 1
+    assert sorted(found.sequence_id.unique()) == list(range(sequences)) and found.length.sum() >= 0.95 * sequences * 4096
+    gap = (found.id / 4000 - found.sequence_id / sequences).abs()
+    assert gap.mean() < 0.1 and gap.quantile(0.9) < 0.25  # 0.33 on the average without any order; bins of a few documents have coarse ranks
+
+
 @pytest.mark.parametrize("text", ["", "Ab,c  d\x1ce\x85f\u00a0g\u2003h", "it's  <|endoftext|> x<|startoftext|>", "e\u0301 \u0301x İstanbul ΣΑΣ ΟΔΟΣ.", "日本語 12 345³", "a\x0bb\x0cc\rd", "\ufeff a"])
 def test_chunk_tokenizer_is_exact(text):
     path = public_tokenizers.path(queries.PACK_TOKENIZER)

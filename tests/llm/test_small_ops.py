@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -167,12 +168,65 @@ def test_substring_passages(spark):
     assert sum(cut[i] == t for i, t in rows) == len(rows) - len({r["id"] for r in found if r["repeated"]})
 
 
+def _longest_shared(a, b):
+    """Maximal common stretches of two byte strings, by brute force: (start in a, size) of those no longer one contains."""
+    row, found = [0] * (len(b) + 1), []
+    for i in range(1, len(a) + 1):
+        last, row = row, [0] * (len(b) + 1)
+        for j in range(1, len(b) + 1):
+            if a[i - 1] == b[j - 1]:
+                row[j] = last[j - 1] + 1
+                if i == len(a) or j == len(b) or a[i] != b[j]:
+                    found.append((i - row[j], row[j]))
+    return found
+
+
+@pytest.mark.parametrize("accents", [False, True])
+def test_substring_spans_are_the_whole_passages(spark, accents):
+    rng = np.random.default_rng(11)
+    letters = list("aéüñ€𝄞bcdefgh" if accents else "abcdefghijklmnop")
+    words = ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(0, text(200))]
+    for i in range(1, 13):  # passages of 51 words are spans, of 44 none
+        passage = text(51 if i % 2 else 44)
+        rows += [(2 * i, f"{text(9)} {passage} {text(12)}"), (2 * i + 1, f"{text(15)} {passage} {text(7)}")]
+    found = substring.spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    texts = {i: t.encode() for i, t in rows}
+    assert {r["id"] for r in found} == {k for i in range(1, 13, 2) for k in (2 * i, 2 * i + 1)}
+    for r in found:
+        a, b = texts[r["id"]], texts[r["id"] ^ 1]
+        start, size = max(_longest_shared(a, b), key=lambda s: s[1])
+        while accents and a[start] & 0xC0 == 0x80:
+            start, size = start + 1, size - 1
+        while accents and start + size < len(a) and a[start + size] & 0xC0 == 0x80:
+            size -= 1
+        assert (r["start"], r["size"], r["first_id"], r["repeated"]) == (start, size, r["id"] & ~1, r["id"] & 1 == 1)
+
+
+def test_substring_remove_keeps_characters(spark):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("aéü�€bcdef"), rng.integers(2, 9))) for _ in range(900)]
+    passage = " ".join(rng.choice(words, 70))
+    rows = [(1, "über " + passage + " ende �"), (2, "für " + passage + "ä �x"), (None, "nur " + passage), (2, "dort " + passage + "."), (3, "andere Wörter �"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = sorted(((str(r["doc_id"]), r["text"]) for r in substring.remove(docs, substring.spans(docs)).collect()), key=str)
+    # the r and the space before the passage are shared with the first document too
+    assert left == sorted([("1", rows[0][1]), ("2", "füä �x"), ("None", "nu"), ("2", "dort."), ("3", "andere Wörter �"), ("4", None)], key=str)
+
+
+def test_substring_repeated_identifiers(spark):
+    text = lambda k: " ".join(f"{k}w{i * i}" for i in range(400))
+    rows = substring.spans(spark.createDataFrame([(1, "one"), (2, text("a")), (2, text("b")), (3, text("b")), (3, text("a"))], "doc_id bigint, text string")).collect()
+    assert sorted((r["id"], r["size"]) for r in rows) == sorted([(2, len(text("a"))), (2, len(text("b"))), (3, len(text("a"))), (3, len(text("b")))])
+
+
 def test_substring_awkward(spark, tmp_path):
     found = substring.spans(awkward(spark)).collect()
     assert not found
     long = " ".join(f"{i * i} words" for i in range(9000))
     rows = substring.spans(spark.createDataFrame([(1, long), (2, "é" + long), (2, long), (None, long)], "doc_id bigint, text string")).collect()
-    assert {r["id"] for r in rows} == {1, 2} and all(r["first_id"] == 1 for r in rows)
+    assert {r["id"] for r in rows} == {1, 2, None} and all(r["first_id"] == 1 for r in rows) and all(r["size"] >= len(long) - 1 for r in rows)
     assert queries.op4_substring_dedup(spark, table(tmp_path, spark, documents=empty(spark))).count() == 0
     assert substring.remove(awkward(spark), substring.spans(awkward(spark))).count() == len(ROWS)
 
@@ -232,6 +286,61 @@ def test_media_round_trip_and_general_decoder():
         media.decode_frame(b"\xff\xd8\xff\xd9")
 
 
+def _encoded(spark, rgb, gray):
+    """A baseline JPEG by another encoder, and its luminance as that library decodes it."""
+    jvm = spark._jvm
+    h, w, _ = rgb.shape
+    kind = jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY if gray else jvm.java.awt.image.BufferedImage.TYPE_INT_RGB
+    image = jvm.java.awt.image.BufferedImage(w, h, kind)
+    for y in range(h):
+        for x in range(w):
+            r, g, b = map(int, rgb[y, x])
+            image.setRGB(x, y, r << 16 | g << 8 | b)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    raw = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(raw)))
+    if gray:
+        return raw, np.array([[back.getRaster().getSample(x, y, 0) for x in range(w)] for y in range(h)])
+    p = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(w)] for y in range(h)])
+    return raw, 0.299 * (p >> 16) + 0.587 * (p >> 8 & 255) + 0.114 * (p & 255)
+
+
+@pytest.mark.parametrize("gray", [True, False])
+def test_media_decodes_baseline_frames(spark, gray):
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[0:27, 0:37]
+    rgb = np.stack([x * 5 + rng.integers(0, 20, x.shape), y * 8 + rng.integers(0, 20, x.shape), 40 + (x + y) * 2], 2).clip(0, 255).astype(np.uint8)
+    jpeg, want = _encoded(spark, rgb, gray)
+    got = media.decode_frame(jpeg).astype(float)
+    assert got.shape == want.shape and np.abs(got - want).max() <= (1 if gray else 4)
+    # without its Huffman tables, as motion JPEG often is: they are the standard's
+    at = jpeg.index(b"\xff\xc4")
+    bare = jpeg[:at] + jpeg[jpeg.index(b"\xff\xda") if jpeg.index(b"\xff\xc0") < at else jpeg.index(b"\xff\xc0") :]
+    if len(bare) < len(jpeg):
+        assert np.array_equal(media.decode_frame(bare).astype(float), got)
+    for broken in (jpeg[:-30], jpeg[: at + 9], b"\xff\xd8"):
+        with pytest.raises(ValueError):
+            media.decode_frame(broken)
+
+
+def test_media_of_other_makers(spark):
+    dark, _ = _encoded(spark, np.full((16, 24, 3), 20, np.uint8), True)
+    light, _ = _encoded(spark, np.full((16, 24, 3), 220, np.uint8), True)
+    chunk = media._chunk
+    strh = lambda kind, scale, rate: chunk(b"LIST", b"strl" + chunk(b"strh", kind + b"MJPG" + struct.pack("<IHHIII", 0, 0, 0, 0, scale, rate) + b"\0" * 28))
+    sound, frames = chunk(b"00wb", b"strh not a header"), [dark] * 5 + [light] * 4
+    # a sound stream first, frames in lists, no index
+    movie = b"movi" + sound + chunk(b"LIST", b"rec " + b"".join(chunk(b"01dc", f) for f in frames[:5])) + chunk(b"LIST", b"rec " + b"".join(chunk(b"01dc", f) for f in frames[5:]))
+    file = chunk(b"RIFF", b"AVI " + chunk(b"LIST", b"hdrl" + strh(b"auds", 1, 8000) + strh(b"vids", 1001, 30000)) + chunk(b"LIST", movie))
+    rows = spark.createDataFrame([(1, bytearray(file)), (2, None), (3, bytearray(file[:300])), (4, bytearray(b"nothing")), (5, bytearray(file))], "i int, media binary")
+    found = {r["i"]: r for r in media.read(rows, keep=["i"]).collect()}
+    assert [(c["first_frame"], c["end_frame"]) for c in found[1]["clips"]] == [(0, 5), (5, 9)] and abs(found[1]["clips"][1]["start_s"] - 5 * 1001 / 30000) < 1e-9
+    assert found[1]["error"] is None and found[5]["payload_sha256"] == found[1]["payload_sha256"] and found[1]["payload_bytes"] == 9 * 16 * 24
+    assert all(found[i]["error"] and found[i]["payload_bytes"] is None for i in (2, 3, 4))
+    assert media.clips(rows, keep=["i"]).count() == 4
+
+
 def test_media_shots():
     dark, light = np.full((6, 24, 24), 10, np.uint8), np.full((5, 24, 24), 200, np.uint8)
     found = media.clips_of(media.write_avi(np.concatenate([dark, light, dark])))
