@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import shutil
@@ -80,6 +81,14 @@ def decoded(column: pa.Array) -> list[str | None]:
     return [None if t is None else t.decode("utf-8", "replace") for t in column.to_pylist()]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers are used again, for other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], setup: Callable[[], None] | None = None) -> DataFrame:
     """Apply fn to every Arrow batch, which are bounded in bytes; empty results are skipped."""
     bounded(df.sparkSession)
@@ -92,6 +101,6 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Re
                 out = fn(batch)
                 if out.num_rows:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
-        pa.default_memory_pool().release_unused()  # workers are used again, for other stages
+        release()
 
     return df.mapInArrow(run, schema)

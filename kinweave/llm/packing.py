@@ -193,18 +193,18 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x >= 0 that minimises |a x - b|, by the active-set method of Lawson and Hanson. Every step lowers the residual, so no set of columns comes twice and the search ends by itself."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
-    gram, rhs = a.T @ a, a.T @ b
-    slope, eps = rhs.copy(), 1e-9 * max(1.0, float(np.abs(rhs).max(initial=0)))
-    least = np.inf
+    slope, ridge = a.T @ b, 1e-12 * float((a * a).sum(0).max(initial=1.0))  # so that columns that are sums of others don't stop the solver
+    eps, least = 1e-9 * max(1.0, float(np.abs(slope).max(initial=0))), np.inf
     while True:
-        free, now = ~passive & (slope > eps), float(x @ (gram @ x) - 2 * rhs @ x)
+        free, now = ~passive & (slope > eps), float(np.linalg.norm(a @ x - b))
         if not free.any() or now >= least:  # the second: rounding errors are all that is left
-            break
+            return x
         least = now
         passive[np.argmax(np.where(free, slope, -np.inf))] = True
         while True:
             p = np.flatnonzero(passive)
-            z = np.linalg.lstsq(gram[np.ix_(p, p)], rhs[p], rcond=None)[0]
+            own = a[:, p]
+            z = np.linalg.lstsq(own.T @ own, own.T @ b, rcond=None)[0] if len(p) > len(b) else np.linalg.solve(own.T @ own + ridge * np.eye(len(p)), own.T @ b)
             if (z > eps * 1e-3).all() or not len(p):
                 x[:] = 0
                 x[p] = z
@@ -214,8 +214,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             x[p] += np.clip(step, 0, 1) * (z - x[p])
             passive[p[(x[p] <= eps * 1e-3)]] = False
             x[~passive] = 0
-        slope = rhs - gram @ x
-    return x
+        slope = a.T @ (b - a @ x)
 
 
 @dataclass(frozen=True)
