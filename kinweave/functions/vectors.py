@@ -23,9 +23,9 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Unit vector; null for a zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(double(v), lambda x: x / n))
+    """Unit vector; null for a zero vector. The vector, then its norm, are bound by lambdas of one call each, so they are not computed again for every element."""
+    bound = F.transform(F.array(double(v)), lambda x: F.struct(x.alias("v"), norm(x).alias("n")))
+    return F.element_at(F.transform(bound, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"]))), 1)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import clip, safe_ratio
 from kinweave.functions.vectors import cosine_distance, double, euclidean_distance, matrix, vector_mean
-from kinweave.operators.graph import components, cut
-from kinweave.operators.similarity import distances, eps_neighbors, pair_blocks
+from kinweave.operators.graph import components, cut, numbered, spanning
+from kinweave.operators.similarity import distances, pair_blocks
 
 
 @dataclass(frozen=True)
@@ -29,17 +29,42 @@ class ClusterConfig:
 
 def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
     """(id, label): core rows have min_samples rows within eps, themselves included; labels number the connected sets of core rows by their smallest id; a border row joins the smallest of its
-    neighbours' labels; -1 is noise."""
-    near = cut(eps_neighbors(rows, eps, id_col=id_col, vec_col=vec_col).select("a", "b"))
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    neighbours' labels; -1 is noise.
+
+    Three passes over the pairs of blocks: numbers of neighbours, links between core rows (of each pair of blocks a spanning set), and border rows' labels. No pair leaves a task, so dense data send as much as sparse."""
+    points = cut(rows.select(F.col(id_col).cast("bigint").alias("id"), double(F.col(vec_col)).alias("v")))
+    within = lambda va, vb: distances(va, vb, "euclidean") <= eps
+
+    def degrees(ia, va, ib, vb, same):
+        near = within(va, vb)
+        if same:
+            return pa.table({"id": pa.array(ia), "n": pa.array(near.sum(1))})
+        return pa.table({"id": pa.array(np.concatenate((ia, ib))), "n": pa.array(np.concatenate((near.sum(1), near.sum(0))))})
+
+    degree = pair_blocks(points, "id", "v", "id bigint, n bigint", degrees).groupBy("id").agg(F.sum("n").alias("n"))
+    core = cut(degree.filter(F.col("n") >= min_samples).select("id"))
+
+    def links(ia, va, ib, vb, same):
+        x, y = np.nonzero(within(va, vb))
+        ids = ia if same else np.concatenate((ia, ib))
+        a, b = spanning(len(ids), x, y if same else y + len(ia))
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    parts = components(core, pair_blocks(points.join(core, "id", "left_semi"), "id", "v", "a bigint, b bigint", links))
+    names = numbered(parts.select("component").distinct(), "component", "label")
+    cores = cut(parts.join(names, "component").select("id", F.col("label").cast("int").alias("label")))
+    labelled = points.join(cores, "id", "left").select("id", F.concat("v", F.array(F.coalesce("label", F.lit(-1)).cast("double"))).alias("v"))
+
+    def borders(ia, va, ib, vb, same):
+        near, out = within(va[:, :-1], vb[:, :-1]), []
+        for ids, mine, theirs, m in ((ia, va[:, -1], vb[:, -1], near), (ib, vb[:, -1], va[:, -1], near.T))[: 1 if same else 2]:
+            least = np.where(m & (theirs >= 0)[None, :], theirs[None, :], np.inf).min(1, initial=np.inf)
+            keep = (mine < 0) & np.isfinite(least)
+            out.append(pa.table({"id": pa.array(ids[keep]), "label": pa.array(least[keep].astype(np.int64))}))
+        return pa.concat_tables(out)
+
+    border = pair_blocks(labelled, "id", "v", "id bigint, label bigint", borders).groupBy("id").agg(F.min("label").cast("int").alias("near"))
     ids = rows.select(F.col(id_col).alias("id"))
-    degree = both.groupBy(F.col("a").alias("id")).agg((F.count("*") + 1).alias("n"))
-    core = cut(ids.join(degree, "id", "left").filter(F.coalesce("n", F.lit(1)) >= min_samples).select("id"))
-    inner = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    parts = components(core, inner)
-    names = parts.select("component").distinct().select("component", (F.row_number().over(Window.orderBy("component")) - 1).cast("int").alias("label"))
-    cores = parts.join(names, "component").select("id", "label")
-    border = both.join(cores.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
     return ids.join(cores, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label"))
 
 
@@ -85,22 +110,32 @@ def core_distances(rows: DataFrame, min_samples: int, id_col: str, vec_col: str)
     return found.withColumn("r", rank).filter(F.col("r") == k).select("id", F.col("d").alias("core"))
 
 
+def _reach(va: np.ndarray, ca: np.ndarray, vb: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """Mutual reachability, to nine digits after the point, so that both ways to build a tree see the same ties."""
+    return np.round(np.maximum(np.maximum(distances(va, vb, "euclidean"), ca[:, None]), cb[None, :]), 9)
+
+
 def _prim(ids: np.ndarray, v: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
+    """The tree of the least edges by (weight, smaller id, larger id); ids are sorted. No two edges are equal in this order, so there is one such tree."""
     n, edges = len(ids), []
-    best, origin, out = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    at = 0
+    best, low, high, out = np.full(n, np.inf), np.full(n, n), np.full(n, n), np.ones(n, bool)
+    at, places = 0, np.arange(n)
     for _ in range(n - 1):
         out[at] = False
-        d = np.maximum(np.maximum(np.sqrt(np.maximum(((v - v[at]) ** 2).sum(1), 0)), core), core[at])
-        closer = out & (d < best)
-        best[closer], origin[closer] = d[closer], at
-        at = int(np.where(out, best, np.inf).argmin())
-        edges.append((int(ids[origin[at]]), int(ids[at]), float(best[at])))
+        d = _reach(v[at : at + 1], core[at : at + 1], v, core)[0]
+        lo, hi = np.minimum(places, at), np.maximum(places, at)
+        closer = out & ((d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high)))))
+        best[closer], low[closer], high[closer] = d[closer], lo[closer], hi[closer]
+        left = np.flatnonzero(out)
+        least = left[best[left] == best[left].min()]
+        at = int(least[np.lexsort((high[least], low[least]))[0]])
+        edges.append((int(ids[low[at]]), int(ids[high[at]]), float(best[at])))
     return edges
 
 
 def spanning_tree(rows: DataFrame, config: ClusterConfig, *, id_col: str = "id", vec_col: str = "emb") -> list[tuple[int, int, float]]:
-    """Edges of a minimum spanning tree of mutual reachability. Few rows: Prim in one task. More: rounds in which every component finds its lightest edge to another, each pair of blocks sending one per component."""
+    """Edges of a minimum spanning tree of mutual reachability. Of equal weights the edge of the smaller ids counts less, so the tree doesn't depend on how it is built. Few rows:
+    Prim in one task. More: rounds in which every component finds its lightest edge to another, each pair of blocks sending one per component."""
     points = rows.select(F.col(id_col).alias("id"), double(F.col(vec_col)).alias("v"))
     if config.min_samples > 1:
         points = points.join(core_distances(rows, config.min_samples, id_col, vec_col), "id", "left").fillna(0.0, ["core"])
@@ -123,15 +158,15 @@ def spanning_tree(rows: DataFrame, config: ClusterConfig, *, id_col: str = "id",
         packed = state.select("id", F.concat("v", F.array("core", F.col("c").cast("double"))).alias("v"))
 
         def lightest(ia, va, ib, vb, same):
-            d = np.maximum(np.maximum(distances(va[:, :-2], vb[:, :-2], "euclidean"), va[:, -2:-1]), vb[:, -2][None, :])
+            d = _reach(va[:, :-2], va[:, -2], vb[:, :-2], vb[:, -2])
             d[va[:, -1][:, None] == vb[:, -1][None, :]] = np.inf
             out = []
             for ids, comp, others, m in ((ia, va[:, -1], ib, d), (ib, vb[:, -1], ia, d.T)):
                 if not m.size:
                     continue
-                k = m.argmin(1)
+                k = m.argmin(1)  # others come in the order of ids, so the first of equal ones makes the least edge
                 w = m[np.arange(len(k)), k]
-                order = np.lexsort((w, comp))
+                order = np.lexsort((np.maximum(ids, others[k]), np.minimum(ids, others[k]), w, comp))
                 first = order[np.concatenate(([True], comp[order][1:] != comp[order][:-1]))]
                 first = first[np.isfinite(w[first])]
                 out.append(pa.table({"c": pa.array(comp[first].astype(np.int64)), "a": pa.array(np.minimum(ids[first], others[k[first]])), "b": pa.array(np.maximum(ids[first], others[k[first]])), "d": pa.array(w[first])}))

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.vectors import double, matrix, units, vector_mean, vector_sums
+from kinweave.functions.vectors import double, euclidean_distance, matrix, units, vector_mean, vector_sums
 from kinweave.operators.clustering import centroid_probability
-from kinweave.operators.graph import cut
-from kinweave.operators.similarity import nearest
+from kinweave.operators.graph import cut, numbered
+from kinweave.operators.similarity import group_blocks, nearest
 
 
 @dataclass(frozen=True)
@@ -26,27 +26,42 @@ class RefineConfig:
 
 
 def merge_plan(labels: list[int], counts: np.ndarray, totals: np.ndarray, threshold: float) -> dict[int, int]:
-    """Old label to new one: the closest pair of mean vectors under threshold is merged, the larger label into the smaller, again and again. Works on sums and counts: points are never read again."""
-    labels, counts, totals, home = list(labels), counts.astype(float).copy(), totals.astype(float).copy(), {x: x for x in labels}
-    alive = np.ones(len(labels), bool)
-    unit = units(totals)
-    d = 1.0 - unit @ unit.T
-    d[np.tril_indices(len(labels))] = np.inf
-    while alive.sum() > 1:
-        i, j = divmod(int(d.argmin()), len(labels))
-        if not d[i, j] < threshold:
+    """Old label to new one: the closest pair of mean vectors under threshold is merged, the larger label into the smaller, again and again (ties: the smaller labels). Works on sums: points are never read again.
+    Of each label only the nearest later one is kept, so memory grows with the number of labels, not with that of their pairs."""
+    n, totals, home = len(labels), totals.astype(float).copy(), list(range(len(labels)))
+    unit, alive = units(totals), np.ones(len(labels), bool)
+    near, far = np.full(n, -1), np.full(n, np.inf)
+
+    def look(rows: np.ndarray) -> None:
+        """Find the nearest later label of some."""
+        for a in range(0, len(rows), 256):
+            some = rows[a : a + 256]
+            d = 1.0 - unit[some] @ unit.T
+            d[:, ~alive] = np.inf
+            d[np.arange(n)[None, :] <= some[:, None]] = np.inf
+            near[some] = d.argmin(1)
+            far[some] = d[np.arange(len(some)), near[some]]
+
+    look(np.arange(n))
+    while n > 1:
+        i = int(far.argmin())
+        j = int(near[i])
+        if not far[i] < threshold:
             break
         totals[i] += totals[j]
-        counts[i] += counts[j]
-        alive[j] = False
-        d[j, :] = d[:, j] = np.inf
-        for k, v in home.items():
-            if v == labels[j]:
-                home[k] = labels[i]
-        row = 1.0 - units(totals) @ units(totals[i : i + 1])[0]
-        after, before = alive & (np.arange(len(labels)) > i), alive & (np.arange(len(labels)) < i)
-        d[i, after], d[before, i] = row[after], row[before]
-    return home
+        unit[i] = units(totals[i : i + 1])[0]
+        alive[j], far[j], home[j] = False, np.inf, i
+        stale = alive & ((near == i) | (near == j))
+        stale[i] = True
+        look(np.flatnonzero(stale))
+        before = np.flatnonzero(alive[:i])  # labels before i for which it may be nearer now
+        if len(before):
+            d = 1.0 - unit[before] @ unit[i]
+            closer = (d < far[before]) | ((d == far[before]) & (i < near[before]))
+            near[before[closer]], far[before[closer]] = i, d[closer]
+    for k in range(n):  # a label's home is a smaller one, which is settled before it
+        home[k] = home[home[k]] if home[k] != k else k
+    return {labels[k]: labels[home[k]] for k in range(n)}
 
 
 def merge_clusters(rows: DataFrame, threshold: float, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
@@ -56,7 +71,7 @@ def merge_clusters(rows: DataFrame, threshold: float, *, id_col: str = "id", vec
         return rows
     home = merge_plan(table.column("label").to_pylist(), table.column("n").to_numpy(), matrix(table.column("total")), threshold)
     plan = rows.sparkSession.createDataFrame([(k, v) for k, v in home.items() if k != v] or [(-9, -9)], "label int, __new int")
-    return rows.join(F.broadcast(plan), "label", "left").select(*[F.coalesce("__new", "label").cast("int").alias("label") if c == "label" else F.col(c) for c in rows.columns])
+    return rows.join(plan, "label", "left").select(*[F.coalesce("__new", "label").cast("int").alias("label") if c == "label" else F.col(c) for c in rows.columns])
 
 
 def two_means(v: np.ndarray, seed: int, tries: int = 10, rounds: int = 100) -> np.ndarray:
@@ -81,39 +96,66 @@ def two_means(v: np.ndarray, seed: int, tries: int = 10, rounds: int = 100) -> n
     return side if side[0] == 0 else 1 - side
 
 
-def cluster_diameter(rows: DataFrame, *, vec_col: str = "emb") -> DataFrame:
-    """(label, n, max_distance): largest cosine distance of two rows of a label (0 for one row). Clusters are worked off in parallel, each in blocks of its product."""
+def cluster_diameter(rows: DataFrame, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
+    """(label, n, max_distance): largest cosine distance of two rows of a label (0 for one row). A label of any size is dealt over as many tasks as it has pairs of blocks."""
 
-    def widest(t: pa.Table) -> pa.Table:
-        v, top = units(matrix(t.column("v"))), 0.0
-        for a in range(0, len(v), 1024):
-            top = max(top, float((1.0 - v[a : a + 1024] @ v.T).max()))
-        return pa.table({"label": t.column("label").slice(0, 1), "n": pa.array([len(v)], pa.int64()), "max_distance": pa.array([top if len(v) > 1 else 0.0])})
+    def widest(label, ia, va, ib, vb, same):
+        d = 1.0 - units(va) @ units(vb).T
+        return pa.table({"label": pa.array([label], pa.int64()), "n": pa.array([len(va) if same else 0], pa.int64()), "d": pa.array([float(d.max()) if d.size and (not same or len(va) > 1) else 0.0])})
 
-    return rows.filter("label >= 0").select(F.col("label").cast("int").alias("label"), double(F.col(vec_col)).alias("v")).groupBy("label").applyInArrow(widest, "label int, n bigint, max_distance double")
+    found = group_blocks(rows.filter("label >= 0"), "label", id_col, vec_col, "label bigint, n bigint, d double", widest)
+    return found.groupBy(F.col("label").cast("int").alias("label")).agg(F.sum("n").alias("n"), F.max("d").alias("max_distance"))
 
 
-def split_clusters(rows: DataFrame, threshold: float, *, least: int = 4, seed: int = 42, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
-    """rows with clusters of at least `least` rows and a diameter over threshold split by two means where both sides have two rows; new labels follow the largest one in the order of the old."""
-    wide = cluster_diameter(rows, vec_col=vec_col).filter((F.col("n") >= least) & (F.col("max_distance") > threshold)).select("label")
-    kind = rows.schema[id_col].dataType.simpleString()
+def _centers(rows: DataFrame, seed: int, sample: int) -> DataFrame:
+    """(label, a, b): centres of the best of several two-means runs over the sample rows of each label with the smallest hashes."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    chosen = rows.withColumn("__place", place).filter(F.col("__place") <= sample).drop("__place")
 
     def halve(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        return pa.table({"id": t.column("id"), "label": t.column("label"), "side": pa.array(two_means(matrix(t.column("v")), seed).astype(np.int32))})
-
-    halves = rows.join(F.broadcast(wide), "label", "left_semi").select(F.col(id_col).alias("id"), F.col("label").cast("int").alias("label"), double(F.col(vec_col)).alias("v"))
-    halves = cut(halves.groupBy("label").applyInArrow(halve, f"id {kind}, label int, side int"))
-    accepted = halves.groupBy("label").agg(F.count_if(F.expr("side = 0")).alias("x"), F.count_if(F.expr("side = 1")).alias("y")).filter("x >= 2 AND y >= 2")
-    numbered = number_splits(accepted.select("label"), rows)
-    moved = halves.filter("side = 1").join(F.broadcast(numbered), "label").select(F.col("id").alias(id_col), "new_label")
+        v = matrix(t.sort_by("id").column("v"))
+        side = two_means(v, seed)
+        a, b = v[side == 0].mean(0), v[side == 1].mean(0) if (side == 1).any() else v[side == 0].mean(0)
+        return pa.table({"label": t.column("label").slice(0, 1), "a": pa.array([a.tolist()]), "b": pa.array([b.tolist()])})
+
+    return chosen.groupBy("label").applyInArrow(halve, "label int, a array<double>, b array<double>")
+
+
+def halves(rows: DataFrame, *, seed: int = 42, sample: int = 2048) -> DataFrame:
+    """(id, label, side) of rows (id, label, v): two means of each label. Runs start on a sample; then all rows move, summed in their tasks, until no centre does, so a label may have any size. The side of a
+    label's smallest id is 0."""
+    rows = cut(rows)
+    centers = cut(_centers(rows, seed, sample))
+    while True:
+        sides = rows.join(centers, "label").select("id", "label", "v", (euclidean_distance(F.col("v"), F.col("b")) < euclidean_distance(F.col("v"), F.col("a"))).cast("int").alias("side"))
+        sums = vector_sums(sides.withColumn("key", F.col("label").cast("bigint") * 2 + F.col("side")), "key", "v")
+        means = sums.select(F.floor(F.col("key") / 2).cast("int").alias("label"), (F.col("key") % 2).alias("side"), F.transform("total", lambda x: x / F.col("n")).alias("c"))
+        new = means.groupBy("label").agg(F.max(F.when(F.col("side") == 0, F.col("c"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("c"))).alias("y"))
+        new = cut(centers.join(new, "label", "left").select("label", F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"), F.greatest(euclidean_distance(F.col("a"), F.coalesce("x", "a")), euclidean_distance(F.col("b"), F.coalesce("y", "b"))).alias("moved")))
+        if (new.agg(F.max("moved")).first()[0] or 0.0) <= 1e-9:
+            break
+        centers = new.drop("moved")
+    sides = cut(sides.select("id", "label", "side"))
+    first = sides.groupBy("label").agg(F.min_by("side", "id").alias("zero"))
+    return sides.join(first, "label").select("id", "label", F.when(F.col("side") == F.col("zero"), 0).otherwise(1).alias("side"))
+
+
+def split_clusters(rows: DataFrame, threshold: float, *, least: int = 4, seed: int = 42, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
+    """rows with clusters of at least `least` rows and a diameter over threshold split by two means where both sides have two rows; new labels follow the largest one in the order of the old."""
+    wide = cut(cluster_diameter(rows, id_col=id_col, vec_col=vec_col).filter((F.col("n") >= least) & (F.col("max_distance") > threshold)).select("label"))
+    if wide.isEmpty():
+        return rows
+    own = rows.join(wide, "label", "left_semi").select(F.col(id_col).alias("id"), F.col("label").cast("int").alias("label"), double(F.col(vec_col)).alias("v"))
+    found = cut(halves(own, seed=seed))
+    accepted = found.groupBy("label").agg(F.count_if(F.expr("side = 0")).alias("x"), F.count_if(F.expr("side = 1")).alias("y")).filter("x >= 2 AND y >= 2")
+    moved = found.filter("side = 1").join(number_splits(accepted.select("label"), rows), "label").select(F.col("id").alias(id_col), "new_label")
     return rows.join(moved, id_col, "left").select(*[F.coalesce("new_label", "label").cast("int").alias("label") if c == "label" else F.col(c) for c in rows.columns])
 
 
 def number_splits(accepted: DataFrame, rows: DataFrame) -> DataFrame:
-    """(label, new_label): the largest label of rows plus 1, 2, ... in label order (one row per accepted split)."""
-    top = rows.agg(F.max("label").alias("top"))
-    return accepted.crossJoin(F.broadcast(top)).select("label", (F.col("top") + F.row_number().over(Window.orderBy("label"))).cast("int").alias("new_label"))
+    """(label, new_label): the largest label of rows plus 1, 2, ... in label order."""
+    top = rows.agg(F.max("label")).first()[0] or 0
+    return numbered(accepted, "label", "nth").select("label", (F.col("nth") + (top + 1)).cast("int").alias("new_label"))
 
 
 def reassign_noise(rows: DataFrame, threshold: float, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.vectors import cosine_distance, double, map_arrow, matrix, units
+from kinweave.functions.vectors import double, map_arrow, matrix, units
+from kinweave.operators.graph import cut
 
 #: Numbers of a centroid table that is sent to the tasks (64 MB); a larger one is joined in blocks.
 MOST_NUMBERS = 8_000_000
@@ -18,64 +19,106 @@ MOST_NUMBERS = 8_000_000
 BLOCK = 2048
 
 
+#: Distances that a task holds at once.
+ROOM = 1 << 22
+
+
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Euclidean ones are 0 where rounding errors are all that is left, so equal vectors are at distance 0."""
     if metric == "cosine":
         return 1.0 - units(a) @ units(b).T
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(squares, 0))
-
-
-def nearest(rows: DataFrame, targets: DataFrame, *, id_col: str, vec_col: str, key_col: str, target_col: str) -> DataFrame:
-    """(id, key, distance): the cosine-nearest target of each row; of equal distances the smallest key. A table of targets up to MOST_NUMBERS numbers goes to the tasks and the join is one narrow
-    pass; a larger one is dealt in blocks that meet every block of rows, and the nearest of each is kept."""
+    x, y = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
+    squares = x + y - 2 * a @ b.T
+    squares[squares < 1e-13 * (x + y)] = 0
+    return np.sqrt(squares)
+
+
+def least_k(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest finite values of each row of m; of equal ones the first columns. Never more than k for a row."""
+    k = min(k, m.shape[1])
+    kth = np.partition(m, k - 1, axis=1)[:, k - 1]
+    x, y = np.nonzero((m <= kth[:, None]) & np.isfinite(m))
+    tie = m[x, y] == kth[x]
+    room = k - np.bincount(x[~tie], minlength=len(m))
+    nth = np.cumsum(tie)
+    before = np.concatenate(([0], np.cumsum(np.bincount(x[tie], minlength=len(m)))))[:-1]
+    keep = ~tie | (nth - before[x] <= room[x])
+    return x[keep], y[keep]
+
+
+def nearest_k(rows: DataFrame, targets: DataFrame, k: int, *, id_col: str, vec_col: str, key_col: str, target_col: str) -> DataFrame:
+    """(id, key, distance, rank): the k cosine-nearest targets of each row; ties by the smaller key. A table of targets up to MOST_NUMBERS numbers goes to the tasks and each batch is compared with it;
+    a larger one is dealt in blocks that meet every block of rows, and k candidates of each block are kept."""
     spark = rows.sparkSession
     kind = rows.schema[id_col].dataType.simpleString()
     key_kind = targets.schema[key_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{key_col}` {key_kind}, distance double"
     left = rows.select(id_col, double(F.col(vec_col)).alias("v")).filter("v IS NOT NULL")
-    right = targets.select(key_col, double(F.col(target_col)).alias("t")).filter("t IS NOT NULL")
+    right = cut(targets.select(key_col, double(F.col(target_col)).alias("t")).filter("t IS NOT NULL"))
     shape = right.agg(F.count("*").alias("n"), F.max(F.size("t")).alias("d")).first()
     n, dim = shape["n"], shape["d"] or 0
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema + ", rank int")
 
-    def best(ids: pa.Array, v: np.ndarray, keys: list, t: np.ndarray, kinds: tuple) -> pa.RecordBatch:
-        d = distances(v, t, "cosine")
-        k = d.argmin(1)
-        return pa.RecordBatch.from_arrays([ids, pa.array([keys[i] for i in k], kinds[0]), pa.array(d[np.arange(len(k)), k])], [id_col, key_col, "distance"])
+    def best(ids: pa.Array, v: np.ndarray, keys: pa.Array, t: np.ndarray) -> pa.Table:
+        out, step = [], max(1, ROOM // max(1, len(t)))
+        for a in range(0, len(v), step):
+            d = distances(v[a : a + step], t, "cosine")
+            x, y = least_k(d, k)
+            out.append(pa.RecordBatch.from_arrays([ids.take(pa.array(x + a)), keys.take(pa.array(y)), pa.array(d[x, y])], [id_col, key_col, "distance"]))
+        return pa.Table.from_batches(out)
 
     if n * dim <= MOST_NUMBERS:
-        table = right.orderBy(key_col).toArrow()
-        keys, t, key_type = table.column(0).to_pylist(), matrix(table.column(1)), table.schema.field(0).type
-        return map_arrow(left, schema, lambda b: best(b.column(0), matrix(b.column(1)), keys, t, (key_type,)))
-    parts = math.ceil(n * dim / MOST_NUMBERS)
-    blocks = right.withColumn("b", F.pmod(F.xxhash64(key_col), F.lit(parts)).cast("int"))
-    dealt = left.withColumn("s", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        table = right.orderBy(key_col).toArrow().combine_chunks()
+        keys, t = table.column(0).chunk(0), matrix(table.column(1))
+        found = map_arrow(left, schema, lambda b: best(b.column(0), matrix(b.column(1)), keys, t))
+    else:
+        parts = math.ceil(n * dim / MOST_NUMBERS)
+        blocks = right.withColumn("b", F.pmod(F.xxhash64(key_col), F.lit(parts)).cast("int"))
+        dealt = left.withColumn("s", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({id_col: a.column(id_col).slice(0, 0), key_col: b.column(key_col).slice(0, 0), "distance": pa.array([], pa.float64())})
+            a, b = a.combine_chunks(), b.sort_by(key_col).combine_chunks()
+            return best(a.column(id_col).chunk(0), matrix(a.column("v")), b.column(key_col).chunk(0), matrix(b.column("t")))
+
+        found = dealt.groupBy("b", "s").cogroup(blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("b", "s")).applyInArrow(meet, schema)
+    if k == 1:
+        if n * dim <= MOST_NUMBERS:
+            return found.withColumn("rank", F.lit(1))
+        return found.groupBy(id_col).agg(F.min(F.struct("distance", key_col)).alias("m")).select(id_col, f"m.{key_col}", "m.distance", F.lit(1).alias("rank"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("distance", key_col))).filter(F.col("rank") <= k)
+
+
+def nearest(rows: DataFrame, targets: DataFrame, *, id_col: str, vec_col: str, key_col: str, target_col: str) -> DataFrame:
+    """(id, key, distance): the cosine-nearest target of each row; of equal distances the smallest key."""
+    return nearest_k(rows, targets, 1, id_col=id_col, vec_col=vec_col, key_col=key_col, target_col=target_col).drop("rank")
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({id_col: a.column(id_col).slice(0, 0), key_col: b.column(key_col).slice(0, 0), "distance": pa.array([], pa.float64())})
-        b = b.sort_by(key_col)
-        return pa.Table.from_batches([best(a.column(id_col).combine_chunks(), matrix(a.column("v")), b.column(key_col).to_pylist(), matrix(b.column("t")), (b.schema.field(key_col).type,))])
 
-    found = dealt.groupBy("b", "s").cogroup(blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("b", "s")).applyInArrow(meet, schema)
-    return found.groupBy(id_col).agg(F.min(F.struct("distance", key_col)).alias("m")).select(id_col, f"m.{key_col}", "m.distance")
+def _in_blocks(t: pa.Table, i: int, j: int, fn: Callable) -> pa.Table:
+    t = t.sort_by("id")
+    ids, v, p = t.column("id").to_numpy(), matrix(t.column("v")), t.column("p").to_numpy()
+    return fn(ids[p == i], v[p == i], ids[p == j], v[p == j], i == j)
 
 
 def pair_blocks(rows: DataFrame, id_col: str, vec_col: str, schema: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.Table], block: int = BLOCK) -> DataFrame:
-    """fn(ids a, vectors a, ids b, vectors b, whether both are one block) for every pair of blocks of at most about `block` rows. Each vector is sent once per block; what leaves a task is fn's result."""
-    n = rows.count()
-    parts = max(1, math.ceil(n / block))
-    dealt = rows.select(F.col(id_col).alias("id"), double(F.col(vec_col)).alias("v")).filter("v IS NOT NULL").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    """fn(ids a, vectors a, ids b, vectors b, whether both are one block) for every pair of blocks of at most about `block` rows, each in the order of ids. rows are computed once. Each vector is sent
+    once per block; what leaves a task is fn's result."""
+    own = cut(rows.select(F.col(id_col).alias("id"), double(F.col(vec_col)).alias("v")).filter("v IS NOT NULL"))
+    parts = max(1, math.ceil(own.count() / block))
+    dealt = own.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("id", "v", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+    return dealt.groupBy("i", "j").applyInArrow(lambda key, t: _in_blocks(t, key[0].as_py(), key[1].as_py(), fn), schema)
 
-    def meet(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        ids, v, p = t.column("id").to_numpy(), matrix(t.column("v")), t.column("p").to_numpy()
-        i, j = key[0].as_py(), key[1].as_py()
-        return fn(ids[p == i], v[p == i], ids[p == j], v[p == j], i == j)
 
-    return dealt.groupBy("i", "j").applyInArrow(meet, schema)
+def group_blocks(rows: DataFrame, group_col: str, id_col: str, vec_col: str, schema: str, fn: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.Table], block: int = BLOCK) -> DataFrame:
+    """As pair_blocks within each group (a whole number), which fn gets first: a group of any size is dealt over as many tasks as it has pairs of blocks."""
+    own = cut(rows.select(F.col(group_col).cast("bigint").alias("g"), F.col(id_col).alias("id"), double(F.col(vec_col)).alias("v")).filter("g IS NOT NULL AND v IS NOT NULL"))
+    sizes = own.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = own.join(sizes, "g").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "id", "v", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+    return dealt.groupBy("g", "i", "j").applyInArrow(lambda key, t: _in_blocks(t, key[1].as_py(), key[2].as_py(), lambda *x: fn(key[0].as_py(), *x)), schema)
 
 
 def pairwise(rows: DataFrame, *, id_col: str = "id", vec_col: str = "emb", metric: str = "cosine", at_most: float | None = None) -> DataFrame:
@@ -98,7 +141,7 @@ def eps_neighbors(rows: DataFrame, eps: float, *, id_col: str = "id", vec_col: s
 
 
 def knn(rows: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "emb", metric: str = "cosine") -> DataFrame:
-    """(id, neighbor, distance, rank) of the k nearest others; ties by the smaller neighbour. Every pair of blocks sends k candidates per row at most."""
+    """(id, neighbor, distance, rank) of the k nearest others; ties by the smaller neighbour. Every pair of blocks sends at most k candidates per row, however many are equally near."""
 
     def fn(ia, va, ib, vb, same):
         d = distances(va, vb, metric)
@@ -106,11 +149,9 @@ def knn(rows: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "emb", me
             np.fill_diagonal(d, np.inf)
         out = []
         for ids, others, m in ((ia, ib, d),) if same else ((ia, ib, d), (ib, ia, d.T)):
-            if not len(ids) or not len(others):
-                continue
-            kth = np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, min(k, m.shape[1]) - 1]
-            x, y = np.nonzero((m <= kth[:, None] + 1e-12) & np.isfinite(m))
-            out.append(pa.table({"id": pa.array(ids[x]), "neighbor": pa.array(others[y]), "distance": pa.array(m[x, y])}))
+            if m.size:
+                x, y = least_k(m, k)
+                out.append(pa.table({"id": pa.array(ids[x]), "neighbor": pa.array(others[y]), "distance": pa.array(m[x, y])}))
         return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
 
     found = pair_blocks(rows, id_col, vec_col, "id bigint, neighbor bigint, distance double", fn)
@@ -133,7 +174,5 @@ def closest_pair(centroids: DataFrame, *, key_col: str = "label", vec_col: str =
 
 def top_clusters(rows: DataFrame, centroids: DataFrame, k: int = 3, *, id_col: str = "id", vec_col: str = "emb", key_col: str = "label") -> DataFrame:
     """(id, key, distance, rank) of the k nearest centroids of each row."""
-    pairs = rows.select(id_col, F.col(vec_col).alias("v")).crossJoin(centroids.select(F.col(key_col).alias("key"), F.col("centroid").alias("c")))
-    pairs = pairs.select(id_col, "key", cosine_distance(F.col("v"), F.col("c")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("distance", "key"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    targets = centroids.select(F.col(key_col).alias("key"), F.col("centroid").alias("c"))
+    return nearest_k(rows, targets, k, id_col=id_col, vec_col=vec_col, key_col="key", target_col="c")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import clip
-from kinweave.functions.vectors import units
+from kinweave.functions.vectors import double, units
+from kinweave.operators.graph import cut
 from kinweave.operators.similarity import pair_blocks
 
 PERCENTILES = (5, 25, 50, 75, 95, 15)
@@ -29,54 +30,90 @@ class ThresholdConfig:
     least_rows: int = 3
 
 
-def distance_stats(rows: DataFrame, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
-    """One row: num_pairs, mean, std (population), min, max, and exact percentiles with linear interpolation. Two passes over the pairs in blocks: counts by fine bins of distance, then the values of
-    the few bins that hold the wanted ranks. No pair leaves its task but those."""
-
-    def lay(d: np.ndarray) -> np.ndarray:
-        return np.clip((d * (_BINS / 2)).astype(np.int64), 0, _BINS - 1)
+def distance_stats(rows: DataFrame, *, id_col: str = "id", vec_col: str = "emb", few: int = 1 << 18) -> DataFrame:
+    """One row: num_pairs, mean, std (population), min, max, and exact percentiles with linear interpolation. The pairs are passed in blocks: first counts by fine bins of distance, then, as long as the bins that
+    hold the wanted ranks have more than few values, counts by finer bins of those alone, and in the end their values. What comes to the driver has a bound whatever the number of pairs."""
+    spark = rows.sparkSession
+    rows = cut(rows.select(F.col(id_col).alias("id"), double(F.col(vec_col)).alias("v")))
 
     def own(va, vb, same):
         d = 1.0 - units(va) @ units(vb).T
         return d[np.triu_indices(len(va), 1)] if same else d.ravel()
 
-    def count(ia, va, ib, vb, same):
-        d = own(va, vb, same)
-        n = np.bincount(lay(d), minlength=_BINS)
-        b = np.flatnonzero(n)
-        s, q = (np.bincount(lay(d), w, _BINS)[b].astype(float) for w in (d, d * d))
-        return pa.table({"bin": pa.array(b), "n": pa.array(n[b]), "s": pa.array(s), "q": pa.array(q)})
-
-    spark = rows.sparkSession
-    found = pair_blocks(rows, id_col, vec_col, "bin bigint, n bigint, s double, q double", count).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).orderBy("bin").collect()
+    def counted(low: np.ndarray, high: np.ndarray, bins: int) -> dict[tuple[int, int], tuple]:
+        """Of each of the disjoint intervals and each of its bins: n, sum, sum of squares, least and greatest value."""
+
+        def count(ia, va, ib, vb, same):
+            d = own(va, vb, same)
+            k = np.searchsorted(low, d, "right") - 1
+            d, k = d[k >= 0], k[k >= 0]
+            inside = d <= high[k]
+            d, k = d[inside], k[inside]
+            width = np.where(high > low, high - low, 1.0)
+            b = np.clip(((d - low[k]) / width[k] * bins).astype(np.int64), 0, bins - 1) + k * bins
+            n = np.bincount(b, minlength=0)
+            at = np.flatnonzero(n)
+            least, most = np.full(len(n), np.inf), np.full(len(n), -np.inf)
+            np.minimum.at(least, b, d)
+            np.maximum.at(most, b, d)
+            s, q = (np.bincount(b, w)[at] if len(b) else np.zeros(0) for w in (d, d * d))
+            return pa.table({"bin": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64()), "s": pa.array(s, pa.float64()), "q": pa.array(q, pa.float64()), "a": pa.array(least[at]), "b": pa.array(most[at])})
+
+        found = pair_blocks(rows, "id", "v", "bin bigint, n bigint, s double, q double, a double, b double", count)
+        found = found.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("a").alias("a"), F.max("b").alias("b")).orderBy("bin").collect()
+        return {divmod(r["bin"], bins): (r["n"], r["s"], r["q"], r["a"], r["b"]) for r in found}
+
+    first = counted(np.array([-0.5]), np.array([2.5]), _BINS)
     names = ["num_pairs", "mean", "std", "min", "max", *[f"p{p}" for p in PERCENTILES]]
     schema = "num_pairs bigint, " + ", ".join(f"{n} double" for n in names[1:])
-    if not found:
+    if not first:
         return spark.createDataFrame([(0, *[None] * (len(names) - 1))], schema)
-    bins, n = np.array([r["bin"] for r in found]), np.array([r["n"] for r in found])
-    total, upto = int(n.sum()), np.cumsum(n)
-    mean = sum(r["s"] for r in found) / total
-    std = max(0.0, sum(r["q"] for r in found) / total - mean * mean) ** 0.5
+    total = sum(x[0] for x in first.values())
+    mean = sum(x[1] for x in first.values()) / total
+    std = max(0.0, sum(x[2] for x in first.values()) / total - mean * mean) ** 0.5
     at = {p: (total - 1) * p / 100 for p in PERCENTILES}
     ranks = sorted({0, total - 1} | {int(x) for x in at.values()} | {min(total - 1, int(x) + 1) for x in at.values()})
-    wanted = sorted({int(np.searchsorted(upto, r, "right")) for r in ranks})
-    chosen = bins[wanted]
-
-    def pick(ia, va, ib, vb, same):
-        d = own(va, vb, same)
-        d = d[np.isin(lay(d), chosen)]
-        value, times = np.unique(d, return_counts=True)
-        return pa.table({"d": pa.array(value), "n": pa.array(times)})
-
-    values = pair_blocks(rows, id_col, vec_col, "d double, n bigint", pick).groupBy("d").agg(F.sum("n").alias("n")).toArrow().sort_by("d")
-    d, times = values.column("d").to_numpy(), values.column("n").to_numpy()
-    home = np.searchsorted(chosen, lay(d))
-    value = {}
-    for r in ranks:
-        w = int(np.searchsorted(upto, r, "right"))
-        k = r - (int(upto[w - 1]) if w else 0)
-        mine = home == wanted.index(w)
-        value[r] = float(d[mine][np.searchsorted(np.cumsum(times[mine]), k, "right")])
+
+    def homes(cells: dict, before: dict[int, int], of: dict[int, list[int]]) -> dict[int, tuple]:
+        """Of each rank the cell that holds it: (least, greatest, values before it, values in it)."""
+        out = {}
+        for k, own_ranks in of.items():
+            upto = before[k]
+            mine = sorted(c for c in cells if c[0] == k)
+            ends = upto + np.cumsum([cells[c][0] for c in mine])
+            for r in own_ranks:
+                j = int(np.searchsorted(ends, r, "right"))
+                n, _, _, least, most = cells[mine[j]]
+                out[r] = (least, most, int(ends[j]) - n, n)
+        return out
+
+    home = homes(first, {0: 0}, {0: ranks})
+    while True:
+        wide = sorted({h for h in home.values() if h[0] < h[1]})
+        if sum(h[3] for h in wide) <= few or not wide:
+            break
+        cells = counted(np.array([h[0] for h in wide]), np.array([h[1] for h in wide]), max(2, _BINS // len(wide)))
+        finer = homes(cells, {k: h[2] for k, h in enumerate(wide)}, {k: [r for r in ranks if home[r] == h] for k, h in enumerate(wide)})
+        if all(finer[r] == home[r] for r in finer):  # neighbouring numbers can't be parted further
+            break
+        home |= finer
+    value = {r: h[0] for r, h in home.items() if h[0] == h[1]}
+    if wide:
+        low, high = np.array([h[0] for h in wide]), np.array([h[1] for h in wide])
+
+        def pick(ia, va, ib, vb, same):
+            d = own(va, vb, same)
+            k = np.searchsorted(low, d, "right") - 1
+            v, times = np.unique(d[(k >= 0) & (d <= high[k])], return_counts=True)
+            return pa.table({"d": pa.array(v), "n": pa.array(times, pa.int64())})
+
+        table = pair_blocks(rows, "id", "v", "d double, n bigint", pick).groupBy("d").agg(F.sum("n").alias("n")).toArrow().sort_by("d")
+        d, times = table.column("d").to_numpy(), table.column("n").to_numpy()
+        for r in ranks:
+            if r not in value:
+                least, most, before, _ = home[r]
+                mine = (d >= least) & (d <= most)
+                value[r] = float(d[mine][np.searchsorted(np.cumsum(times[mine]), r - before, "right")])
     percentile = [value[int(at[p])] + (value[min(total - 1, int(at[p]) + 1)] - value[int(at[p])]) * (at[p] - int(at[p])) for p in PERCENTILES]
     return spark.createDataFrame([(total, float(mean), float(std), value[0], value[total - 1], *map(float, percentile))], schema)
 

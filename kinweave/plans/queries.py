@@ -632,7 +632,7 @@ def calibration_grid(spark, sf):
     from kinweave.plans.engine import calibrate
 
     rows = X.faces(spark, sf).select("id", "emb", F.col("label").alias("gt"))
-    return rounded(calibrate(rows, sizes=(2, 5), samples=(1, 2)))
+    return rounded(calibrate(rows))
 
 
 # --- listings
