@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import importlib
-import logging
+import json
 import sys
 from dataclasses import replace
 
+from kinweave.streaming.progress import setup_logging
+
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="kinweave", description="Group the faces of a photo collection by person.")
@@ -25,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     if (args.evaluate or args.calibrate) and not args.ground_truth or not (args.evaluate or args.calibrate or args.review) and not args.input or not args.output:
         p.print_usage(sys.stderr)
         return 1
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s | %(levelname)-8s | %(message)s")
+    setup_logging(f"{args.output}/_logs" if "://" not in args.output else None)
 
     from pyspark.sql import SparkSession
 
@@ -42,13 +44,17 @@ def main(argv: list[str] | None = None) -> int:
     if args.evaluate:
         engine.evaluate(args.ground_truth).show(truncate=False)
     elif args.calibrate:
-        engine.calibrate(args.ground_truth).show(truncate=False)
+        found = engine.calibrate(args.ground_truth)
+        found.show(truncate=False)
+        for r in found.filter("best").collect():
+            print(f"best: min_cluster_size={r['min_cluster_size']} min_samples={r['min_samples']} (f1={r['f1']:.4f})")
     elif args.review:
         given = load_ground_truth(spark, args.review).selectExpr("key as face_id", "gt_label as label", "unix_micros(current_timestamp()) as seq")
         engine.correct(given)
         engine.learn()
     else:
         engine.run(args.incremental)
+        print(json.dumps(engine.copy_files() | engine.counts))
         print(engine.status())
     return 0
 

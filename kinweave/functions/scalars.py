@@ -73,11 +73,11 @@ def blur_score(variance: Column, bound: float = 50.0) -> Column:
     return F.when(variance.isNull(), 0.0).when(variance < 0.3 * bound, 0.1).when(variance < bound, 0.5).when(variance < 3 * bound, 0.8).otherwise(1.0)
 
 
-def pose_score(lex: Column, ley: Column, rex: Column, rey: Column, nx: Column) -> Column:
-    """Tier of the nose's offset from the eyes' middle, relative to their distance, and of the eyes' tilt; 0.5 without landmarks."""
+def pose_score(lex: Column, ley: Column, rex: Column, rey: Column, nx: Column, most: float = 75.0) -> Column:
+    """Tier of the nose's offset from the eyes' middle, relative to their distance, and of the eyes' tilt, at most `most` degrees; 0.5 without landmarks."""
     apart = F.sqrt((rex - lex) * (rex - lex) + (rey - ley) * (rey - ley))
     ratio, tilt = F.abs(nx - (lex + rex) / 2) / apart, F.abs(F.degrees(F.atan2(rey - ley, rex - lex)))
-    tiers = F.when((ratio > 0.5) | (tilt > 75), 0.1).when((ratio > 0.3) | (tilt > 45), 0.4).when((ratio > 0.15) | (tilt > 20), 0.7).otherwise(1.0)
+    tiers = F.when((ratio > 0.5) | (tilt > most), 0.1).when((ratio > 0.3) | (tilt > 45), 0.4).when((ratio > 0.15) | (tilt > 20), 0.7).otherwise(1.0)
     return F.when(lex.isNull(), 0.5).when(apart < 1e-6, 0.1).otherwise(tiers)
 
 

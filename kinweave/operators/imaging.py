@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import combinations
 from typing import Protocol
 
 import numpy as np
@@ -112,6 +115,20 @@ def similarity(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.hstack([turn, (mt - turn @ ms)[:, None]])
 
 
+def robust_similarity(source: np.ndarray, target: np.ndarray, within: float = 5.0) -> np.ndarray:
+    """As similarity(), of those points only that agree: of the maps that two points fix, the one that brings most points within a distance of their targets (ties: the least squares of these) chooses them. All points if
+    no two agree with a third."""
+    best, chosen = (2, 0.0), None
+    for i, j in combinations(range(len(source)), 2):
+        m = similarity(source[[i, j]], target[[i, j]])
+        off = np.linalg.norm(source @ m[:, :2].T + m[:, 2] - target, axis=1)
+        near = off <= within
+        rank = (int(near.sum()), -float((off[near] ** 2).sum()))
+        if rank > best and near.sum() > 2:
+            best, chosen = rank, near
+    return similarity(source, target) if chosen is None else similarity(source[chosen], target[chosen])
+
+
 def warp(image: np.ndarray, matrix: np.ndarray, size: int = CROP) -> np.ndarray:
     """image under the similarity matrix, bilinear, edges repeated."""
     inverse = np.linalg.inv(np.vstack([matrix, [0, 0, 1]]))
@@ -145,7 +162,7 @@ def align(image: np.ndarray, landmarks: np.ndarray, *, degrees: float = 0.0, sca
     t = np.deg2rad(degrees)
     turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
     middle = points.mean(0)
-    return warp(image, similarity((points - middle) @ turn.T * scale + middle, TEMPLATE * size / CROP), size)
+    return warp(image, robust_similarity((points - middle) @ turn.T * scale + middle, TEMPLATE * size / CROP), size)
 
 
 def image_of(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -162,37 +179,59 @@ def views(image: np.ndarray, landmarks: np.ndarray, seed: int, *, perturbations:
     return [first.tobytes()] + [align(image, landmarks, degrees=d, scale=s).tobytes() for d, s in turns]
 
 
-def detect(images: DataFrame, detector: Callable[[], Detector], **options) -> DataFrame:
-    """(image_path, image_hash, bbox, landmarks, det_score, ordinal, lap_var, crops) per face found, with the crops of views(); an image on which the detector fails has no face.
-    images: (path, image_hash, height, width, channels, pixels)."""
+def png(image: np.ndarray) -> bytes:
+    """A PNG file of a BGR image."""
+    h, w = image.shape[:2]
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), image[:, :, ::-1].reshape(h, -1)], 1).tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def detect(images: DataFrame, detector: Callable[[], Detector], *, det_size: tuple[int, int] | None = None, det_thresh: float | None = None, **options) -> DataFrame:
+    """(image_path, image_hash, bbox, landmarks, det_score, ordinal, lap_var, crops, failure) per face found, with the crops of views(). An image on which the detector fails has one row with the failure's text and
+    no face. A detector that has prepare() is told det_size and det_thresh once. images: (path, image_hash, height, width, channels, pixels); one picture is held at a time besides Arrow's batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = detector()
+        if hasattr(model, "prepare"):
+            model.prepare(det_size=det_size, det_thresh=det_thresh)
+        names = ["image_path", "image_hash", "bbox", "landmarks", "det_score", "ordinal", "lap_var", "crops", "failure"]
+        kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.binary()), pa.string()]
         for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                image = image_of(r["pixels"], r["height"], r["width"], r["channels"])
+            for row in range(batch.num_rows):
+                path, image_hash, height, width, channels, pixels = (batch.column(c)[row].as_py() for c in range(6))
+                out: list[tuple] = []
                 try:
+                    image = image_of(pixels, height, width, channels)
                     found = model.detect(image)
-                except Exception:  # a picture that the model can't take has no face
+                except Exception as e:  # the model's own: any kind
                     found = []
+                    out.append((path, image_hash, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
                 for k, (box, landmarks, score) in enumerate(found):
-                    x1, y1, x2, y2 = max(0, int(box[0])), max(0, int(box[1])), min(r["width"], int(box[2])), min(r["height"], int(box[3]))
+                    x1, y1, x2, y2 = max(0, int(box[0])), max(0, int(box[1])), min(width, int(box[2])), min(height, int(box[3]))
                     part = image[y1:y2, x1:x2]
-                    crops = views(image, np.array(landmarks), int(r["image_hash"][:12], 16) + k, **options)
-                    out.append((r["path"], r["image_hash"], [float(b) for b in box], [[float(a) for a in p] for p in landmarks], float(score), k, laplacian_variance(part) if part.size else None, crops))
-            names = ["image_path", "image_hash", "bbox", "landmarks", "det_score", "ordinal", "lap_var", "crops"]
-            kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64())), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.binary())]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    schema = "image_path string, image_hash string, bbox array<double>, landmarks array<array<double>>, det_score double, ordinal int, lap_var double, crops array<binary>"
+                    crops = views(image, np.array(landmarks), int(image_hash[:12], 16) + k, **options)
+                    out.append((path, image_hash, [float(b) for b in box], [[float(a) for a in p] for p in landmarks], float(score), k, laplacian_variance(part) if part.size else None, crops, None))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    schema = "image_path string, image_hash string, bbox array<double>, landmarks array<array<double>>, det_score double, ordinal int, lap_var double, crops array<binary>, failure string"
     return images.select("path", "image_hash", "height", "width", "channels", "pixels").mapInArrow(run, schema)
 
 
-def embed(faces: DataFrame, embedder: Callable[[], Embedder], *, id_col: str = "face_id", flip: bool = True) -> DataFrame:
+def encoded(rows: DataFrame) -> DataFrame:
+    """(name, content) of rows (name, crop): crops as PNG files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([png(image_of(x.as_py(), CROP, CROP, 3)) for x in b.column(1)], pa.binary())], ["name", "content"])
+
+    return rows.select("name", "crop").mapInArrow(run, "name string, content binary")
+
+
+def embed(faces: DataFrame, embedder: Callable[[], Embedder], *, id_col: str = "face_id", flip: bool = True, dimension: int | None = None) -> DataFrame:
     """(id, embedding): the unit mean of the unit vectors of each face's crops and the first one's mirror image. A face without crops, or whose first crop or mean has a zero vector, is left out;
-    other zero vectors are skipped. All crops of a batch go through the model at once."""
+    other zero vectors are skipped. All crops of a batch go through the model at once. With dimension, vectors of another length raise."""
     kind = faces.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +244,8 @@ def embed(faces: DataFrame, embedder: Callable[[], Embedder], *, id_col: str = "
             if flip:
                 pixels, owner = np.concatenate([pixels, pixels[first][:, :, ::-1]]), np.concatenate([owner, owner[first]])
             v = np.asarray(model.embed(pixels), float)
+            if dimension is not None and v.shape[1] != dimension:
+                raise ValueError(f"the model's vectors have {v.shape[1]} numbers, not {dimension}")
             norm = np.linalg.norm(v, axis=1)
             total = np.zeros((len(lists), v.shape[1]))
             ok = norm > 0

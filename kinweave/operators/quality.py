@@ -26,10 +26,10 @@ def clamp(rows: DataFrame, width: int, height: int) -> DataFrame:
     return rows.withColumns({"cx1": low("x1"), "cy1": low("y1"), "cx2": high("x2", width), "cy2": high("y2", height)})
 
 
-def scored(rows: DataFrame) -> DataFrame:
+def scored(rows: DataFrame, *, least_size: float = 40.0, blur: float = 50.0, most_angle: float = 75.0) -> DataFrame:
     """rows (x1 ... y2, lex ... ny, det_score, lap_var) with the five scores, composite, reasons and passed."""
     g = geometry(rows)
-    g = g.withColumns({"size_score": S.size_score(F.col("width"), F.col("height")), "blur_score": S.blur_score(F.col("lap_var")), "pose_score": S.pose_score(*[F.col(c) for c in ("lex", "ley", "rex", "rey", "nx")]), "aspect_score": S.aspect_score(F.col("width"), F.col("height"))})
+    g = g.withColumns({"size_score": S.size_score(F.col("width"), F.col("height"), least_size), "blur_score": S.blur_score(F.col("lap_var"), blur), "pose_score": S.pose_score(*[F.col(c) for c in ("lex", "ley", "rex", "rey", "nx")], most_angle), "aspect_score": S.aspect_score(F.col("width"), F.col("height"))})
     parts = [F.col(c) for c in ("size_score", "blur_score", "pose_score", "det_score", "aspect_score")]
     g = g.withColumns({"composite": S.composite(*parts), "reasons": S.reasons(*parts)})
     return g.withColumn("passed", F.size("reasons") == 0)

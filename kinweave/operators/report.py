@@ -15,11 +15,21 @@ def first_images(faces: DataFrame) -> DataFrame:
 
 
 def manifest(faces: DataFrame) -> DataFrame:
-    """first_images with file_name: of equal names in a label the second gets _1 before its extension, the third _2, ..."""
-    nth = F.row_number().over(Window.partitionBy("label", F.col("__name")).orderBy("ord")) - 1
-    rows = first_images(faces).withColumn("__name", basename(F.col("image_path"))).withColumn("__n", nth)
-    stem, ext = F.regexp_replace("__name", r"\.[^.]*$", ""), F.regexp_extract("__name", r"(\.[^.]*)$", 1)
-    return rows.withColumn("file_name", F.when(F.col("__n") == 0, F.col("__name")).otherwise(F.concat(stem, F.lit("_"), F.col("__n").cast("string"), ext))).drop("__name", "__n")
+    """first_images with file_name, different within a label: the first image of a name keeps it; each further one gets the smallest number (_1, _2, ... before its extension) that makes a name which no image of
+    the label has as its own, nor another further one."""
+    rows = first_images(faces).withColumn("__name", basename(F.col("image_path")))
+    nth = F.row_number().over(Window.partitionBy("label", "__name").orderBy("ord")) - 1
+    rows = rows.withColumn("__n", nth)
+    stem, ext = F.regexp_replace("__name", r"^(.+)\.[^.]*$", "$1"), F.regexp_extract("__name", r"^.+(\.[^.]*)$", 1)
+    rows = rows.withColumns({"__stem": stem, "__ext": ext})
+    # numbers that an image of the label has as its own name's: they are skipped. A name is of one form stem_number only, so further images of different names don't meet but where stems nest
+    taken = rows.filter("__n = 0").select("label", F.regexp_extract("__stem", r"^(.*)_([1-9]\d{0,8})$", 1).alias("__stem"), F.regexp_extract("__stem", r"^(.*)_([1-9]\d{0,8})$", 2).try_cast("bigint").alias("__k"), "__ext").filter("__k IS NOT NULL")
+    taken = taken.groupBy("label", "__stem", "__ext").agg(F.array_sort(F.collect_set("__k")).alias("__taken"))
+    rows = rows.join(taken, ["label", "__stem", "__ext"], "left")
+    # the n-th free number: n, moved on by every taken number that is not above it
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), F.col("__n").cast("bigint"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    name = F.when(F.col("__n") == 0, F.col("__name")).otherwise(F.concat("__stem", F.lit("_"), free.cast("string"), "__ext"))
+    return rows.withColumn("file_name", name).select(*faces.columns, "file_name")
 
 
 def cluster_report(faces: DataFrame) -> DataFrame:
@@ -70,6 +80,6 @@ def cluster_files(report: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def output_stats(files: DataFrame, totals: DataFrame, inputs: DataFrame) -> DataFrame:
-    """One row: n_clusters (folders), n_photos, n_faces, n_review, n_input_photos."""
-    own = files.agg(F.countDistinct("cluster_name").alias("n_clusters"), F.count_if(F.expr("kind = 'photo'")).alias("n_photos"))
+    """One row: n_clusters (folders), n_photos, n_faces, n_review, n_input_photos, has_plot (whether the listing has the scatter plot)."""
+    own = files.agg(F.countDistinct("cluster_name").alias("n_clusters"), F.count_if(F.expr("kind = 'photo'")).alias("n_photos"), (F.count_if(F.expr("kind = 'plot'")) > 0).alias("has_plot"))
     return own.crossJoin(totals.select("n_faces", "n_review")).crossJoin(inputs.agg(F.count("*").alias("n_input_photos")))

@@ -7,14 +7,15 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
 from kinweave.operators import clustering, evaluate, identities, imaging, quality, refine, report, thresholds
 from kinweave.sources import images
 from kinweave.sources.config import EngineConfig
-from kinweave.sources.tables import Workspace, load_ground_truth
+from kinweave.sources.tables import Workspace, load_ground_truth, put_files, read_json_lines
+from kinweave.streaming.progress import Broadcaster
 
 log = logging.getLogger("kinweave")
 
@@ -33,20 +34,28 @@ def reducer_of(config: EngineConfig) -> imaging.Reducer:
     raise ValueError(f"reducer.kind {config.reducer.kind!r} is not built in: none or pca")
 
 
-def group(faces: DataFrame, known: DataFrame, config: EngineConfig) -> DataFrame:
-    """(id, label, probability, confidence, in_review) of faces (id, emb): known identities first, the rest by density, all refined with thresholds from the distances."""
+def group(faces: DataFrame, known: DataFrame, config: EngineConfig, step: Callable[[str], None] = lambda _: None, note: Callable[[DataFrame], None] = lambda _: None) -> DataFrame:
+    """(id, label, probability, confidence, in_review) of faces (id, emb): known identities first, the rest by density, all refined with thresholds from the distances. step is told each step's name, note the
+    statistics of the distances."""
     spark, reducer = faces.sparkSession, reducer_of(config)
+    step("classify")
     have = config.identities.enabled and not known.isEmpty()
     hits = identities.classify_known(faces, known, config.identities.classification_threshold) if have else spark.createDataFrame([], "id bigint, pos int, distance double")
     rest = faces.join(hits.filter("pos IS NOT NULL"), "id", "left_anti")
     n = len(rest.limit(2).collect())
-    clustered = clustering.cluster(reducer.reduce(rest, "emb"), config.clustering)
+    step("reduce")
+    reduced = reducer.reduce(rest, "emb")
+    step("cluster")
+    clustered = clustering.cluster(reduced, config.clustering)
     if n == 1 and have:
         clustered = clustered.withColumn("probability", F.lit(0.5))
     joined = faces.join(identities.combine(faces, hits, clustered), "id")
+    step("thresholds")
     stats = thresholds.distance_stats(faces)
+    note(stats)
     t = thresholds.thresholds(stats, config.adaptive_threshold, faces.count()).first()
     tuned = replace(config.refinement, merge_threshold=t["merge_threshold"], split_threshold=t["split_threshold"], reassign_threshold=t["reassign_threshold"], review_threshold=t["review_threshold"])
+    step("refine")
     return refine.refine(joined, tuned).join(joined.select("id", "probability"), "id")
 
 
@@ -59,34 +68,52 @@ class Engine:
     detector: Callable[[], imaging.Detector] | None = None
     embedder: Callable[[], imaging.Embedder] = imaging.MeanColorEmbedder
     counts: dict[str, int] = field(default_factory=dict)
+    progress: Broadcaster = field(default_factory=Broadcaster)
 
     @property
     def workspace(self) -> Workspace:
         return Workspace(self.spark, f"{self.config.output_dir}/_tables")
 
     def ingest(self, incremental: bool = False) -> DataFrame:
-        """Find, score and embed the faces of the input folder's images; incremental: of those that are not recorded yet. The faces table."""
+        """Find, score and embed the faces of the input folder's images; incremental: of those that are not recorded yet. The faces table. What is left out is in the table skipped, with the stage and the reason, and
+        counted: images that can't be decoded or that the detector fails on, faces that don't pass the gate, can't be aligned or have no vector."""
         c, w = self.config, self.workspace
+        self.progress.step("scan")
         files = images.hashed(images.scan(self.spark, c.input_dir, recursive=c.recursive))
         fresh = images.unprocessed(files, w.read("processed_images")) if incremental else files
+        scratch = Workspace(self.spark, f"{c.output_dir}/_tables/_batch")
+        fresh = scratch.write("fresh", fresh.select("path", "image_hash"))
         decoded = images.decode(self.spark, c.input_dir, recursive=c.recursive)
-        pictures = decoded.join(fresh.select("path", "image_hash"), "path")
-        found = imaging.detect(pictures, self.detector, perturbations=c.embedding.num_perturbations, rotation=c.embedding.rotation_range, jitter=c.embedding.scale_jitter)
-        found = found.withColumns({"img": F.col("image_path"), "vec_id": F.col("ordinal")})
-        ranked = quality.rank_faces(found, most=c.detection.max_faces, threshold=c.detection.det_thresh)
+        pictures = decoded.join(fresh, "path")
+        self.progress.step("detect")
+        found = imaging.detect(pictures, self.detector, det_size=c.detection.det_size, det_thresh=c.detection.det_thresh, perturbations=c.embedding.num_perturbations, rotation=c.embedding.rotation_range, jitter=c.embedding.scale_jitter)
+        found = scratch.write("found", found)  # models run once, whatever is done with their results
+        self.progress.step("score")
+        ranked = quality.rank_faces(found.filter("failure IS NULL").withColumns({"img": F.col("image_path"), "vec_id": F.col("ordinal")}), most=c.detection.max_faces, threshold=c.detection.det_thresh)
         at = lambda i: F.col("landmarks")[i[0]][i[1]]
         flat = ranked.withColumns({"x1": F.col("bbox")[0], "y1": F.col("bbox")[1], "x2": F.col("bbox")[2], "y2": F.col("bbox")[3], "lex": at((0, 0)), "ley": at((0, 1)), "rex": at((1, 0)), "rey": at((1, 1)), "nx": at((2, 0)), "ny": at((2, 1))})
-        good = quality.gate(quality.scored(flat), c.quality.gate).withColumn("face_id", S.face_id(F.col("image_hash"), F.col("face_index")))
-        scratch = Workspace(self.spark, f"{c.output_dir}/_tables/_batch")
-        good = scratch.write("good", good)  # models run once, whatever is done with their results
+        q = c.quality
+        scored = quality.scored(flat, least_size=q.min_face_size, blur=q.blur_threshold, most_angle=q.max_pose_angle).withColumn("face_id", S.face_id(F.col("image_hash"), F.col("face_index")))
+        good = quality.gate(scored, q.gate)
         w.append("crops", good.select("face_id", "crops")) if incremental else w.write("crops", good.select("face_id", "crops"))
-        vectors = imaging.embed(good.dropDuplicates(["face_id"]), self.embedder, flip=c.embedding.use_flip)
+        self.progress.step("embed")
+        vectors = scratch.write("vectors", imaging.embed(good.dropDuplicates(["face_id"]), self.embedder, flip=c.embedding.use_flip, dimension=c.embedding.dimension))
         rows = good.join(vectors, "face_id").select("face_id", "image_path", "image_hash", "face_index", "bbox", "landmarks", "det_score", F.col("composite").alias("quality_score"), F.col("passed").alias("quality_passed"), F.col("reasons").alias("quality_reasons"), "embedding")
         faces = w.append("faces", rows) if incremental else w.write("faces", rows)
-        seen = Observation()
-        done = fresh.select(F.col("path").alias("image_path"), "image_hash").observe(seen, F.count("*").alias("images"))
+        none = F.lit(None).cast("int").alias("face_index")
+        skip = lambda df, stage, reason: df.select("image_path", "face_index" if "face_index" in df.columns else none, F.lit(stage).alias("stage"), reason.cast("string").alias("reason"))
+        lost = images.undecoded(fresh, decoded).withColumnRenamed("path", "image_path")
+        skipped = skip(lost, "decode", F.lit("not a picture that can be read")).unionByName(skip(found.filter("failure IS NOT NULL"), "detect", F.col("failure")))
+        skipped = skipped.unionByName(skip(scored.join(good.select("face_id"), "face_id", "left_anti"), "gate", F.concat_ws(",", "reasons")))
+        unaligned = F.col("crops").isNull()
+        without = good.join(vectors.select("face_id"), "face_id", "left_anti")
+        skipped = skipped.unionByName(skip(without.filter(unaligned), "align", F.lit("fewer than five landmarks"))).unionByName(skip(without.filter(~unaligned), "embed", F.lit("no vector")))
+        w.append("skipped", skipped) if incremental else w.write("skipped", skipped)
+        done = fresh.withColumnRenamed("path", "image_path")
         w.append("processed_images", done) if incremental else w.write("processed_images", done)
-        self.counts["images"] = seen.get["images"]
+        by_stage = {f"skipped_{r['stage']}": r["n"] for r in skipped.groupBy("stage").agg(F.count("*").alias("n")).collect()}
+        self.counts = {"images": fresh.count(), "faces": rows.count()} | {f"skipped_{k}": 0 for k in ("decode", "detect", "gate", "align", "embed")} | by_stage
+        log.info("processed %s", self.counts)
         return faces
 
     def run(self, incremental: bool = False) -> DataFrame:
@@ -99,46 +126,69 @@ class Engine:
         w = self.workspace
         faces = indexed(w.read("faces"))
         if faces.isEmpty():
+            self.progress.step("done")
             return w.read("assignments")
         rows = faces.select("id", F.col("embedding").cast("array<double>").alias("emb"))
-        found = group(rows, w.read("identities"), self.config)
+        found = group(rows, w.read("identities"), self.config, self.progress.step, self.note_thresholds)
+        self.progress.step("assign")
         out = w.write("assignments", faces.select("id", "face_id").join(found, "id").select("face_id", "label", "probability", "confidence", "in_review"))
         self.write_output(faces, out)
+        self.progress.step("done")
+        log.info("grouped %s", self.status())
         return out
 
+    def note_thresholds(self, stats: DataFrame) -> None:
+        thresholds.threshold_report(stats, self.config.adaptive_threshold).coalesce(1).write.mode("overwrite").text(f"{self.config.output_dir}/_metadata/threshold_report")
+
     def write_output(self, faces: DataFrame, assigned: DataFrame) -> None:
-        """Reports and manifest: folders of tables by cluster_name, and JSON reports."""
+        """Reports and manifest: folders of tables by cluster_name, and JSON reports. A face without an assignment is noise with confidence 0."""
         out, w = self.config.output_dir, self.workspace
-        rows = faces.join(assigned, "face_id").withColumn("ord", F.col("id"))
-        w.write("manifest", report.manifest(rows).withColumn("cluster_name", S.person_name(F.col("label"))).drop("embedding"), partition_by="cluster_name")
+        defaults = {"label": -1, "probability": 0.0, "confidence": 0.0, "in_review": True}
+        rows = faces.join(assigned, "face_id", "left").fillna(defaults).withColumn("ord", F.col("id"))
+        self.progress.step("plot")
         w.write("plot_points", report.plot_points(imaging.project_2d(rows.withColumn("emb", F.col("embedding").cast("array<double>")))).select("face_id", "label", "x", "y", "marker", "size", "alpha"))
+        self.progress.step("report")
+        w.write("manifest", report.manifest(rows).withColumn("cluster_name", S.person_name(F.col("label"))).drop("embedding"), partition_by="cluster_name")
         rows.filter("in_review").select("face_id", "image_path", F.col("label").alias("current_label"), "confidence", "quality_score").write.mode("overwrite").json(f"{out}/_metadata/review_items")
         rows.select("face_id", F.col("label").alias("cluster_label"), S.person_name(F.col("label")).alias("cluster_name"), "confidence", "image_path", "bbox", "quality_score", "det_score").write.mode("overwrite").json(f"{out}/_metadata/face_metadata")
-        report.report_json(rows).write.mode("overwrite").text(f"{out}/_metadata/cluster_report")
-
-    def copy_files(self) -> int:
-        """Copy each manifest row's image into its person folder, in the tasks; a missing source is skipped. output_dir must be mounted on every executor. The number of files copied."""
-        out = self.config.output_dir
-        rows = self.workspace.read("manifest").select("cluster_name", "image_path", "file_name")
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.config.input_dir).select(F.col("path").alias("image_path"), "content")
-
-        def put(batches):
-            import os
-            from urllib.parse import urlparse
-
-            import pyarrow as pa
-
-            n = 0
-            for b in batches:
-                for r in b.to_pylist():
-                    folder = f"{urlparse(out).path}/{r['cluster_name']}"
-                    os.makedirs(folder, exist_ok=True)
-                    with open(f"{folder}/{os.path.basename(r['file_name'])}", "wb") as f:
-                        f.write(r["content"])
-                    n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-        return rows.join(files, "image_path").mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        report.report_json(rows).coalesce(1).write.mode("overwrite").text(f"{out}/_metadata/cluster_report")
+
+    def review_items(self) -> DataFrame:
+        return read_json_lines(self.spark, f"{self.config.output_dir}/_metadata/review_items", "face_id string, image_path string, current_label int, confidence double, quality_score double")
+
+    def face_metadata(self) -> DataFrame:
+        schema = "face_id string, cluster_label int, cluster_name string, confidence double, image_path string, bbox array<double>, quality_score double, det_score double"
+        return read_json_lines(self.spark, f"{self.config.output_dir}/_metadata/face_metadata", schema)
+
+    def clean_output(self) -> int:
+        """Remove the person folders and the review queue of earlier runs, through Spark's file system; tables, reports and logs stay. The number of folders removed."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.config.output_dir)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return 0
+        old = [x.getPath() for x in fs.listStatus(root) if x.isDirectory() and (x.getPath().getName().startswith("Person_") or x.getPath().getName() == "_review_queue")]
+        return sum(bool(fs.delete(p, True)) for p in old)
+
+    def copy_files(self) -> dict[str, int]:
+        """Clear earlier output, then copy each manifest row's image into its person folder and, with save_crops, each face's first crop as PNG into its crops folder, faces in review into _review_queue. Written in the
+        tasks, wherever Arrow's file systems reach (a mounted folder, HDFS, an object store). Numbers of photos, crops and missing, of manifest rows whose image is gone."""
+        c, w = self.config, self.workspace
+        self.clean_output()
+        rows = w.read("manifest").select("cluster_name", "image_path", "file_name")
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(c.input_dir).select(F.col("path").alias("image_path"), "content")
+        both = rows.join(files, "image_path", "left")
+        counts = {"photos": put_files(both.filter("content IS NOT NULL").select(F.concat_ws("/", "cluster_name", "file_name").alias("name"), "content"), c.output_dir)}
+        counts["missing"] = both.filter("content IS NULL").count()
+        if counts["missing"]:
+            log.warning("%s source images are missing", counts["missing"])
+        counts["crops"] = 0
+        if c.save_crops:
+            faces = w.read("assignments").join(w.read("crops").filter("crops IS NOT NULL"), "face_id").withColumn("crop", F.col("crops")[0])
+            named = F.concat(S.person_name(F.col("label")), F.lit("/crops/"), "face_id", F.lit(".png"))
+            own = faces.filter("label >= 0").select(named.alias("name"), "crop").unionByName(faces.filter("in_review").select(F.concat(F.lit("_review_queue/"), "face_id", F.lit(".png")).alias("name"), "crop"))
+            counts["crops"] = put_files(imaging.encoded(own), c.output_dir)
+        return counts
 
     def correct(self, changes: DataFrame) -> DataFrame:
         """Upsert corrections (face_id, label, seq)."""
@@ -157,6 +207,11 @@ class Engine:
         chosen = {"accept": current["label"], "move": label, "new": label, "discard": -2}[action]
         return self.correct(self.spark.createDataFrame([(face_id, int(chosen), seq)], "face_id string, label int, seq bigint"))
 
+    def apply_corrections(self) -> DataFrame:
+        """Learn from the corrections and group again with what is known then; the assignments."""
+        self.learn()
+        return self.regroup()
+
     def learn(self) -> DataFrame:
         """Merge what the corrections teach into the known identities."""
         w = self.workspace
@@ -177,8 +232,11 @@ class Engine:
         return found
 
     def calibrate(self, truth_path: str) -> DataFrame:
+        """The grid's settings with their measures; best marks the one with the largest f1."""
         faces = evaluate.match_ground_truth(indexed(self.workspace.read("faces")), load_ground_truth(self.spark, truth_path))
         found = calibrate(faces.select("id", F.col("embedding").cast("array<double>").alias("emb"), F.col("gt_label").alias("gt")))
+        best = evaluate.best_of_grid(found).select("ordinal", F.lit(True).alias("best"))
+        found = found.join(best, "ordinal", "left").withColumn("best", F.coalesce("best", F.lit(False))).orderBy("ordinal")
         found.write.mode("overwrite").json(f"{self.config.output_dir}/_metadata/calibration_results")
         return found
 

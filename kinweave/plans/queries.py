@@ -644,7 +644,7 @@ def cluster_files(spark, sf):
     return report.cluster_files(report.cluster_report(rows), files).select("cluster_name", F.size("photo_files").cast("bigint").alias("photos"))
 
 
-@query(_REPORTED + ", r AS (SELECT *, row_number() OVER (PARTITION BY label, image_path ORDER BY ord) AS rn FROM rep WHERE label >= 0) SELECT (SELECT count(DISTINCT label) FROM r) AS n_clusters, (SELECT count(*) FROM r WHERE rn = 1) AS n_photos, (SELECT count(*) FROM rep) AS n_faces, (SELECT count(*) FROM rep WHERE in_review) AS n_review, (SELECT count(*) FROM documents) AS n_input_photos")
+@query(_REPORTED + ", r AS (SELECT *, row_number() OVER (PARTITION BY label, image_path ORDER BY ord) AS rn FROM rep WHERE label >= 0) SELECT (SELECT count(DISTINCT label) FROM r) AS n_clusters, (SELECT count(*) FROM r WHERE rn = 1) AS n_photos, (SELECT count(*) FROM rep) AS n_faces, (SELECT count(*) FROM rep WHERE in_review) AS n_review, (SELECT count(*) FROM documents) AS n_input_photos, false AS has_plot")
 def output_stats(spark, sf):
     rows = _reported(spark, sf)
     files = report.manifest(rows).select(S.person_name(F.col("label")).alias("cluster_name"), F.lit("photo").alias("kind"), F.col("file_name").alias("name"))

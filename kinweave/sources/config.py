@@ -29,7 +29,8 @@ class QualityConfig:
 
 @dataclass(frozen=True)
 class EmbeddingConfig:
-    dimension: int = 512
+    #: What vectors must have; None takes what the model gives.
+    dimension: int | None = None
     use_flip: bool = True
     num_perturbations: int = 2
     rotation_range: float = 5.0

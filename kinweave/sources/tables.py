@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ SCHEMAS = {
     "identities": "pos int, identity_id string, centroid array<double>",
     "corrections": "face_id string, label int, seq bigint",
     "crops": "face_id string, crops array<binary>",
+    "skipped": "image_path string, face_index int, stage string, reason string",
 }
 
 
@@ -38,6 +40,39 @@ def read_log(spark: SparkSession, path: str, last: int = 200) -> DataFrame:
     return lines.orderBy(F.desc("n")).limit(last).crossJoin(lines.agg(F.count("*").alias("total"))).orderBy("n")
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a folder of JSON lines; none where there is no such folder yet."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def put_files(rows: DataFrame, folder: str) -> int:
+    """Write each row's content under its name (a path below folder) in the tasks, through Arrow's file systems: a local or mounted path, or the address of one that Arrow reaches. The number written; a task
+    that is run again writes the same files."""
+
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
+        n, made = 0, set()
+        for b in batches:
+            for i in range(b.num_rows):
+                at = f"{root}/{b.column(0)[i].as_py()}"
+                parent = at.rpartition("/")[0]
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(at) as out:
+                    out.write(b.column(1)[i].as_py())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.select("name", "content").mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 @dataclass(frozen=True)
 class Workspace:
     """Versions of each table lie side by side; a pointer file names the current one, so a table that is being read is never overwritten and a failed write leaves the old one."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 
 def new_images(spark: SparkSession, folder: str, workspace: Workspace, checkpoint: str, handle: Callable[[DataFrame, int], None] | None = None, *, per_batch: int = 1000) -> StreamingQuery:
-    """Work off the image files that have come since the last run: those whose content is not recorded yet go to handle, and are recorded. A batch that is run again after a failure finds what it had recorded."""
+    """Work off the image files that have come since the last run: those whose content is not recorded yet go to handle, and are recorded after it. A batch that failed between both is given to handle
+    again, under the same number: what handle writes should be keyed by image_hash or by that number."""
     glob = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in IMAGE_EXTENSIONS) + "}"
     files = spark.readStream.schema(FILE_SCHEMA).format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
 
@@ -30,28 +32,37 @@ def new_images(spark: SparkSession, folder: str, workspace: Workspace, checkpoin
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    length = float(np.sqrt((v * v).sum()))
+    return v / length if length else v
+
+
 def running_centroids(rows: DataFrame, *, key_col: str = "identity_id", vec_col: str = "emb", order_col: str = "seq") -> DataFrame:
     """A stream of (key, n, centroid): each new vector of a key is averaged with its unit centroid and the result made a unit vector again, in the order of order_col within a batch."""
 
     def fold(key: tuple, groups, state):
         n, centroid = state.get if state.exists else (0, None)
         for pdf in groups:
-            for v in pdf.sort_values(order_col)[vec_col]:
-                new = pd.Series(v, dtype=float) if centroid is None else (pd.Series(centroid) + pd.Series(v, dtype=float)) / 2
-                length = float((new**2).sum() ** 0.5)
-                centroid = (new / length).tolist() if length else new.tolist()
-                n += 1
+            vectors = np.stack(pdf.sort_values(order_col)[vec_col].to_numpy()).astype(float)
+            if centroid is None:
+                centroid, vectors, n = _unit(vectors[0]), vectors[1:], 1
+            for v in vectors:  # each step needs the one before
+                centroid = _unit((np.asarray(centroid) + v) / 2)
+            n += len(vectors)
+        centroid = np.asarray(centroid).tolist()
         state.update((n, centroid))
         yield pd.DataFrame({key_col: [key[0]], "n": [n], "centroid": [centroid]})
 
     return rows.groupBy(key_col).applyInPandasWithState(fold, f"{key_col} string, n bigint, centroid array<double>", "n bigint, centroid array<double>", "update", "NoTimeout")
 
 
-def corrections(rows: DataFrame, workspace: Workspace, checkpoint: str) -> StreamingQuery:
-    """A stream of corrections (face_id, label, seq) upserted into the workspace's table, the last of a face winning."""
+def corrections(rows: DataFrame, workspace: Workspace, checkpoint: str, then: Callable[[], object] | None = None) -> StreamingQuery:
+    """A stream of corrections (face_id, label, seq) upserted into the workspace's table, the last of a face winning. After each batch then is called, say Engine.apply_corrections."""
     from kinweave.operators.identities import upsert
 
     def batch(changes: DataFrame, _: int) -> None:
         workspace.write("corrections", upsert(workspace.read("corrections"), changes.select("face_id", "label", "seq"), "face_id", "seq"))
+        if then is not None:
+            then()
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

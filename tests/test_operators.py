@@ -50,6 +50,102 @@ def test_spanning_tree_rounds_equal_prim(spark):
         assert len(a) == len(b) == len(v) - 1 and np.isclose(sum(e[2] for e in a), sum(e[2] for e in b))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_trees_of_tied_data_give_equal_labels(spark, seed):
+    """Points of a small grid, copies among them: both ways to build the tree choose the same edges."""
+    v = np.random.default_rng(seed).integers(0, 6, (60, 2)).astype(float)
+    rows = frame(spark, v)
+    for samples in (1, 3):
+        trees = [sorted(clustering.spanning_tree(rows, clustering.ClusterConfig(min_samples=samples, one_task=n))) for n in (8192, 0)]
+        assert trees[0] == trees[1]
+        found = [{r["id"]: r["label"] for r in clustering.hdbscan(rows, clustering.ClusterConfig(min_samples=samples, one_task=n)).collect()} for n in (8192, 0)]
+        assert found[0] == found[1]
+
+
+def test_normalizing_is_linear_in_the_dimension(spark):
+    import time
+
+    from kinweave.functions.vectors import l2_normalize
+
+    took = {}
+    for d in (64, 512):
+        rows = spark.range(300, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(d)), lambda i: F.sin(i * (F.col("id") + 1))).alias("v")).select(l2_normalize(F.col("v")).alias("u"))
+        rows.agg(F.sum(F.element_at("u", 1))).collect()
+        began = time.time()
+        for _ in range(3):
+            rows.agg(F.sum(F.element_at("u", -1))).collect()
+        took[d] = time.time() - began
+        one = np.array(rows.first()["u"])
+        assert len(one) == d and abs((one**2).sum() - 1) < 1e-9
+    assert took[512] < 24 * took[64]  # 64 times if the norm were computed again for every number
+    assert spark.createDataFrame([([0.0, 0.0],), (None,)], "v array<double>").select(l2_normalize(F.col("v")).alias("u")).filter("u IS NULL").count() == 2
+
+
+def test_knn_of_copies_is_bounded(spark):
+    rows = frame(spark, np.ones((300, 3)))
+    assert sum(similarity.least_k(np.zeros((300, 300)), 5)[0] == 7) == 5
+    found = similarity.knn(rows, 2).collect()
+    assert len(found) == 600 and {(r["neighbor"], r["rank"]) for r in found if r["id"] == 5} == {(0, 1), (1, 2)}
+
+
+def test_large_labels_in_blocks(spark, monkeypatch):
+    from kinweave.operators import refine as module
+
+    v = np.concatenate([blobs(5, 2, 40, 6, 4.0), blobs(9, 1, 10, 6, 1.0)])
+    rows = frame(spark, v, label=[0] * 80 + [3] * 10)
+    whole = {r["label"]: (r["n"], r["max_distance"]) for r in refine.cluster_diameter(rows).collect()}
+    monkeypatch.setattr(module, "group_blocks", lambda *a, **k: similarity.group_blocks(*a, **k, block=13))
+    parts = {r["label"]: (r["n"], r["max_distance"]) for r in refine.cluster_diameter(rows).collect()}
+    u = v[:80] / np.linalg.norm(v[:80], axis=1)[:, None]
+    assert whole.keys() == parts.keys() == {0, 3} and all(whole[k][0] == parts[k][0] and abs(whole[k][1] - parts[k][1]) < 1e-12 for k in whole)
+    assert abs(whole[0][1] - (1 - u @ u.T).max()) < 1e-9
+    sides = [{r["id"]: r["side"] for r in refine.halves(rows.select("id", "label", F.col("emb").alias("v")), sample=n).collect()} for n in (2048, 9)]
+    assert sides[0] == sides[1] and [sides[0][i] for i in range(80)] == [0] * 40 + [1] * 40
+
+
+def test_file_names_are_different(spark):
+    names = ["/a/x.jpg", "/b/x.jpg", "/c/x_1.jpg", "/d/x.jpg", "/e/x_1.jpg", "/f/x_3.jpg", "/g/.hidden", "/h/.hidden", "/i/x"]
+    rows = spark.createDataFrame([(0, p, i) for i, p in enumerate(names)] + [(1, "/b/x.jpg", 99)], "label int, image_path string, ord int")
+    found = {r["image_path"]: r["file_name"] for r in report.manifest(rows).filter("label = 0").collect()}
+    assert len(set(found.values())) == len(names)
+    assert [found[n] for n in names] == ["x.jpg", "x_2.jpg", "x_1.jpg", "x_4.jpg", "x_1_1.jpg", "x_3.jpg", ".hidden", ".hidden_1", "x"]
+    assert report.manifest(rows).filter("label = 1").first()["file_name"] == "x.jpg"
+
+
+def test_settings_have_an_effect(spark):
+    from kinweave.operators import quality
+
+    one = spark.createDataFrame([(0.0, 0.0, 60.0, 60.0, 20.0, 20.0, 40.0, 39.0, 30.0, 0.9, 60.0)], "x1 double, y1 double, x2 double, y2 double, lex double, ley double, rex double, rey double, nx double, det_score double, lap_var double")
+    base = quality.scored(one).first()
+    assert (base["size_score"], base["blur_score"], base["pose_score"]) == (0.7, 0.8, 0.7)
+    assert quality.scored(one, least_size=100).first()["size_score"] == 0.3 and quality.scored(one, blur=100).first()["blur_score"] == 0.5
+    assert quality.scored(one, most_angle=30).first()["pose_score"] == 0.1
+
+
+def test_detector_is_told_its_settings(spark):
+    class Asking:
+        def prepare(self, det_size, det_thresh):
+            self.told = [*det_size, det_thresh]
+
+        def detect(self, image):
+            return [(self.told + [0.0], [[0.0, 0.0]] * 5, 1.0)]
+
+    images_ = spark.createDataFrame([("p", "ab" * 32, 4, 4, 3, bytearray(48))], "path string, image_hash string, height int, width int, channels int, pixels binary")
+    assert imaging.detect(images_, Asking, det_size=(320, 200), det_thresh=0.25).first()["bbox"] == [320.0, 200.0, 0.25, 0.0]
+    crops = spark.createDataFrame([("f", [bytearray(112 * 112 * 3)])], "face_id string, crops array<binary>")
+    with pytest.raises(Exception, match="not 512"):
+        imaging.embed(crops, imaging.MeanColorEmbedder, dimension=512).collect()
+
+
+def test_robust_alignment_leaves_an_outlier_out():
+    rng = np.random.default_rng(2)
+    turn = imaging.similarity(np.array([[0.0, 0], [1, 0]]), np.array([[3.0, 4], [5, 7]]))
+    source = imaging.TEMPLATE.copy()
+    target = source @ turn[:, :2].T + turn[:, 2] + rng.normal(size=(5, 2)) * 0.01
+    target[3] += 60
+    assert np.abs(imaging.robust_similarity(source, target) - turn).max() < 0.05 < np.abs(imaging.similarity(source, target) - turn).max()
+
+
 def test_dbscan_against_numpy(spark):
     rng = np.random.default_rng(3)
     v = np.concatenate([rng.normal(size=(25, 2)) * 0.2 + c for c in ((0, 0), (3, 3))] + [rng.uniform(-8, 8, (12, 2))])
@@ -301,10 +397,15 @@ def test_engine_end_to_end(spark, tmp_path):
     photos.mkdir()
     faces_folder(photos)
     (photos / "blank.bmp").write_bytes(bmp(np.full((20, 20, 3), 255, np.uint8)))
+    (photos / "lost.webp").write_bytes(b"RIFF....WEBP")
     settings = config.build(config.EngineConfig(), {"input_dir": str(photos), "output_dir": str(out), "clustering": {"min_cluster_size": 2}, "adaptive_threshold": {"fixed_merge": 0.05, "fixed_split": 1.9, "fixed_review": 0.2}})
     engine = Engine(spark, settings, make_detector)
     got = engine.run()
-    assert engine.counts["images"] == 10
+    assert engine.counts == {"images": 11, "faces": 9, "skipped_decode": 1, "skipped_detect": 1, "skipped_gate": 0, "skipped_align": 0, "skipped_embed": 0}
+    assert {(r["image_path"].rsplit("/", 1)[1], r["stage"]) for r in engine.workspace.read("skipped").collect()} == {("blank.bmp", "detect"), ("lost.webp", "decode")}
+    assert engine.progress.state["status"] == "done" and engine.progress.state["progress"] == 100
+    assert engine.review_items().count() <= 9 and engine.face_metadata().count() == 9
+    assert "thresholds" in json.loads(next((out / "_metadata" / "threshold_report").glob("*.txt")).read_text())
     people = {r["face_id"]: int(r["image_path"].rsplit("/p", 1)[1].split(".")[0]) % 3 for r in engine.workspace.read("faces").collect()}
     assert len(people) == 9
     labels = {}
@@ -313,11 +414,16 @@ def test_engine_end_to_end(spark, tmp_path):
     assert len(labels) == 3 and all(len(p) == 1 for p in labels.values())
     report_ = json.loads((next((out / "_metadata" / "cluster_report").glob("*.txt"))).read_text())
     assert report_["n_faces"] == 9 and report_["n_clusters"] == 3
-    assert engine.copy_files() == 9 and len(list(out.glob("Person_*/*.bmp"))) == 9
+    (out / "Person_777").mkdir()
+    (out / "Person_777" / "old.bmp").write_bytes(b"")
+    copied = engine.copy_files()
+    assert copied["photos"] == 9 and copied["missing"] == 0 and len(list(out.glob("Person_*/*.bmp"))) == 9 and not (out / "Person_777").exists()
+    crops = list(out.glob("Person_*/crops/*.png"))
+    assert len(crops) == 9 and copied["crops"] >= 9 and all(c.read_bytes()[:8] == b"\x89PNG\r\n\x1a\n" for c in crops) and (out / "_metadata").exists()
     rng = np.random.default_rng(9)
     (photos / "p9.bmp").write_bytes(bmp((np.kron(rng.integers(0, 255, (8, 8, 3)), np.ones((18, 18, 1)))[:140, :140] * 0.9).astype(np.uint8)))
     engine.run(incremental=True)
-    assert engine.counts["images"] == 1 and engine.workspace.read("faces").count() == 10
+    assert engine.counts["images"] == 1 and engine.counts["faces"] == 1 and engine.workspace.read("faces").count() == 10
     some = sorted(people)[0]
     engine.review_action(some, "accept")
     engine.review_action(some, "new")
@@ -330,6 +436,9 @@ def test_engine_end_to_end(spark, tmp_path):
     truth.write_text(json.dumps({f"p{k}.bmp": k % 3 for k in range(9)}))
     measured = engine.evaluate(str(truth)).first()
     assert measured["total"] == 9
+    grid = engine.calibrate(str(truth)).collect()
+    assert sum(r["best"] for r in grid) == 1 and next(r["f1"] for r in grid if r["best"]) == max(r["f1"] for r in grid)
+    assert engine.apply_corrections().count() == 10
     assert json.loads(engine.status())["n_identities"] == 1
 
 
