@@ -2,16 +2,16 @@
 
 A gear hash rolls over the UTF-8 bytes: each step doubles it and adds a random number of the byte, so in 16 bits it depends on the last 16 bytes. A chunk ends behind a byte where the hash is small (one in `every`)
 and was not in the 15 bytes before; stretches without such a place are cut at `longest`. Ends depend on the 16 bytes before them alone (but for the forced ones), so an insertion moves only
-the chunks around it. Chunks are deduplicated by digest: of each digest that two documents have, the first and the last holder are found (by identifier, those without one last).
+the chunks around it. Chunks are deduplicated by digest: of each digest that two documents have, the first and the last holder are found (by identifier).
 
-A document's chunks that stand in the same place relative to one partner (the first holder; for that document itself the last one) and follow each other are a run. Whole chunks end short of a passage's ends, so each
+Shared chunks that, with their neighbours, are too few for a span go first. A document's chunks that stand in the same place relative to one partner (the first holder; for that document itself the last one) and follow each other are a run. Whole chunks end short of a passage's ends, so each
 run is extended byte by byte against the partner's text, by up to REACHED bytes on either side, to ends of characters. What has least_words words (or, for writing without spaces, least_bytes bytes) is a span: its
 bytes stand in the partner's text as well. Digests have 64 bits, and a chance hit is one chunk, which is too short for a span.
 
 First and last holders are found with partial results before the shuffle, so a passage that is in a third of all documents sends one row from each task; the join back is split where it is uneven. Surroundings
 of a place are read once, however many runs need them.
 
-Defined results: null, empty and short texts have no span; rows that are equal in identifier and text are one document, other rows of one identifier, or without any, are documents of their own; repeats
+Defined results: null, empty and short texts have no span; rows that are equal in identifier and text are one document, other rows of one identifier, or without any, are documents of their own; these come last in the order of holders; repeats
 within a document are no spans; texts of any length are read whole. Only the named columns are read.
 """
 
@@ -20,10 +20,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import bounded, cut, map_batches, scratch
+from kinweave.llm.exact import filter_bits
 
 REACH = 16
 EVERY = 24
@@ -31,6 +32,8 @@ LONGEST = 256
 LEAST_WORDS, LEAST_BYTES = 50, 800
 #: Bytes by which a run is extended at most: some chunks.
 REACHED = 192
+#: So many identifiers or places are broadcast (some 40 MB); more are joined by a shuffle.
+FEW = 1_000_000
 _GEAR = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 16, 256, dtype=np.uint16)
 _DIGEST = xxhash.xxh3_64_intdigest
 _SPACE = np.zeros(256, bool)
@@ -69,20 +72,30 @@ def chunk_ends(texts: list[bytes], every: int = EVERY, longest: int = LONGEST) -
     return ends, owner
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """What tells rows apart: equal for rows that are equal in identifier and text."""
-    return F.xxhash64(F.col(id_col), F.col(text_col).cast("binary"))
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with __kw_key: the identifier where it is a row's own; rows that share an identifier, or have none, get a number of identifier and text beyond all usual ones, and so come last."""
+    ids = docs.select(F.col(id_col).cast("bigint").alias("__kw_id")).filter("__kw_id IS NOT NULL")
+    several = cut(ids.groupBy("__kw_id").agg(F.count("*").alias("n")).filter("n > 1").select("__kw_id", F.lit(True).alias("__kw_several")))
+    n = several.count()
+    found = docs.join(F.broadcast(several) if n <= FEW else several, F.col(id_col).cast("bigint") == F.col("__kw_id"), "left") if n else docs.withColumn("__kw_several", F.lit(None).cast("boolean"))
+    other = F.xxhash64(F.col(id_col), F.col(text_col).cast("binary")).bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.col(id_col).isNotNull() & F.col("__kw_several").isNull()
+    return found.withColumn("__kw_key", F.when(own, F.col(id_col).cast("bigint")).otherwise(other)).drop("__kw_id", "__kw_several")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
+def _texts(rows: DataFrame, text_col: str) -> DataFrame:
+    return rows.select(F.col("__kw_key").alias("row"), F.col(text_col).cast("binary").alias("text")).filter("octet_length(text) > 0")
 
 
-def chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, longest: int = LONGEST, group: int = 1 << 22) -> DataFrame:
-    """(id, row, start, size, words, digest) of every chunk; words is the number of words that begin in it."""
+#: A chunk in one number: where it starts, and its size, the words that begin in it, in the one before and in the one after it (8 bits each; a chunk of LONGEST bytes has fewer than 256 words).
+_PLACE = {"start": "shiftright(place, 32)", "size": "(shiftright(place, 24) & 255L) + 1L", "words": "shiftright(place, 16) & 255L", "before": "shiftright(place, 8) & 255L", "after": "place & 255L"}
+
+
+def chunks(rows: DataFrame, *, text_col: str = "text", every: int = EVERY, longest: int = LONGEST, group: int = 1 << 22) -> DataFrame:
+    """(row, place, digest) of every chunk of keyed() rows."""
 
     def run(batch: pa.RecordBatch):
-        ids, keys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+        keys, texts = batch.column(0), batch.column(1).to_pylist()
         out, at = [], 0
         while at < len(texts):
             stop, size = at, 0
@@ -99,32 +112,59 @@ def chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", e
             first = ~space
             first[1:] &= space[:-1]
             begun = np.concatenate(([0], np.cumsum(first, dtype=np.int32)))
+            words = (begun[ends] - begun[start]).astype(np.int64)
+            beside = np.where(owner[1:] == owner[:-1], 1, 0)
+            before, after = np.concatenate(([0], words[:-1] * beside)), np.concatenate((words[1:] * beside, [0]))
+            place = (start - begin[owner]) << 32 | (ends - start - 1) << 24 | words << 16 | before << 8 | after
             digest = np.fromiter([_DIGEST(data[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], np.uint64, len(ends)).view(np.int64)
-            take = pa.array(owner + at)
-            out.append(pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(start - begin[owner]), pa.array((ends - start).astype(np.int32)), pa.array((begun[ends] - begun[start]).astype(np.int32)), pa.array(digest)], ["id", "row", "start", "size", "words", "digest"]))
+            out.append(pa.RecordBatch.from_arrays([keys.take(pa.array(owner + at)), pa.array(place), pa.array(digest)], ["row", "place", "digest"]))
             at = stop
         return pa.Table.from_batches(out)
 
-    return map_batches(_rows(docs, id_col, text_col).filter("octet_length(text) > 0"), "id bigint, row bigint, start bigint, size int, words int, digest bigint", run)
-
-
-def _runs(rows: DataFrame) -> DataFrame:
-    """Runs of chunks (run, id, row, start, end, words, chunks) that their partner has too: partner, moved (how much later it stands there), first_id and repeated."""
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
-    shared = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first.row <> last.row")
-    found = rows.join(shared, "digest").withColumn("own", F.col("row") == F.col("first.row"))
-    partner = F.when(F.col("own"), F.col("last")).otherwise(F.col("first"))
-    found = found.select("id", "row", "start", "size", "words", "own", F.col("first.id").alias("first_id"), partner["row"].alias("partner"), (partner["start"] - F.col("start")).alias("moved")).distinct()
-    order = Window.partitionBy("row", "id", "partner", "moved").orderBy("start")
+    if longest > LONGEST:
+        raise ValueError(f"chunks have {LONGEST} bytes at most")
+    return map_batches(_texts(rows, text_col), "row bigint, place bigint, digest bigint", run)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The chunks (row, place, digest) whose digest two rows have, with the first and the last of them. Where the shared digests are few enough, a filter of them (16 MB at most) keeps the others from
+    being shuffled; the join that follows is exact in any case."""
+    shared = rows.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last")
+    shared = cut(shared)
+    bits = filter_bits(shared.count())
+    if bits:
+        at = F.pmod("digest", F.lit(bits))
+        word, bit = F.shiftright(at, 6), F.expr(f"shiftleft(1L, cast(pmod(pmod(digest, {bits}L), 64) as int))")
+        table = shared.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+        rows = rows.join(F.broadcast(table), (word == F.col("word")) & (F.col("bits").bitwiseAND(bit) != 0)).drop("word", "bits")
+    return rows.join(shared, "digest")
+
+
+def _runs(rows: DataFrame, least_words: int, least_bytes: int) -> DataFrame:
+    """Runs of chunks (run, row, start, end, words, chunks) that their partner has too: partner, moved (how much later it stands there), first and own (this row is the first). A chunk is looked at if it
+    and its shared neighbours could, with the whole of the chunks around them, make a span."""
+    found = _shared(rows).select("row", "digest", "first", "last", *[F.expr(e).alias(n) for n, e in _PLACE.items()]).distinct()
+    order = Window.partitionBy("row").orderBy("start")
+    new = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) < F.col("start"), F.lit(True))
+    island = Window.partitionBy("row", "island")
+    found = found.withColumn("island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    begin, end = F.min("start").over(island), F.max(F.col("start") + F.col("size")).over(island)
+    reach_words = F.sum("words").over(island) + F.min_by("before", "start").over(island) + F.max_by("after", "start").over(island)
+    found = found.withColumn("could", (reach_words >= least_words - 1) | (end - begin + 2 * LONGEST >= least_bytes)).filter("could")
+    found = cut(found.select("row", "digest", "start", "size", "words", "first", (F.col("row") == F.col("first")).alias("own"), F.when(F.col("row") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner")))
+    holders = found.groupBy(F.col("digest"), F.col("row").alias("partner")).agg(F.min("start").alias("there"))
+    found = found.join(holders, ["digest", "partner"]).withColumn("moved", F.col("there") - F.col("start"))
+    order = Window.partitionBy("row", "partner", "moved").orderBy("start")
     new = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) < F.col("start"), F.lit(True))
     runs = found.withColumn("nth", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = runs.groupBy("row", "id", "partner", "moved", "nth").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min("first_id").alias("first_id"), (~F.first("own")).alias("repeated"))
+    runs = runs.groupBy("row", "partner", "moved", "nth").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min("first").alias("first"), F.first("own").alias("own"))
     return runs.drop("nth").withColumn("run", F.monotonically_increasing_id())
 
 
-def _surroundings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, reached: int) -> DataFrame:
-    """(row, at, left, around) of each place (row, at, left): the bytes from reached before it to 3 after it, or the other way round."""
-    wanted = places.groupBy("row").agg(F.collect_set(F.struct("at", "left")).alias("wanted"))
+def _surroundings(rows: DataFrame, places: DataFrame, text_col: str, reached: int) -> DataFrame:
+    """(row, at, left, around) of each place (row, at, left): the bytes from reached before it to 3 after it, or the other way round. Texts are shuffled only if there are many places."""
+    wanted = cut(places.groupBy("row").agg(F.collect_set(F.struct("at", "left")).alias("wanted")))
+    n = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         take, at, left, around = [], [], [], []
@@ -136,8 +176,7 @@ def _surroundings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str
                 around.append(raw[max(0, a - reached) : a + 3] if w["left"] else raw[max(0, a - 3) : a + reached])
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(at, pa.int64()), pa.array(left, pa.bool_()), pa.array(around, pa.binary())], ["row", "at", "left", "around"])
 
-    texts = _rows(docs, id_col, text_col).select("row", "text").join(wanted, "row")
-    return map_batches(texts, "row bigint, at bigint, left boolean, around binary", run)
+    return map_batches(_texts(rows, text_col).join(F.broadcast(wanted) if n <= FEW else wanted, "row"), "row bigint, at bigint, left boolean, around binary", run)
 
 
 def extended(own: bytes, other: bytes, own_at: int, other_at: int, left: bool, reached: int) -> tuple[int, int]:
@@ -173,13 +212,13 @@ def spans(
     document may overlap, if it shares one stretch with one partner and another stretch with another."""
     spark = docs.sparkSession
     bounded(spark)
-    at = scratch(spark, "chunks")
-    chunks(docs, id_col=id_col, text_col=text_col, every=every, longest=longest).write.parquet(at)
-    runs = cut(_runs(spark.read.parquet(at)))
+    rows, at = keyed(docs, id_col, text_col), scratch(spark, "chunks")
+    chunks(rows, text_col=text_col, every=every, longest=longest).write.parquet(at)
+    runs = cut(_runs(spark.read.parquet(at), least_words, least_bytes))
     ends = runs.select("run", "row", "partner", "moved", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("start").alias("at")), F.struct(F.lit(False).alias("left"), F.col("end").alias("at")))).alias("e")).select("run", "row", "partner", "moved", "e.left", "e.at")
     ends = ends.withColumn("there", F.col("at") + F.col("moved"))
     places = ends.select("row", "at", "left").unionByName(ends.select(F.col("partner").alias("row"), F.col("there").alias("at"), "left")).distinct()
-    around = cut(_surroundings(docs, places, id_col, text_col, reached).dropDuplicates(["row", "at", "left"]))
+    around = cut(_surroundings(rows, places, text_col, reached).dropDuplicates(["row", "at", "left"]))
     both = ends.join(around, ["row", "at", "left"]).withColumnRenamed("around", "own")
     both = both.join(around.select(F.col("row").alias("partner"), F.col("at").alias("there"), "left", F.col("around").alias("other")), ["partner", "there", "left"])
 
@@ -190,22 +229,33 @@ def spans(
 
     both = both.select("run", "left", grown("own", "other", "at", "there", "left").alias("g"))
     grew = both.groupBy("run").agg(F.sum(F.when(F.col("left"), F.col("g.n"))).alias("before"), F.sum(F.when(~F.col("left"), F.col("g.n"))).alias("after"), F.sum("g.words").alias("more"))
-    whole = runs.join(grew, "run").select("id", "row", "partner", "moved", (F.col("start") - F.col("before")).alias("start"), (F.col("end") + F.col("after")).alias("end"), (F.col("words") + F.col("more")).alias("words"), "chunks", "first_id", "repeated")
+    whole = runs.join(grew, "run").select("row", "partner", "moved", (F.col("start") - F.col("before")).alias("start"), (F.col("end") + F.col("after")).alias("end"), (F.col("words") + F.col("more")).alias("words"), "chunks", "first", "own")
     # runs that one chunk of another partner had parted may now overlap: they are one stretch
-    order = Window.partitionBy("row", "id", "partner", "moved").orderBy("start")
+    order = Window.partitionBy("row", "partner", "moved").orderBy("start")
     upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parted = whole.withColumn("upto", upto).withColumn("nth", F.sum(F.coalesce((F.col("upto") < F.col("start")).cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # words of an overlap count in part: as many as its share of the later run's bytes
     fresh = F.ceil(F.col("words") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("end") - F.greatest("start", F.coalesce("upto", "start"))) / F.greatest(F.col("end") - F.col("start"), F.lit(1)))))
     joined = parted.withColumn("fresh", F.when(F.col("upto") >= F.col("start"), fresh).otherwise(F.col("words")))
-    joined = joined.groupBy("row", "id", "partner", "moved", "nth").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("size"), F.sum("fresh").cast("bigint").alias("words"), F.sum("chunks").alias("chunks"), F.min("first_id").alias("first_id"), F.first("repeated").alias("repeated"))
-    return joined.filter((F.col("words") >= least_words - 1) | (F.col("size") >= least_bytes)).select("id", "row", "start", "size", "words", "chunks", "first_id", "repeated")
+    joined = joined.groupBy("row", "partner", "moved", "nth").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("size"), F.sum("fresh").cast("bigint").alias("words"), F.sum("chunks").alias("chunks"), F.min("first").alias("first"), F.first("own").alias("own"))
+    long = joined.filter((F.col("words") >= least_words - 1) | (F.col("size") >= least_bytes))
+    names = _named(rows, id_col)
+    named = long if names is None else long.join(names.withColumnsRenamed({"key": "row", "name": "id"}), "row").join(names.withColumnsRenamed({"key": "first", "name": "first_id"}), "first")
+    if names is None:
+        named = long.withColumns({"id": F.col("row"), "first_id": F.col("first")})
+    return named.select("id", "row", "start", "size", "words", "chunks", "first_id", (~F.col("own")).alias("repeated"))
+
+
+def _named(rows: DataFrame, id_col: str) -> DataFrame | None:
+    """(key, name): the identifier of each key, or None if they are the same for all rows."""
+    own = rows.select(F.col("__kw_key").alias("key"), F.col(id_col).cast("bigint").alias("name"))
+    return None if own.filter(~F.col("key").eqNullSafe(F.col("name"))).isEmpty() else cut(own.distinct())
 
 
 def remove(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated spans cut out of their texts; spans begin and end between characters. Only documents with such spans are joined."""
     own = found.filter("repeated").groupBy(F.col("row").alias("__kw_row")).agg(F.array_sort(F.collect_list(F.struct("start", "size"))).alias("__kw_spans"))
-    joined = docs.withColumn("__kw_key", row_key(id_col, text_col)).join(own, F.col("__kw_key") == F.col("__kw_row"), "left").drop("__kw_row", "__kw_key")
+    joined = keyed(docs, id_col, text_col).join(own, F.col("__kw_key") == F.col("__kw_row"), "left").drop("__kw_row", "__kw_key")
     raw = F.col(text_col).cast("binary")
     part = lambda a, n: F.substring(raw, a.cast("int"), n.cast("int"))
     kept = F.aggregate(
