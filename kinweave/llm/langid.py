@@ -7,7 +7,7 @@ cosine with its profile.
 
 Texts are lower-cased; any run of characters that are not letters is one boundary symbol with a vector of its own, and each text begins and ends with one.
 
-A text of more than 2**18 characters is bundled in pieces that end at spaces; the few n-grams across their ends aren't counted, which bounds memory whatever a text's length.
+A text of more than 2**19 characters is bundled in pieces that end at spaces; the few n-grams across their ends aren't counted, which bounds memory whatever a text's length.
 
 Defined results: null, empty or letterless texts give `und` with score 0; equal cosines go to the alphabetically first language; without any labelled text
 every text is `und`. Malformed UTF-8 is read with U+FFFD in its place, which is no letter. Repeated rows are treated alike. Only the named id, text and language columns are read, so other columns cannot clash.
@@ -131,7 +131,7 @@ def _pieces(text: str, chars: int) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def bundle(texts: list[str | None], dim: int = 1024, gram: int = 3, seed: int = 7, chars: int = 1 << 18, docs: int = 192) -> tuple[np.ndarray, np.ndarray]:
+def bundle(texts: list[str | None], dim: int = 1024, gram: int = 3, seed: int = 7, chars: int = 1 << 19, docs: int = 192) -> tuple[np.ndarray, np.ndarray]:
     """Profiles of all texts, worked off in groups of bounded size, and whether each has a letter. Of a text of more than chars characters the profiles of its pieces are added up."""
     out, letters = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), bool)
     group, owner, size = [], [], 0
