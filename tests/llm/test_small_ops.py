@@ -89,6 +89,39 @@ def test_toxicity_gain_separates_words():
     assert toxicity.scores([b"x"], toxicity.fit([], [], []))[0] == 0
 
 
+def test_toxicity_training_in_tasks_equals_training_at_once(spark):
+    """The distributed fit against the plain one over the same rows, and the query's scores against compressing every window by itself."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learn = queries.residue(F.col("doc_id"), 3) != 1
+    sizes = {"least": 2, "ratio": 5.0}
+    model = toxicity.train(docs, labels, learn, **sizes)
+    rows = docs.join(labels.filter(learn), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64(F.xxhash64("doc_id", F.col("text").cast("binary"), F.lit(77)), F.lit(5)), F.lit(3)) == 0).alias("held")).filter("text IS NOT NULL").collect()
+    texts = [r["text"].encode() for r in rows]
+    want = toxicity.fit(texts, [r["toxic"] for r in rows], [r["held"] for r in rows], **sizes)
+    assert model.toxic and sorted(model.toxic.split()) == sorted(want.toxic.split()) and sorted(model.ordinary.split()) == sorted(want.ordinary.split())
+    assert np.allclose(model.weights, want.weights, atol=0.05) and abs(model.threshold - want.threshold) < 0.05
+    some = texts[:25]
+    for text, got in zip(some, toxicity.features(some, model), strict=True):
+        gains = []
+        for w in toxicity.words(text):
+            size = [len(toxicity._compressor(content).compress(toxicity.CARRIER + b" " + w + b" " + toxicity.CARRIER)) for content in (model.ordinary, model.toxic)]
+            gains.append(size[0] - size[1])
+        top = [max(0, g) for g in sorted(gains)[-3:]]
+        assert got.tolist() == [top[-1], sum(top), np.log1p(len(gains))] if gains else got.tolist() == [0, 0, 0]
+
+
+def test_toxicity_sample_is_bounded_and_whole(spark):
+    filler = "plain words of an ordinary text go on and on here " * 900  # over 32768 characters before the words that count
+    rows = [(i, filler + (f"quzzbrap a{i} quzzbrap b{i} quzzbrap" if i % 2 else f"nothing a{i} b{i}")) for i in range(40)] + [(7, "one row " * 3)] * 500
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.train(docs, labels, F.lit(True), per_class=15, ratio=5.0)
+    assert b"quzzbrap" in model.toxic  # late in long texts
+    found = toxicity.score(docs.dropDuplicates(), model, keep=["doc_id"]).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in found if r["doc_id"] != 7)
+
+
 def test_toxicity_awkward(spark, tmp_path):
     labels = spark.createDataFrame([(1, 0, 1), (5, 1, 0), (None, 1, 1), (6, 1, None), (2, 0, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
     sf = table(tmp_path, spark, documents=awkward(spark), labels=labels)
@@ -385,6 +418,47 @@ def test_url_rules(spark):
         assert r["allowed"] == {"allow": True, "block": False, None: None}[verdict]
 
 
+def _likelihood(urls, url, order=5):
+    """By the definition: a context's distribution over what followed it, blended with that of the context one shorter."""
+    def chance(context, c):
+        shorter = chance(context[1:], c) if context else 1 / 257
+        after = [u[i] if i < len(u) else 256 for u in urls for i in range(len(context), len(u) + 1) if u[i - len(context) : i] == context]
+        return (after.count(c) + len(set(after)) * shorter) / (len(after) + len(set(after))) if after else shorter
+
+    return sum(np.log(chance(url[max(0, i - order) : i], url[i] if i < len(url) else 256)) for i in range(len(url) + 1))
+
+
+def test_url_verdicts_against_brute_force(spark):
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefé"), rng.integers(2, 6)))
+    rows = [(i, f"http://{word()}.{('net/de', 'org/es')[i % 2]}/{word()}") for i in range(60)] + [(100 + i, f"http://{word()}.{('xyz/de', 'xyz/es')[i % 2]}/{word()}") for i in range(14)] + [(200, None), (201, "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    ruled = urlfilter.ruled(pages, queries.URL_RULES)
+    model = urlfilter.train(ruled)
+    key = F.xxhash64("id", F.col("url").cast("binary"), F.lit(77))
+    held = {r["id"]: r["h"] for r in ruled.select("id", (F.pmod(F.xxhash64(key, F.lit(9)), F.lit(4)) == 0).alias("h")).collect()}
+    own = [[u.encode() for i, u in rows[:60] if i % 2 == k and not held[i]] for k in (0, 1)]
+    raw = {i: (_likelihood(own[0], (u or "").encode()) - _likelihood(own[1], (u or "").encode())) / (len((u or "").encode()) + 1) for i, u in rows}
+    allowed, blocked = ([raw[i] for i, _ in rows[:60] if i % 2 == k and held[i]] for k in (0, 1))
+    wrong = lambda t: sum(x < t for x in allowed) / len(allowed) + sum(x >= t for x in blocked) / len(blocked)
+    assert wrong(model.threshold) <= min(wrong(t) for t in np.linspace(min(raw.values()) - 1, max(raw.values()) + 1, 400)) + 1e-9
+    for r in urlfilter.judge(ruled, model).collect():
+        assert abs(r["score"] - (raw[r["id"]] - model.threshold)) < 1e-9
+        assert r["verdict"] == (("allow", "block")[r["id"] % 2] if r["id"] < 60 else "allow" if r["score"] >= 0 else "block")
+
+
+def test_malformed_text_is_read_with_replacements(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(F.lit("the quick brown fox "), F.unhex(F.lit("C3")).cast("string"), F.lit(" jumps over")).alias("text"), F.lit("en").alias("lang"))
+    model = langid.train(docs, F.lit(True))
+    assert {r["lang_pred"] for r in langid.predict(docs, model).collect()} == {"en"}
+    counted = tokencount.count_tokens(docs, public_tokenizers.path(queries.COUNT_TOKENIZER), keep=["doc_id"])
+    fixed = tokencount.count_tokens(docs.withColumn("text", F.lit("the quick brown fox \ufffd jumps over")), public_tokenizers.path(queries.COUNT_TOKENIZER), keep=["doc_id"])
+    assert [tuple(r) for r in counted.collect()] == [tuple(r) for r in fixed.collect()]
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.net/"), F.col("text")).alias("url"))
+    ruled = urlfilter.ruled(pages, queries.URL_RULES)
+    assert urlfilter.judge(ruled, urlfilter.train(ruled)).select("verdict").count() == 3
+
+
 def test_url_model_and_awkward(spark, tmp_path):
     rows = [(i, f"http://good.net/de/{i}" if i % 2 else f"http://bad.org/es/{i}?spam=win") for i in range(400)] + [(1000, "http://other.xyz/free?spam=win"), (1001, "http://good.xyz/de/5"), (None, None), (1002, ""), (1002, "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string")
