@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,26 @@ def plot_labels(points: DataFrame) -> DataFrame:
     return points.filter("label >= 0").groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).select(F.format_string("P%03d", F.col("label").cast("int")).alias("text"), "x", "y")
 
 
+def plot_pixels(points: DataFrame, width: int = 640, height: int = 480) -> DataFrame:
+    """(px, py, label, alpha) of the pixels that points (label, x, y, alpha) fall on, at most width * height rows: the point of the largest alpha is seen (ties: the smaller label)."""
+    ends = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    at = lambda c, n: F.least(F.lit(n - 1), F.floor((F.col(c) - F.col(f"{c}0")) / F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(1e-12)) * n)).cast("int")
+    placed = points.crossJoin(F.broadcast(ends)).select(at("x", width).alias("px"), at("y", height).alias("py"), "label", "alpha")  # one row
+    return placed.groupBy("px", "py").agg(F.max(F.struct("alpha", (-F.col("label")).alias("m"))).alias("top")).select("px", "py", (-F.col("top.m")).cast("int").alias("label"), "top.alpha")
+
+
+def plot_image(points: DataFrame, width: int = 640, height: int = 480) -> np.ndarray:
+    """A BGR picture of the points: a colour for each label, gray for noise, paler the smaller alpha. What comes to the driver is a row per pixel."""
+    image = np.full((height, width, 3), 255.0)
+    for r in plot_pixels(points, width, height).toLocalIterator():
+        turn = (r["label"] * 0.61803398875) % 1.0 * 2 * np.pi
+        colour = np.array([128.0] * 3) if r["label"] < 0 else 128 + 100 * np.cos(turn + np.array([0, 2.0944, 4.1888]))
+        y, x = height - 1 - r["py"], r["px"]
+        part = image[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+        part += (colour - part) * r["alpha"]
+    return image.astype(np.uint8)
+
+
 def top_per_cluster(faces: DataFrame, k: int = 4) -> DataFrame:
     """(cluster_name, t1, ..., tk): the first k image names of each cluster, empty where there are fewer. The k least are found before the rows of a label meet."""
     rank = F.row_number().over(Window.partitionBy("label").orderBy("ord"))

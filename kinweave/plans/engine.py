@@ -147,6 +147,8 @@ class Engine:
         rows = faces.join(assigned, "face_id", "left").fillna(defaults).withColumn("ord", F.col("id"))
         self.progress.step("plot")
         w.write("plot_points", report.plot_points(imaging.project_2d(rows.withColumn("emb", F.col("embedding").cast("array<double>")))).select("face_id", "label", "x", "y", "marker", "size", "alpha"))
+        picture = self.spark.createDataFrame([("_metadata/confidence_heatmap.png", bytearray(imaging.png(report.plot_image(w.read("plot_points")))))], "name string, content binary")
+        put_files(picture, out)
         self.progress.step("report")
         w.write("manifest", report.manifest(rows).withColumn("cluster_name", S.person_name(F.col("label"))).drop("embedding"), partition_by="cluster_name")
         rows.filter("in_review").select("face_id", "image_path", F.col("label").alias("current_label"), "confidence", "quality_score").write.mode("overwrite").json(f"{out}/_metadata/review_items")

@@ -265,14 +265,17 @@ def incremental_anti(spark, sf):
 
 @query("WITH " + X.IMAGES + ", done AS (SELECT DISTINCT image_hash FROM images WHERE doc_id < 500) SELECT doc_id FROM images WHERE image_hash IN (SELECT image_hash FROM done)")
 def processed_semi(spark, sf):
+    from kinweave.sources.images import processed
+
     rows = X.images(spark, sf)
-    return rows.join(rows.filter("doc_id < 500").select("image_hash"), "image_hash", "left_semi").select("doc_id")
+    return processed(rows, rows.filter("doc_id < 500").select("image_hash")).select("doc_id")
 
 
 @query("WITH " + X.FACES + " SELECT id, label, (SELECT count(*) FROM faces) AS faces FROM faces WHERE id = 7")
 def lookup_face(spark, sf):
-    rows = X.raw(spark, sf)
-    return rows.filter("id = 7").select("id", "label").crossJoin(rows.agg(F.count("*").alias("faces")))
+    from kinweave.sources.tables import lookup
+
+    return lookup(X.raw(spark, sf).select("id", "label"), "id", 7, "faces")
 
 
 @query("SELECT vec_id AS id, label FROM embeddings UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id < 50")

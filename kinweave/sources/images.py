@@ -43,6 +43,11 @@ def undecoded(files: DataFrame, images: DataFrame) -> DataFrame:
     return files.select("path").join(images.select("path"), "path", "left_anti")
 
 
+def processed(images: DataFrame, done: DataFrame) -> DataFrame:
+    """images whose hash is among the processed ones."""
+    return images.join(done.select("image_hash").distinct(), "image_hash", "left_semi")
+
+
 def unprocessed(images: DataFrame, processed: DataFrame) -> DataFrame:
     """images whose hash is not among the processed ones; an image without a hash stays."""
     return images.join(processed.select("image_hash").distinct(), "image_hash", "left_anti")

@@ -40,6 +40,11 @@ def read_log(spark: SparkSession, path: str, last: int = 200) -> DataFrame:
     return lines.orderBy(F.desc("n")).limit(last).crossJoin(lines.agg(F.count("*").alias("total"))).orderBy("n")
 
 
+def lookup(rows: DataFrame, key: str, value: object, total: str = "total") -> DataFrame:
+    """The rows whose key has the value, with the number of all rows; none if there is no such row."""
+    return rows.filter(F.col(key) == value).crossJoin(rows.agg(F.count("*").alias(total)))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a folder of JSON lines; none where there is no such folder yet."""
     try:

@@ -112,6 +112,15 @@ def test_file_names_are_different(spark):
     assert report.manifest(rows).filter("label = 1").first()["file_name"] == "x.jpg"
 
 
+def test_plot_pixels(spark):
+    points = spark.createDataFrame([(0, 0.0, 0.0, 0.9), (1, 0.001, 0.0, 0.3), (-1, 1.0, 1.0, 0.5), (2, 1.0, 0.0, 0.9), (3, 1.0, 0.0, 0.9)], "label int, x double, y double, alpha double")
+    got = sorted((r["px"], r["py"], r["label"]) for r in report.plot_pixels(points, 10, 8).collect())
+    assert got == [(0, 0, 0), (9, 0, 2), (9, 7, -1)]
+    image = report.plot_image(points, 10, 8)
+    assert image.shape == (8, 10, 3) and (image[0, 9] < 250).any() and (image[3, 5] == 255).all()
+    assert (report.plot_image(points.limit(0), 4, 4) == 255).all()
+
+
 def test_settings_have_an_effect(spark):
     from kinweave.operators import quality
 
@@ -404,6 +413,7 @@ def test_engine_end_to_end(spark, tmp_path):
     assert engine.counts == {"images": 11, "faces": 9, "skipped_decode": 1, "skipped_detect": 1, "skipped_gate": 0, "skipped_align": 0, "skipped_embed": 0}
     assert {(r["image_path"].rsplit("/", 1)[1], r["stage"]) for r in engine.workspace.read("skipped").collect()} == {("blank.bmp", "detect"), ("lost.webp", "decode")}
     assert engine.progress.state["status"] == "done" and engine.progress.state["progress"] == 100
+    assert (out / "_metadata" / "confidence_heatmap.png").read_bytes()[:4] == b"\x89PNG"
     assert engine.review_items().count() <= 9 and engine.face_metadata().count() == 9
     assert "thresholds" in json.loads(next((out / "_metadata" / "threshold_report").glob("*.txt")).read_text())
     people = {r["face_id"]: int(r["image_path"].rsplit("/p", 1)[1].split(".")[0]) % 3 for r in engine.workspace.read("faces").collect()}
