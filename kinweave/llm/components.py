@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import cut
 
 
-def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) for every node of a link: component is the smallest node reachable. Each step is a grouped minimum and an equi-join, so a hub's links are summed
-    before the shuffle and split by a skew join; each round's links go to the shared folder. Raises after the given number of rounds (never met: they halve the paths)."""
+    before the shuffle and split by a skew join; each round's links go to the shared folder. Rounds shorten all paths, so they end by themselves."""
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).filter("u <> v").distinct()
     edges = cut(edges)
     before = None
-    for _ in range(rounds):
+    while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -25,4 +25,3 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
