@@ -551,6 +551,28 @@ def merge_clusters(spark, sf):
     return refine.merge_clusters(X.faces(spark, sf), 2.5).select("id", "label")
 
 
+#: Greedy merging of the closest mean vectors under a threshold, step by step; homes has each label's new one.
+_MERGED = """,
+    gather AS (SELECT label, pos, sum(x) AS s FROM (SELECT label, unnest(emb) AS x, generate_subscripts(emb, 1) AS pos FROM {rows} WHERE label >= 0) GROUP BY label, pos),
+    whole AS (SELECT label, list(s ORDER BY pos) AS t FROM gather GROUP BY label),
+    merging AS (
+        SELECT 0 AS step, list(label ORDER BY label) AS first, list(label ORDER BY label) AS ls, list(t ORDER BY label) AS ts, list(label ORDER BY label) AS home FROM whole
+        UNION ALL
+        SELECT step + 1, first, list_filter(ls, lambda l: l <> ls[b.j]),
+            list_transform(list_filter(range(1, len(ls) + 1), lambda k: k <> b.j), lambda k: CASE WHEN k = b.i THEN list_transform(list_zip(ts[b.i], ts[b.j]), lambda p: p[1] + p[2]) ELSE ts[k] END),
+            list_transform(home, lambda h: CASE WHEN h = ls[b.j] THEN ls[b.i] ELSE h END)
+        FROM (SELECT *, list_min(list_filter(flatten(list_transform(range(1, len(ls)), lambda i: list_transform(range(i + 1, len(ls) + 1), lambda j: {{'d': list_cosine_distance(ts[i], ts[j]), 'i': i, 'j': j}}))), lambda p: p.d < {threshold})) AS b FROM merging)
+        WHERE b IS NOT NULL
+    ),
+    homes AS (SELECT unnest(first) AS label, unnest(home) AS home FROM (SELECT * FROM merging ORDER BY step DESC LIMIT 1))"""
+
+
+@query("WITH RECURSIVE " + X.FACES.strip() + _MERGED.format(rows="faces", threshold=0.9) + " SELECT id, home::INT AS label FROM faces JOIN homes USING (label)")
+def merge_close_clusters(spark, sf):
+    """At a threshold at which some clusters are merged, one after another, and others stay."""
+    return refine.merge_clusters(X.faces(spark, sf), 0.9).select("id", "label")
+
+
 @query()
 def split_clusters(spark, sf):
     return refine.split_clusters(X.faces(spark, sf), 0.1).select("id", "label")
@@ -569,6 +591,12 @@ def refine_fixed(spark, sf):
     return rounded(refine.refine(X.labelled(spark, sf), refine.RefineConfig(merge_threshold=0.05, split_threshold=1.9)))
 
 
+@query("WITH RECURSIVE " + X.LABELLED.replace("labelled AS", "given AS").strip() + _MERGED.format(rows="given", threshold=0.9) + ", old AS (SELECT id, emb, probability, coalesce(home, label)::INT AS label FROM given LEFT JOIN homes USING (label))" + _REFINED[len(X.LABELLED) - len("labelled") + len("old"):] + f" SELECT id, label, {q6('confidence')} AS confidence, label = -1 OR confidence < 0.4 AS in_review FROM conf")
+def refine_merging(spark, sf):
+    """Refinement that merges; nothing is split, so that SQL can follow it."""
+    return rounded(refine.refine(X.labelled(spark, sf), refine.RefineConfig(merge_threshold=0.9, split_threshold=1.9)))
+
+
 # --- evaluation
 
 _MATCHED = "WITH " + X.TRUTH + ", m AS (SELECT n.face_id, n.label AS pred, coalesce(a.gt_label, b.gt_label{c}) AS gt FROM named n LEFT JOIN truth a ON a.key = n.face_id LEFT JOIN truth b ON b.key = n.image_path {j}), v AS (SELECT * FROM m WHERE gt IS NOT NULL)"
