@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
-from kinweave.operators import clustering, evaluate, identities, imaging, refine, report, similarity, thresholds
+from kinweave.operators import clustering, evaluate, graph, identities, imaging, refine, report, similarity, thresholds
 from kinweave.sources import config, images, tables
 
 
@@ -523,3 +523,32 @@ def test_unknown_reducers_are_refused(spark, kind):
     rows = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, emb array<double>")
     with pytest.raises(ValueError, match="reducer.kind"):
         engine.group(rows, rows.limit(0), config.EngineConfig(reducer=config.ReducerConfig(kind=kind)))
+
+
+class _Cluster:
+    """Enough of a session on a cluster without a checkpoint folder."""
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Held:
+                    getCheckpointDir = staticmethod(lambda: type("None_", (), {"isDefined": staticmethod(lambda: False)}))
+
+                return Held
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        graph.shared_dir(_Cluster)
