@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinweave.llm import components, exact, mixing, packing, queries, simhash
+from kinweave.llm import common, components, exact, mixing, packing, queries, simhash
 from kinweave.llm.running import running_total
 from tests.llm.helpers import ROWS, awkward, empty, table
 
@@ -467,3 +467,32 @@ def test_pipeline_near_dedup_links_chains_and_sets(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     left = sorted((r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()), key=str)
     assert left == [2, 3, 7, None]
+
+
+class _Cluster:
+    """Enough of a session on a cluster without a checkpoint folder."""
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Held:
+                    getCheckpointDir = staticmethod(lambda: type("None_", (), {"isDefined": staticmethod(lambda: False)}))
+
+                return Held
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(_Cluster)
