@@ -52,4 +52,4 @@ def test_queries_without_sql(spark):
     dispatched = catalog.queries()["cluster_dispatch"](spark, SF).collect()
     assert len(dispatched) == len(truth) and all(0 <= r["probability"] <= 1 for r in dispatched)
     grid = catalog.queries()["calibration_grid"](spark, SF).collect()
-    assert [(r["min_cluster_size"], r["min_samples"]) for r in grid] == [(2, 1), (2, 2), (5, 1), (5, 2)] and all(0 <= r["f1"] <= 1 for r in grid)
+    assert [(r["min_cluster_size"], r["min_samples"]) for r in grid] == [(a, b) for a in (2, 3, 5) for b in (1, 2, 3)] and all(0 <= r["f1"] <= 1 for r in grid)
