@@ -89,13 +89,25 @@ def release() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], setup: Callable[[], None] | None = None) -> DataFrame:
-    """Apply fn to every Arrow batch, which are bounded in bytes; empty results are skipped."""
+#: What operators keep in a worker for their next task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def forget(but: str = "") -> None:
+    """Drop what other operators have kept in this worker: it now works for another stage."""
+    kept = [k for name, k in KEPT.items() if name != but and k]
+    for k in kept:
+        k.clear()
+    if kept:
+        release()
+
+
+def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], keeps: str = "") -> DataFrame:
+    """Apply fn to every Arrow batch, which are bounded in bytes; empty results are skipped. keeps: whose kept things stay (see KEPT)."""
     bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if setup:
-            setup()
+        forget(but=keeps)
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded, decoded, map_batches, unit_hash
+from kinweave.llm.common import bounded, decoded, forget, map_batches, unit_hash
 
 UNKNOWN = "und"
 _POINTS = 0x110000
@@ -205,6 +205,7 @@ def predict(docs: DataFrame, model: Profiles, *, text_col: str = "text", keep: l
 
     @F.arrow_udf("struct<lang_pred string, score double, lead double>")
     def judge(texts: pa.Array) -> pa.Array:
+        forget()
         lang, score, lead = decide(decoded(texts), model)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())], list(added))
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import cut, map_batches
+from kinweave.llm.common import KEPT, cut, map_batches
 from kinweave.llm.running import running_total
 
 WINDOW = 4096
@@ -159,6 +159,7 @@ class ChunkTokenizer:
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
+KEPT["packing"] = _tokenizers
 
 
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
@@ -186,7 +187,7 @@ def pieces(docs: DataFrame, path: str, *, end_id: int = 2, window: int = WINDOW,
         return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, ["ord", "id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
     rows = docs.select(F.col(order_col or id_col).cast("bigint").alias("ord"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return map_batches(rows, "ord bigint, id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids, run)
+    return map_batches(rows, "ord bigint, id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids, run, keeps="packing")
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:

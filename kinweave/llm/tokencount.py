@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import decoded, map_batches
+from kinweave.llm.common import KEPT, decoded, map_batches
 
 SPACE = "▁"
 _PENALTY = 10.0
@@ -114,6 +114,7 @@ class Counter:
 
 
 _counters: dict[str, Counter] = {}
+KEPT["tokencount"] = _counters
 
 
 def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", keep: list[str]) -> DataFrame:
@@ -127,4 +128,4 @@ def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", keep: li
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], [*keep, "n_tokens", "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + ["n_tokens bigint", "score double"])
-    return map_batches(kept, schema, run)
+    return map_batches(kept, schema, run, keeps="tokencount")
