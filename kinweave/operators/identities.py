@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import person_name
 from kinweave.functions.vectors import double, l2_normalize, vector_mean
+from kinweave.operators.graph import numbered
 from kinweave.operators.similarity import nearest
 
 
@@ -19,9 +20,8 @@ def classify_known(faces: DataFrame, identities: DataFrame, threshold: float = 0
 def learn(faces: DataFrame, corrections: DataFrame, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
     """(pos, identity_id, label, n, centroid) from corrections (id, label) with label >= 0 of faces that exist: the unit mean vector of each label, in label order."""
     own = faces.join(corrections.filter("label >= 0").select(id_col, F.col("label").alias("__label")), id_col).select(F.col("__label").alias("label"), F.col(vec_col).alias("__v"))
-    means = vector_mean(own, "label", "__v")
-    pos = (F.row_number().over(Window.orderBy("label")) - 1).cast("int")  # one row per label
-    return means.select(pos.alias("pos"), person_name(F.col("label")).alias("identity_id"), "label", "n", l2_normalize(F.col("centroid")).alias("centroid"))
+    means = numbered(vector_mean(own, "label", "__v"), "label", "pos")
+    return means.select(F.col("pos").cast("int").alias("pos"), person_name(F.col("label")).alias("identity_id"), "label", "n", l2_normalize(F.col("centroid")).alias("centroid"))
 
 
 def merge_identities(known: DataFrame, learned: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -34,8 +34,8 @@ def merge_identities(known: DataFrame, learned: DataFrame, threshold: float = 0.
     average = lambda acc, s: l2_normalize(F.zip_with(acc, s["new"], lambda a, b: (a + b) / 2))
     updated = base.select("pos", "identity_id", F.when(F.col("news").isNull(), double(F.col("centroid"))).otherwise(F.aggregate("news", double(F.col("centroid")), average)).alias("centroid"))
     rest = learned.join(found.select("label"), "label", "left_anti")
-    start = known.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("start"))
-    added = rest.crossJoin(F.broadcast(start)).select((F.col("start") + F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("pos"), "identity_id", double(F.col("centroid")).alias("centroid"))
+    start = known.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+    added = numbered(rest, "label", "nth").select((F.col("nth") + start).cast("int").alias("pos"), "identity_id", double(F.col("centroid")).alias("centroid"))
     return updated.unionByName(added)
 
 
