@@ -47,7 +47,8 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read(media.store(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["doc_id", "n_bytes"])
+    found = media.read(media.store(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["doc_id", "n_bytes"])
+    return found.withColumn("clips", F.to_json("clips"))
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
