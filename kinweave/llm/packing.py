@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -43,7 +44,9 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: np.nda
     """The stretches flat[starts[w] : starts[w] + lens[w]] of all w in which, one after another, and the length of each."""
     n = lens[which]
     before = np.cumsum(n) - n
-    return flat[np.repeat(starts[which] - before, n) + np.arange(int(n.sum()), dtype=starts.dtype)], n
+    at = np.repeat((starts[which] - before).astype(np.int32), n)  # places in a group of some MB
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], n
 
 
 class ChunkTokenizer:
@@ -53,12 +56,13 @@ class ChunkTokenizer:
     are lower-cased, as the normaliser does it, and cut into words and what is between, any other run is left as it is. Each different piece is tokenized by the library, words many at a time (their
     ids part at the tokens with the suffix), and the texts' ids are gathered from the pieces' by position. Ids of pieces are kept up to `room` bytes; then all are forgotten."""
 
-    def __init__(self, path: str, room: int = 40 << 20):
+    def __init__(self, path: str, room: int = 34 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        found = re.search(r'"end_of_word_suffix"\s*:\s*(null|"(?:[^"\\]|\\.)*")', self.tokenizer.to_str())  # not the whole file as objects
+        suffix = json.loads(found[1]) if found else None
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.last[i] = bool(suffix) and token.endswith(suffix)

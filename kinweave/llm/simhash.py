@@ -237,7 +237,7 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def spanning(key: np.ndarray, f: np.ndarray, limit: int, room: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spanning(key: np.ndarray, f: np.ndarray, limit: int, room: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the rows in the index, and links (positions there) that connect what any chain of links within a key connects."""
     order = np.lexsort([*gray_rank(f).T[::-1], key])
     key, f = key[order], f[order]
@@ -351,7 +351,7 @@ def _set_table(docs: DataFrame, id_col: str, text_col: str, size: int, words: in
     return map_batches(rows, "id bigint, " + ", ".join(f"f{k} bigint" for k in range(words)) + ", digest bigint, n bigint", run)
 
 
-def similar(sets: list[np.ndarray], key: np.ndarray, left: np.ndarray, right: np.ndarray, least: tuple[int, int], room: int = 1 << 21) -> np.ndarray:
+def similar(sets: list[np.ndarray], key: np.ndarray, left: np.ndarray, right: np.ndarray, least: tuple[int, int], room: int = 1 << 20) -> np.ndarray:
     """Labels of sets (sorted hashes without repeats): equal for those that a chain of pairs connects, each pair of one key, one of left and one of right (masks), and of a Jaccard similarity of
     least[0] / least[1] or more, counted exactly. Sets come sorted by key. Common members are counted through lists of the sets that have a hash, about room entries at a time."""
     label = np.arange(len(sets))
@@ -393,7 +393,7 @@ def similar(sets: list[np.ndarray], key: np.ndarray, left: np.ndarray, right: np
     return label
 
 
-def _verifier(size: int, least: tuple[int, int], chunk: int = 1 << 19):
+def _verifier(size: int, least: tuple[int, int], chunk: int = 1 << 18):
     """Rows (key, cross, side, id, text) that come sorted by key, to links (a, b) between ids: a spanning set of each key's verified pairs (of different sides, if cross). Holds about chunk shingles and one key's."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch | None:
