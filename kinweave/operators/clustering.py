@@ -6,11 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import clip, safe_ratio
-from kinweave.functions.vectors import cosine_distance, double, euclidean_distance, matrix, vector_mean
+from kinweave.functions.vectors import cosine_distance, double, euclidean_distance, vector_mean
+from kinweave.operators import hierarchy
 from kinweave.operators.graph import components, cut, numbered, spanning
 from kinweave.operators.similarity import distances, pair_blocks
 
@@ -23,7 +24,7 @@ class ClusterConfig:
     db_min_samples: int = 2
     noise_fallback_ratio: float = 0.6
     fallback: str | None = "dbscan"
-    #: Rows up to which the spanning tree is built in one task; more go through rounds of block joins.
+    #: Rows up to which a hierarchy is built in one task; more go through rounds of joins.
     one_task: int = 8192
 
 
@@ -90,185 +91,10 @@ def sizes(rows: DataFrame) -> DataFrame:
     return rows.filter("label >= 0").groupBy("label").agg(F.count("*").alias("n"))
 
 
-def core_distances(rows: DataFrame, min_samples: int, id_col: str, vec_col: str) -> DataFrame:
-    """(id, core): distance to the min_samples-th nearest row, itself being the first."""
-    k = min_samples - 1
-
-    def fn(ia, va, ib, vb, same):
-        d = distances(va, vb, "euclidean")
-        if same:
-            np.fill_diagonal(d, np.inf)
-        out = []
-        for ids, m in ((ia, d),) if same else ((ia, d), (ib, d.T)):
-            if m.size:
-                least = np.sort(m, axis=1)[:, :k]
-                out.append(pa.table({"id": pa.array(np.repeat(ids, least.shape[1])), "d": pa.array(least.ravel())}))
-        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-
-    found = pair_blocks(rows, id_col, vec_col, "id bigint, d double", fn)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d"))
-    return found.withColumn("r", rank).filter(F.col("r") == k).select("id", F.col("d").alias("core"))
-
-
-def _reach(va: np.ndarray, ca: np.ndarray, vb: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    """Mutual reachability, to nine digits after the point, so that both ways to build a tree see the same ties."""
-    return np.round(np.maximum(np.maximum(distances(va, vb, "euclidean"), ca[:, None]), cb[None, :]), 9)
-
-
-def _prim(ids: np.ndarray, v: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
-    """The tree of the least edges by (weight, smaller id, larger id); ids are sorted. No two edges are equal in this order, so there is one such tree."""
-    n, edges = len(ids), []
-    best, low, high, out = np.full(n, np.inf), np.full(n, n), np.full(n, n), np.ones(n, bool)
-    at, places = 0, np.arange(n)
-    for _ in range(n - 1):
-        out[at] = False
-        d = _reach(v[at : at + 1], core[at : at + 1], v, core)[0]
-        lo, hi = np.minimum(places, at), np.maximum(places, at)
-        closer = out & ((d < best) | ((d == best) & ((lo < low) | ((lo == low) & (hi < high)))))
-        best[closer], low[closer], high[closer] = d[closer], lo[closer], hi[closer]
-        left = np.flatnonzero(out)
-        least = left[best[left] == best[left].min()]
-        at = int(least[np.lexsort((high[least], low[least]))[0]])
-        edges.append((int(ids[low[at]]), int(ids[high[at]]), float(best[at])))
-    return edges
-
-
-def spanning_tree(rows: DataFrame, config: ClusterConfig, *, id_col: str = "id", vec_col: str = "emb") -> list[tuple[int, int, float]]:
-    """Edges of a minimum spanning tree of mutual reachability. Of equal weights the edge of the smaller ids counts less, so the tree doesn't depend on how it is built. Few rows:
-    Prim in one task. More: rounds in which every component finds its lightest edge to another, each pair of blocks sending one per component."""
-    points = rows.select(F.col(id_col).alias("id"), double(F.col(vec_col)).alias("v"))
-    if config.min_samples > 1:
-        points = points.join(core_distances(rows, config.min_samples, id_col, vec_col), "id", "left").fillna(0.0, ["core"])
-    else:
-        points = points.withColumn("core", F.lit(0.0))
-    points = cut(points)
-    n = points.count()
-    if n < 2:
-        return []
-    if n <= config.one_task:
-        def grow(t: pa.Table) -> pa.Table:
-            t = t.sort_by("id")
-            e = _prim(t.column("id").to_numpy(), matrix(t.column("v")), t.column("core").to_numpy())
-            return pa.table({"a": pa.array([x[0] for x in e], pa.int64()), "b": pa.array([x[1] for x in e], pa.int64()), "d": pa.array([x[2] for x in e], pa.float64())})
-
-        return [tuple(r) for r in points.groupBy(F.lit(0).alias("g")).applyInArrow(grow, "a bigint, b bigint, d double").collect()]
-    edges: list[tuple[int, int, float]] = []
-    state = cut(points.withColumn("c", F.col("id")))
-    while len(edges) < n - 1:
-        packed = state.select("id", F.concat("v", F.array("core", F.col("c").cast("double"))).alias("v"))
-
-        def lightest(ia, va, ib, vb, same):
-            d = _reach(va[:, :-2], va[:, -2], vb[:, :-2], vb[:, -2])
-            d[va[:, -1][:, None] == vb[:, -1][None, :]] = np.inf
-            out = []
-            for ids, comp, others, m in ((ia, va[:, -1], ib, d), (ib, vb[:, -1], ia, d.T)):
-                if not m.size:
-                    continue
-                k = m.argmin(1)  # others come in the order of ids, so the first of equal ones makes the least edge
-                w = m[np.arange(len(k)), k]
-                order = np.lexsort((np.maximum(ids, others[k]), np.minimum(ids, others[k]), w, comp))
-                first = order[np.concatenate(([True], comp[order][1:] != comp[order][:-1]))]
-                first = first[np.isfinite(w[first])]
-                out.append(pa.table({"c": pa.array(comp[first].astype(np.int64)), "a": pa.array(np.minimum(ids[first], others[k[first]])), "b": pa.array(np.maximum(ids[first], others[k[first]])), "d": pa.array(w[first])}))
-            return pa.concat_tables(out) if out else pa.table({"c": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-
-        found = pair_blocks(packed, "id", "v", "c bigint, a bigint, b bigint, d double", lightest)
-        chosen = cut(found.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.*").distinct())
-        new = [(r["a"], r["b"], r["d"]) for r in chosen.collect()]
-        edges += new
-        home = state.select(F.col("id").alias("x"), F.col("c"))
-        links = chosen.join(home.withColumnsRenamed({"x": "a", "c": "ca"}), "a").join(home.withColumnsRenamed({"x": "b", "c": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = components(state.select(F.col("c").alias("id")).distinct(), links)
-        state = cut(state.join(merged.withColumnsRenamed({"id": "c", "component": "n"}), "c").select("id", "v", "core", F.col("n").alias("c")))
-    return edges
-
-
-def excess_of_mass(ids: list[int], edges: list[tuple[int, int, float]], min_cluster_size: int) -> dict[int, tuple[int, float]]:
-    """Label and probability of each id, from a spanning tree's edges. The root is never a cluster. Labels number the clusters by their smallest id."""
-    n, place = len(ids), {x: i for i, x in enumerate(ids)}
-    parent, node, size = list(range(n)), list(range(n)), [1] * n
-    left, right, height = [], [], []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b, d in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
-        x, y = find(place[a]), find(place[b])
-        if x == y:
-            continue
-        left.append(node[x]), right.append(node[y]), height.append(d)
-        size.append(size[node[x]] + size[node[y]])
-        parent[y] = x
-        node[x] = n + len(left) - 1
-    if not left:
-        return {x: (-1, 0.0) for x in ids}
-
-    def leaves(k: int) -> list[int]:
-        out, todo = [], [k]
-        while todo:
-            k = todo.pop()
-            if k < n:
-                out.append(k)
-            else:
-                todo += [left[k - n], right[k - n]]
-        return out
-
-    birth, above, stability, fallen, below = [0.0], [-1], [0.0], [[]], [[]]
-    todo = [(n + len(left) - 1, 0)]
-    while todo:
-        k, c = todo.pop()
-        if k < n:
-            fallen[c].append((k, np.inf))
-            continue
-        density = 1 / height[k - n] if height[k - n] > 0 else np.inf
-        sides = [left[k - n], right[k - n]]
-        big = [s for s in sides if size[s] >= min_cluster_size]
-        gain = (lambda m: m * (min(density, 1e300) - birth[c])) if density != birth[c] else (lambda m: 0.0)
-        if len(big) == 2:
-            for s in sides:
-                stability[c] += gain(size[s])
-                birth.append(density), above.append(c), stability.append(0.0), fallen.append([]), below.append([])
-                below[c].append(len(birth) - 1)
-                todo.append((s, len(birth) - 1))
-            continue
-        for s in sides:
-            if s in big:
-                todo.append((s, c))
-            else:
-                stability[c] += gain(size[s])
-                fallen[c] += [(p, density) for p in leaves(s)]
-    selected = [False] * len(birth)
-    worth = stability[:]
-    for c in range(len(birth) - 1, 0, -1):
-        inner = sum(worth[b] for b in below[c])
-        selected[c] = not below[c] or stability[c] >= inner
-        worth[c] = stability[c] if selected[c] else inner
-    member: dict[int, list[tuple[int, float]]] = {}
-    todo2 = [(0, -1)]
-    while todo2:
-        c, home = todo2.pop()
-        home = c if home < 0 and selected[c] else home
-        if home >= 0:
-            member.setdefault(home, []).extend(fallen[c])
-        todo2 += [(b, home) for b in below[c]]
-    out = {x: (-1, 0.0) for x in ids}
-    for label, c in enumerate(sorted(member, key=lambda c: min(ids[p] for p, _ in member[c]))):
-        finite = [d for _, d in member[c] if np.isfinite(d)]
-        top = max(finite, default=0.0)
-        for p, d in member[c]:
-            out[ids[p]] = (label, 1.0 if top == 0 or not np.isfinite(d) else min(d, top) / top)
-    return out
-
-
 def hdbscan(rows: DataFrame, config: ClusterConfig = ClusterConfig(), *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
-    """(id, label, probability). The tree's edges, one fewer than rows, come to the driver, where the hierarchy is condensed."""
-    ids = sorted(r[0] for r in rows.select(id_col).collect())
-    config = ClusterConfig(**{**config.__dict__, "min_cluster_size": min(config.min_cluster_size, max(2, len(ids) // 3))})
-    found = excess_of_mass(ids, spanning_tree(rows, config, id_col=id_col, vec_col=vec_col), config.min_cluster_size)
-    return rows.sparkSession.createDataFrame([(i, *found[i]) for i in ids], "id bigint, label int, probability double")
+    """(id, label, probability): hierarchical density clustering, see hierarchy."""
+    found = hierarchy.grid(rows, [config.min_cluster_size], [config.min_samples], id_col=id_col, vec_col=vec_col, one_task=config.one_task)
+    return found.select("id", "label", "probability")
 
 
 def cluster(rows: DataFrame, config: ClusterConfig = ClusterConfig(), *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
@@ -277,7 +103,7 @@ def cluster(rows: DataFrame, config: ClusterConfig = ClusterConfig(), *, id_col:
     some = rows.select(F.col(id_col).cast("bigint").alias("id")).limit(2).collect()
     if len(some) < 2:
         return spark.createDataFrame([(r["id"], 0, 1.0) for r in some], "id bigint, label int, probability double")
-    found = hdbscan(rows, config, id_col=id_col, vec_col=vec_col)
+    found = cut(hdbscan(rows, config, id_col=id_col, vec_col=vec_col))
     if summary(found).first()["noise_ratio"] > config.noise_fallback_ratio and config.fallback == "dbscan":
         labels = dbscan(rows, config.eps, config.db_min_samples, id_col=id_col, vec_col=vec_col)
         return centroid_probability(rows.join(labels.withColumnRenamed("id", id_col), id_col), id_col=id_col, vec_col=vec_col)

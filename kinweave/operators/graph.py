@@ -29,9 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder that all executors share."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once, in the folder that all executors share. A checkpoint keeps the estimate of its size, and that of a join is the product of both sides': in a loop of joins its digits double with
+    every round, until planning takes longer than the work. Once an estimate is beyond 2**60 bytes the rows go on without any."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() <= 1 << 60:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

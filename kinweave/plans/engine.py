@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
-from kinweave.operators import clustering, evaluate, identities, imaging, quality, refine, report, thresholds
+from kinweave.operators import clustering, evaluate, hierarchy, identities, imaging, quality, refine, report, thresholds
+from kinweave.operators.graph import cut
 from kinweave.sources import images
 from kinweave.sources.config import EngineConfig
 from kinweave.sources.tables import Workspace, load_ground_truth, put_files, read_json_lines
@@ -252,11 +253,11 @@ class Engine:
 def calibrate(rows: DataFrame, sizes: tuple[int, ...] = (2, 3, 5), samples: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(ordinal, min_cluster_size, min_samples, f1, ari, noise_ratio, n_clusters) of each setting with two clustered rows or more, from rows (id, emb, gt)."""
     spark, out, k = rows.sparkSession, [], 0
+    everything = cut(hierarchy.grid(rows, sizes, samples).join(rows.select("id", "gt"), "id"))
     for size in sizes:
         for sample in samples:
-            found = clustering.hdbscan(rows, clustering.ClusterConfig(min_cluster_size=size, min_samples=sample))
-            both = found.join(rows.select("id", "gt"), "id").select(F.col("label").alias("pred"), "gt")
-            table = evaluate.contingency(both)
+            found = everything.filter((F.col("min_cluster_size") == size) & (F.col("min_samples") == sample))
+            table = evaluate.contingency(found.select(F.col("label").alias("pred"), "gt"))
             one = evaluate.pairwise(table).crossJoin(evaluate.adjusted_rand(table)).crossJoin(clustering.summary(found)).first()
             if one["n_faces"] - one["n_noise"] >= 2:
                 out.append((k, size, sample, one["f1"], one["ari"], one["noise_ratio"], one["n_clusters"]))

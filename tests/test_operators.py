@@ -42,24 +42,16 @@ def test_no_row_and_one_row(spark):
 
 
 def test_spanning_tree_rounds_equal_prim(spark):
-    v = blobs(7, 4, 12, 8, 3.0)
-    rows = frame(spark, v)
-    for samples in (1, 3):
-        a = clustering.spanning_tree(rows, clustering.ClusterConfig(min_samples=samples))
-        b = clustering.spanning_tree(rows, clustering.ClusterConfig(min_samples=samples, one_task=0))
-        assert len(a) == len(b) == len(v) - 1 and np.isclose(sum(e[2] for e in a), sum(e[2] for e in b))
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_trees_of_tied_data_give_equal_labels(spark, seed):
-    """Points of a small grid, copies among them: both ways to build the tree choose the same edges."""
-    v = np.random.default_rng(seed).integers(0, 6, (60, 2)).astype(float)
-    rows = frame(spark, v)
-    for samples in (1, 3):
-        trees = [sorted(clustering.spanning_tree(rows, clustering.ClusterConfig(min_samples=samples, one_task=n))) for n in (8192, 0)]
-        assert trees[0] == trees[1]
-        found = [{r["id"]: r["label"] for r in clustering.hdbscan(rows, clustering.ClusterConfig(min_samples=samples, one_task=n)).collect()} for n in (8192, 0)]
-        assert found[0] == found[1]
+    """Points of a small grid, copies among them, and spread ones: both ways to build the tree choose the same edges."""
+    from kinweave.operators import hierarchy
+
+    for v in (blobs(7, 4, 12, 8, 3.0), np.random.default_rng(2).integers(0, 6, (60, 2)).astype(float)):
+        points = hierarchy.core_distances(hierarchy.placed(frame(spark, v), "id", "emb").select("pos", "v"), (1, 3))
+        own = points.orderBy("pos").toPandas()
+        for c in ("c1", "c3"):
+            a, b, w = hierarchy.prim(np.stack(own["v"].to_list()), own[c].to_numpy())
+            rounds = sorted(tuple(r) for r in hierarchy.spanning_edges(points, c).collect())
+            assert rounds == sorted(zip(a.tolist(), b.tolist(), w.tolist(), strict=True)) and len(rounds) == len(v) - 1
 
 
 def test_normalizing_is_linear_in_the_dimension(spark):
