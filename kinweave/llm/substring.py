@@ -4,9 +4,11 @@ A gear hash rolls over the UTF-8 bytes: each step doubles it and adds a random n
 and was not in the 15 bytes before; stretches without such a place are cut at `longest`. Ends depend on the 16 bytes before them alone (but for the forced ones), so an insertion moves only
 the chunks around it. Chunks are deduplicated by digest: of each digest that two documents have, the first and the last holder are found (by identifier).
 
-Shared chunks that, with their neighbours, are too few for a span go first. A document's chunks that stand in the same place relative to one partner (the first holder; for that document itself the last one) and follow each other are a run. Whole chunks end short of a passage's ends, so each
-run is extended byte by byte against the partner's text, by up to REACHED bytes on either side, to ends of characters. What has least_words words (or, for writing without spaces, least_bytes bytes) is a span: its
-bytes stand in the partner's text as well. Digests have 64 bits, and a chance hit is one chunk, which is too short for a span.
+Shared chunks that, with their neighbours, are too few for a span go first. A partner is the first holder of a chunk (for that document itself the last one), and so is that of a window: the chunks from one on
+that lie inside any span which begins in the chunk before. A third document that has a part of a passage can be the first holder of its chunks, but hides a window only if it has nearly as much as a span.
+A document's chunks and windows that stand in the same place relative to one partner and touch are a run (of a window that the partner has more than once the first and the last place are tried). Each run is extended byte
+by byte against the partner's text, to the true ends of what both have, at ends of characters: surroundings are read again, wider, for the few ends that reach beyond them. What has least_words words (or, for
+writing without spaces, least_bytes bytes) is a span: its bytes stand in the partner's text as well. Digests have 64 bits, and a chance hit is one chunk, which is too short for a span.
 
 First and last holders are found with partial results before the shuffle, so a passage that is in a third of all documents sends one row from each task; the join back is split where it is uneven. Surroundings
 of a place are read once, however many runs need them.
@@ -30,7 +32,7 @@ REACH = 16
 EVERY = 24
 LONGEST = 256
 LEAST_WORDS, LEAST_BYTES = 50, 800
-#: Bytes by which a run is extended at most: some chunks.
+#: Bytes on either side of a run's end that are read at first; of ends that go on beyond them eight times as many, and so on.
 REACHED = 192
 #: So many identifiers or places are broadcast (some 40 MB); more are joined by a shuffle.
 FEW = 1_000_000
@@ -91,8 +93,32 @@ def _texts(rows: DataFrame, text_col: str) -> DataFrame:
 _PLACE = {"start": "shiftright(place, 32)", "size": "(shiftright(place, 24) & 255L) + 1L", "words": "shiftright(place, 16) & 255L", "before": "shiftright(place, 8) & 255L", "after": "place & 255L"}
 
 
-def chunks(rows: DataFrame, *, text_col: str = "text", every: int = EVERY, longest: int = LONGEST, group: int = 1 << 22) -> DataFrame:
-    """(row, place, digest) of every chunk of keyed() rows."""
+#: An odd number and its inverse modulo 2**64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Chunks of a window at most: it has 2**14 bytes at most then.
+_WINDOW = 64
+
+
+def windows(digest: np.ndarray, words: np.ndarray, begin: np.ndarray, start: np.ndarray, ends: np.ndarray, owner: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chunk the digest of its window, from the chunks' digests, and the window's bytes << 8 | words. A span that begins in the chunk before has least_words less that one's words from here on."""
+    n = len(digest)
+    upto = np.concatenate(([0], words.cumsum()))
+    before = np.where(np.concatenate(([False], owner[1:] == owner[:-1])), np.concatenate(([0], words[:-1])), 0) if n else words
+    last = np.searchsorted(upto, upto[:-1] + np.maximum(0, least_words - 1 - before), "right") - 1  # chunks up to this one have no more words
+    last = np.minimum(np.minimum(last, np.arange(n) + _WINDOW), np.searchsorted(owner, owner, "right"))
+    last = np.maximum(last, np.arange(n) + 1)
+    with np.errstate(over="ignore"):
+        power = np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE))).cumprod(dtype=np.uint64)
+        back = np.concatenate((np.ones(1, np.uint64), np.full(max(0, n - 1), _BACK))).cumprod(dtype=np.uint64)[:n]
+        total = np.concatenate((np.zeros(1, np.uint64), (digest.view(np.uint64) * power[:n]).cumsum(dtype=np.uint64)))
+        wide = (total[last] - total[:n]) * back + (last - np.arange(n)).astype(np.uint64)
+    size = ends[last - 1] - start if n else ends
+    return wide.view(np.int64), size << 8 | np.minimum(upto[last] - upto[:-1], 255)
+
+
+def chunks(rows: DataFrame, *, text_col: str = "text", every: int = EVERY, longest: int = LONGEST, least_words: int = LEAST_WORDS, group: int = 1 << 22) -> DataFrame:
+    """(row, place, digest, wide, reach) of every chunk of keyed() rows; wide and reach: see windows()."""
 
     def run(batch: pa.RecordBatch):
         keys, texts = batch.column(0), batch.column(1).to_pylist()
@@ -117,17 +143,18 @@ def chunks(rows: DataFrame, *, text_col: str = "text", every: int = EVERY, longe
             before, after = np.concatenate(([0], words[:-1] * beside)), np.concatenate((words[1:] * beside, [0]))
             place = (start - begin[owner]) << 32 | (ends - start - 1) << 24 | words << 16 | before << 8 | after
             digest = np.fromiter([_DIGEST(data[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], np.uint64, len(ends)).view(np.int64)
-            out.append(pa.RecordBatch.from_arrays([keys.take(pa.array(owner + at)), pa.array(place), pa.array(digest)], ["row", "place", "digest"]))
+            wide, reach = windows(digest, words, begin, start, ends, owner, least_words)
+            out.append(pa.RecordBatch.from_arrays([keys.take(pa.array(owner + at)), pa.array(place), pa.array(digest), pa.array(wide), pa.array(reach.astype(np.int32))], ["row", "place", "digest", "wide", "reach"]))
             at = stop
         return pa.Table.from_batches(out)
 
     if longest > LONGEST:
         raise ValueError(f"chunks have {LONGEST} bytes at most")
-    return map_batches(_texts(rows, text_col), "row bigint, place bigint, digest bigint", run)
+    return map_batches(_texts(rows, text_col), "row bigint, place bigint, digest bigint, wide bigint, reach int", run)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The chunks (row, place, digest) whose digest two rows have, with the first and the last of them. Where the shared digests are few enough, a filter of them (16 MB at most) keeps the others from
+    """The chunks (row, place, digest, ...) whose digest two rows have, with the first and the last of them. Where the shared digests are few enough, a filter of them (16 MB at most) keeps the others from
     being shuffled; the join that follows is exact in any case."""
     shared = rows.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last")
     shared = cut(shared)
@@ -141,24 +168,34 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _runs(rows: DataFrame, least_words: int, least_bytes: int) -> DataFrame:
-    """Runs of chunks (run, row, start, end, words, chunks) that their partner has too: partner, moved (how much later it stands there), first and own (this row is the first). A chunk is looked at if it
+    """Runs (run, row, start, end, words, chunks) that their partner has too: partner, moved (how much later it stands there), first and own (this row is the first). A chunk is looked at if it
     and its shared neighbours could, with the whole of the chunks around them, make a span."""
-    found = _shared(rows).select("row", "digest", "first", "last", *[F.expr(e).alias(n) for n, e in _PLACE.items()]).distinct()
+    found = _shared(rows).select("row", "digest", "wide", "reach", "first", "last", *[F.expr(e).alias(n) for n, e in _PLACE.items()]).distinct()
     order = Window.partitionBy("row").orderBy("start")
     new = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) < F.col("start"), F.lit(True))
     island = Window.partitionBy("row", "island")
     found = found.withColumn("island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = found.withColumn("sum", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words"))
     begin, end = F.min("start").over(island), F.max(F.col("start") + F.col("size")).over(island)
     reach_words = F.sum("words").over(island) + F.min_by("before", "start").over(island) + F.max_by("after", "start").over(island)
     found = found.withColumn("could", (reach_words >= least_words - 1) | (end - begin + 2 * LONGEST >= least_bytes)).filter("could")
-    found = cut(found.select("row", "digest", "start", "size", "words", "first", (F.col("row") == F.col("first")).alias("own"), F.when(F.col("row") == F.col("first"), F.col("last")).otherwise(F.col("first")).alias("partner")))
-    holders = found.groupBy(F.col("digest"), F.col("row").alias("partner")).agg(F.min("start").alias("there"))
-    found = found.join(holders, ["digest", "partner"]).withColumn("moved", F.col("there") - F.col("start"))
+    found = cut(found.select("row", "digest", "wide", "reach", "start", "size", "words", "sum", "first", "last"))
+    whole = found.select("row", F.col("wide").alias("digest"), "start", F.shiftright("reach", 8).cast("bigint").alias("size"), F.col("reach").bitwiseAND(F.lit(255)).cast("bigint").alias("words"), "sum", F.lit(1).alias("kind"))
+    holders = cut(whole.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last"))
+    whole = whole.filter("size > 0").join(holders, "digest")
+    columns = ["row", "digest", "start", "size", "words", "sum", "first", "last", "kind"]
+    each = found.withColumn("kind", F.lit(0)).select(*columns).unionByName(whole.select(*columns))
+    each = each.withColumn("partner", F.when(F.col("row") == F.col("first"), F.col("last")).otherwise(F.col("first")))
+    places = found.select("row", "digest", "start", F.lit(0).alias("kind")).unionByName(found.select("row", F.col("wide").alias("digest"), "start", F.lit(1).alias("kind")))
+    places = places.groupBy(F.col("digest"), F.col("row").alias("partner"), "kind").agg(F.array_distinct(F.array(F.min("start"), F.max("start"))).alias("there"))
+    each = each.join(places, ["digest", "partner", "kind"]).withColumn("there", F.explode("there")).withColumn("moved", F.col("there") - F.col("start"))
+    # a chunk and a window that stand in the same place are one
+    each = each.groupBy("row", "partner", "moved", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"), F.min("sum").alias("sum"), F.max(F.col("sum") + F.col("words")).alias("upto"), F.max(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("one"), F.min("first").alias("first"))
     order = Window.partitionBy("row", "partner", "moved").orderBy("start")
-    new = F.coalesce(F.lag(F.col("start") + F.col("size")).over(order) < F.col("start"), F.lit(True))
-    runs = found.withColumn("nth", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = runs.groupBy("row", "partner", "moved", "nth").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.min("first").alias("first"), F.first("own").alias("own"))
-    return runs.drop("nth").withColumn("run", F.monotonically_increasing_id())
+    new = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start"), F.lit(True))
+    runs = each.withColumn("nth", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("row", "partner", "moved", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("upto") - F.min("sum")).alias("words"), F.sum("one").alias("chunks"), F.min("first").alias("first"))
+    return runs.drop("nth").withColumns({"run": F.monotonically_increasing_id(), "own": F.col("partner") > F.col("row")})
 
 
 def _surroundings(rows: DataFrame, places: DataFrame, text_col: str, reached: int) -> DataFrame:
@@ -179,30 +216,66 @@ def _surroundings(rows: DataFrame, places: DataFrame, text_col: str, reached: in
     return map_batches(_texts(rows, text_col).join(F.broadcast(wanted) if n <= FEW else wanted, "row"), "row bigint, at bigint, left boolean, around binary", run)
 
 
-def extended(own: bytes, other: bytes, own_at: int, other_at: int, left: bool, reached: int) -> tuple[int, int]:
-    """By how many bytes (it may be a few less than none) a run grows at one end, and how many words begin in them. own and other are the surroundings of the end, which stands at own_at and other_at."""
+def extended(own: bytes, other: bytes, own_at: int, other_at: int, left: bool, reached: int) -> tuple[int, int, bool]:
+    """By how many bytes (it may be a few less than none) a run grows at one end, how many words begin in them, and whether it goes on beyond what was read. own and other are the surroundings of the
+    end, which stands at own_at and other_at."""
     if left:
         x, y = min(own_at, reached), min(other_at, reached)  # where the end is in each
-        n = 0
-        while n < x and n < y and own[x - n - 1] == other[y - n - 1]:
+        n, most = 0, min(x, y)
+        while n < most and own[x - n - 1] == other[y - n - 1]:
             n += 1
-        while n > -3 and x - n < len(own) and own[x - n] & 0xC0 == 0x80:
+        more = n == reached
+        if more:
+            n -= 4  # the byte before is known, then
+        while not more and n > -3 and x - n < len(own) and own[x - n] & 0xC0 == 0x80:
             n -= 1
         part = own[x - n : x] if n > 0 else b""
-        before = own[x - n - 1 : x - n]
+        before = own[x - n - 1 : x - n] if x > n else b""
     else:
         x, y = min(own_at, 3), min(other_at, 3)
-        n = 0
-        while x + n < len(own) and y + n < len(other) and own[x + n] == other[y + n]:
+        n, most = 0, min(len(own) - x, len(other) - y)
+        while n < most and own[x + n] == other[y + n]:
             n += 1
-        while n > -3 and x + n < len(own) and own[x + n] & 0xC0 == 0x80:
+        more = n == reached
+        while not more and n > -3 and x + n < len(own) and own[x + n] & 0xC0 == 0x80:
             n -= 1
         part = own[x : x + n] if n > 0 else b""
         before = own[x - 1 : x] if x else b""
     space = [_SPACE[c] for c in before + part]
     skip = len(before)
     words = sum(not space[i] and (i == 0 or space[i - 1]) for i in range(skip, len(space))) if part else 0
-    return n, words
+    return n, words, more
+
+
+def _grow(reached: int):
+    @F.arrow_udf("struct<n int, words int, more boolean>")
+    def grow(own: pa.Array, other: pa.Array, own_at: pa.Array, other_at: pa.Array, left: pa.Array) -> pa.Array:
+        found = [extended(*r, reached) for r in zip(*(c.to_pylist() for c in (own, other, own_at, other_at, left)), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.bool_())], ["n", "words", "more"])
+
+    return grow
+
+
+def _grown(rows: DataFrame, runs: DataFrame, text_col: str, reached: int) -> DataFrame:
+    """(run, before, after, more): bytes by which each run grows at its beginning and its end, and words that begin in them. Ends that reach beyond what was read go on with eight times as much."""
+    ends = runs.select("run", "row", "partner", "moved", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("start").alias("at")), F.struct(F.lit(False).alias("left"), F.col("end").alias("at")))).alias("e")).select("run", "row", "partner", "moved", "e.left", "e.at")
+    parts = []
+    while True:
+        here = ends.withColumn("there", F.col("at") + F.col("moved"))
+        places = here.select("row", "at", "left").unionByName(here.select(F.col("partner").alias("row"), F.col("there").alias("at"), "left")).distinct()
+        around = cut(_surroundings(rows, places, text_col, reached).dropDuplicates(["row", "at", "left"]))
+        both = here.join(around, ["row", "at", "left"]).withColumnRenamed("around", "own")
+        both = both.join(around.select(F.col("row").alias("partner"), F.col("at").alias("there"), "left", F.col("around").alias("other")), ["partner", "there", "left"])
+        seen = cut(both.select("run", "row", "partner", "moved", "left", "at", _grow(reached)("own", "other", "at", "there", "left").alias("g")))
+        parts.append(seen.select("run", "left", "g.n", "g.words"))
+        ends = seen.filter("g.more").select("run", "row", "partner", "moved", "left", F.when(F.col("left"), F.col("at") - F.col("g.n")).otherwise(F.col("at") + F.col("g.n")).alias("at"))
+        if ends.isEmpty():
+            break
+        reached *= 8
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.groupBy("run").agg(F.sum(F.when(F.col("left"), F.col("n"))).alias("before"), F.sum(F.when(~F.col("left"), F.col("n"))).alias("after"), F.sum("words").alias("more"))
 
 
 def spans(
@@ -213,24 +286,11 @@ def spans(
     spark = docs.sparkSession
     bounded(spark)
     rows, at = keyed(docs, id_col, text_col), scratch(spark, "chunks")
-    chunks(rows, text_col=text_col, every=every, longest=longest).write.parquet(at)
+    chunks(rows, text_col=text_col, every=every, longest=longest, least_words=least_words).write.parquet(at)
     runs = cut(_runs(spark.read.parquet(at), least_words, least_bytes))
-    ends = runs.select("run", "row", "partner", "moved", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("start").alias("at")), F.struct(F.lit(False).alias("left"), F.col("end").alias("at")))).alias("e")).select("run", "row", "partner", "moved", "e.left", "e.at")
-    ends = ends.withColumn("there", F.col("at") + F.col("moved"))
-    places = ends.select("row", "at", "left").unionByName(ends.select(F.col("partner").alias("row"), F.col("there").alias("at"), "left")).distinct()
-    around = cut(_surroundings(rows, places, text_col, reached).dropDuplicates(["row", "at", "left"]))
-    both = ends.join(around, ["row", "at", "left"]).withColumnRenamed("around", "own")
-    both = both.join(around.select(F.col("row").alias("partner"), F.col("at").alias("there"), "left", F.col("around").alias("other")), ["partner", "there", "left"])
-
-    @F.arrow_udf("struct<n int, words int>")
-    def grown(own: pa.Array, other: pa.Array, own_at: pa.Array, other_at: pa.Array, left: pa.Array) -> pa.Array:
-        found = [extended(*r, reached) for r in zip(*(c.to_pylist() for c in (own, other, own_at, other_at, left)), strict=True)]
-        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int32()), pa.array([w for _, w in found], pa.int32())], ["n", "words"])
-
-    both = both.select("run", "left", grown("own", "other", "at", "there", "left").alias("g"))
-    grew = both.groupBy("run").agg(F.sum(F.when(F.col("left"), F.col("g.n"))).alias("before"), F.sum(F.when(~F.col("left"), F.col("g.n"))).alias("after"), F.sum("g.words").alias("more"))
+    grew = _grown(rows, runs, text_col, reached)
     whole = runs.join(grew, "run").select("row", "partner", "moved", (F.col("start") - F.col("before")).alias("start"), (F.col("end") + F.col("after")).alias("end"), (F.col("words") + F.col("more")).alias("words"), "chunks", "first", "own")
-    # runs that one chunk of another partner had parted may now overlap: they are one stretch
+    # runs that chunks of another partner had parted end at the same bytes now: they are one stretch
     order = Window.partitionBy("row", "partner", "moved").orderBy("start")
     upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parted = whole.withColumn("upto", upto).withColumn("nth", F.sum(F.coalesce((F.col("upto") < F.col("start")).cast("int"), F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -209,3 +209,47 @@ def test_cover_tree_covers_and_prunes():
         assert s.found[i][1][order].tolist() == ids[best].tolist()
     assert s.looked < 0.5 * len(q) * 3000 and s.skipped > 0
     assert hardneg.cover_tree(v[:0]) is None and pa.table({}).num_rows == 0
+
+
+# --- substring dedup
+
+def test_spans_with_a_third_document_and_repeated_beginnings(spark):
+    """Passages of documents 5 and 9, whose middle document 1 has too; passages of 2 and 7, whose beginning stands earlier in 2 as well. Every one is found whole, at any length of words, and only there."""
+    import random
+
+    from kinweave.llm import substring
+
+    rng = random.Random(4)
+    some = lambda n, k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, k))) for _ in range(n))
+    rows, want = [], {}
+    for t in range(36):
+        k, b = (5, 9, 14)[t % 3], 10 * t
+        p, q = some(86, k), some(60, k)
+        middle, beginning = " ".join(p.split()[20:66]), " ".join(q.split()[:42])
+        rows += [(b + 1, f"{some(40, k)} {middle} {some(40, k)}"), (b + 5, f"{some(30, k)} {p} {some(50, k)}"), (b + 9, f"{some(70, k)} {p} {some(20, k)}")]
+        rows += [(b + 2, f"{some(30, k)} {beginning} {some(40, k)} {q} {some(9, k)}"), (b + 7, f"{some(33, k)} {q} {some(31, k)}")]
+        want |= {(b + 5, False): p, (b + 9, True): p, (b + 2, False): q, (b + 7, True): q}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found, texts = substring.spans(docs).collect(), dict(rows)
+    for (i, repeated), passage in want.items():
+        mine = [texts[i].encode()[r["start"] : r["start"] + r["size"]] for r in found if r["id"] == i and r["repeated"] == repeated]
+        assert any(passage.encode() in m for m in mine), (i, repeated)
+    assert {r["id"] for r in found if r["repeated"]} == {i for i, repeated in want if repeated}
+    for r in found:  # what is reported stands in another document, and has the words it says
+        span = texts[r["id"]].encode()[r["start"] : r["start"] + r["size"]]
+        assert any(span in t.encode() for i, t in rows if i != r["id"])
+        assert abs(len(span.split()) - r["words"]) <= 1
+    left = {r["doc_id"]: r["text"] for r in substring.remove(docs, substring.spans(docs)).collect()}
+    assert not any(" ".join(p.split()[1:-1]) in left[i] for (i, repeated), p in want.items() if repeated)
+
+
+def test_long_shared_stretches_are_extended_to_their_ends(spark):
+    from kinweave.llm import substring
+
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    p = some(4000)
+    parts = [p[a : a + 1400] for a in range(0, len(p), 2600)]  # first holders of parts of it, all over
+    rows = [(i, f"{some(20)} {x} {some(20)}") for i, x in enumerate(parts)] + [(100, f"{some(60)} {p} {some(9)}"), (200, f"{some(7)} {p}")]
+    found = [r for r in substring.spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r["id"] == 200]
+    assert max(r["size"] for r in found) >= len(p) - 2 and any(abs(r["words"] - 4000) <= 2 for r in found if r["size"] >= len(p) - 2)
