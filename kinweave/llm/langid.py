@@ -7,7 +7,7 @@ cosine with its profile.
 
 Texts are lower-cased; any run of characters that are not letters is one boundary symbol with a vector of its own, and each text begins and ends with one.
 
-A text of more than 2**19 characters is bundled in pieces that end at spaces; the few n-grams across their ends aren't counted, which bounds memory whatever a text's length.
+A text of more than 2**19 characters is bundled in pieces, which bounds memory whatever a text's length; pieces overlap by a few symbols that are counted once, so its profile is that of the whole text.
 
 Defined results: null, empty or letterless texts give `und` with score 0; equal cosines go to the alphabetically first language; without any labelled text
 every text is `und`. Malformed UTF-8 is read with U+FFFD in its place, which is no letter. Repeated rows are treated alike. Only the named id, text and language columns are read, so other columns cannot clash.

@@ -179,22 +179,27 @@ def _runs(rows: DataFrame, least_words: int, least_bytes: int) -> DataFrame:
     begin, end = F.min("start").over(island), F.max(F.col("start") + F.col("size")).over(island)
     reach_words = F.sum("words").over(island) + F.min_by("before", "start").over(island) + F.max_by("after", "start").over(island)
     found = found.withColumn("could", (reach_words >= least_words - 1) | (end - begin + 2 * LONGEST >= least_bytes)).filter("could")
-    found = cut(found.select("row", "digest", "wide", "reach", "start", "size", "words", "sum", "first", "last"))
-    whole = found.select("row", F.col("wide").alias("digest"), "start", F.shiftright("reach", 8).cast("bigint").alias("size"), F.col("reach").bitwiseAND(F.lit(255)).cast("bigint").alias("words"), "sum", F.lit(1).alias("kind"))
-    holders = cut(whole.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last"))
-    whole = whole.filter("size > 0").join(holders, "digest")
-    columns = ["row", "digest", "start", "size", "words", "sum", "first", "last", "kind"]
-    each = found.withColumn("kind", F.lit(0)).select(*columns).unionByName(whole.select(*columns))
-    each = each.withColumn("partner", F.when(F.col("row") == F.col("first"), F.col("last")).otherwise(F.col("first")))
-    places = found.select("row", "digest", "start", F.lit(0).alias("kind")).unionByName(found.select("row", F.col("wide").alias("digest"), "start", F.lit(1).alias("kind")))
-    places = places.groupBy(F.col("digest"), F.col("row").alias("partner"), "kind").agg(F.array_distinct(F.array(F.min("start"), F.max("start"))).alias("there"))
-    each = each.join(places, ["digest", "partner", "kind"]).withColumn("there", F.explode("there")).withColumn("moved", F.col("there") - F.col("start"))
+    at = scratch(rows.sparkSession, "islands")  # packed, where a checkpoint isn't
+    found.select("row", "digest", "wide", "reach", F.col("start").cast("int"), F.col("size").cast("int"), F.col("words").cast("int"), F.col("sum").cast("int"), "first", "last").write.option("compression", "zstd").parquet(at)
+    found = rows.sparkSession.read.parquet(at)
+    holders = found.groupBy("wide").agg(F.min("row").alias("wfirst"), F.max("row").alias("wlast")).filter("wfirst <> wlast")
+    joined = found.join(holders, "wide", "left")
+    # a window says all that its first chunk does, if both have the same holders
+    window = F.struct(F.col("wide").alias("digest"), F.shiftright("reach", 8).alias("size"), F.col("reach").bitwiseAND(F.lit(255)).alias("words"), F.col("wfirst").alias("first"), F.col("wlast").alias("last"), F.lit(1).alias("kind"))
+    chunk = F.struct("digest", "size", "words", "first", "last", F.lit(0).alias("kind"))
+    same = (F.col("wfirst") == F.col("first")) & (F.col("wlast") == F.col("last"))
+    held = F.when(F.col("wfirst").isNull(), F.array(chunk)).when(same, F.array(window)).otherwise(F.array(chunk, window))
+    each = joined.select("row", "start", "sum", F.explode(held).alias("h")).select("row", "start", "sum", "h.*")
+    each = each.withColumn("partner", F.when(F.col("row") == F.col("first"), F.col("last")).otherwise(F.col("first"))).drop("last")
+    places = found.select("row", "start", F.explode(F.array(F.struct("digest", F.lit(0).alias("kind")), F.struct(F.col("wide").alias("digest"), F.lit(1).alias("kind")))).alias("k")).select("k.*", F.col("row").alias("partner"), "start")
+    places = places.groupBy("digest", "partner", "kind").agg(F.array_distinct(F.array(F.min("start"), F.max("start"))).alias("there"))
+    each = each.join(places, ["digest", "partner", "kind"]).withColumn("there", F.explode("there")).withColumn("moved", (F.col("there") - F.col("start")).cast("bigint"))
     # a chunk and a window that stand in the same place are one
-    each = each.groupBy("row", "partner", "moved", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"), F.min("sum").alias("sum"), F.max(F.col("sum") + F.col("words")).alias("upto"), F.max(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("one"), F.min("first").alias("first"))
+    each = each.groupBy("row", "partner", "moved", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"), F.min("sum").alias("sum"), F.max(F.col("sum") + F.col("words")).alias("upto"), F.lit(1).alias("one"), F.min("first").alias("first"))
     order = Window.partitionBy("row", "partner", "moved").orderBy("start")
     new = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("start"), F.lit(True))
     runs = each.withColumn("nth", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = runs.groupBy("row", "partner", "moved", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("upto") - F.min("sum")).alias("words"), F.sum("one").alias("chunks"), F.min("first").alias("first"))
+    runs = runs.groupBy("row", "partner", "moved", "nth").agg(F.min("start").cast("bigint").alias("start"), F.max("end").cast("bigint").alias("end"), (F.max("upto") - F.min("sum")).cast("bigint").alias("words"), F.sum("one").alias("chunks"), F.min("first").alias("first"))
     return runs.drop("nth").withColumns({"run": F.monotonically_increasing_id(), "own": F.col("partner") > F.col("row")})
 
 

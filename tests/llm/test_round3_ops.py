@@ -253,3 +253,19 @@ def test_long_shared_stretches_are_extended_to_their_ends(spark):
     rows = [(i, f"{some(20)} {x} {some(20)}") for i, x in enumerate(parts)] + [(100, f"{some(60)} {p} {some(9)}"), (200, f"{some(7)} {p}")]
     found = [r for r in substring.spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r["id"] == 200]
     assert max(r["size"] for r in found) >= len(p) - 2 and any(abs(r["words"] - 4000) <= 2 for r in found if r["size"] >= len(p) - 2)
+
+
+# --- language
+
+def test_language_profiles_in_pieces_are_the_whole_texts():
+    from kinweave.llm import langid
+
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abcdeéßΣσıİ  .,\n1日本")) for _ in range(5000))
+    texts = [text, "ab " * 900, "x" * 3000, "  12 " * 700, "ÄΣ ΑΣ. " * 400, None, "word"]
+    whole, has = langid.bundle(texts, 128, chars=1 << 19)
+    for chars in (40, 333, 1024):
+        pieces, also = langid.bundle(texts, 128, chars=chars)
+        assert np.array_equal(whole, pieces) and np.array_equal(has, also), chars
+    long = (text * 211)[: 1 << 20]
+    assert np.array_equal(langid.bundle([long], 64)[0], langid._bundle([long], 64, 3, 7)[0])
