@@ -120,8 +120,20 @@ def _bundle(texts: list[str], dim: int, gram: int, seed: int) -> tuple[np.ndarra
     return out, has
 
 
+def _lead(text: str, at: int, gram: int) -> str:
+    """What a piece that begins at `at` has to begin with, so that n-grams over its beginning are the whole text's: the end of the piece before, with at least gram - 1 symbols (letters, and what
+    parts them); a few more, for letters whose small form depends on the ones before."""
+    back, symbols, letter, gram = at, 0, None, gram + 8
+    while back > 0 and symbols < gram:
+        back -= 1
+        now = text[back].isalpha()
+        symbols += now or letter is not False
+        letter = now
+    return text[back + 1 if symbols == gram else back : at]
+
+
 def _pieces(text: str, chars: int) -> Iterator[str]:
-    """text in pieces of at most chars characters, ending at spaces where there are any."""
+    """text in pieces of at most chars characters, ending behind a space where there are any."""
     at = 0
     while len(text) - at > chars:
         space = text.rfind(" ", at + chars // 2, at + chars)
@@ -132,23 +144,29 @@ def _pieces(text: str, chars: int) -> Iterator[str]:
 
 
 def bundle(texts: list[str | None], dim: int = 1024, gram: int = 3, seed: int = 7, chars: int = 1 << 19, docs: int = 192) -> tuple[np.ndarray, np.ndarray]:
-    """Profiles of all texts, worked off in groups of bounded size, and whether each has a letter. Of a text of more than chars characters the profiles of its pieces are added up."""
+    """Profiles of all texts, worked off in groups of bounded size, and whether each has a letter. Of a text of more than chars characters the profiles of its pieces are added up: each piece but the first
+    begins with the last symbols of the one before, whose own n-grams, counted in both, are taken off again. So pieces change nothing."""
     out, letters = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), bool)
-    group, owner, size = [], [], 0
+    group, owner, sign, size = [], [], [], 0
 
     def settle() -> None:
-        nonlocal group, owner, size
+        nonlocal group, owner, sign, size
         if group:
             profiles, has = _bundle(group, dim, gram, seed)
-            np.add.at(out, owner, profiles)
+            np.add.at(out, owner, profiles * np.array(sign, np.float32)[:, None])
             np.logical_or.at(letters, owner, has)
-            group, owner, size = [], [], 0
+            group, owner, sign, size = [], [], [], 0
 
     for i, t in enumerate(texts):
-        for piece in _pieces(t or "", chars):
+        at, text = 0, t or ""
+        for piece in _pieces(text, chars):
             if size + len(piece) > chars or len(group) >= docs:
                 settle()
-            group.append(piece), owner.append(i)
+            lead = _lead(text, at, gram) if at else ""
+            group.append(lead + piece), owner.append(i), sign.append(1)
+            if at:
+                group.append(lead), owner.append(i), sign.append(-1)
+            at += len(piece)
             size += len(piece)
     settle()
     return out, letters
