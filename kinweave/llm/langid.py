@@ -69,7 +69,6 @@ def _bundle(texts: list[str], dim: int, gram: int, seed: int) -> tuple[np.ndarra
     keep = symbols != 0
     has[:] = np.bincount(owner[keep], minlength=len(texts)) > 0
     keep[1:] |= symbols[:-1] != 0
-    keep[0] = True  # the boundary before the first text
     symbols, owner = np.concatenate(([0], symbols[keep])), np.concatenate((owner[:1], owner[keep]))
     if len(symbols) < gram:
         return out, has
