@@ -13,7 +13,7 @@ from kinweave.functions.scalars import clip, safe_ratio
 from kinweave.functions.vectors import cosine_distance, double, euclidean_distance, vector_mean
 from kinweave.operators import hierarchy
 from kinweave.operators.graph import components, cut, numbered, spanning
-from kinweave.operators.similarity import distances, pair_blocks
+from kinweave.operators.similarity import BLOCK, distances, pair_blocks
 
 
 @dataclass(frozen=True)
@@ -28,11 +28,11 @@ class ClusterConfig:
     one_task: int = 8192
 
 
-def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
+def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: str = "id", vec_col: str = "emb", block: int = BLOCK) -> DataFrame:
     """(id, label): core rows have min_samples rows within eps, themselves included; labels number the connected sets of core rows by their smallest id; a border row joins the smallest of its
     neighbours' labels; -1 is noise.
 
-    Three passes over the pairs of blocks: numbers of neighbours, links between core rows (of each pair of blocks a spanning set), and border rows' labels. No pair leaves a task, so dense data send as much as sparse."""
+    Three passes over the pairs of blocks that may hold rows within eps: numbers of neighbours, links between core rows (of each pair of blocks a spanning set), and border rows' labels. No pair leaves a task, so dense data send as much as sparse."""
     points = cut(rows.select(F.col(id_col).cast("bigint").alias("id"), double(F.col(vec_col)).alias("v")))
     within = lambda va, vb: distances(va, vb, "euclidean") <= eps
 
@@ -42,7 +42,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: s
             return pa.table({"id": pa.array(ia), "n": pa.array(near.sum(1))})
         return pa.table({"id": pa.array(np.concatenate((ia, ib))), "n": pa.array(np.concatenate((near.sum(1), near.sum(0))))})
 
-    degree = pair_blocks(points, "id", "v", "id bigint, n bigint", degrees).groupBy("id").agg(F.sum("n").alias("n"))
+    degree = pair_blocks(points, "id", "v", "id bigint, n bigint", degrees, block, within=eps).groupBy("id").agg(F.sum("n").alias("n"))
     core = cut(degree.filter(F.col("n") >= min_samples).select("id"))
 
     def links(ia, va, ib, vb, same):
@@ -51,7 +51,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: s
         a, b = spanning(len(ids), x, y if same else y + len(ia))
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
-    parts = components(core, pair_blocks(points.join(core, "id", "left_semi"), "id", "v", "a bigint, b bigint", links))
+    parts = components(core, pair_blocks(points.join(core, "id", "left_semi"), "id", "v", "a bigint, b bigint", links, block, within=eps))
     names = numbered(parts.select("component").distinct(), "component", "label")
     cores = cut(parts.join(names, "component").select("id", F.col("label").cast("int").alias("label")))
     labelled = points.join(cores, "id", "left").select("id", F.concat("v", F.array(F.coalesce("label", F.lit(-1)).cast("double"))).alias("v"))
@@ -64,7 +64,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: s
             out.append(pa.table({"id": pa.array(ids[keep]), "label": pa.array(least[keep].astype(np.int64))}))
         return pa.concat_tables(out)
 
-    border = pair_blocks(labelled, "id", "v", "id bigint, label bigint", borders).groupBy("id").agg(F.min("label").cast("int").alias("near"))
+    border = pair_blocks(labelled, "id", "v", "id bigint, label bigint", borders, block, within=eps, extra=1).groupBy("id").agg(F.min("label").cast("int").alias("near"))
     ids = rows.select(F.col(id_col).alias("id"))
     return ids.join(cores, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +103,86 @@ def _in_blocks(t: pa.Table, i: int, j: int, fn: Callable) -> pa.Table:
     return fn(ids[p == i], v[p == i], ids[p == j], v[p == j], i == j)
 
 
-def pair_blocks(rows: DataFrame, id_col: str, vec_col: str, schema: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.Table], block: int = BLOCK) -> DataFrame:
+#: Cells of a metric partition at most; the table of their distances is made on the driver (8 MB).
+MOST_CELLS = 1024
+#: Rows from which each pivot is chosen.
+SAMPLE = 8
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Rows (id, v, p) dealt into blocks by the nearest of some pivots, with what is known of the distances between blocks: no row of block i is nearer to one of block j than apart[i, j]."""
+
+    rows: DataFrame
+    apart: np.ndarray
+
+    def near(self, most: np.ndarray | float) -> np.ndarray:
+        """The pairs of blocks that may hold rows within most (of both blocks; a distance of the metric by which they were dealt)."""
+        return ~(self.apart > most)
+
+    def pairs(self, near: np.ndarray, schema: str, fn: Callable) -> DataFrame:
+        """fn as for pair_blocks for the pairs of blocks that are near."""
+        spark = self.rows.sparkSession
+        partners = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(near[i])]) for i in range(len(near))], "p int, o array<int>")
+        dealt = self.rows.join(F.broadcast(partners), "p").withColumn("o", F.explode("o")).select("id", "v", "p", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"))
+        return dealt.groupBy("i", "j").applyInArrow(lambda key, t: _in_blocks(t, key[0].as_py(), key[1].as_py(), fn), schema)
+
+
+def euclidean(most: np.ndarray | float, metric: str) -> np.ndarray | float:
+    """What a distance is at most between vectors (of length one, for cosine) as a euclidean one. A vector of zeros has cosine distance 1 to all and is nearer than that tells, never farther."""
+    return np.sqrt(2 * np.maximum(most, 0)) if metric == "cosine" else most
+
+
+def metric_blocks(rows: DataFrame, id_col: str, vec_col: str, metric: str = "euclidean", *, block: int = BLOCK, extra: int = 0) -> Blocks:
+    """Deal rows into blocks of at most about `block` rows. Pivots are chosen farthest first from the rows of the smallest hashes; each row goes to its nearest one, and a cell that is too large is split by hash. By the triangle
+    inequality two blocks are apart by the distance of their pivots less the largest distances of their rows from them. extra: so many numbers at the end of a vector are no part of it."""
+    own = cut(rows.select(F.col(id_col).alias("id"), double(F.col(vec_col)).alias("v")).filter("v IS NOT NULL"))
+    cells = max(1, min(MOST_CELLS, math.ceil(own.count() / block)))
+    place = lambda m: units(m[:, : m.shape[1] - extra]) if metric == "cosine" else m[:, : m.shape[1] - extra]
+    sample = place(matrix(own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * cells if cells > 1 else 1).select("v").toArrow().column("v")))
+    pivots = sample[:1]
+    if len(sample):
+        least = distances(sample, pivots, "euclidean")[:, 0]
+        for _ in range(cells - 1):
+            pivots = np.vstack((pivots, sample[least.argmax()]))
+            least = np.minimum(least, distances(sample, pivots[-1:], "euclidean")[:, 0])
+    else:
+        return Blocks(own.withColumn("p", F.lit(0)), np.zeros((1, 1)))
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+    kind = own.schema["id"].dataType.simpleString()
+
+    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
+        m, cell, far = place(matrix(b.column(1))), [], []
+        step = max(1, ROOM // len(sent.value))
+        for a in range(0, len(m), step):
+            d = distances(m[a : a + step], sent.value, "euclidean")
+            cell.append(d.argmin(1))
+            far.append(d[np.arange(len(d)), cell[-1]])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(far))], ["id", "v", "cell", "far"])
+
+    dealt = cut(map_arrow(own, f"id {kind}, v array<double>, cell int, far double", deal))
+    seen = {r["cell"]: (r["n"], r["far"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    number, first, home, radius = 0, [], [], []
+    for c in range(len(pivots)):
+        n, far = seen.get(c, (0, 0.0))
+        parts = max(1, math.ceil(n / block))
+        first.append((c, number, parts))
+        home += [c] * parts
+        radius += [far] * parts
+        number += parts
+    table = rows.sparkSession.createDataFrame(first, "cell int, first int, parts int")
+    named = dealt.join(F.broadcast(table), "cell").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("p"))
+    at, r = pivots[home], np.array(radius)
+    between = distances(at, at, "euclidean")
+    return Blocks(named, between - r[:, None] - r[None, :] - 1e-6 * (1 + np.abs(pivots).max()))
+
+
+def pair_blocks(rows: DataFrame, id_col: str, vec_col: str, schema: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.Table], block: int = BLOCK, *, within: float | None = None, metric: str = "euclidean", extra: int = 0) -> DataFrame:
     """fn(ids a, vectors a, ids b, vectors b, whether both are one block) for every pair of blocks of at most about `block` rows, each in the order of ids. rows are computed once. Each vector is sent
-    once per block; what leaves a task is fn's result."""
+    once per block; what leaves a task is fn's result. within: only pairs of rows that near matter, and pairs of blocks that can't have any are skipped (see metric_blocks)."""
+    if within is not None:
+        blocks = metric_blocks(rows, id_col, vec_col, metric, block=block, extra=extra)
+        return blocks.pairs(blocks.near(euclidean(within, metric)), schema, fn)
     own = cut(rows.select(F.col(id_col).alias("id"), double(F.col(vec_col)).alias("v")).filter("v IS NOT NULL"))
     parts = max(1, math.ceil(own.count() / block))
     dealt = own.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
@@ -121,8 +199,8 @@ def group_blocks(rows: DataFrame, group_col: str, id_col: str, vec_col: str, sch
     return dealt.groupBy("g", "i", "j").applyInArrow(lambda key, t: _in_blocks(t, key[1].as_py(), key[2].as_py(), lambda *x: fn(key[0].as_py(), *x)), schema)
 
 
-def pairwise(rows: DataFrame, *, id_col: str = "id", vec_col: str = "emb", metric: str = "cosine", at_most: float | None = None) -> DataFrame:
-    """(a, b, distance) of all pairs a < b, or those within at_most."""
+def pairwise(rows: DataFrame, *, id_col: str = "id", vec_col: str = "emb", metric: str = "cosine", at_most: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, distance) of all pairs a < b, or those within at_most: then blocks that are farther apart aren't compared."""
 
     def fn(ia, va, ib, vb, same):
         d = distances(va, vb, metric)
@@ -132,7 +210,7 @@ def pairwise(rows: DataFrame, *, id_col: str = "id", vec_col: str = "emb", metri
         x, y = np.nonzero(keep)
         return pa.table({"a": pa.array(np.minimum(ia[x], ib[y])), "b": pa.array(np.maximum(ia[x], ib[y])), "distance": pa.array(d[x, y])})
 
-    return pair_blocks(rows, id_col, vec_col, "a bigint, b bigint, distance double", fn)
+    return pair_blocks(rows, id_col, vec_col, "a bigint, b bigint, distance double", fn, block, within=at_most, metric=metric)
 
 
 def eps_neighbors(rows: DataFrame, eps: float, *, id_col: str = "id", vec_col: str = "emb", metric: str = "euclidean") -> DataFrame:
@@ -140,8 +218,10 @@ def eps_neighbors(rows: DataFrame, eps: float, *, id_col: str = "id", vec_col: s
     return pairwise(rows, id_col=id_col, vec_col=vec_col, metric=metric, at_most=eps)
 
 
-def knn(rows: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "emb", metric: str = "cosine") -> DataFrame:
-    """(id, neighbor, distance, rank) of the k nearest others; ties by the smaller neighbour. Every pair of blocks sends at most k candidates per row, however many are equally near."""
+def knn(rows: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "emb", metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+    """(id, neighbor, distance, rank) of the k nearest others; ties by the smaller neighbour. Every pair of blocks sends at most k candidates per row, however many are equally near. Each row's k-th
+    neighbour within its own block bounds how far its neighbours can be; blocks that are farther apart than all their rows' bounds aren't compared."""
+    schema = "id bigint, neighbor bigint, distance double"
 
     def fn(ia, va, ib, vb, same):
         d = distances(va, vb, metric)
@@ -154,7 +234,20 @@ def knn(rows: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "emb", me
                 out.append(pa.table({"id": pa.array(ids[x]), "neighbor": pa.array(others[y]), "distance": pa.array(m[x, y])}))
         return pa.concat_tables(out) if out else pa.table({"id": pa.array([], pa.int64()), "neighbor": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
 
-    found = pair_blocks(rows, id_col, vec_col, "id bigint, neighbor bigint, distance double", fn)
+    blocks = metric_blocks(rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")), "id", "v", metric, block=block)
+    n = len(blocks.apart)
+    if n == 1:
+        found = blocks.pairs(np.ones((1, 1), bool), schema, fn)
+    else:
+        own = cut(blocks.pairs(np.eye(n, dtype=bool), schema, fn))
+        kth = own.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+        bounds = blocks.rows.select("id", "p").join(kth, "id", "left").groupBy("p").agg(F.max(F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf")))).alias("d"))
+        most = np.full(n, -1.0)  # a block without rows has no bound
+        for r in bounds.collect():
+            most[r["p"]] = r["d"]
+        near = blocks.near(euclidean(np.maximum(most[:, None], most[None, :]), metric)) & (most >= 0)[:, None] & (most >= 0)[None, :]
+        np.fill_diagonal(near, False)
+        found = own.unionByName(blocks.pairs(near, schema, fn))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -132,7 +132,7 @@ class Engine:
         rows = faces.select("id", F.col("embedding").cast("array<double>").alias("emb"))
         found = group(rows, w.read("identities"), self.config, self.progress.step, self.note_thresholds)
         self.progress.step("assign")
-        out = w.write("assignments", faces.select("id", "face_id").join(found, "id").select("face_id", "label", "probability", "confidence", "in_review"))
+        out = w.write("assignments", faces.select("id", "face_id", "image_path").join(found, "id").select("face_id", "image_path", "label", "probability", "confidence", "in_review"))
         self.write_output(faces, out)
         self.progress.step("done")
         log.info("grouped %s", self.status())
@@ -145,7 +145,7 @@ class Engine:
         """Reports and manifest: folders of tables by cluster_name, and JSON reports. A face without an assignment is noise with confidence 0."""
         out, w = self.config.output_dir, self.workspace
         defaults = {"label": -1, "probability": 0.0, "confidence": 0.0, "in_review": True}
-        rows = faces.join(assigned, "face_id", "left").fillna(defaults).withColumn("ord", F.col("id"))
+        rows = faces.join(assigned, ["face_id", "image_path"], "left").fillna(defaults).withColumn("ord", F.col("id"))
         self.progress.step("plot")
         w.write("plot_points", report.plot_points(imaging.project_2d(rows.withColumn("emb", F.col("embedding").cast("array<double>")))).select("face_id", "label", "x", "y", "marker", "size", "alpha"))
         picture = self.spark.createDataFrame([("_metadata/confidence_heatmap.png", bytearray(imaging.png(report.plot_image(w.read("plot_points")))))], "name string, content binary")
@@ -179,6 +179,8 @@ class Engine:
         c, w = self.config, self.workspace
         self.clean_output()
         rows = w.read("manifest").select("cluster_name", "image_path", "file_name")
+        if rows.isEmpty():
+            return {"photos": 0, "missing": 0, "crops": 0}
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(c.input_dir).select(F.col("path").alias("image_path"), "content")
         both = rows.join(files, "image_path", "left")
         counts = {"photos": put_files(both.filter("content IS NOT NULL").select(F.concat_ws("/", "cluster_name", "file_name").alias("name"), "content"), c.output_dir)}
@@ -187,7 +189,9 @@ class Engine:
             log.warning("%s source images are missing", counts["missing"])
         counts["crops"] = 0
         if c.save_crops:
-            faces = w.read("assignments").join(w.read("crops").filter("crops IS NOT NULL"), "face_id").withColumn("crop", F.col("crops")[0])
+            # photos that are equal byte by byte have equal faces, of which one crop is written
+            crops = w.read("crops").filter("crops IS NOT NULL").dropDuplicates(["face_id"])
+            faces = w.read("assignments").drop("image_path").distinct().join(crops, "face_id").withColumn("crop", F.col("crops")[0])
             named = F.concat(S.person_name(F.col("label")), F.lit("/crops/"), "face_id", F.lit(".png"))
             own = faces.filter("label >= 0").select(named.alias("name"), "crop").unionByName(faces.filter("in_review").select(F.concat(F.lit("_review_queue/"), "face_id", F.lit(".png")).alias("name"), "crop"))
             counts["crops"] = put_files(imaging.encoded(own), c.output_dir)
@@ -227,8 +231,7 @@ class Engine:
 
     def evaluate(self, truth_path: str) -> DataFrame:
         w = self.workspace
-        rows = w.read("assignments").join(w.read("faces").select("face_id", "image_path"), "face_id")
-        matched = evaluate.match_ground_truth(rows, load_ground_truth(self.spark, truth_path))
+        matched = evaluate.match_ground_truth(w.read("assignments"), load_ground_truth(self.spark, truth_path))
         found = evaluate.evaluation_report(matched.select(F.col("label").alias("pred"), F.col("gt_label").alias("gt")))
         if found.first()["valid"] >= 2:
             found.write.mode("overwrite").json(f"{self.config.output_dir}/_metadata/evaluation_report")

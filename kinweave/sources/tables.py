@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 SCHEMAS = {
     "processed_images": "image_path string, image_hash string",
     "faces": "face_id string, image_path string, image_hash string, face_index int, bbox array<double>, landmarks array<array<double>>, det_score double, quality_score double, quality_passed boolean, quality_reasons array<string>, embedding array<float>",
-    "assignments": "face_id string, label int, probability double, confidence double, in_review boolean",
+    "assignments": "face_id string, image_path string, label int, probability double, confidence double, in_review boolean",
     "identities": "pos int, identity_id string, centroid array<double>",
     "corrections": "face_id string, label int, seq bigint",
     "crops": "face_id string, crops array<binary>",
+    "manifest": "face_id string, image_path string, file_name string, label int, confidence double, cluster_name string",
+    "plot_points": "face_id string, label int, x double, y double, marker string, size double, alpha double",
     "skipped": "image_path string, face_index int, stage string, reason string",
 }
 
+#: Tables with more columns than their schema says, which is for those that aren't written yet.
+DERIVED = ("manifest", "plot_points")
+
 
 def truth_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
     """(key, gt_label) from rows of JSON objects that map keys to labels."""
@@ -105,7 +110,7 @@ class Workspace:
         if at is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
         try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(at) if name in SCHEMAS else self.spark.read.parquet(at)
+            return self.spark.read.schema(SCHEMAS[name]).parquet(at) if name in SCHEMAS and name not in DERIVED else self.spark.read.parquet(at)
         except AnalysisException:
             return self.spark.createDataFrame([], SCHEMAS[name])
 

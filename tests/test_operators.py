@@ -240,18 +240,16 @@ def test_nearest_by_table_and_by_blocks(spark, monkeypatch, most):
     assert similarity.nearest(rows, targets.limit(0), id_col="id", vec_col="emb", key_col="pos", target_col="centroid").count() == 0
 
 
-def test_knn_in_several_blocks(spark, monkeypatch):
+def test_knn_in_several_blocks(spark):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(50, 5))
-    inner = similarity.pair_blocks
-    monkeypatch.setattr(similarity, "pair_blocks", lambda *a: inner(*a, block=12))
     got = {}
-    for r in similarity.knn(frame(spark, v), 4).collect():
+    for r in similarity.knn(frame(spark, v), 4, block=12).collect():
         got.setdefault(r["id"], []).append((r["rank"], r["neighbor"]))
     d = similarity.distances(v, v, "cosine")
     np.fill_diagonal(d, np.inf)
     assert {i: [n for _, n in sorted(x)] for i, x in got.items()} == {i: np.argsort(d[i])[:4].tolist() for i in range(50)}
-    pairs = similarity.pairwise(frame(spark, v), at_most=0.5).collect()
+    pairs = similarity.pairwise(frame(spark, v), at_most=0.5, block=12).collect()
     assert {(r["a"], r["b"]) for r in pairs} == {(i, j) for i, j in itertools.combinations(range(50), 2) if d[i, j] <= 0.5}
 
 
@@ -442,6 +440,25 @@ def test_engine_end_to_end(spark, tmp_path):
     assert sum(r["best"] for r in grid) == 1 and next(r["f1"] for r in grid if r["best"]) == max(r["f1"] for r in grid)
     assert engine.apply_corrections().count() == 10
     assert json.loads(engine.status())["n_identities"] == 1
+    # two photos once more, under other names: every face is in every report once
+    (photos / "q0.bmp").write_bytes((photos / "p0.bmp").read_bytes())
+    (photos / "q1.bmp").write_bytes((photos / "p1.bmp").read_bytes())
+    assert engine.run().count() == 12 and engine.face_metadata().count() == 12
+    known = engine.workspace.read("assignments").filter("label >= 0").count()
+    assert engine.workspace.read("plot_points").count() == 12 and engine.workspace.read("manifest").count() == known
+    assert json.loads((next((out / "_metadata" / "cluster_report").glob("*.txt"))).read_text())["n_faces"] in (known, 12)
+    assert engine.copy_files()["photos"] == len(list(out.glob("Person_*/*.bmp")))
+    assert engine.evaluate(str(truth)).first()["total"] == 9
+
+
+def test_command_line_without_faces(spark, tmp_path, capsys, monkeypatch):
+    from kinweave.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bmp").write_bytes(bmp(np.full((4, 4, 3), 9, np.uint8)))
+    assert main(["--input", str(tmp_path / "in"), "--output", str(tmp_path / "out")]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[0]) == {"photos": 0, "missing": 0, "crops": 0}
 
 
 def test_streams(spark, tmp_path):
