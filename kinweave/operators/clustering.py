@@ -28,6 +28,19 @@ class ClusterConfig:
     one_task: int = 8192
 
 
+def linked(points: DataFrame, eps: float, *, block: int = BLOCK) -> DataFrame:
+    """(id, component): the smallest id reachable from each of points (id bigint, v) by steps of at most eps. Of each pair of blocks a spanning set of links leaves the task."""
+
+    def links(ia, va, ib, vb, same):
+        x, y = np.nonzero(distances(va, vb, "euclidean") <= eps)
+        ids = ia if same else np.concatenate((ia, ib))
+        a, b = spanning(len(ids), x, y if same else y + len(ia))
+        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
+
+    points = cut(points)
+    return components(points.select("id"), pair_blocks(points, "id", "v", "a bigint, b bigint", links, block, within=eps))
+
+
 def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: str = "id", vec_col: str = "emb", block: int = BLOCK) -> DataFrame:
     """(id, label): core rows have min_samples rows within eps, themselves included; labels number the connected sets of core rows by their smallest id; a border row joins the smallest of its
     neighbours' labels; -1 is noise.
@@ -45,13 +58,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: s
     degree = pair_blocks(points, "id", "v", "id bigint, n bigint", degrees, block, within=eps).groupBy("id").agg(F.sum("n").alias("n"))
     core = cut(degree.filter(F.col("n") >= min_samples).select("id"))
 
-    def links(ia, va, ib, vb, same):
-        x, y = np.nonzero(within(va, vb))
-        ids = ia if same else np.concatenate((ia, ib))
-        a, b = spanning(len(ids), x, y if same else y + len(ia))
-        return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
-
-    parts = components(core, pair_blocks(points.join(core, "id", "left_semi"), "id", "v", "a bigint, b bigint", links, block, within=eps))
+    parts = linked(points.join(core, "id", "left_semi"), eps, block=block)
     names = numbered(parts.select("component").distinct(), "component", "label")
     cores = cut(parts.join(names, "component").select("id", F.col("label").cast("int").alias("label")))
     labelled = points.join(cores, "id", "left").select("id", F.concat("v", F.array(F.coalesce("label", F.lit(-1)).cast("double"))).alias("v"))

@@ -9,10 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.vectors import double, euclidean_distance, matrix, units, vector_mean, vector_sums
-from kinweave.operators.clustering import centroid_probability
+from kinweave.functions.vectors import double, euclidean_distance, l2_normalize, matrix, units, vector_mean, vector_sums
+from kinweave.operators.clustering import centroid_probability, linked
 from kinweave.operators.graph import cut, numbered
-from kinweave.operators.similarity import group_blocks, nearest
+from kinweave.operators.similarity import BLOCK, MOST_NUMBERS, group_blocks, nearest
+
+
+#: Clusters up to which merging is done at once; more go through components.
+FEW_CLUSTERS = 8192
+#: Clusters of a component that one task merges.
+MOST_MERGED = 16384
 
 
 @dataclass(frozen=True)
@@ -25,9 +31,9 @@ class RefineConfig:
     seed: int = 42
 
 
-def merge_plan(labels: list[int], counts: np.ndarray, totals: np.ndarray, threshold: float) -> dict[int, int]:
+def merge_plan(labels: list[int], counts: np.ndarray, totals: np.ndarray, threshold: float, formed: list | None = None) -> dict[int, int]:
     """Old label to new one: the closest pair of mean vectors under threshold is merged, the larger label into the smaller, again and again (ties: the smaller labels). Works on sums: points are never read again.
-    Of each label only the nearest later one is kept, so memory grows with the number of labels, not with that of their pairs."""
+    Of each label only the nearest later one is kept, so memory grows with the number of labels, not with that of their pairs. formed gets (label that stays, label that goes, sum) of each merge."""
     n, totals, home = len(labels), totals.astype(float).copy(), list(range(len(labels)))
     unit, alive = units(totals), np.ones(len(labels), bool)
     near, far = np.full(n, -1), np.full(n, np.inf)
@@ -51,6 +57,8 @@ def merge_plan(labels: list[int], counts: np.ndarray, totals: np.ndarray, thresh
         totals[i] += totals[j]
         unit[i] = units(totals[i : i + 1])[0]
         alive[j], far[j], home[j] = False, np.inf, i
+        if formed is not None:
+            formed.append((labels[i], labels[j], totals[i].copy()))
         stale = alive & ((near == i) | (near == j))
         stale[i] = True
         look(np.flatnonzero(stale))
@@ -64,13 +72,68 @@ def merge_plan(labels: list[int], counts: np.ndarray, totals: np.ndarray, thresh
     return {labels[k]: labels[home[k]] for k in range(n)}
 
 
-def merge_clusters(rows: DataFrame, threshold: float, *, id_col: str = "id", vec_col: str = "emb") -> DataFrame:
-    """rows with labels merged. One row per cluster comes to the driver."""
-    table = vector_sums(rows.filter("label >= 0"), "label", vec_col).orderBy("label").toArrow()
-    if table.num_rows < 2:
+def _merge_components(current: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """merge_plan within each component (parts: id, component) of current (label, total). Rows: of each label its home and, for one that stays, its sum; of each merge the sum that it formed, with id -1 less the label that goes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("label")
+        labels, totals, formed = t.column("label").to_pylist(), matrix(t.column("total")), []
+        home = merge_plan(labels, np.ones(len(labels)), totals, threshold, formed)
+        last = dict(zip(labels, totals, strict=True)) | {i: v for i, _, v in formed}
+        rows = [(k, home[k], last[k].tolist() if home[k] == k else None) for k in labels] + [(-1 - j, i, v.tolist()) for i, j, v in formed]
+        return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "home": pa.array([r[1] for r in rows], pa.int64()), "total": pa.array([r[2] for r in rows], pa.list_(pa.float64()))})
+
+    own = current.join(parts.withColumnRenamed("id", "label"), "label")
+    return own.groupBy("component").applyInArrow(run, "id bigint, home bigint, total array<double>")
+
+
+def merge_homes(sums: DataFrame, threshold: float, *, most: int = MOST_MERGED, block: int = BLOCK) -> DataFrame:
+    """(label, home): merge_plan's result for sums (label bigint, total) of any number, without the driver.
+
+    Clusters are dealt by components of links under the threshold, and each component is merged in its task. A mean of two can be nearer to a third than either was, so every sum that was formed on the way is held
+    against those of all components; components that any of them links are merged as one, from the start. When none does, no step of the one greedy loop could have joined two components, and its steps within each are
+    those done. If a component has over `most` clusters a smaller threshold comes first: the loop's steps up to the first distance beyond it are the same, so the loop goes on from there. Only where thresholds that
+    differ by a thousandth still leave a larger component (clusters all equally near) does one task take more than `most`."""
+    reach = lambda t: float(np.sqrt(2 * max(t, 0.0)) * (1 + 1e-9) + 1e-7)  # noqa: E731  of unit vectors, and a little beyond
+    unit = lambda df, key: df.select(F.col(key).alias("id"), F.coalesce(l2_normalize(F.col("total")), double(F.col("total"))).alias("v"))
+    largest = lambda parts: parts.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    homes = cut(sums.select("label", F.col("label").alias("home")))
+    current, low, at = cut(sums.select("label", "total")), 0.0, threshold
+    while not current.isEmpty():
+        parts = cut(linked(unit(current, "label"), reach(at), block=block))
+        while True:
+            if largest(parts) > most and at - low > threshold * 1e-3:
+                at = (low + at) / 2
+                parts = cut(linked(unit(current, "label"), reach(at), block=block))
+                continue
+            merged = cut(_merge_components(current, parts, at))
+            formed = unit(current, "label").unionByName(unit(merged.filter("id < 0"), "id"))
+            again = cut(linked(formed, reach(at), block=block).filter("id >= 0"))
+            if again.select("component").distinct().count() == parts.select("component").distinct().count():
+                break
+            parts = again
+        stay = merged.filter("id >= 0")
+        homes = cut(homes.join(stay.select(F.col("id").alias("home"), F.col("home").alias("__next")), "home").select("label", F.col("__next").alias("home")))
+        current = cut(stay.filter("id = home").select(F.col("id").alias("label"), "total"))
+        if at >= threshold:
+            break
+        low, at = at, threshold
+    return homes
+
+
+def merge_clusters(rows: DataFrame, threshold: float, *, id_col: str = "id", vec_col: str = "emb", few: int = FEW_CLUSTERS, most: int = MOST_MERGED) -> DataFrame:
+    """rows with labels merged: the closest two mean vectors under threshold again and again, the larger label into the smaller. Up to `few` clusters, of a checked size, are merged at once on the driver, more by
+    merge_homes. Clusters whose sum has a null, a NaN or an infinity stay as they are."""
+    sums = cut(vector_sums(rows.filter("label >= 0"), "label", vec_col).filter("NOT exists(total, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))").select(F.col("label").cast("bigint").alias("label"), "n", "total"))
+    shape = sums.agg(F.count("*").alias("n"), F.max(F.size("total")).alias("d")).first()
+    if shape["n"] < 2:
         return rows
-    home = merge_plan(table.column("label").to_pylist(), table.column("n").to_numpy(), matrix(table.column("total")), threshold)
-    plan = rows.sparkSession.createDataFrame([(k, v) for k, v in home.items() if k != v] or [(-9, -9)], "label int, __new int")
+    if shape["n"] <= few and shape["n"] * shape["d"] <= MOST_NUMBERS:
+        table = sums.orderBy("label").toArrow()
+        home = merge_plan(table.column("label").to_pylist(), table.column("n").to_numpy(), matrix(table.column("total")), threshold)
+        plan = rows.sparkSession.createDataFrame([(k, v) for k, v in home.items() if k != v] or [(-9, -9)], "label int, __new int")
+    else:
+        plan = merge_homes(sums, threshold, most=most).filter("label <> home").select(F.col("label").cast("int").alias("label"), F.col("home").cast("int").alias("__new"))
     return rows.join(plan, "label", "left").select(*[F.coalesce("__new", "label").cast("int").alias("label") if c == "label" else F.col(c) for c in rows.columns])
 
 
