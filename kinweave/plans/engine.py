@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
-from kinweave.operators import clustering, evaluate, hierarchy, identities, imaging, quality, refine, report, thresholds
+from kinweave.operators import clustering, evaluate, hierarchy, identities, imaging, manifold, quality, refine, report, thresholds
 from kinweave.operators.graph import cut
 from kinweave.sources import images
 from kinweave.sources.config import EngineConfig
@@ -27,12 +27,26 @@ def indexed(faces: DataFrame) -> DataFrame:
 
 
 def reducer_of(config: EngineConfig) -> imaging.Reducer:
-    """The configured reducer; one that isn't built (umap among them) is refused."""
-    if config.reducer.kind == "pca":
-        return imaging.PcaReducer(config.reducer.n_components)
-    if config.reducer.kind == "none":
+    """The configured reducer; one that isn't built in is refused."""
+    r = config.reducer
+    if r.kind == "pca":
+        return imaging.PcaReducer(r.n_components)
+    if r.kind == "umap":
+        return manifold.UmapReducer(r.n_components, r.n_neighbors, r.min_dist)
+    if r.kind == "none":
         return imaging.NoReducer()
-    raise ValueError(f"reducer.kind {config.reducer.kind!r} is not built in: none or pca")
+    raise ValueError(f"reducer.kind {r.kind!r} is not built in: none, pca or umap")
+
+
+def flat(rows: DataFrame, config: EngineConfig) -> DataFrame:
+    """rows (id, emb) with x and y for the picture: by neighbourhoods if vectors are reduced so, else the first two principal components; zeros for fewer than three rows."""
+    if config.reducer.kind != "umap":
+        return imaging.project_2d(rows)
+    placed = manifold.UmapReducer(2, config.reducer.n_neighbors, 0.1).fit(rows)
+    if placed is None:
+        return rows.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
+    at = placed.base.select(F.col("base_id").alias("id"), F.element_at("y", 1).alias("x"), F.element_at("y", 2).alias("y"))
+    return rows.join(at, "id", "left").fillna(0.0, ["x", "y"])
 
 
 def group(faces: DataFrame, known: DataFrame, config: EngineConfig, step: Callable[[str], None] = lambda _: None, note: Callable[[DataFrame], None] = lambda _: None) -> DataFrame:
@@ -147,7 +161,7 @@ class Engine:
         defaults = {"label": -1, "probability": 0.0, "confidence": 0.0, "in_review": True}
         rows = faces.join(assigned, ["face_id", "image_path"], "left").fillna(defaults).withColumn("ord", F.col("id"))
         self.progress.step("plot")
-        w.write("plot_points", report.plot_points(imaging.project_2d(rows.withColumn("emb", F.col("embedding").cast("array<double>")))).select("face_id", "label", "x", "y", "marker", "size", "alpha"))
+        w.write("plot_points", report.plot_points(flat(rows.withColumn("emb", F.col("embedding").cast("array<double>")), self.config)).select("face_id", "label", "x", "y", "marker", "size", "alpha"))
         picture = self.spark.createDataFrame([("_metadata/confidence_heatmap.png", bytearray(imaging.png(report.plot_image(w.read("plot_points")))))], "name string, content binary")
         put_files(picture, out)
         self.progress.step("report")

@@ -39,8 +39,11 @@ class EmbeddingConfig:
 
 @dataclass(frozen=True)
 class ReducerConfig:
+    #: none, pca or umap; the last two settings are umap's.
     kind: str = "none"
     n_components: int = 50
+    n_neighbors: int = 15
+    min_dist: float = 0.0
 
 
 @dataclass(frozen=True)

@@ -525,7 +525,7 @@ def test_progress(tmp_path):
     assert "| INFO     | x" in (tmp_path / "pipeline.log").read_text()
 
 
-@pytest.mark.parametrize("kind", ["umap", "PCA", ""])
+@pytest.mark.parametrize("kind", ["UMAP", "PCA", ""])
 def test_unknown_reducers_are_refused(spark, kind):
     from kinweave.plans import engine
 
