@@ -3,9 +3,13 @@ columns of documents.
 
 * language_id: learns from the rows with a known language and drops texts in which no language can be told (no letters, or a profile like none of the languages').
 * exact_dedup: of equal texts (A-Z lower-cased) the row with the largest doc_id stays.
-* simhash_near_dedup: wide fingerprints of five-word shingles; of each group of documents that are linked by a Jaccard similarity of 0.8 or more the one with the smallest doc_id stays.
-* mix_sources: rows are written in the order of the mixing schedule.
+* simhash_near_dedup: wide fingerprints of five-word shingles; of each group of documents that are linked by a Jaccard similarity of 0.8 or more the one with the smallest doc_id stays. Rows without a doc_id are
+  compared by a hash of their text and come after all others, so one of them stays only where its group has no doc_id. Rows that share a doc_id are one document.
+* mix_sources: rows are written in the order of the mixing schedule; rows of one slot by doc_id, then by a hash of their text.
 * pack: the rows' pieces in sequences of 4096 tokens, which follow the order of the mix.
+
+A null text has no letters, so language_id drops it, as it does empty texts. Of equal rows exact_dedup leaves one. An empty table gives an empty one at every stage. Further columns of documents go along up to the last stage; names
+that begin with __kw_ are taken. A stage's table is deleted once the next one is written.
 """
 
 from __future__ import annotations
@@ -29,12 +33,6 @@ FEW_IDS = 1_000_000
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids."""
-    ids = cut(ids.select("doc_id"))
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, residue(F.col("doc_id"), 5) != 0)
     judged = langid.predict(docs.select(F.struct(*docs.columns).alias("__kw_row"), "text"), model)
@@ -46,15 +44,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.verified_groups(docs, size=5, least=LEAST_JACCARD, words=WORDS, limit=NEAR_BITS)
-    return without(docs, found.filter("id <> component").select(F.col("id").alias("doc_id")))
+    behind = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    keyed = docs.withColumn("__kw_key", F.coalesce(F.col("doc_id").cast("bigint"), behind))
+    found = simhash.verified_groups(keyed, size=5, least=LEAST_JACCARD, words=WORDS, limit=NEAR_BITS, id_col="__kw_key")
+    ids = cut(found.filter("id <> component").select(F.col("id").alias("__kw_key")))
+    return keyed.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "__kw_key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = mixing.mix(docs, queries.SHARES, default=queries.SHARE, block_chars=queries.BLOCK_CHARS)
     slots = cut(placed.groupBy(F.col("id").alias("__kw_id")).agg(F.min("slot").alias("__kw_slot")))
     slotted = docs.join(F.broadcast(slots) if slots.count() <= FEW_IDS else slots, F.col("doc_id").eqNullSafe(F.col("__kw_id")), "left").drop("__kw_id")
-    return slotted.repartitionByRange("__kw_slot", "doc_id", F.monotonically_increasing_id()).sortWithinPartitions("__kw_slot", "doc_id").select(*docs.columns)
+    order = ("__kw_slot", "doc_id", "__kw_hash")  # of the rows alone, so a task that is run again deals them the same way
+    return slotted.withColumn("__kw_hash", F.xxhash64("doc_id", "text")).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +73,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("simhash_near_dedup", simhash_near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
 
 
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before is not None:
+            delete(spark, before)
+        before = at
     return docs
