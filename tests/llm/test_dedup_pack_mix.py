@@ -466,7 +466,11 @@ def test_pipeline_near_dedup_links_chains_and_sets(spark):
     rows = [(5, " ".join(words)), (3, " ".join(words[12:] + [f"x{i}" for i in range(12)])), (9, " ".join(words[24:] + [f"x{i}" for i in range(24)])), (4, line * 400 + " ".join(words[:40])), (2, line * 2 + " ".join(words[:40])), (None, " ".join(words)), (7, line * 400 + " ".join(f"y{i}" for i in range(40)))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     left = sorted((r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).collect()), key=str)
-    assert left == [2, 3, 7, None]
+    assert left == [2, 3, 7]  # the text without an identifier is a copy of one that has one
+    alone = [f"z{i}" for i in range(200)]
+    docs = spark.createDataFrame([*rows, (None, " ".join(alone)), (None, " ".join(alone[:-1])), (None, " ".join(f"u{i}" for i in range(50)))], docs.schema)
+    left = [r["text"][:2] for r in corpus_pipeline.simhash_near_dedup(spark, docs, SF).filter("doc_id IS NULL").collect()]
+    assert sorted(left) == ["u0", "z0"]
 
 
 class _Cluster:
