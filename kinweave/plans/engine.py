@@ -15,7 +15,7 @@ from kinweave.operators import clustering, evaluate, hierarchy, identities, imag
 from kinweave.operators.graph import cut
 from kinweave.sources import images
 from kinweave.sources.config import EngineConfig
-from kinweave.sources.tables import Workspace, load_ground_truth, put_files, read_json_lines
+from kinweave.sources.tables import Workspace, copy_from, load_ground_truth, put_files, read_json_lines
 from kinweave.streaming.progress import Broadcaster
 
 log = logging.getLogger("kinweave")
@@ -195,10 +195,8 @@ class Engine:
         rows = w.read("manifest").select("cluster_name", "image_path", "file_name")
         if rows.isEmpty():
             return {"photos": 0, "missing": 0, "crops": 0}
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(c.input_dir).select(F.col("path").alias("image_path"), "content")
-        both = rows.join(files, "image_path", "left")
-        counts = {"photos": put_files(both.filter("content IS NOT NULL").select(F.concat_ws("/", "cluster_name", "file_name").alias("name"), "content"), c.output_dir)}
-        counts["missing"] = both.filter("content IS NULL").count()
+        found = copy_from(rows.select(F.col("image_path").alias("source"), F.concat_ws("/", "cluster_name", "file_name").alias("name")), c.output_dir)
+        counts = {"photos": found["copied"], "missing": found["missing"]}
         if counts["missing"]:
             log.warning("%s source images are missing", counts["missing"])
         counts["crops"] = 0

@@ -83,6 +83,63 @@ def put_files(rows: DataFrame, folder: str) -> int:
     return rows.select("name", "content").mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def file_system(path: str):
+    """Arrow's file system of a path as Spark names it, and the path there."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else os.path.abspath(path)
+    scheme, _, rest = path.partition("://")
+    host, _, below = rest.partition("/")
+    system, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return system, f"{root.rstrip('/')}/{below}"
+
+
+def copy_from(rows: DataFrame, folder: str, *, piece: int = 1 << 23) -> dict[str, int]:
+    """Copy each row's file source to its name, a path below folder: the tasks read and write, so no content is shuffled, each file is read once and a task holds one piece. A copy has a name of its own until it is
+    whole, so tasks that fail or run twice leave whole files only. The numbers copied and missing, of sources that aren't there."""
+
+    def copy(batches):
+        import pyarrow as pa
+
+        system, root = file_system(folder)
+        done, missing, made = 0, 0, set()
+        for b in batches:
+            for source, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own, path = file_system(source)
+                at = f"{root}/{name}"
+                parent, _, last = at.rpartition("/")
+                try:
+                    content = own.open_input_stream(path)
+                except FileNotFoundError:
+                    missing += 1
+                    continue
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                unfinished = f"{parent}/.{last}.{uuid.uuid4().hex}"
+                with content:
+                    try:
+                        with system.open_output_stream(unfinished) as out:
+                            while data := content.read(piece):
+                                out.write(data)
+                        try:
+                            system.move(unfinished, at)
+                        except OSError:  # where a move doesn't replace what is there
+                            system.delete_file(at)
+                            system.move(unfinished, at)
+                    except BaseException:
+                        if system.get_file_info(unfinished).is_file:
+                            system.delete_file(unfinished)
+                        raise
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([missing], pa.int64())], ["done", "missing"])
+
+    found = rows.select("source", "name").repartition("name").mapInArrow(copy, "done bigint, missing bigint")
+    one = found.agg(F.coalesce(F.sum("done"), F.lit(0)).alias("done"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing")).first()
+    return {"copied": one["done"], "missing": one["missing"]}
+
+
 @dataclass(frozen=True)
 class Workspace:
     """Versions of each table lie side by side; a pointer file names the current one, so a table that is being read is never overwritten and a failed write leaves the old one."""

@@ -38,17 +38,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def running_centroids(rows: DataFrame, *, key_col: str = "identity_id", vec_col: str = "emb", order_col: str = "seq") -> DataFrame:
-    """A stream of (key, n, centroid): each new vector of a key is averaged with its unit centroid and the result made a unit vector again, in the order of order_col within a batch."""
+    """A stream of (key, n, centroid): each new vector of a key is averaged with its unit centroid and the result made a unit vector again, in the order of order_col within a batch. A key's rows of one batch are sorted in its task, whose size the source's rows per trigger bound."""
 
     def fold(key: tuple, groups, state):
         n, centroid = state.get if state.exists else (0, None)
-        for pdf in groups:
-            vectors = np.stack(pdf.sort_values(order_col)[vec_col].to_numpy()).astype(float)
-            if centroid is None:
-                centroid, vectors, n = _unit(vectors[0]), vectors[1:], 1
-            for v in vectors:  # each step needs the one before
-                centroid = _unit((np.asarray(centroid) + v) / 2)
-            n += len(vectors)
+        chunks = [(pdf[order_col].to_numpy(), np.stack(pdf[vec_col].to_numpy()).astype(float)) for pdf in groups if len(pdf)]  # a key of many rows comes in several
+        vectors = np.concatenate([v for _, v in chunks])[np.argsort(np.concatenate([k for k, _ in chunks]), kind="stable")]
+        if centroid is None:
+            centroid, vectors, n = _unit(vectors[0]), vectors[1:], 1
+        for v in vectors:  # each step needs the one before
+            centroid = _unit((np.asarray(centroid) + v) / 2)
+        n += len(vectors)
         centroid = np.asarray(centroid).tolist()
         state.update((n, centroid))
         yield pd.DataFrame({key_col: [key[0]], "n": [n], "centroid": [centroid]})
