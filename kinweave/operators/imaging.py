@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import l2_normalize, vector_mean
 
+#: The failure of a file that is no picture.
+UNREADABLE = "not a picture that can be read"
 #: Where eyes, nose and mouth corners lie in an aligned crop of 112 x 112 pixels.
 TEMPLATE = np.array([[38.2946, 51.6963], [73.5318, 51.5014], [56.0252, 71.7366], [41.5493, 92.3655], [70.7299, 92.2041]])
 CROP = 112
@@ -189,7 +191,7 @@ def png(image: np.ndarray) -> bytes:
 
 def detect(images: DataFrame, detector: Callable[[], Detector], *, det_size: tuple[int, int] | None = None, det_thresh: float | None = None, **options) -> DataFrame:
     """(image_path, image_hash, bbox, landmarks, det_score, ordinal, lap_var, crops, failure) per face found, with the crops of views(). An image on which the detector fails has one row with the failure's text and
-    no face. A detector that has prepare() is told det_size and det_thresh once. images: (path, image_hash, height, width, channels, pixels); one picture is held at a time besides Arrow's batch."""
+    no face, so has one without pixels (height below 1). A detector that has prepare() is told det_size and det_thresh once. images: (path, image_hash, height, width, channels, pixels); one picture is held at a time besides Arrow's batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = detector()
@@ -201,6 +203,9 @@ def detect(images: DataFrame, detector: Callable[[], Detector], *, det_size: tup
             for row in range(batch.num_rows):
                 path, image_hash, height, width, channels, pixels = (batch.column(c)[row].as_py() for c in range(6))
                 out: list[tuple] = []
+                if height < 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path, image_hash, *[None] * 6, UNREADABLE), kinds, strict=True)], names)
+                    continue
                 try:
                     image = image_of(pixels, height, width, channels)
                     found = model.detect(image)

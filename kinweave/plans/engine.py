@@ -7,7 +7,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import scalars as S
@@ -16,7 +16,7 @@ from kinweave.operators.graph import cut
 from kinweave.sources import images
 from kinweave.sources.config import EngineConfig
 from kinweave.sources.tables import Workspace, copy_from, load_ground_truth, put_files, read_json_lines
-from kinweave.streaming.progress import Broadcaster
+from kinweave.streaming.progress import Broadcaster, Control
 
 log = logging.getLogger("kinweave")
 
@@ -85,70 +85,88 @@ class Engine:
     counts: dict[str, int] = field(default_factory=dict)
     progress: Broadcaster = field(default_factory=Broadcaster)
 
+    def __post_init__(self) -> None:
+        self.control = Control(self.progress)
+
     @property
     def workspace(self) -> Workspace:
         return Workspace(self.spark, f"{self.config.output_dir}/_tables")
 
     def ingest(self, incremental: bool = False) -> DataFrame:
         """Find, score and embed the faces of the input folder's images; incremental: of those that are not recorded yet. The faces table. What is left out is in the table skipped, with the stage and the reason, and
-        counted: images that can't be decoded or that the detector fails on, faces that don't pass the gate, can't be aligned or have no vector."""
+        counted: images that can't be decoded or that the detector fails on, faces that don't pass the gate, can't be aligned or have no vector. Only the images to be worked off are decoded, in rounds of a
+        bounded number of files, each once; the counts are observed while the tables are written. An incremental run that failed on its way can be run again: what its tables hold already isn't added twice."""
         c, w = self.config, self.workspace
-        self.progress.step("scan")
+        self.control.step("scan")
         files = images.hashed(images.scan(self.spark, c.input_dir, recursive=c.recursive))
         fresh = images.unprocessed(files, w.read("processed_images")) if incremental else files
         scratch = Workspace(self.spark, f"{c.output_dir}/_tables/_batch")
-        fresh = scratch.write("fresh", fresh.select("path", "image_hash"))
-        decoded = images.decode(self.spark, c.input_dir, recursive=c.recursive)
-        pictures = decoded.join(fresh, "path")
-        self.progress.step("detect")
-        found = imaging.detect(pictures, self.detector, det_size=c.detection.det_size, det_thresh=c.detection.det_thresh, perturbations=c.embedding.num_perturbations, rotation=c.embedding.rotation_range, jitter=c.embedding.scale_jitter)
-        found = scratch.write("found", found)  # models run once, whatever is done with their results
-        self.progress.step("score")
+        seen = Observation()
+        fresh = scratch.write("fresh", fresh.select("path", "image_hash").observe(seen, F.count("*").alias("images")))
+        self.control.step("detect")
+        options = {"det_size": c.detection.det_size, "det_thresh": c.detection.det_thresh, "perturbations": c.embedding.num_perturbations, "rotation": c.embedding.rotation_range, "jitter": c.embedding.scale_jitter}
+        found = scratch.write("found", imaging.detect(images.decode_files(self.spark, []), self.detector, **options))
+        for part in images.rounds(fresh):  # pictures are decoded and models run once, whatever is done with their results
+            found = scratch.append("found", imaging.detect(images.decode_files(self.spark, part), self.detector, **options))
+        self.control.step("score")
         ranked = quality.rank_faces(found.filter("failure IS NULL").withColumns({"img": F.col("image_path"), "vec_id": F.col("ordinal")}), most=c.detection.max_faces, threshold=c.detection.det_thresh)
         at = lambda i: F.col("landmarks")[i[0]][i[1]]
         flat = ranked.withColumns({"x1": F.col("bbox")[0], "y1": F.col("bbox")[1], "x2": F.col("bbox")[2], "y2": F.col("bbox")[3], "lex": at((0, 0)), "ley": at((0, 1)), "rex": at((1, 0)), "rey": at((1, 1)), "nx": at((2, 0)), "ny": at((2, 1))})
         q = c.quality
         scored = quality.scored(flat, least_size=q.min_face_size, blur=q.blur_threshold, most_angle=q.max_pose_angle).withColumn("face_id", S.face_id(F.col("image_hash"), F.col("face_index")))
         good = quality.gate(scored, q.gate)
-        w.append("crops", good.select("face_id", "crops")) if incremental else w.write("crops", good.select("face_id", "crops"))
-        self.progress.step("embed")
+        keep = w.add if incremental else lambda name, rows, _: w.write(name, rows)
+        keep("crops", good.select("face_id", "crops"), ["face_id"])
+        self.control.step("embed")
         vectors = scratch.write("vectors", imaging.embed(good.dropDuplicates(["face_id"]), self.embedder, flip=c.embedding.use_flip, dimension=c.embedding.dimension))
         rows = good.join(vectors, "face_id").select("face_id", "image_path", "image_hash", "face_index", "bbox", "landmarks", "det_score", F.col("composite").alias("quality_score"), F.col("passed").alias("quality_passed"), F.col("reasons").alias("quality_reasons"), "embedding")
-        faces = w.append("faces", rows) if incremental else w.write("faces", rows)
+        kept = Observation()
+        faces = keep("faces", rows.observe(kept, F.count("*").alias("faces")), ["face_id", "image_path"])
         none = F.lit(None).cast("int").alias("face_index")
         skip = lambda df, stage, reason: df.select("image_path", "face_index" if "face_index" in df.columns else none, F.lit(stage).alias("stage"), reason.cast("string").alias("reason"))
-        lost = images.undecoded(fresh, decoded).withColumnRenamed("path", "image_path")
-        skipped = skip(lost, "decode", F.lit("not a picture that can be read")).unionByName(skip(found.filter("failure IS NOT NULL"), "detect", F.col("failure")))
+        failed = found.filter("failure IS NOT NULL")
+        unread = F.col("failure") == imaging.UNREADABLE
+        skipped = skip(failed.filter(unread), "decode", F.col("failure")).unionByName(skip(failed.filter(~unread), "detect", F.col("failure")))
         skipped = skipped.unionByName(skip(scored.join(good.select("face_id"), "face_id", "left_anti"), "gate", F.concat_ws(",", "reasons")))
         unaligned = F.col("crops").isNull()
         without = good.join(vectors.select("face_id"), "face_id", "left_anti")
         skipped = skipped.unionByName(skip(without.filter(unaligned), "align", F.lit("fewer than five landmarks"))).unionByName(skip(without.filter(~unaligned), "embed", F.lit("no vector")))
-        w.append("skipped", skipped) if incremental else w.write("skipped", skipped)
-        done = fresh.withColumnRenamed("path", "image_path")
-        w.append("processed_images", done) if incremental else w.write("processed_images", done)
-        by_stage = {f"skipped_{r['stage']}": r["n"] for r in skipped.groupBy("stage").agg(F.count("*").alias("n")).collect()}
-        self.counts = {"images": fresh.count(), "faces": rows.count()} | {f"skipped_{k}": 0 for k in ("decode", "detect", "gate", "align", "embed")} | by_stage
+        stages = ("decode", "detect", "gate", "align", "embed")
+        left = Observation()
+        keep("skipped", skipped.observe(left, *[F.count_if(F.col("stage") == k).alias(f"skipped_{k}") for k in stages]), ["image_path", "face_index", "stage", "reason"])
+        keep("processed_images", fresh.withColumnRenamed("path", "image_path"), ["image_path", "image_hash"])
+        self.counts = {k: v or 0 for o in (seen, kept, left) for k, v in o.get.items()}
         log.info("processed %s", self.counts)
         return faces
 
     def run(self, incremental: bool = False) -> DataFrame:
-        """Ingest, group and write; returns the assignments."""
-        if self.detector is not None:
-            self.ingest(incremental)
-        return self.regroup()
+        """Ingest, group and write; returns the assignments. Busy while another run or regrouping of this engine is going."""
+        with self.control.run(self.spark):
+            if self.detector is not None:
+                self.ingest(incremental)
+            return self._regroup()
+
+    def cancel(self) -> bool:
+        """End the run that is going, from another thread; whether there was one. Tables keep what their last finished write left."""
+        return self.control.cancel(self.spark)
 
     def regroup(self) -> DataFrame:
+        """Group and write what the tables hold; the assignments."""
+        with self.control.run(self.spark):
+            return self._regroup()
+
+    def _regroup(self) -> DataFrame:
         w = self.workspace
         faces = indexed(w.read("faces"))
         if faces.isEmpty():
-            self.progress.step("done")
+            self.control.step("done")
             return w.read("assignments")
         rows = faces.select("id", F.col("embedding").cast("array<double>").alias("emb"))
-        found = group(rows, w.read("identities"), self.config, self.progress.step, self.note_thresholds)
-        self.progress.step("assign")
+        found = group(rows, w.read("identities"), self.config, self.control.step, self.note_thresholds)
+        self.control.step("assign")
         out = w.write("assignments", faces.select("id", "face_id", "image_path").join(found, "id").select("face_id", "image_path", "label", "probability", "confidence", "in_review"))
         self.write_output(faces, out)
-        self.progress.step("done")
+        self.control.step("done")
         log.info("grouped %s", self.status())
         return out
 
@@ -160,11 +178,11 @@ class Engine:
         out, w = self.config.output_dir, self.workspace
         defaults = {"label": -1, "probability": 0.0, "confidence": 0.0, "in_review": True}
         rows = faces.join(assigned, ["face_id", "image_path"], "left").fillna(defaults).withColumn("ord", F.col("id"))
-        self.progress.step("plot")
+        self.control.step("plot")
         w.write("plot_points", report.plot_points(flat(rows.withColumn("emb", F.col("embedding").cast("array<double>")), self.config)).select("face_id", "label", "x", "y", "marker", "size", "alpha"))
         picture = self.spark.createDataFrame([("_metadata/confidence_heatmap.png", bytearray(imaging.png(report.plot_image(w.read("plot_points")))))], "name string, content binary")
         put_files(picture, out)
-        self.progress.step("report")
+        self.control.step("report")
         w.write("manifest", report.manifest(rows).withColumn("cluster_name", S.person_name(F.col("label"))).drop("embedding"), partition_by="cluster_name")
         rows.filter("in_review").select("face_id", "image_path", F.col("label").alias("current_label"), "confidence", "quality_score").write.mode("overwrite").json(f"{out}/_metadata/review_items")
         rows.select("face_id", F.col("label").alias("cluster_label"), S.person_name(F.col("label")).alias("cluster_name"), "confidence", "image_path", "bbox", "quality_score", "det_score").write.mode("overwrite").json(f"{out}/_metadata/face_metadata")

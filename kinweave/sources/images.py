@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,36 @@ def hashed(files: DataFrame) -> DataFrame:
 def decode(spark: SparkSession, folder: str, *, recursive: bool = True) -> DataFrame:
     """(path, height, width, channels, pixels): decoded images (BGR, 8 bits); files that cannot be read are left out."""
     rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return rows.select(F.regexp_replace("image.origin", "^file:///", "file:/").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
+    return rows.select(F.regexp_replace(origin, "^file:///", "file:/").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
+
+
+#: Files that are named to Spark's reader in one round: what the driver holds of a run's paths.
+FILES = 1 << 16
+
+
+def rounds(files: DataFrame, size: int = FILES) -> Iterator[list[tuple[str, str]]]:
+    """The pairs (path, image_hash) of files in lists of at most size; the driver holds one of them and a partition."""
+    held = []
+    for r in files.select("path", "image_hash").toLocalIterator():
+        held.append((r["path"], r["image_hash"]))
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def decode_files(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """(path, image_hash, height, width, channels, pixels) of these files (path, image_hash) and no others, each read and decoded once. One that is no picture Spark can read has height -1 and no pixels."""
+    names = [re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for path, _ in files]  # paths are patterns to the reader
+    known = spark.createDataFrame(files, "path string, image_hash string")
+    if not files:
+        return known.selectExpr("path", "image_hash", "0 as height", "0 as width", "0 as channels", "X'' as pixels")
+    rows = spark.read.format("image").load(names)
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
+    pictures = rows.select(F.regexp_replace(origin, "^file:///", "file:/").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
+    return pictures.join(F.broadcast(known), "path")  # at most FILES rows
 
 
 def undecoded(files: DataFrame, images: DataFrame) -> DataFrame:

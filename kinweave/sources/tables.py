@@ -186,6 +186,16 @@ class Workspace:
         rows.write.mode("append").parquet(at)
         return self.read(name)
 
+    def add(self, name: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Append the rows whose keys (nulls equal) the table doesn't hold yet, so that a run that is done again after a failure adds what is missing and nothing twice."""
+        if self.current(name) is None:
+            return self.write(name, rows)
+        there = self.read(name).select(*[F.col(k).alias(f"__there_{k}") for k in keys]).distinct()
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__there_{k}"))
+        return self.append(name, rows.join(there, same, "left_anti"))
+
     def clear(self, name: str) -> None:
         fs, jvm = self._fs()
         fs.delete(jvm.org.apache.hadoop.fs.Path(self._pointer(name)), False)

@@ -6,9 +6,13 @@ import logging
 import queue
 import threading
 import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 STEPS = ("scan", "detect", "score", "embed", "classify", "reduce", "thresholds", "cluster", "refine", "assign", "plot", "report", "done")
@@ -44,6 +48,79 @@ class Broadcaster:
         self.send(status="running" if name != "done" else "done", step=name, progress=int(n / len(STEPS) * 100), at=time.time())
 
 
+    def listen(self, q: queue.Queue, every: float = 15.0) -> Iterator[dict[str, Any]]:
+        """The updates of a subscriber's queue, up to the last of a run. After every seconds of silence comes {"keepalive": True}, so that whoever passes them on can tell a quiet run from a lost one."""
+        while True:
+            try:
+                update = q.get(timeout=every)
+            except queue.Empty:
+                yield {"keepalive": True}
+                continue
+            yield update
+            if update.get("status") in ENDED:
+                return
+
+
+#: States after which a run sends nothing more.
+ENDED = ("done", "failed", "cancelled")
+
+
+class Busy(RuntimeError):
+    """A run was asked for while one is going."""
+
+
+class Cancelled(RuntimeError):
+    """The run was cancelled."""
+
+
+class Control:
+    """One run at a time. Its Spark jobs carry a tag, by which cancel() ends them; between jobs the run ends at its next step."""
+
+    def __init__(self, to: Broadcaster):
+        self.to, self.going, self.tag, self.asked = to, threading.Lock(), None, threading.Event()
+
+    @contextmanager
+    def run(self, spark: SparkSession) -> Iterator[None]:
+        """The span of a run: Busy if one is going. A run that raises is announced as failed, or as cancelled (and raises Cancelled)."""
+        if not self.going.acquire(blocking=False):
+            raise Busy("a run is going")
+        self.asked.clear()
+        self.tag = f"kinweave-{uuid.uuid4().hex}"
+        spark.sparkContext.addJobTag(self.tag)
+        try:
+            yield
+        except Exception as e:
+            self.to.send(status="cancelled" if self.asked.is_set() else "failed", error=f"{type(e).__name__}: {e}"[:1000])
+            if self.asked.is_set() and not isinstance(e, Cancelled):
+                raise Cancelled("the run was cancelled") from e
+            raise
+        finally:
+            spark.sparkContext.removeJobTag(self.tag)
+            self.tag = None
+            self.going.release()
+
+    def step(self, name: str) -> None:
+        if self.asked.is_set() and self.tag is not None:
+            raise Cancelled("the run was cancelled")
+        self.to.step(name)
+
+    def cancel(self, spark: SparkSession) -> bool:
+        """Ask the run that is going, if any, to end, and cancel its jobs; whether there was one."""
+        tag = self.tag
+        if tag is None:
+            return False
+        self.asked.set()
+        spark.sparkContext.cancelJobsWithTag(tag)
+        return True
+
+    @staticmethod
+    def stages(spark: SparkSession) -> list[dict[str, Any]]:
+        """Tasks of the stages at work now: stage, name, tasks, done, active, failed."""
+        tracker = spark.sparkContext.statusTracker()
+        known = [tracker.getStageInfo(k) for k in tracker.getActiveStageIds()]
+        return [{"stage": i.stageId, "name": i.name, "tasks": i.numTasks, "done": i.numCompletedTasks, "active": i.numActiveTasks, "failed": i.numFailedTasks} for i in known if i is not None]
+
+
 class StreamProgress(StreamingQueryListener):
     """Every batch of every stream as an update."""
 
