@@ -7,6 +7,7 @@ import importlib
 import json
 import sys
 from dataclasses import replace
+from functools import partial
 
 from kinweave.streaming.progress import setup_logging
 
@@ -21,8 +22,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--evaluate", action="store_true")
     p.add_argument("--ground-truth")
     p.add_argument("--calibrate", action="store_true")
-    p.add_argument("--detector", help="module:factory of a face detector")
-    p.add_argument("--embedder", help="module:factory of an embedding model")
+    p.add_argument("--detector", help="module:factory of a face detector, or an .onnx file of one with anchors (see OnnxDetector)")
+    p.add_argument("--embedder", help="module:factory of an embedding model, or an .onnx file of one")
     args = p.parse_args(argv)
     if (args.evaluate or args.calibrate) and not args.ground_truth or not (args.evaluate or args.calibrate or args.review) and not args.input or not args.output:
         p.print_usage(sys.stderr)
@@ -31,16 +32,16 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from kinweave.operators.imaging import MeanColorEmbedder
+    from kinweave.operators.imaging import MeanColorEmbedder, OnnxDetector, OnnxEmbedder
     from kinweave.plans.engine import Engine
     from kinweave.sources.config import load
     from kinweave.sources.tables import load_ground_truth
 
     config = load(args.config)
     config = replace(config, input_dir=args.input or config.input_dir, output_dir=args.output)
-    factory = lambda name: getattr(importlib.import_module(name.split(":")[0]), name.split(":")[1])
+    factory = lambda name, model: partial(model, name) if name.endswith(".onnx") else getattr(importlib.import_module(name.split(":")[0]), name.split(":")[1])
     spark = SparkSession.builder.appName("kinweave").getOrCreate()
-    engine = Engine(spark, config, factory(args.detector) if args.detector else None, factory(args.embedder) if args.embedder else MeanColorEmbedder)
+    engine = Engine(spark, config, factory(args.detector, OnnxDetector) if args.detector else None, factory(args.embedder, OnnxEmbedder) if args.embedder else MeanColorEmbedder)
     if args.evaluate:
         engine.evaluate(args.ground_truth).show(truncate=False)
     elif args.calibrate:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,13 +38,91 @@ class Reducer(Protocol):
         """rows with another vector column of the same name."""
 
 
+def onnx_session(path: str):
+    """A session of the model in an ONNX file: a path that the executors see, or the name of a file that was given to them by --files or addFile. One thread, since tasks fill the cores."""
+    import onnxruntime
+    from pyspark import SparkFiles
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = options.inter_op_num_threads = 1
+    providers = [p for p in ("CUDAExecutionProvider", "CPUExecutionProvider") if p in onnxruntime.get_available_providers()]
+    return onnxruntime.InferenceSession(path if os.path.exists(path) else SparkFiles.get(path), options, providers=providers)
+
+
+def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """image at another size, bilinear between the middles of pixels."""
+
+    def places(n: int, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = ((np.arange(n) + 0.5) * old / n - 0.5).clip(0, old - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, old - 1), at - low
+
+    y0, y1, fy = places(height, image.shape[0])
+    x0, x1, fx = places(width, image.shape[1])
+    rows = image[y0] * (1 - fy)[:, None, None] + image[y1] * fy[:, None, None]
+    return rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+
+
+def apart(boxes: np.ndarray, scores: np.ndarray, most: float = 0.4) -> np.ndarray:
+    """Non-maximum suppression: places of the boxes (x1, y1, x2, y2) that stay, best score first (ties: the earlier one); a box goes if one that stays has an intersection over union of more than most with it."""
+    left, stay = np.argsort(-scores, kind="stable"), []
+    areas = (boxes[:, 2] - boxes[:, 0]).clip(0) * (boxes[:, 3] - boxes[:, 1]).clip(0)
+    while len(left):
+        one, left = left[0], left[1:]
+        stay.append(one)
+        both = (np.minimum(boxes[one, 2:], boxes[left, 2:]) - np.maximum(boxes[one, :2], boxes[left, :2])).clip(0).prod(1)
+        left = left[both <= most * (areas[one] + areas[left] - both)]
+    return np.array(stay, int)
+
+
+class OnnxDetector:
+    """A single-shot face detector with anchors, in an ONNX file. For each stride it has one output of scores (a column), after these one each of distances from an anchor to the box's four sides, after these one each of
+    offsets of five landmarks, both in strides. Anchors lie at multiples of the stride, row by row, equally many at each place. Input: RGB, (x - 127.5) / 128, channels first, the picture at the top left of det_size.
+    Boxes and landmarks are those of the given image, best score first."""
+
+    def __init__(self, path: str, *, strides: tuple[int, ...] = (8, 16, 32), overlap: float = 0.4):
+        self.session = onnx_session(path)
+        self.name = self.session.get_inputs()[0].name
+        self.strides, self.overlap, self.size, self.least = strides, overlap, (640, 640), 0.5
+        if len(self.session.get_outputs()) != 3 * len(strides):
+            raise ValueError(f"{path}: {len(self.session.get_outputs())} outputs, not 3 for each of {len(strides)} strides")
+
+    def prepare(self, det_size: tuple[int, int] | None = None, det_thresh: float | None = None) -> None:
+        """det_size: width and height, rounded up to multiples of the largest stride."""
+        top = max(self.strides)
+        self.size = tuple(-(-int(s) // top) * top for s in det_size or self.size)
+        self.least = self.least if det_thresh is None else det_thresh
+
+    def detect(self, image: np.ndarray) -> list[tuple[list[float], list[list[float]], float]]:
+        width, height = self.size
+        image = np.repeat(image, 3, 2) if image.shape[2] == 1 else image[:, :, :3]
+        scale = min(height / image.shape[0], width / image.shape[1])
+        h, w = max(1, round(image.shape[0] * scale)), max(1, round(image.shape[1] * scale))
+        held = np.zeros((height, width, 3), np.float32)
+        held[:h, :w] = np.rint(resized(image.astype(np.float32), h, w))
+        outputs = self.session.run(None, {self.name: np.ascontiguousarray(((held[:, :, ::-1] - 127.5) / 128).transpose(2, 0, 1)[None].astype(np.float32))})
+        n, found = len(self.strides), []
+        for k, stride in enumerate(self.strides):
+            scores = outputs[k].reshape(-1)
+            y, x = np.mgrid[0 : height // stride, 0 : width // stride]
+            anchors, rest = divmod(len(scores), y.size)
+            if rest or not anchors:
+                raise ValueError(f"{len(scores)} scores don't fit {y.size} places of stride {stride}")
+            centres = (np.stack([x.ravel(), y.ravel()], 1) * float(stride)).repeat(anchors, 0)
+            sides, points = outputs[n + k].reshape(-1, 4) * stride, outputs[2 * n + k].reshape(-1, 5, 2) * stride
+            good = scores >= self.least
+            boxes = np.concatenate([centres[good] - sides[good, :2], centres[good] + sides[good, 2:]], 1)
+            found.append((boxes, centres[good][:, None] + points[good], scores[good]))
+        boxes, points, scores = (np.concatenate(part) for part in zip(*found, strict=True))
+        back = np.array([image.shape[1] / w, image.shape[0] / h])
+        return [((boxes[i].reshape(2, 2) * back).ravel().tolist(), (points[i] * back).tolist(), float(scores[i])) for i in apart(boxes, scores, self.overlap)]
+
+
 class OnnxEmbedder:
     """An embedding model in an ONNX file: RGB, (x - 127.5) / 127.5, channels first."""
 
     def __init__(self, path: str):
-        import onnxruntime
-
-        self.session = onnxruntime.InferenceSession(path, providers=[p for p in ("CUDAExecutionProvider", "CPUExecutionProvider") if p in onnxruntime.get_available_providers()])
+        self.session = onnx_session(path)
         self.name = self.session.get_inputs()[0].name
 
     def embed(self, crops: np.ndarray) -> np.ndarray:

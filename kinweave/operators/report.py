@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.scalars import basename, clip, person_name
+from kinweave.operators import raster
 
 
 def first_images(faces: DataFrame) -> DataFrame:
@@ -66,23 +67,57 @@ def plot_labels(points: DataFrame) -> DataFrame:
     return points.filter("label >= 0").groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).select(F.format_string("P%03d", F.col("label").cast("int")).alias("text"), "x", "y")
 
 
+def _placed(points: DataFrame, ends: DataFrame, width: int, height: int) -> DataFrame:
+    """points with px and py, their pixel in a picture that the ends (one row: x0, x1, y0, y1) fill."""
+    at = lambda c, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((F.col(c) - F.col(f"{c}0")) / F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(1e-12)) * n))).cast("int")
+    return points.crossJoin(F.broadcast(ends)).withColumns({"px": at("x", width), "py": at("y", height)}).drop("x0", "x1", "y0", "y1")
+
+
+def _ends(points: DataFrame) -> DataFrame:
+    return points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+
+
 def plot_pixels(points: DataFrame, width: int = 640, height: int = 480) -> DataFrame:
-    """(px, py, label, alpha) of the pixels that points (label, x, y, alpha) fall on, at most width * height rows: the point of the largest alpha is seen (ties: the smaller label)."""
-    ends = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    at = lambda c, n: F.least(F.lit(n - 1), F.floor((F.col(c) - F.col(f"{c}0")) / F.greatest(F.col(f"{c}1") - F.col(f"{c}0"), F.lit(1e-12)) * n)).cast("int")
-    placed = points.crossJoin(F.broadcast(ends)).select(at("x", width).alias("px"), at("y", height).alias("py"), "label", "alpha")  # one row
-    return placed.groupBy("px", "py").agg(F.max(F.struct("alpha", (-F.col("label")).alias("m"))).alias("top")).select("px", "py", (-F.col("top.m")).cast("int").alias("label"), "top.alpha")
+    """(px, py, label, alpha, marker, size) of the pixels that points (label, x, y, alpha, and marker and size, else discs of size 20) fall on, at most width * height rows: the point of the largest alpha is seen (ties:
+    the smaller label, then the first marker and the larger size)."""
+    rows = points.withColumns({k: F.col(k) if k in points.columns else v for k, v in {"marker": F.lit("o"), "size": F.lit(20.0)}.items()})
+    top = F.max(F.struct("alpha", (-F.col("label")).alias("m"), (-F.ascii("marker")).alias("k"), "size")).alias("top")
+    seen = _placed(rows, _ends(rows), width, height).groupBy("px", "py").agg(top)
+    return seen.select("px", "py", (-F.col("top.m")).cast("int").alias("label"), "top.alpha", F.char(-F.col("top.k")).alias("marker"), "top.size")
+
+
+def plot_texts(points: DataFrame, width: int = 640, height: int = 480) -> DataFrame:
+    """(px, py, text): the names of the clusters (plot_labels) where they fit: of those that fall into one cell of a name's size, the first. At most a row a cell, however many clusters there are."""
+    cell_x, cell_y = 4 * raster.WIDE + 4, raster.TALL + 4
+    named = _placed(plot_labels(points), _ends(points), width, height)
+    cells = named.groupBy(F.expr(f"px div {cell_x}").alias("cx"), F.expr(f"py div {cell_y}").alias("cy"))
+    return cells.agg(F.min(F.struct(F.length("text").alias("n"), "text", "px", "py")).alias("one")).select("one.px", "one.py", "one.text")
+
+
+def plot_title(faces: DataFrame) -> str:
+    t = report_totals(faces).first()
+    return f"Face clusters by confidence\n{t['n_clusters']} clusters - {t['n_noise']} noise - {t['n_review']} review items"
 
 
-def plot_image(points: DataFrame, width: int = 640, height: int = 480) -> np.ndarray:
-    """A BGR picture of the points: a colour for each label, gray for noise, paler the smaller alpha. What comes to the driver is a row per pixel."""
+def plot_image(points: DataFrame, width: int = 640, height: int = 480, title: str | None = None) -> np.ndarray:
+    """A BGR picture of the points: a colour for each label, gray crosses for noise, red diamonds for review items, discs for the rest, paler the smaller alpha; the clusters' names at their middles, the lines of the
+    title on top. Crosses lie lowest and diamonds highest. What comes to the driver is at most a row per pixel."""
+    lines = title.split("\n") if title else []
+    head = len(lines) * (raster.TALL + 5) + 6 if lines else 0
     image = np.full((height, width, 3), 255.0)
-    for r in plot_pixels(points, width, height).toLocalIterator():
+    field = image[head:]
+    tall = height - head
+    order = {"x": 0, "o": 1, "D": 2}
+    for r in sorted(plot_pixels(points, width, tall).toLocalIterator(), key=lambda r: (order.get(r["marker"], 1), r["alpha"], r["py"], r["px"])):
         turn = (r["label"] * 0.61803398875) % 1.0 * 2 * np.pi
-        colour = np.array([128.0] * 3) if r["label"] < 0 else 128 + 100 * np.cos(turn + np.array([0, 2.0944, 4.1888]))
-        y, x = height - 1 - r["py"], r["px"]
-        part = image[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
-        part += (colour - part) * r["alpha"]
+        colour = np.array([128.0] * 3) if r["label"] < 0 else np.array([0.0, 0, 255]) if r["marker"] == "D" else 128 + 100 * np.cos(turn + np.array([0, 2.0944, 4.1888]))
+        radius = raster.radius_of(r["size"])
+        raster.paint(field, raster.marker_mask(r["marker"], radius), tall - 1 - r["py"] - radius, r["px"] - radius, colour, r["alpha"])
+    if lines:
+        for r in plot_texts(points, width, tall).toLocalIterator():
+            raster.write(field, r["text"], tall - 1 - r["py"], r["px"], boxed=True)
+    for k, line in enumerate(lines):
+        raster.write(image, line, 6 + k * (raster.TALL + 5) + raster.TALL // 2, width // 2)
     return image.astype(np.uint8)
 
 

@@ -180,7 +180,7 @@ class Engine:
         rows = faces.join(assigned, ["face_id", "image_path"], "left").fillna(defaults).withColumn("ord", F.col("id"))
         self.control.step("plot")
         w.write("plot_points", report.plot_points(flat(rows.withColumn("emb", F.col("embedding").cast("array<double>")), self.config)).select("face_id", "label", "x", "y", "marker", "size", "alpha"))
-        picture = self.spark.createDataFrame([("_metadata/confidence_heatmap.png", bytearray(imaging.png(report.plot_image(w.read("plot_points")))))], "name string, content binary")
+        picture = self.spark.createDataFrame([("_metadata/confidence_heatmap.png", bytearray(imaging.png(report.plot_image(w.read("plot_points"), title=report.plot_title(rows)))))], "name string, content binary")
         put_files(picture, out)
         self.control.step("report")
         w.write("manifest", report.manifest(rows).withColumn("cluster_name", S.person_name(F.col("label"))).drop("embedding"), partition_by="cluster_name")
