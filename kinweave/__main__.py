@@ -32,6 +32,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
+    from kinweave.operators.evaluate import report_text
     from kinweave.operators.imaging import MeanColorEmbedder, OnnxDetector, OnnxEmbedder
     from kinweave.plans.engine import Engine
     from kinweave.sources.config import load
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("kinweave").getOrCreate()
     engine = Engine(spark, config, factory(args.detector, OnnxDetector) if args.detector else None, factory(args.embedder, OnnxEmbedder) if args.embedder else MeanColorEmbedder)
     if args.evaluate:
-        engine.evaluate(args.ground_truth).show(truncate=False)
+        print(report_text(engine.evaluate(args.ground_truth)).first()["text"])
     elif args.calibrate:
         found = engine.calibrate(args.ground_truth)
         found.show(truncate=False)

@@ -75,6 +75,16 @@ def evaluation_report(rows: DataFrame, pred: str = "pred", truth: str = "gt") ->
     return one.select("total", "valid", "noise", safe_ratio(F.col("noise"), F.col("total")).alias("noise_ratio"), *[F.when(ok, F.col(m)).alias(m) for m in measures])
 
 
+def report_text(found: DataFrame) -> DataFrame:
+    """(text): each row of evaluation_report() as aligned lines, shares as percentages, measures that are null as n/a."""
+    line = lambda name, value: F.concat(F.rpad(F.lit(name), 24, " "), value)
+    measure = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.4f", F.col(c).cast("double")))
+    noise = F.format_string("%d (%.1f %%)", F.col("noise"), F.coalesce(F.col("noise_ratio"), F.lit(0.0)).cast("double") * 100)
+    names = {"ari": "adjusted Rand index", "nmi": "mutual information", "precision": "pairwise precision", "recall": "pairwise recall", "f1": "pairwise F1", "purity": "purity by size"}
+    lines = [F.lit("Evaluation of the clusters"), line("faces with a truth", F.col("total").cast("string")), line("of them in clusters", F.col("valid").cast("string")), line("noise", noise)]
+    return found.select(F.concat_ws("\n", *lines, *[line(n, measure(c)) for c, n in names.items()]).alias("text"))
+
+
 def best_of_grid(results: DataFrame) -> DataFrame:
     """The row with the largest f1; of equal ones the first (smallest ordinal)."""
     return results.orderBy(F.desc("f1"), "ordinal").limit(1)

@@ -7,6 +7,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +140,24 @@ class Engine:
         log.info("processed %s", self.counts)
         return faces
 
+    def upload(self, files: DataFrame) -> DataFrame:
+        """Put files (name, content) into the input folder; (name, file_name) of those put. Names keep their last part only. One that is taken, in the folder or by another of these files, gets a number before its
+        extension; of files of one name and one content there is one. Files that are no images by their extension, and rows with a null, are left out. Busy while a run is going. Contents are shuffled once."""
+        with self.control.run(self.spark):
+            given = images.with_extension(files.dropna(subset=["name", "content"]), "name", S.IMAGE_EXTENSIONS)
+            given = given.select("name", "content", S.basename(F.col("name")).alias("own"), S.content_hash(F.col("content")).alias("hash"))
+            new = given.select("own", "hash").distinct().select(F.concat("hash", F.lit("/"), "own").alias("image_path"), F.lit(1).alias("ord"))
+            try:
+                there = images.scan(self.spark, self.config.input_dir, recursive=False).select("path")
+            except AnalysisException:  # no folder yet
+                there = self.spark.createDataFrame([], "path string")
+            old = there.select(F.concat(F.lit("there/"), S.basename(F.col("path"))).alias("image_path"), F.lit(0).alias("ord"))
+            ordered = old.unionByName(new).withColumn("ord", F.struct("ord", "image_path")).withColumn("label", F.lit(0))
+            named = cut(report.manifest(ordered).filter("ord.ord = 1").select("image_path", "file_name"))
+            kept = given.withColumn("image_path", F.concat("hash", F.lit("/"), "own")).dropDuplicates(["image_path"]).join(named, "image_path")
+            put_files(kept.select(F.col("file_name").alias("name"), "content"), self.config.input_dir)
+            return named.select(F.substring_index("image_path", "/", -1).alias("name"), "file_name")
+
     def run(self, incremental: bool = False) -> DataFrame:
         """Ingest, group and write; returns the assignments. Busy while another run or regrouping of this engine is going."""
         with self.control.run(self.spark):

@@ -105,6 +105,29 @@ def test_incremental_run_decodes_fresh_files_once(spark, tmp_path, engine, monke
     assert w.read("crops").count() == 5 and w.read("skipped").count() == 1 and w.read("processed_images").count() == 6
 
 
+def test_upload_numbers_taken_names(spark, tmp_path, engine):
+    photos = tmp_path / "photos"
+    (photos / "a.bmp").write_bytes(b"old")
+    (photos / "a_1.bmp").write_bytes(b"older")
+    rows = [("a.bmp", b"1"), ("x/y/a.bmp", b"2"), ("b.JPG", b"3"), ("b.JPG", b"3"), ("a_1.bmp", b"4"), ("note.txt", b"5"), (None, b"6"), ("c.png", None)]
+    got = engine.upload(spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in rows], "name string, content binary")).collect()
+    assert len(got) == 4 and len({r["file_name"] for r in got}) == 4
+    held = {p.name: p.read_bytes() for p in photos.glob("*.*") if not p.name.startswith(".")}
+    assert held["a.bmp"] == b"old" and held["a_1.bmp"] == b"older" and held["b.JPG"] == b"3" and len(held) == 6
+    assert sorted(held.values()) == [b"1", b"2", b"3", b"4", b"old", b"older"]
+    assert all(n.startswith("a_") for n, c in held.items() if c in (b"1", b"2", b"4"))
+    assert engine.upload(spark.createDataFrame([], "name string, content binary")).count() == 0
+
+
+def test_report_text(spark):
+    from kinweave.operators import evaluate
+
+    rows = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 1), (-1, 1)], "pred int, gt int")
+    lines = evaluate.report_text(evaluate.evaluation_report(rows)).first()["text"].split("\n")
+    assert lines[1].split()[-1] == "5" and lines[3].endswith("1 (20.0 %)") and lines[-1].split()[-1] == "1.0000" and len({len(x[:24]) for x in lines}) == 1
+    assert evaluate.report_text(evaluate.evaluation_report(rows.limit(0))).first()["text"].count("n/a") == 6
+
+
 def test_run_is_refused_cancelled_and_announced(spark):
     b = Broadcaster()
     c = Control(b)
