@@ -511,6 +511,29 @@ def heatmap_labels(spark, sf):
     return rounded(report.plot_labels(rows))
 
 
+_PIXEL = "CAST(least({n} - 1, greatest(0, floor(({c} - {c}0) / greatest({c}1 - {c}0, 1e-12) * {n}))) AS INTEGER) AS p{c}"
+_PLOTTED = (
+    _REPORTED
+    + f", pt AS (SELECT label, {q6('emb[1]')} AS x, {q6('emb[2]')} AS y, CASE WHEN label = -1 THEN 'x' WHEN in_review THEN 'D' ELSE 'o' END AS marker, {q6('CASE WHEN label = -1 THEN 30.0::DOUBLE WHEN in_review THEN 80.0::DOUBLE ELSE confidence * 120 + 20 END')} AS size, {q6('CASE WHEN label = -1 THEN 0.5::DOUBLE WHEN in_review THEN 0.8::DOUBLE ELSE greatest(0.3, least(1.0, confidence * 0.8 + 0.2)) END')} AS alpha FROM rep JOIN (SELECT id, emb FROM labelled) USING (id)), e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pt)"
+)
+
+
+def _plotted(spark, sf):
+    at = X.labelled(spark, sf).select("id", F.element_at("emb", 1).cast("double").alias("x"), F.element_at("emb", 2).cast("double").alias("y"))
+    rows = report.plot_points(_reported(spark, sf)).select("id", "label", "marker", "size", "alpha").join(at, "id")
+    return rounded(rows.drop("id"))
+
+
+@query(_PLOTTED + f", p AS (SELECT *, {_PIXEL.format(c='x', n=640)}, {_PIXEL.format(c='y', n=480)} FROM pt, e), r AS (SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY alpha DESC, label, ascii(marker), size DESC) AS rn FROM p) SELECT px, py, label, marker, size, alpha FROM r WHERE rn = 1")
+def heatmap_pixels(spark, sf):
+    return report.plot_pixels(_plotted(spark, sf), 640, 480)
+
+
+@query(_PLOTTED + f", c AS (SELECT 'P' || lpad(CAST(label AS VARCHAR), 3, '0') AS text, avg(x) AS x, avg(y) AS y FROM pt WHERE label >= 0 GROUP BY label), p AS (SELECT text, {_PIXEL.format(c='x', n=640)}, {_PIXEL.format(c='y', n=480)} FROM c, e), r AS (SELECT *, row_number() OVER (PARTITION BY px // 28, py // 11 ORDER BY length(text), text, px, py) AS rn FROM p) SELECT px, py, text FROM r WHERE rn = 1")
+def heatmap_names(spark, sf):
+    return report.plot_texts(_plotted(spark, sf), 640, 480)
+
+
 @query("SELECT label::INT AS label, (19 + row_number() OVER (ORDER BY label))::INT AS new_label FROM (SELECT DISTINCT label FROM embeddings WHERE label % 3 = 1)")
 def split_numbering(spark, sf):
     rows = X.raw(spark, sf)
