@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import ascii_lower, cut, map_batches
 from kinweave.llm.running import running_total
 
-#: Places of a piece of a URL, and rows of a block: a block has 2**21 places at most.
-PIECE, BLOCK = 512, 4096
+#: Places of a piece of a URL. The first SHARED pieces are in blocks with those of 2**BLOCK rows, at one place of the URL; 2**BLOCK further ones of one URL are a block of its own: 2**21 places at most.
+PIECE, BLOCK, SHARED = 512, 12, 8
 #: Different characters: the bytes and the end of a URL. A gram is a long: a one, the bytes of the context, and the character in the last bits.
 END, SYMBOLS, BITS = 256, 257, 9
 
@@ -107,11 +107,20 @@ def ruled(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_c
 
 
 def pieces(rows: DataFrame, order: int) -> DataFrame:
-    """The rows' urls (binary) in pieces of PIECE places, the end of a URL being one: place in the URL (j), bytes, led by those of the first place's context (lead), and whether the end is in it (last)."""
-    size = F.expr(f"octet_length(url) div {PIECE}")
-    part = F.expr(f"transform(sequence(0L, octet_length(url) div {PIECE}), j -> substring(url, CAST(greatest(j * {PIECE} - {order}, 0) + 1 AS INT), CAST({PIECE} + least(j * {PIECE}, {order}) AS INT)))")
-    found = rows.select(*(c for c in rows.columns if c != "url"), size.alias("size"), F.posexplode(part).alias("j", "piece"))
-    return found.withColumn("lead", F.when(F.col("j") > 0, order).otherwise(0)).withColumn("last", F.col("j") == F.col("size")).drop("size")
+    """The rows' urls (binary) in pieces of PIECE places, the end of a URL being one: number in the URL (j), bytes, led by those of the first place's context (lead), and whether the end is in it (last)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = batch.column("url").to_pylist()
+        number = np.array([len(x) // PIECE + 1 for x in raw], np.int64)
+        of = np.repeat(np.arange(len(raw)), number)
+        j = np.arange(len(of)) - (np.cumsum(number) - number)[of]
+        piece = [x[max(i * PIECE - order, 0) : (i + 1) * PIECE] for x, n in zip(raw, number.tolist()) for i in range(n)]
+        arrays = [batch.column(c).take(pa.array(of)) for c in others]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(j), pa.array(piece, pa.binary()), pa.array(np.where(j > 0, order, 0)), pa.array(j == number[of] - 1)], [*others, "j", "piece", "lead", "last"])
+
+    others = [c for c in rows.columns if c != "url"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("url").schema)
+    return map_batches(rows, f"{schema}, j long, piece binary, lead long, last boolean", run)
 
 
 def grams(batch: pa.RecordBatch | pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,29 +184,31 @@ def chances(counts: DataFrame, order: int) -> DataFrame:
 def ratios(rows: DataFrame, model: Filter) -> DataFrame:
     """row, ratio: the difference of the log-likelihoods, from rows (row, url), held in the shared folder, whose row is from monotonically_increasing_id()."""
     order = model.order
-    parts = pieces(rows.select("row", F.floor(F.col("row") / BLOCK).alias("block"), "url"), order)
+    shared = F.col("j") < SHARED
+    block, part = F.when(shared, F.shiftright("row", BLOCK)).otherwise(F.col("row")), F.when(shared, F.col("j")).otherwise(F.shiftright(F.col("j") - SHARED, BLOCK) + SHARED)
+    parts = pieces(rows.select("row", "url"), order).withColumn("block", block).withColumn("part", part)
 
     def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
         owner, gram = grams(batch, order)
-        keys, of = np.unique(np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("block", "j")]), axis=1, return_inverse=True)
+        keys, of = np.unique(np.stack([batch.column(c).to_numpy() for c in ("block", "part")]), axis=1, return_inverse=True)
         of = of.reshape(-1)[owner]
         by = np.argsort(of, kind="stable")
         asked = [np.unique(x) for x in np.split(gram[by], np.searchsorted(of[by], np.arange(1, keys.shape[1])))]
-        block, j = (np.repeat(x, [len(y) for y in asked]) for x in keys)
-        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(j.astype(np.int32)), pa.array(np.concatenate(asked))], ["block", "j", "gram"])
+        block, part = (np.repeat(x, [len(y) for y in asked]) for x in keys)
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(part), pa.array(np.concatenate(asked))], ["block", "part", "gram"])
 
-    def total(part: pa.Table, known: pa.Table) -> pa.Table:
-        owner, gram = grams(part, order)
+    def total(own: pa.Table, known: pa.Table) -> pa.Table:
+        owner, gram = grams(own, order)
         keys, values = known.column("gram").to_numpy(), known.column("ratio").to_numpy()
         by = np.argsort(keys)
-        sums = np.bincount(owner, values[by][np.searchsorted(keys[by], gram)], part.num_rows)
-        return pa.table({"row": part.column("row"), "j": part.column("j"), "ratio": pa.array(sums)})
+        sums = np.bincount(owner, values[by][np.searchsorted(keys[by], gram)], own.num_rows)
+        return pa.table({"row": own.column("row"), "j": own.column("j"), "ratio": pa.array(sums)})
 
-    asked = cut(map_batches(parts, "block long, j int, gram long", ask).distinct())
+    asked = cut(map_batches(parts, "block long, part long, gram long", ask).distinct())
     none = F.lit(0).cast("long")
     counts = model.counts.unionByName(asked.select("gram").distinct().select("gram", none.alias("a"), none.alias("b"))).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     known = asked.join(chances(counts, order).select("gram", (F.ln("p_a") - F.ln("p_b")).alias("ratio")), "gram")
-    sums = parts.groupBy("block", "j").cogroup(known.groupBy("block", "j")).applyInArrow(total, "row long, j int, ratio double")
+    sums = parts.groupBy("block", "part").cogroup(known.groupBy("block", "part")).applyInArrow(total, "row long, j long, ratio double")
     in_order = F.array_sort(F.collect_list(F.struct("j", "ratio")))  # equal URLs add up alike
     return sums.groupBy("row").agg(F.aggregate(in_order, F.lit(0.0), lambda s, x: s + x["ratio"]).alias("ratio"))
 

@@ -39,7 +39,7 @@ def test_counts_of_urls_in_pieces(spark):
     """Grams over the seams of pieces are counted once, at lengths about a piece's and in URLs without a byte; scores follow the definition."""
     rng = np.random.default_rng(3)
     size = urlfilter.PIECE
-    urls = [bytes(rng.choice(list(b"ab\xc3\x00\xff"), n)) for n in (0, 1, 4, 5, 6, size - 1, size, size + 1, 2 * size - 1, 2 * size, 2 * size + 5, 3 * size + 2)]
+    urls = [bytes(rng.choice(list(b"ab\xc3\x00\xff"), n)) for n in (0, 1, 4, 5, 6, size - 1, size, size + 1, 2 * size - 1, 2 * size, 2 * size + 5, 3 * size + 2, (urlfilter.SHARED + 1) * size + 3)]
     rows = spark.createDataFrame([(bytearray(u), i % 2 == 0) for i, u in enumerate(urls)], "url binary, allowed boolean")
     for order in (0, 2, 5):
         counts = urlfilter.count(rows, order)
