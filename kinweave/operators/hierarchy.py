@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import double, matrix
 from kinweave.operators.graph import components, cut, numbered
-from kinweave.operators.similarity import distances, pair_blocks
+from kinweave.operators.similarity import ROOM, Blocks, distances, least_k, metric_blocks, pair_blocks
 
 #: Edges of a band, which is merged in one task.
 BAND = 1 << 19
+#: Nearest rows of each row, beyond those of its core distance, along which components grow before all pairs are passed; rows of a block of that pass; edges that a task holds before it drops those that no tree needs.
+NEAREST, SIDE, HELD = 8, 1024, 1 << 18
 #: A cluster is kept if its stability is the sum of those below it but for rounding.
 SLACK = 1e-9
 _MOST = 1e300
@@ -94,6 +96,252 @@ def prim(v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return a, b, w
 
 
+def nearest_rows(blocks: Blocks, k: int) -> DataFrame:
+    """(pos, near, far) of rows (id: their place) dealt into blocks: the k nearest others by (distance, place) and their distances. A task keeps k for each row of its block, goes through the other blocks from the
+    nearest, and leaves out the rows whose k-th neighbour is nearer than the block."""
+    at, reach = blocks.at, blocks.reach
+
+    def fn(read, i, js):
+        ids, v = read(i)
+        low = distances(v, at, "euclidean") - reach
+        low[:, i] = -np.inf
+        best, other = np.full((len(v), k), np.inf), np.full((len(v), k), np.iinfo(np.int64).max)
+        for j in js[np.argsort(low[:, js].min(0), kind="stable")]:
+            rows = np.flatnonzero(low[:, j] <= best[:, -1])
+            if not len(rows):
+                continue
+            theirs, w = (ids, v) if j == i else read(j)
+            step = max(1, (ROOM >> 3) // len(w))
+            for s in range(0, len(rows), step):
+                r = rows[s : s + step]
+                d = distances(v[r], w, "euclidean")
+                if j == i:
+                    d[np.arange(len(r)), r] = np.inf
+                kth = best[r, -1]
+                if np.isinf(kth).any():
+                    x, y = least_k(d, k)  # of equal ones the first, which have the smaller places
+                else:
+                    x, y = np.nonzero(d < kth[:, None])
+                    zero = np.flatnonzero(kth == 0)  # copies beyond k
+                    if len(zero):
+                        p, q = np.nonzero((d[zero] == 0) & (theirs[None, :] < other[r[zero], -1][:, None]))
+                        x, y = np.concatenate((x, zero[p])), np.concatenate((y, q))
+                if not len(x):
+                    continue
+                mine = np.unique(x)
+                row = np.concatenate((np.repeat(mine, k), x))
+                far, near = np.concatenate((best[r[mine]].ravel(), d[x, y])), np.concatenate((other[r[mine]].ravel(), theirs[y]))
+                order = np.lexsort((near, far, row))
+                first = np.searchsorted(row[order], mine)
+                kept = order[(first[:, None] + np.arange(k)).ravel()]
+                best[r[mine]], other[r[mine]] = far[kept].reshape(-1, k), near[kept].reshape(-1, k)
+        known = np.isfinite(best)
+        starts = pa.array(np.concatenate(([0], np.cumsum(known.sum(1)))).astype(np.int32))
+        yield pa.table({"pos": pa.array(ids, pa.int64()), "near": pa.ListArray.from_arrays(starts, pa.array(other[known].astype(np.int32))), "far": pa.ListArray.from_arrays(starts, pa.array(best[known]))})
+
+    kept = blocks.stored
+    full = np.array([p for p, n in enumerate(kept.names) if n is not None], np.int64)
+    return kept.tasks([(int(i), full) for i in full], "pos bigint, near array<int>, far array<double>", fn)
+
+
+def _hooked(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label after each component x takes that of y; of two that take each other's the smaller one stays."""
+    to = np.arange(len(label))
+    to[x] = y
+    two = (to[to] == np.arange(len(to))) & (np.arange(len(to)) < to)
+    to[two] = np.flatnonzero(two)
+    while (to[to] != to).any():
+        to = to[to]
+    return to[label]
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the edges between nodes a and b, under n, are the lightest forest by (w, low, high), and each node's component. floor: edges of a node that aren't given may weigh so much or more; then only edges stay
+    which are known to be in every such tree, because all that leaves a component on one of their sides is heavier. Of weight 0 the edges of the smallest places must be given."""
+    order = np.lexsort((high, low, w))
+    a, b, w = a[order], b[order], w[order]
+    label, out, alive = np.arange(n), [], np.arange(len(order))
+    lone = np.ones(n, bool)
+    while len(alive):
+        x, y = label[a[alive]], label[b[alive]]
+        alive = alive[x != y]
+        x, y = label[a[alive]], label[b[alive]]
+        best = np.full(n, -1)
+        best[y[::-1]] = alive[::-1]
+        back = np.full(n, -1)
+        back[x[::-1]] = alive[::-1]
+        best = np.where((best < 0) | ((back >= 0) & (back < best)), back, best)
+        c = np.flatnonzero(best >= 0)
+        if floor is not None:
+            least = np.full(n, np.inf)
+            np.minimum.at(least, label, floor)
+            weight = w[best[c]]
+            c = c[(weight < least[c]) | ((weight == 0) & lone[c])]
+        if not len(c):
+            break
+        e = best[c]
+        p, q = label[a[e]], label[b[e]]
+        out.append(np.unique(e))
+        label = _hooked(label, c, np.where(p == c, q, p))
+        lone[:] = False
+    chosen = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return order[chosen], label
+
+
+def contracted(found: DataFrame, n: int, samples: Sequence[int], k: int) -> DataFrame:
+    """(s, a, b, d) for each of samples, from nearest_rows: the edges of its tree that follow from the k nearest rows alone, and (s, place, component, null) of every row."""
+
+    def whole(key, t):
+        s = key[0].as_py()
+        t = t.sort_by("pos")
+        near, far = t.column("near").combine_chunks(), t.column("far").combine_chunks()
+        size = np.diff(near.offsets.to_numpy())
+        b, d, first = near.flatten().to_numpy(), far.flatten().to_numpy(), np.concatenate(([0], np.cumsum(size)))[:-1]
+        a = np.repeat(np.arange(n, dtype=np.int32), size)
+        core = np.zeros(n)
+        if s > 1:
+            some = size >= s - 1
+            core[some] = d[first[some] + s - 2]
+        w = np.round(np.maximum(np.maximum(d, core[a]), core[b]), 9)
+        floor = np.full(n, np.inf)
+        if n - 1 > k:
+            floor = np.where(size < k, 0.0, np.round(np.maximum(d[np.minimum(first + k, len(d)) - 1], core), 9))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        chosen, label = forest(n, a, b, w, low, high, floor)
+        pairs = pa.table({"a": pa.array(low[chosen].astype(np.int64)), "b": pa.array(high[chosen].astype(np.int64)), "d": pa.array(w[chosen])})
+        homes = pa.table({"a": pa.array(np.arange(n)), "b": pa.array(label), "d": pa.nulls(n, pa.float64())})
+        both = pa.concat_tables((pairs, homes))
+        return both.add_column(0, "s", pa.array(np.full(both.num_rows, s, np.int32)))
+
+    each = F.explode(F.array(*[F.lit(s) for s in samples])).alias("s")
+    return found.select(each, "pos", "near", "far").groupBy("s").applyInArrow(whole, "s int, " + _EDGES)
+
+
+def between(blocks: Blocks, trees: dict[int, tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+    """(s, t, a, b, d): of each tree s, whose rows have components and core distances by place (none: 0), edges among which are all that join the components in the tree. One pass over all pairs of blocks: a task t keeps
+    the lightest forest of the lightest edges between every two components that it sees, and an edge that is in no such forest is in no tree."""
+    spark = blocks.rows.sparkSession
+    sent = spark.sparkContext.broadcast(trees)
+
+    def lightest(s, ia, ib, sq, xa, xb):
+        label, core = sent.value[s]
+        la, lb = label[ia], label[ib]
+        oa, ob = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
+        ca, sa = np.unique(la[oa], return_index=True)
+        cb, sb = np.unique(lb[ob], return_index=True)
+        if len(ca) == len(cb) == 1 and ca[0] == cb[0]:
+            return None
+        m = sq
+        if len(ca) > 1:
+            ia, la, xa, m = ia[oa], la[oa], xa[oa], m[oa]
+        if len(cb) > 1:
+            ib, lb, xb, m = ib[ob], lb[ob], xb[ob], m[:, ob]
+        squares = m
+        if core is not None:
+            m = np.maximum(m, (core[ia] ** 2)[:, None])
+            np.maximum(m, (core[ib] ** 2)[None, :], out=m)
+        least = m.min().reshape(1, 1) if len(ca) == len(cb) == 1 else np.minimum.reduceat(np.minimum.reduceat(m, sa, axis=0), sb, axis=1)
+        least = np.where(ca[:, None] == cb[None, :], -np.inf, (np.sqrt(np.maximum(least, 0)) + 2e-9) ** 2 + 1e-13 * (xa.max() + xb.max()))
+        if least.size > 1:
+            least = np.repeat(np.repeat(least, np.diff(np.append(sa, len(ia))), 0), np.diff(np.append(sb, len(ib))), 1)
+        x, y = np.nonzero(m <= least)
+        d = squares[x, y]
+        d = np.sqrt(np.where(d < 1e-13 * (xa[x] + xb[y]), 0, d))
+        if core is not None:
+            d = np.maximum(np.maximum(d, core[ia[x]]), core[ib[y]])
+        d, p, q = np.round(d, 9), la[x], lb[y]
+        low, high = np.minimum(ia[x], ib[y]), np.maximum(ia[x], ib[y])
+        order = np.lexsort((high, low, d, np.maximum(p, q), np.minimum(p, q)))
+        p, q = np.minimum(p, q)[order], np.maximum(p, q)[order]
+        first = order[np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))] if len(order) else order
+        return low[first], high[first], d[first]
+
+    def kept(s, edges):
+        """Of edges the lightest forest between components."""
+        low, high, d = (np.concatenate(x) for x in zip(*edges, strict=True))
+        label = sent.value[s][0]
+        names, place = np.unique(np.concatenate((label[low], label[high])), return_inverse=True)
+        chosen, _ = forest(len(names), place[: len(low)], place[len(low) :], d, low, high)
+        return low[chosen], high[chosen], d[chosen]
+
+    def fn(read, i, js):
+        ia, va = read(i)
+        xa = (va * va).sum(1)
+        edges, held = {s: [] for s in sent.value}, dict.fromkeys(sent.value, 0)
+        for j in js:
+            ib, vb = (ia, va) if j == i else read(j)
+            labels = [label for label, _ in sent.value.values()]
+            if all((c := label[ia[0]]) == label[ib[0]] and (label[ia] == c).all() and (label[ib] == c).all() for label in labels):
+                continue
+            xb = xa if j == i else (vb * vb).sum(1)
+            sq = (-2 * va) @ vb.T
+            sq += xa[:, None]
+            sq += xb
+            for s, mine in edges.items():
+                new = lightest(s, ia, ib, sq, xa, xb)
+                if new is None or not len(new[0]):
+                    continue
+                mine.append(new)
+                held[s] += len(new[0])
+                if held[s] > HELD:
+                    mine[:] = [kept(s, mine)]
+                    held[s] = len(mine[0][0])
+        for s, mine in edges.items():
+            if mine:
+                low, high, d = kept(s, mine)
+                yield pa.table({"s": pa.array(np.full(len(d), s, np.int32)), "t": pa.array(np.full(len(d), i, np.int32)), "a": pa.array(low.astype(np.int64)), "b": pa.array(high.astype(np.int64)), "d": pa.array(d)})
+
+    near = np.ones(blocks.apart.shape, bool)
+    schema = "s int, t int, " + _EDGES
+    found = cut(blocks.stored.tasks(blocks.stored.jobs(near), schema, fn))
+    while found.count() > 4 * HELD and not found.groupBy("s").agg(F.countDistinct("t").alias("t")).filter("t > 1").isEmpty():  # of several tasks together
+
+        def fewer(key, t):
+            low, high, d = kept(key[0].as_py(), [tuple(t.column(c).to_numpy() for c in ("a", "b", "d"))])
+            return pa.table({"s": pa.array(np.full(len(d), key[0].as_py(), np.int32)), "t": pa.array(np.full(len(d), key[1].as_py(), np.int32)), "a": pa.array(low), "b": pa.array(high), "d": pa.array(d)})
+
+        found = cut(found.withColumn("t", F.expr("t DIV 16")).groupBy("s", "t").applyInArrow(fewer, schema))
+    return found
+
+
+def in_passes(points: DataFrame, n: int, sizes: Sequence[int], samples: Sequence[int], least: dict[int, int], schema: str) -> DataFrame:
+    """What grid finds, of as many rows as one task holds edges and the driver holds component and core distance: two passes over pairs of blocks, for all of samples together, whatever the number of rounds. The first
+    finds nearest rows, the second the edges that join what these leave apart. Each tree is merged and condensed in a task."""
+    spark, k = points.sparkSession, max(samples) - 1 + NEAREST
+    blocks = metric_blocks(points.select("pos", "v"), "pos", "v", block=SIDE)
+    found = cut(nearest_rows(blocks, k))
+    known = cut(contracted(found, n, samples, k))
+    trees = {}
+    for s in samples:
+        label = known.filter((F.col("s") == s) & F.col("d").isNull()).select(F.col("a").cast("int"), F.col("b").cast("int")).toArrow()
+        own = np.zeros(n, np.int32)
+        own[label.column("a").to_numpy()] = label.column("b").to_numpy()
+        core = None
+        if s > 1:
+            some = found.filter(F.size("far") >= s - 1).select(F.col("pos").cast("int").alias("a"), F.col("far")[s - 2].alias("d")).toArrow()
+            core = np.zeros(n)
+            core[some.column("a").to_numpy()] = some.column("d").to_numpy()
+        if (own != own[0]).any():
+            trees[s] = own, core
+    edges = known.filter("d IS NOT NULL")
+    if trees:
+        edges = edges.unionByName(between(blocks, trees).drop("t"))
+    blocks.stored.drop()
+
+    def whole(key, t):
+        s, out = key[0].as_py(), []
+        a, b, w = (t.column(c).to_numpy() for c in ("a", "b", "d"))
+        chosen, _ = forest(n, a, b, w, a, b)
+        tree = merged_tree(a[chosen], b[chosen], w[chosen])
+        for size in sizes:
+            label, share = condensed_task(*tree, least[size])
+            rows = np.flatnonzero(label >= 0)
+            out.append(pa.table({"min_samples": pa.array(np.full(len(rows), s, np.int32)), "min_cluster_size": pa.array(np.full(len(rows), size, np.int32)), "pos": pa.array(rows), "label": pa.array(label[rows].astype(np.int32)), "probability": pa.array(share[rows])}))
+        return pa.concat_tables(out)
+
+    return cut(edges.groupBy("s").applyInArrow(whole, schema))
+
+
 def spanning_edges(points: DataFrame, core: str) -> DataFrame:
     """(a, b, d) of the same tree over points (pos, v, core column), in rounds; each pair of blocks sends one edge for each component of it, and none if it holds one component only."""
     state, found = cut(points.select("pos", "v", F.col(core).alias("core"), F.col("pos").alias("c"))), []
@@ -319,16 +567,22 @@ def condensed_task(d: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.
         above = home.get(parents[c], -1)
         home[c] = above if above >= 0 else c if chosen[c] else -1
     of = np.array([home[int(cluster[e])] for e in where])
-    for number, c in enumerate(dict.fromkeys(of[of >= 0].tolist())):  # in the order of the smallest places
-        mine = of == c
-        label[mine], own, top = number, at[where[mine]], death[c]
-        share[mine] = np.where(np.isinf(own) | (top == 0), 1.0, np.minimum(np.where(np.isinf(own), 0, own), top) / (top or 1))
+    kept = np.flatnonzero(of >= 0)
+    names, first, place = np.unique(of[kept], return_index=True, return_inverse=True)
+    number = np.empty(len(names), np.int64)
+    number[np.argsort(first)] = np.arange(len(names))  # in the order of the smallest places
+    label[kept] = number[place]
+    own, top = at[where[kept]], np.array([death[c] for c in names.tolist()])[place] if len(names) else np.zeros(0)
+    share[kept] = np.where(np.isinf(own) | (top == 0), 1.0, np.minimum(np.where(np.isinf(own), 0, own), top) / np.where(top == 0, 1, top))
     return label, share
 
 
 def tree_task(v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, ...]:
     """(d, size, left, right, lsize, rsize) of all merges of few rows."""
-    a, b, w = prim(v, core)
+    return merged_tree(*prim(v, core))
+
+
+def merged_tree(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((b, a, w))
     ones = np.ones(len(a), np.int64)
     found = merged_band(np.arange(len(a)), a[order], b[order], ones, ones)
@@ -337,14 +591,16 @@ def tree_task(v: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def grid(rows: DataFrame, sizes: Sequence[int], samples: Sequence[int], *, id_col: str = "id", vec_col: str = "emb", one_task: int = 8192, band: int = BAND) -> DataFrame:
     """(min_samples, min_cluster_size, id, label, probability) of all rows for every setting: one pass for all core distances, one tree for each min_samples, from which every min_cluster_size is
-    condensed. Of fewer rows than three times min_cluster_size a third (2 at least) is the size."""
+    condensed. Of fewer rows than three times min_cluster_size a third (2 at least) is the size. Up to one_task rows go to one task, up to two bands through in_passes, and more through tables."""
     spark = rows.sparkSession
     points = placed(rows, id_col, vec_col)
     n = points.count()
     least = {s: min(s, max(2, n // 3)) for s in sizes}
     settings = "min_samples int, min_cluster_size int, pos bigint, label int, probability double"
     found = spark.createDataFrame([], settings)
-    if n >= 2:
+    if n > max(2, one_task) and n <= 2 * band:
+        found = in_passes(points, n, sizes, samples, least, settings)
+    elif n >= 2:
         cored = core_distances(points.select("pos", "v"), samples)
         if n <= one_task:
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kinweave.operators import clustering, hierarchy
+from kinweave.operators import clustering, hierarchy, similarity
 
 
 def frame(spark, rows):
@@ -121,6 +121,39 @@ def test_tables_equal_the_reference(spark, kind, sizes, samples, band):
             assert [found[s, k, i] for i in (5, 6, 7)] == [(-1, 0.0)] * 3
 
 
+@pytest.mark.parametrize(("kind", "near"), [("tied", 1), ("nested", 2), ("copies", 1), ("chain", 1), ("150", 1), ("150", 8)])
+def test_two_passes_equal_the_reference(spark, monkeypatch, kind, near):
+    """Nearest rows, then what joins them: blocks of ten rows, forests of the tasks in two steps."""
+    for name, value in (("NEAREST", near), ("SIDE", 10), ("HELD", 1)):
+        monkeypatch.setattr(hierarchy, name, value)
+    v = data(kind, 4)
+    sizes, samples = (2, 5), (1, 3)
+    first = 2**60
+    rows = frame(spark, [*((first + i, x) for i, x in enumerate(v)), (5, None)])
+    found = {(r["min_cluster_size"], r["min_samples"], r["id"]): (r["label"], r["probability"]) for r in hierarchy.grid(rows, sizes, samples, one_task=0).collect()}
+    assert len(found) == 4 * (len(v) + 1)
+    for s in sizes:
+        for k in samples:
+            labels, shares = reference(v, s, k)
+            assert [found[s, k, first + i][0] for i in range(len(v))] == labels, (s, k)
+            assert np.allclose([found[s, k, first + i][1] for i in range(len(v))], shares), (s, k)
+            assert found[s, k, 5] == (-1, 0.0)
+
+
+def test_the_tree_takes_two_passes_over_pairs(spark, monkeypatch):
+    """All of samples share them, and the places of copies beyond the nearest rows are found."""
+    v = np.repeat(np.random.default_rng(5).normal(size=(12, 3)), 20, axis=0)
+    passes = []
+    tasks = similarity.Stored.tasks
+    monkeypatch.setattr(similarity.Stored, "tasks", lambda self, *a: passes.append(a) or tasks(self, *a))
+    monkeypatch.setattr(hierarchy, "SIDE", 40)
+    found = hierarchy.grid(frame(spark, enumerate(v)), (2, 5), (1, 2, 3), one_task=0).collect()
+    assert len(passes) == 2
+    for s in (2, 5):
+        labels, _ = reference(v, s, 2)
+        assert [r["label"] for r in sorted(found, key=lambda r: r["id"]) if (r["min_cluster_size"], r["min_samples"]) == (s, 2)] == labels
+
+
 def test_awkward_rows(spark):
     for rows in ([(1, None)], [(1, None), (2, [1.0])], [(1, [float("nan")]), (2, [1.0])]):
         assert {(r["label"], r["probability"]) for r in clustering.hdbscan(frame(spark, rows)).collect()} == {(-1, 0.0)}
