@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.vectors import double, matrix
 from kinweave.operators.graph import components, cut, numbered
-from kinweave.operators.similarity import ROOM, Blocks, distances, least_k, metric_blocks, pair_blocks
+from kinweave.operators.similarity import ROOM, Blocks, all_blocks, distances, least_k, metric_blocks
 
 #: Edges of a band, which is merged in one task.
 BAND = 1 << 19
@@ -55,20 +55,9 @@ def core_distances(points: DataFrame, samples: Sequence[int]) -> DataFrame:
     if k < 1:
         return points.withColumns({f"c{s}": F.lit(0.0) for s in samples})
 
-    def fn(ia, va, ib, vb, same):
-        d = distances(va, vb, "euclidean")
-        if same:
-            np.fill_diagonal(d, np.inf)
-        out = []
-        for ids, m in ((ia, d),) if same else ((ia, d), (ib, d.T)):
-            if m.size:
-                least = np.sort(np.partition(m, min(k, m.shape[1]) - 1, axis=1)[:, :k], axis=1)
-                out.append(pa.table({"pos": pa.array(np.repeat(ids, least.shape[1])), "d": pa.array(least.ravel())}))
-        return pa.concat_tables(out) if out else pa.table({"pos": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-
-    found = pair_blocks(points, "pos", "v", "pos bigint, d double", fn).filter(F.col("d") < F.lit(float("inf")))
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("pos").orderBy("d"))).filter(F.col("r") <= k)
-    cores = ranked.groupBy("pos").agg(*[F.max(F.when(F.col("r") == s - 1, F.col("d"))).alias(f"c{s}") for s in samples])
+    blocks = metric_blocks(points.select("pos", "v"), "pos", "v", block=SIDE)
+    cores = cut(nearest_rows(blocks, k).select("pos", *[F.get("far", F.lit(s - 2)).alias(f"c{s}") if s > 1 else F.lit(0.0).alias(f"c{s}") for s in samples]))
+    blocks.stored.drop()
     return points.join(cores, "pos", "left").fillna(0.0, [f"c{s}" for s in samples])
 
 
@@ -343,29 +332,35 @@ def in_passes(points: DataFrame, n: int, sizes: Sequence[int], samples: Sequence
 
 
 def spanning_edges(points: DataFrame, core: str) -> DataFrame:
-    """(a, b, d) of the same tree over points (pos, v, core column), in rounds; each pair of blocks sends one edge for each component of it, and none if it holds one component only."""
+    """(a, b, d) of the same tree over points (pos, v, core column), in rounds; a task compares its block with all others and sends one edge for each component of it, and none if there is one component only."""
     state, found = cut(points.select("pos", "v", F.col(core).alias("core"), F.col("pos").alias("c"))), []
-    while True:
-        packed = state.select("pos", F.concat("v", F.array("core", F.col("c").cast("double"))).alias("v"))  # places are exact as doubles
 
-        def lightest(ia, va, ib, vb, same):
-            none = pa.table({"c": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-            if not len(ia) or not len(ib) or (va[:, -1].min() == va[:, -1].max() == vb[:, -1].min() == vb[:, -1].max()):
-                return none
+    def lightest(read, i, js):
+        ia, va = read(i)
+        comp, w, other = va[:, -1], np.full(len(ia), np.inf), np.zeros(len(ia), np.int64)
+        for j in js:  # in the order of places, so the first of equal ones makes the least edge
+            ib, vb = read(j)
+            if comp.min() == comp.max() == vb[:, -1].min() == vb[:, -1].max():
+                continue
             d = _reach(va[:, :-2], va[:, -2], vb[:, :-2], vb[:, -2])
-            d[va[:, -1][:, None] == vb[:, -1][None, :]] = np.inf
-            out = [none]
-            for ids, comp, others, m in ((ia, va[:, -1], ib, d), (ib, vb[:, -1], ia, d.T)):
-                k = m.argmin(1)  # others come in the order of places, so the first of equal ones makes the least edge
-                w = m[np.arange(len(k)), k]
-                order = np.lexsort((np.maximum(ids, others[k]), np.minimum(ids, others[k]), w, comp))
-                first = order[np.concatenate(([True], comp[order][1:] != comp[order][:-1]))]
-                first = first[np.isfinite(w[first])]
-                out.append(pa.table({"c": pa.array(comp[first].astype(np.int64)), "a": pa.array(np.minimum(ids[first], others[k[first]])), "b": pa.array(np.maximum(ids[first], others[k[first]])), "d": pa.array(w[first])}))
-            return pa.concat_tables(out)
-
-        sent = pair_blocks(packed, "pos", "v", "c bigint, " + _EDGES, lightest)
+            d[comp[:, None] == vb[:, -1][None, :]] = np.inf
+            k = d.argmin(1)
+            least = d[np.arange(len(k)), k]
+            closer = least < w
+            w[closer], other[closer] = least[closer], ib[k[closer]]
+        low, high = np.minimum(ia, other), np.maximum(ia, other)
+        order = np.lexsort((high, low, w, comp))
+        first = order[np.concatenate(([True], comp[order][1:] != comp[order][:-1]))]
+        first = first[np.isfinite(w[first])]
+        yield pa.table({"c": pa.array(comp[first].astype(np.int64)), "a": pa.array(low[first]), "b": pa.array(high[first]), "d": pa.array(w[first])})
+
+    while True:
+        packed = state.select("pos", F.concat("v", F.array("core", F.col("c").cast("double"))).alias("v"))  # places are exact as doubles
+        kept = all_blocks(packed, "pos", "v", SIDE)
+        full = np.arange(len(kept.names))
+        sent = kept.tasks([(int(i), full) for i in full], "c bigint, " + _EDGES, lightest)
         chosen = cut(sent.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.*").distinct())
+        kept.drop()
         if chosen.isEmpty():
             break
         found.append(chosen.select("a", "b", "d"))
