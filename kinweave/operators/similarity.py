@@ -139,11 +139,11 @@ class Stored:
 
         return self.spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, schema)
 
-    def jobs(self, near: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def jobs(self, near: np.ndarray, most: int = MOST_PAIRS) -> list[tuple[int, np.ndarray]]:
         """The pairs i <= j of blocks that are near and have rows, some of one i together."""
         full = np.array([n is not None for n in self.names])
         near = np.triu(near) & full[:, None] & full[None, :]
-        each = int(min(MOST_PAIRS, max(1, near.sum() // 512)))
+        each = int(min(most, max(1, near.sum() // 512)))
         return [(i, js[k : k + each]) for i in range(len(near)) for js in [np.flatnonzero(near[i])] for k in range(0, len(js), each)]
 
     def products(self, near: np.ndarray, schema: str, fn: Callable) -> DataFrame:
@@ -260,14 +260,20 @@ def metric_blocks(rows: DataFrame, id_col: str, vec_col: str, metric: str = "euc
     return Blocks(named, between - r[:, None] - r[None, :] - slack, at, r + slack)
 
 
-def pair_blocks(rows: DataFrame, id_col: str, vec_col: str, schema: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.Table], block: int = BLOCK, *, within: float | None = None, metric: str = "euclidean", extra: int = 0) -> DataFrame:
+def pair_blocks(rows: DataFrame, id_col: str, vec_col: str, schema: str, fn: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], pa.Table], block: int = BLOCK, *, within: float | None = None, metric: str = "euclidean", extra: int = 0, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """fn(ids a, vectors a, ids b, vectors b, whether both are one block) for every pair of blocks of at most about `block` rows, each in the order of ids. rows are computed once and written once as blocks, which the
-    tasks read (see Stored); what leaves a task is fn's result. within: only pairs of rows that near matter, and pairs of blocks that can't have any are skipped (see metric_blocks)."""
+    tasks read (see Stored); what leaves a task is fn's result. within: only pairs of rows that near matter, and pairs of blocks that can't have any are skipped (see metric_blocks). then: what is made of the result at once; the blocks are dropped after it."""
     if within is not None:
         blocks = metric_blocks(rows, id_col, vec_col, metric, block=block, extra=extra)
-        return blocks.pairs(blocks.near(euclidean(within, metric)), schema, fn)
-    kept = all_blocks(rows, id_col, vec_col, block)
-    return kept.products(np.ones((len(kept.names),) * 2, bool), schema, fn)
+        kept, near = blocks.stored, blocks.near(euclidean(within, metric))
+    else:
+        kept = all_blocks(rows, id_col, vec_col, block)
+        near = np.ones((len(kept.names),) * 2, bool)
+    found = kept.products(near, schema, fn)
+    if then:
+        found = cut(then(found))
+        kept.drop()
+    return found
 
 
 def all_blocks(rows: DataFrame, id_col: str, vec_col: str, block: int = BLOCK) -> Stored:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kinweave.operators import similarity
+from kinweave.operators import similarity, thresholds
 
 
 def frame(spark, v):
@@ -29,3 +29,23 @@ def test_blocks_hold_each_row_once(spark):
     assert [r["id"] for r in seen.collect()] == [7 * i for i in range(95)]
     kept.drop()
     assert similarity.pairwise(frame(spark, v).limit(0), block=10).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "few"), [("dense", 0), ("dense", 1 << 18), ("copies", 4), ("awkward", 0)])
+def test_statistics_are_exact_and_read_blocks(spark, monkeypatch, kind, few):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(120, 3)) if kind == "dense" else np.repeat(rng.normal(size=(8, 3)), 15, axis=0)
+    if kind == "awkward":  # many nearly equal distances, a vector of zeros, one that isn't a number
+        v = np.ones((120, 3)) + rng.normal(size=(120, 3)) * 1e-7
+        v[5] = 0
+    all_blocks, passes = thresholds.all_blocks, []
+    monkeypatch.setattr(thresholds, "all_blocks", lambda *a: all_blocks(*a, 16))
+    tasks = similarity.Stored.tasks
+    monkeypatch.setattr(similarity.Stored, "tasks", lambda self, *a: passes.append(a) or tasks(self, *a))
+    rows = frame(spark, np.concatenate((v, np.full((1, 3), np.nan))) if kind == "awkward" else v)
+    one = thresholds.distance_stats(rows, few=few).first()
+    u = similarity.units(v)
+    d = (1 - u @ u.T)[np.triu_indices(len(v), 1)]
+    assert one["num_pairs"] == len(d) and len(passes) >= 2
+    assert np.allclose([one["mean"], one["std"], one["min"], one["max"]], [d.mean(), d.std(), d.min(), d.max()], atol=1e-7)
+    assert np.allclose([one[f"p{p}"] for p in thresholds.PERCENTILES], np.percentile(d, thresholds.PERCENTILES), rtol=0, atol=1e-12)
