@@ -38,7 +38,7 @@ def linked(points: DataFrame, eps: float, *, block: int = BLOCK) -> DataFrame:
         return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b])})
 
     points = cut(points)
-    return components(points.select("id"), pair_blocks(points, "id", "v", "a bigint, b bigint", links, block, within=eps))
+    return components(points.select("id"), pair_blocks(points, "id", "v", "a bigint, b bigint", links, block, within=eps, then=lambda f: f))
 
 
 def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: str = "id", vec_col: str = "emb", block: int = BLOCK) -> DataFrame:
@@ -55,7 +55,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: s
             return pa.table({"id": pa.array(ia), "n": pa.array(near.sum(1))})
         return pa.table({"id": pa.array(np.concatenate((ia, ib))), "n": pa.array(np.concatenate((near.sum(1), near.sum(0))))})
 
-    degree = pair_blocks(points, "id", "v", "id bigint, n bigint", degrees, block, within=eps).groupBy("id").agg(F.sum("n").alias("n"))
+    degree = pair_blocks(points, "id", "v", "id bigint, n bigint", degrees, block, within=eps, then=lambda f: f.groupBy("id").agg(F.sum("n").alias("n")))
     core = cut(degree.filter(F.col("n") >= min_samples).select("id"))
 
     parts = linked(points.join(core, "id", "left_semi"), eps, block=block)
@@ -71,7 +71,7 @@ def dbscan(rows: DataFrame, eps: float = 0.5, min_samples: int = 2, *, id_col: s
             out.append(pa.table({"id": pa.array(ids[keep]), "label": pa.array(least[keep].astype(np.int64))}))
         return pa.concat_tables(out)
 
-    border = pair_blocks(labelled, "id", "v", "id bigint, label bigint", borders, block, within=eps, extra=1).groupBy("id").agg(F.min("label").cast("int").alias("near"))
+    border = pair_blocks(labelled, "id", "v", "id bigint, label bigint", borders, block, within=eps, extra=1, then=lambda f: f.groupBy("id").agg(F.min("label").cast("int").alias("near")))
     ids = rows.select(F.col(id_col).alias("id"))
     return ids.join(cores, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "near", F.lit(-1)).cast("int").alias("label"))
 

@@ -1,9 +1,12 @@
 """Products of blocks that are read from the shared folder: what is sent and kept doesn't grow with the number of blocks."""
 
+import os
+
 import numpy as np
 import pytest
 
-from kinweave.operators import similarity, thresholds
+from kinweave.operators import clustering, similarity, thresholds
+from kinweave.operators.graph import shared_dir
 
 
 def frame(spark, v):
@@ -49,3 +52,20 @@ def test_statistics_are_exact_and_read_blocks(spark, monkeypatch, kind, few):
     assert one["num_pairs"] == len(d) and len(passes) >= 2
     assert np.allclose([one["mean"], one["std"], one["min"], one["max"]], [d.mean(), d.std(), d.min(), d.max()], atol=1e-7)
     assert np.allclose([one[f"p{p}"] for p in thresholds.PERCENTILES], np.percentile(d, thresholds.PERCENTILES), rtol=0, atol=1e-12)
+
+
+def test_dispatch_drops_its_blocks(spark):
+    """Both ways of clustering leave nothing in the shared folder."""
+    rng = np.random.default_rng(4)
+    rows = frame(spark, rng.normal(size=(60, 3)))
+    before = kept(spark)
+    config = clustering.ClusterConfig(min_cluster_size=5, eps=0.9, db_min_samples=3, noise_fallback_ratio=-1.0, one_task=0)
+    found = {r["id"]: r["label"] for r in clustering.cluster(rows, config).collect()}
+    alike = clustering.ClusterConfig(min_cluster_size=5, noise_fallback_ratio=2.0, one_task=0)
+    tree, one = ({r["id"]: r["label"] for r in clustering.cluster(rows, c).collect()} for c in (alike, clustering.ClusterConfig(min_cluster_size=5, noise_fallback_ratio=2.0)))
+    assert tree == one and found == {r["id"]: r["label"] for r in clustering.dbscan(rows, 0.9, 3, block=8).collect()}
+    assert kept(spark) == before
+
+
+def kept(spark):
+    return {p for p in os.listdir(shared_dir(spark).removeprefix("file://")) if p.startswith("kinweave-blocks-")}
